@@ -135,5 +135,5 @@ def rotate_to_z(v: Vec, axis: Vec) -> Vec:
     nx, ny, nz = axis.px / p, axis.py / p, axis.pz / p
     # Rodrigues rotation about n x z with cos = nz; the cross axis has no z part.
     dot = v.px * nx + v.py * ny
-    along = dot / (1 + nz)
+    along = F.when(1 + nz > 0, dot / (1 + nz)).otherwise(0.0)
     return Vec(v.e, v.px - nx * (v.pz + along), v.py - ny * (v.pz + along), nz * v.pz + dot)

@@ -279,7 +279,9 @@ def check_report(checked: DataFrame, expected: int | None = None) -> DataFrame:
 
 def first_errors(checked: DataFrame, keys: list[str], max_errors: int = 20) -> DataFrame:
     """TOP05: first messages in event order (bounded top-k per partition)."""
-    return checked.select(*keys, F.posexplode("errors").alias("i", "message")).orderBy(*keys, "i").limit(max_errors)
+    # the outer form keeps the optimizer from copying the check into an inferred filter
+    rows = checked.select(*keys, F.posexplode_outer("errors").alias("i", "message"))
+    return rows.filter(F.col("message").isNotNull()).orderBy(*keys, "i").limit(max_errors)
 
 
 # --- labels -----------------------------------------------------------------------------

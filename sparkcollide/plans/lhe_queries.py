@@ -70,11 +70,11 @@ def src03(spark, sf):
     )
 
 
-@query("SRC04_scan_lhe_init", f"{E0} SELECT shard, '2212 2212 7000 7000 0 0 230000 230000 3 1' AS beam_line, 1 AS nprup, 1 AS lprup, {R('count(*)/CAST(1000 AS DOUBLE)')} AS xsec, CAST(max(k)//50000+1 AS BIGINT) AS files FROM o GROUP BY shard")
+@query("SRC04_scan_lhe_init", f"{E0} SELECT shard, '2212 2212 7000 7000 0 0 230000 230000 3 1' AS beam_line, 1 AS nprup, 1 AS lprup, {R('sum(w)', 4)} AS xsec, CAST(max(k)//50000+1 AS BIGINT) AS files FROM o GROUP BY shard")
 def src04(spark, sf):
     i = lhe.scan_lhe_init(spark, lhe_files(spark, sf))
     i = i.select(SHARD.alias("shard"), "beam_line", "nprup", F.explode("processes").alias("p"))
-    return i.groupBy("shard", "beam_line", "nprup", F.col("p.lprup").alias("lprup"), r("p.xsec").alias("xsec")).agg(F.count("*").alias("files"))
+    return i.groupBy("shard", "beam_line", "nprup", F.col("p.lprup").alias("lprup"), r("p.xsec", 4).alias("xsec")).agg(F.count("*").alias("files"))
 
 
 @query("SRC05_compressed_scan", f"{E0} SELECT k, {R('w', 7)} AS w FROM o WHERE shard=3")
@@ -96,7 +96,7 @@ def src06(spark, sf):
 
 @query(
     "JN07_init_compatibility",
-    f"""{E0}, c AS (SELECT shard, count(*) AS n, max(k)//50000+1 AS f FROM o GROUP BY shard), rf AS (SELECT n AS n0 FROM c WHERE shard=0)
+    f"""{E0}, c AS (SELECT shard, sum(w) AS n, max(k)//50000+1 AS f FROM o GROUP BY shard), rf AS (SELECT n AS n0 FROM c WHERE shard=0)
  SELECT shard, problem, CAST(f AS BIGINT) AS files FROM c, rf, (VALUES ('cross-section'),('cross-section error')) t(problem) WHERE abs(n-n0) > 0.0002*greatest(n,n0)""",
 )
 def jn07(spark, sf):

@@ -66,14 +66,14 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     event = F.concat(F.lit("<event trials='1'>\n# derived\n"), F.concat_ws("\n", head, *text), F.lit("\n</event>"))
     return o.select(
         F.when(F.col("shard") < 2, "a").otherwise("b").alias("source"), "shard",
-        F.floor(F.col("k") / CHUNK).cast("int").alias("chunk"), "k", event.alias("event"),
+        F.floor(F.col("k") / CHUNK).cast("int").alias("chunk"), "k", "w", event.alias("event"),
     )
 
 
 def preambles(rows: DataFrame) -> DataFrame:
-    """One header per file; the cross-section is the event count of the shard."""
-    files = rows.groupBy("source", "shard", "chunk").agg(F.count("*").alias("_n"))
-    per_shard = files.groupBy("source", "shard").agg((F.sum("_n") / 1000).alias("x"))
+    """One header per file; the cross-section is the weight sum of the shard."""
+    files = rows.groupBy("source", "shard", "chunk").agg(F.sum("w").alias("_w"))
+    per_shard = files.groupBy("source", "shard").agg(F.sum("_w").alias("x"))
     files = files.join(per_shard, ["source", "shard"])
     init = F.format_string("<init>\n 2212 2212 7000 7000 0 0 230000 230000 3 1\n  %.10e %.10e 1 1\n</init>\n", "x", F.col("x") / 100)
     return files.select("source", "shard", "chunk", F.concat(F.lit("<LesHouchesEvents version=\"1.0\">\n<header>\n</header>\n"), init).alias("preamble"))
@@ -91,7 +91,7 @@ def lhe_files(spark: SparkSession, sf: str) -> str:
     pick = lambda df, s: df.filter(F.col("shard") == s)
     write_lhe(rows.filter("shard < 2"), heads.filter("shard < 2"), root, parts, ["k"])
     # shard 2: the last event of each file is cut and the footer is missing
-    torn = pick(heads, 2).select(*parts, F.lit(2**62).alias("k"), F.lit("<event>\n 6 1 1.0").alias("event"))
+    torn = pick(heads, 2).select(*parts, F.lit(2**62).alias("k"), F.lit(0.0).alias("w"), F.lit("<event>\n 6 1 1.0").alias("event"))
     write_lhe(pick(rows, 2).unionByName(torn.select(rows.columns)), pick(heads, 2), root, parts, ["k"], footer=False)
     write_lhe(pick(rows, 3), pick(heads, 3), root, parts, ["k"], compression="gzip")
     _written[key] = root
