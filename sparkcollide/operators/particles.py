@@ -78,7 +78,7 @@ PAIR_OBSERVABLES = {
     "mass": lambda a, b: (a + b).mass(), "pt": lambda a, b: (a + b).pt(), "mean_pt": lambda a, b: (a.pt() + b.pt()) / 2,
     "eta": lambda a, b: (a + b).eta(), "y": lambda a, b: (a + b).rapidity(), "deta": kin.deta,
     "dy": lambda a, b: F.abs(a.rapidity() - b.rapidity()), "angle": kin.opening_angle, "phi": lambda a, b: (a + b).phi(),
-    "dphi": kin.dphi_acos, "dr": kin.delta_r_eta, "phi_star": kin.phi_star, "dpt": lambda a, b: a.pt() - b.pt(),
+    "dphi": kin.dphi_acos, "dr": kin.delta_r_eta, "phi_star": lambda a, b: F.when(kin.dphi_acos(a, b) > 1e-6, kin.phi_star(a, b)), "dpt": lambda a, b: a.pt() - b.pt(),
     "rpt": lambda a, b: a.pt() / b.pt(), "et_fraction": lambda a, b: a.et() / b.et(),
 }
 

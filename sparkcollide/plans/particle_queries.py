@@ -76,7 +76,7 @@ PAIR_RANGE = {"dphi_deg": (30, 150), "deta": (0.3, 2.1), "eta_product": (-1, 1.3
 OBS_SQL = {
     "mass": S_M, "pt": S_PT, "mean_pt": "(pt1+pt2)/2", "eta": f"asinh((pz1+pz2)/{S_PT})", "y": S_Y, "deta": "abs(eta1-eta2)", "dy": "abs(y1-y2)",
     "angle": "acos(least(1, greatest(-1, (px1*px2+py1*py2+pz1*pz2)/(p1*p2))))", "phi": "atan2(py1+py2, px1+px2)", "dphi": f"acos({COS_T})",
-    "dr": f"sqrt(pow(eta1-eta2,2)+pow(acos({COS_T}),2))", "phi_star": f"tan((pi()-acos({COS_T}))/2)*sin(tanh((eta1-eta2)/2))", "dpt": "pt1-pt2", "rpt": "pt1/pt2", "et_fraction": "et1/et2",
+    "dr": f"sqrt(pow(eta1-eta2,2)+pow(acos({COS_T}),2))", "phi_star": f"CASE WHEN acos({COS_T}) > 0.000001 THEN tan((pi()-acos({COS_T}))/2)*sin(tanh((eta1-eta2)/2)) END", "dpt": "pt1-pt2", "rpt": "pt1/pt2", "et_fraction": "et1/et2",
 }
 
 
