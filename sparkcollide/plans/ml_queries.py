@@ -51,11 +51,11 @@ def ml01(spark, sf):
     return ml.stratified_split(fixtures.scores(spark, sf), "row_id").select("row_id", "label", "is_test")
 
 
-ROC = f"""{SC}, d AS (SELECT score, sum(CASE WHEN label=1 THEN W ELSE 0 END) AS p, sum(CASE WHEN label=0 THEN W ELSE 0 END) AS n FROM scores GROUP BY score),
+ROC = f"""{SC}, d AS (SELECT score, sum(CASE WHEN label=1 THEN weight ELSE 0 END) AS p, sum(CASE WHEN label=0 THEN weight ELSE 0 END) AS n FROM scores GROUP BY score),
  c AS (SELECT score, p, n, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS tot_p, sum(n) OVER () AS tot_n FROM d)"""
 
 
-@query("WIN03_running_efficiency", f"{ROC.replace('W', 'weight').replace('weightITH', 'WITH').replace('weightHEN', 'WHEN')} SELECT {R('score', 9)} AS score, {R('tp/tot_p')} AS tpr, {R('fp/tot_n')} AS fpr FROM c")
+@query("WIN03_running_efficiency", f"{ROC} SELECT {R('score', 9)} AS score, {R('tp/tot_p')} AS tpr, {R('fp/tot_n')} AS fpr FROM c")
 def win03(spark, sf):
     return ml.running_efficiency(fixtures.scores(spark, sf), F.col("weight")).select(r("score", 9).alias("score"), r("tpr").alias("tpr"), r("fpr").alias("fpr"))
 
