@@ -92,13 +92,13 @@ def scl13(spark, sf):
 
 
 # --- points and surfaces --------------------------------------------------------------------
-PT = "pc AS (SELECT p_partkey AS k, p_brand AS surface, -30 + (p_partkey*37 % 6001)/CAST(100 AS DOUBLE) AS c3, -600 + (p_partkey*53 % 12001)/CAST(10 AS DOUBLE) AS d4, p_retailprice/CAST(1000 AS DOUBLE) AS value FROM part)"
+PT = "pc AS (SELECT p_partkey AS k, p_brand AS surface, 30*sin(CAST(p_partkey*37 AS DOUBLE)) AS c3, 600*sin(CAST(p_partkey*53+1 AS DOUBLE)) AS d4, p_retailprice/CAST(1000 AS DOUBLE) AS value FROM part)"
 
 
 def points(spark, sf):
     k = F.col("p_partkey")
     return table(spark, sf, "part").select(
-        k.alias("k"), F.col("p_brand").alias("surface"), (F.lit(-30) + (k * 37 % 6001) / F.lit(100.0)).alias("c3"), (F.lit(-600) + (k * 53 % 12001) / F.lit(10.0)).alias("d4"),
+        k.alias("k"), F.col("p_brand").alias("surface"), (30 * F.sin((k * 37).cast("double"))).alias("c3"), (600 * F.sin((k * 53 + 1).cast("double"))).alias("d4"),
         (F.col("p_retailprice") / 1000).alias("value"),
     )
 
@@ -122,9 +122,9 @@ def cheb_sql(c3: str = "c3", d4: str = "d4") -> list[str]:
 SURF_VAL = "(" + "+".join(f"q{k}*{b}" for k, b in enumerate(cheb_sql())) + ")"
 
 
-@query("SCL15_chebyshev_basis", f"WITH {PT} SELECT k, {', '.join(f'{R(b, 10)} AS t{i}' for i, b in enumerate(cheb_sql()))} FROM pc")
+@query("SCL15_chebyshev_basis", f"WITH {PT} SELECT k, {', '.join(f'{R(b, 6)} AS t{i}' for i, b in enumerate(cheb_sql()))} FROM pc")
 def scl15(spark, sf):
-    return points(spark, sf).select("k", *[r(b, 10).alias(f"t{i}") for i, b in enumerate(cf.chebyshev_basis(F.col("c3"), F.col("d4")))])
+    return points(spark, sf).select("k", *[r(b).alias(f"t{i}") for i, b in enumerate(cf.chebyshev_basis(F.col("c3"), F.col("d4")))])
 
 
 WAVE = lambda s: f"""CASE WHEN {s} > 62500 THEN abs(3*15625*sqrt({s}*{s}-62500*{s})/(32*pi()*{s}*({s}-15625)*60516) * (-(1+d4)*({s}-15625) - 3*(1+c3)*(1+c3)*15625 + 6*(1+c3)*(1+c3)*15625*({s}-15625)/({s}-62500)*ln({s}/CAST(15625 AS DOUBLE)-3))) ELSE 0 END"""
@@ -146,11 +146,11 @@ def poly_sql(model: str, sub: dict[str, str], coef=lambda i: f"q{i}") -> str:
 CP = {"c3": "c3/10", "d4": "d4/100", "ct1": "value", "ct2": "(value-1)", "ct3": "(c3/30)"}
 for _model in cf.MODELS:
 
-    @query(f"SCL17_coupling_polynomial_{_model}", f"WITH {PT} SELECT k, {R(poly_sql(_model, CP, lambda i: f'CAST({(i % 7 - 3) / 10} AS DOUBLE)'), 9)} AS xsec FROM pc")
+    @query(f"SCL17_coupling_polynomial_{_model}", f"WITH {PT} SELECT k, {R(poly_sql(_model, CP, lambda i: f'CAST({(i % 7 - 3) / 10} AS DOUBLE)'), 5)} AS xsec FROM pc")
     def scl17(spark, sf, model=_model):
         c = {"c3": F.col("c3") / 10, "d4": F.col("d4") / 100, "ct1": F.col("value"), "ct2": F.col("value") - 1, "ct3": F.col("c3") / 30}
         coef = F.array(*[F.lit((i % 7 - 3) / 10) for i in range(len(cf.monomials(model)))])
-        return points(spark, sf).select("k", r(cf.coupling_polynomial(model, c, coef), 9).alias("xsec"))
+        return points(spark, sf).select("k", r(cf.coupling_polynomial(model, c, coef), 5).alias("xsec"))
 
 
 @query("INF04_fit_surface")

@@ -13,8 +13,14 @@ from sparkcollide.sources import lhe
 from sparkcollide.sources.lhe_fixture import lhe_files
 
 R = S.rnd
-SOURCE = F.regexp_extract("path", r"source=([^/]+)", 1)
-SHARD = F.regexp_extract("path", r"shard=(\d+)", 1).cast("int")
+
+
+def source_col():
+    return F.regexp_extract("path", r"source=([^/]+)", 1)
+
+
+def shard_col():
+    return F.regexp_extract("path", r"shard=(\d+)", 1).cast("int")
 
 
 def r(c, n=6):
@@ -27,7 +33,7 @@ def parsed(spark, sf):
 
 def headers(spark, sf):
     ev = lhe.parse_event_header(lhe.scan_lhe_events(spark, lhe_files(spark, sf)))
-    return ev.withColumns({"source": SOURCE, "shard": SHARD})
+    return ev.withColumns({"source": source_col(), "shard": shard_col()})
 
 
 E0 = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 10 AS v, o_totalprice/CAST(100000 AS DOUBLE) AS w, CAST(o_orderkey % 4 AS INT) AS shard,
@@ -48,7 +54,7 @@ P0 = f"""{E0}, li AS (SELECT o.*, CAST(i AS INT) AS idx FROM o, range(1,7) t(i))
 @query("SRC01_scan_lhe_events", f"{E0} SELECT source, shard, count(*) AS complete, CAST(CASE WHEN shard=2 THEN max(k)//50000+1 ELSE 0 END AS BIGINT) AS incomplete FROM o GROUP BY source, shard")
 def src01(spark, sf):
     c = lhe.incomplete_counts(spark, lhe_files(spark, sf))
-    return c.groupBy(SOURCE.alias("source"), SHARD.alias("shard")).agg(F.sum("complete").alias("complete"), F.sum("incomplete").alias("incomplete"))
+    return c.groupBy(source_col().alias("source"), shard_col().alias("shard")).agg(F.sum("complete").alias("complete"), F.sum("incomplete").alias("incomplete"))
 
 
 @query("SRC02_parse_event_header", f"{E0} SELECT source, shard, CASE WHEN v=7 THEN 7 ELSE 6 END AS nup, 1 AS idprup, count(*) AS n, {R('sum(w)', 7)} AS sum_w, {R('max(w)', 7)} AS max_w FROM o GROUP BY ALL")
@@ -63,7 +69,7 @@ def src02(spark, sf):
     f"{P0} SELECT shard, idx, pid, status, c1, c2, ok, count(*) AS n, {R('sum(px)', 3)} AS sum_px, {R('sum(e)', 3)} AS sum_e, {R('sum(m)', 3)} AS sum_m, count(CASE WHEN NOT ok THEN 1 END) AS n_error, CAST(sum(CASE WHEN v=7 THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM p GROUP BY ALL",
 )
 def src03(spark, sf):
-    p = lhe.explode_particles(lhe.scan_lhe_events(spark, lhe_files(spark, sf))).withColumn("shard", SHARD)
+    p = lhe.explode_particles(lhe.scan_lhe_events(spark, lhe_files(spark, sf))).withColumn("shard", shard_col())
     return p.groupBy("shard", "idx", "pid", "status", "c1", "c2", "ok").agg(
         F.count("*").alias("n"), r(F.sum("px"), 3).alias("sum_px"), r(F.sum("e"), 3).alias("sum_e"), r(F.sum("m"), 3).alias("sum_m"),
         F.count("error").alias("n_error"), F.sum("missing").cast("long").alias("missing"),
@@ -73,7 +79,7 @@ def src03(spark, sf):
 @query("SRC04_scan_lhe_init", f"{E0} SELECT shard, '2212 2212 7000 7000 0 0 230000 230000 3 1' AS beam_line, 1 AS nprup, 1 AS lprup, {R('sum(w)', 4)} AS xsec, CAST(max(k)//50000+1 AS BIGINT) AS files FROM o GROUP BY shard")
 def src04(spark, sf):
     i = lhe.scan_lhe_init(spark, lhe_files(spark, sf))
-    i = i.select(SHARD.alias("shard"), "beam_line", "nprup", F.explode("processes").alias("p"))
+    i = i.select(shard_col().alias("shard"), "beam_line", "nprup", F.explode("processes").alias("p"))
     return i.groupBy("shard", "beam_line", "nprup", F.col("p.lprup").alias("lprup"), r("p.xsec", 4).alias("xsec")).agg(F.count("*").alias("files"))
 
 
@@ -91,7 +97,7 @@ def src05(spark, sf):
 def src06(spark, sf):
     root = lhe_files(spark, sf)
     f = lhe.discover_inputs(spark, [f"{root}/source=a", f"{root}/source=b", f"{root}/source=b/shard=3"], prefix="part-", suffixes=(".txt", ".txt.gz"))
-    return f.withColumn("shard", SHARD).filter("shard <> 1").groupBy("shard").agg(F.count("*").alias("files"))
+    return f.withColumn("shard", shard_col()).filter("shard <> 1").groupBy("shard").agg(F.count("*").alias("files"))
 
 
 @query(
@@ -101,7 +107,7 @@ def src06(spark, sf):
 )
 def jn07(spark, sf):
     bad = ops.init_compatibility(lhe.scan_lhe_init(spark, lhe_files(spark, sf)), rel_tol=2e-4)
-    return bad.groupBy(SHARD.alias("shard"), "problem").agg(F.count("*").alias("files"))
+    return bad.groupBy(shard_col().alias("shard"), "problem").agg(F.count("*").alias("files"))
 
 
 @query("JN07_init_compatibility_relaxed", f"{E0} SELECT count(*) AS files, CAST(0 AS BIGINT) AS problems FROM (SELECT DISTINCT shard, k//50000 FROM o)")
@@ -120,7 +126,7 @@ def jn08(spark, sf):
     lines = F.array(F.lit("Starting the calculation"), text, F.lit("done"))
     logs = dirs.withColumn("x", total.scalar()).select("dir", F.lit("run.log").alias("log"), F.posexplode(lines).alias("line_no", "line"))
     out = ops.log_xsec_override(inits, logs)
-    return out.groupBy(SHARD.alias("shard"), "process", r("xsec", 7).alias("xsec"), r("xerr", 7).alias("xerr"), "source").agg(F.count("*").alias("files"))
+    return out.groupBy(shard_col().alias("shard"), "process", r("xsec", 7).alias("xsec"), r("xerr", 7).alias("xerr"), "source").agg(F.count("*").alias("files"))
 
 
 ENDS = f"""{P0}, ends AS (SELECT k, v, idx, tag, slot, CASE WHEN (status=-1) = (slot=1) THEN 'a' ELSE 'c' END AS kind, pid, status, c1, c2 FROM (
@@ -177,7 +183,7 @@ def str06(spark, sf):
     h = headers(spark, sf)
     new = h.select("path", "pos", ops.rewrite_event_weight(F.col("event"), F.col("xwgtup") * 2).alias("event"))
     back = lhe.parse_event_header(new)
-    return back.groupBy(SHARD.alias("shard")).agg(F.count("*").alias("n"), r(F.sum("xwgtup"), 7).alias("sum_w"), F.sum("nup").alias("sum_nup"))
+    return back.groupBy(shard_col().alias("shard")).agg(F.count("*").alias("n"), r(F.sum("xwgtup"), 7).alias("sum_w"), F.sum("nup").alias("sum_nup"))
 
 
 # --- checks -----------------------------------------------------------------------------------
@@ -201,7 +207,7 @@ ERRORS = f"""{ENDS}, er AS (
 
 def checked(spark, sf):
     ev = ops.check_events(parsed(spark, sf), final_count=4, final_abs_pdg=5, forbid=(4,), isolated_singlet=5)
-    return ev.withColumn("shard", SHARD)
+    return ev.withColumn("shard", shard_col())
 
 
 @query("AGG29_lhe_event_check", f"{ERRORS} SELECT shard, array_to_string(errors, '; ') AS errors, count(*) AS events FROM ev GROUP BY ALL")
@@ -228,7 +234,7 @@ def set01(spark, sf):
     root = lhe_files(spark, sf)
     merged = lhe.scan_lhe_events(spark, [f"{root}/source=a"]).unionByName(lhe.scan_lhe_events(spark, [f"{root}/source=b"]))
     h = lhe.parse_event_header(merged)
-    return h.groupBy(SOURCE.alias("source")).agg(F.count("*").alias("events"), r(F.sum("xwgtup"), 7).alias("sum_w"))
+    return h.groupBy(source_col().alias("source")).agg(F.count("*").alias("events"), r(F.sum("xwgtup"), 7).alias("sum_w"))
 
 
 @query("SNK08_write_lhe", f"{FRAC['count']} SELECT o.source, count(*) AS n, {R('sum(w*scale)', 8)} AS sum_w, '2212 2212 7000 7000 0 0 230000 230000 -4 1' AS beam_line, CAST(0.9 AS DOUBLE) AS xsec FROM o JOIN fr ON o.source=fr.source GROUP BY o.source")
@@ -238,14 +244,14 @@ def snk08(spark, sf):
     f = ops.source_fractions(ops.source_weight_stats(h.select("source", "xwgtup")), 0.9, "count")
     out = ops.reweight_events(h, f)
     out = out.select("source", "shard", "path", "pos", ops.rewrite_event_weight(F.col("event"), F.col("new_weight")).alias("event"))
-    init = lhe.scan_lhe_init(spark, root).groupBy(SOURCE.alias("source"), SHARD.alias("shard")).agg(F.min_by(F.struct("beam_line", "processes", "preamble"), "path").alias("i"))
+    init = lhe.scan_lhe_init(spark, root).groupBy(source_col().alias("source"), shard_col().alias("shard")).agg(F.min_by(F.struct("beam_line", "processes", "preamble"), "path").alias("i"))
     procs = F.transform("i.processes", lambda p: F.struct(F.lit(0.9).alias("xsec"), F.lit(0.009).alias("xerr"), p["xmax"].alias("xmax"), p["lprup"].alias("lprup")))
     heads = init.select("source", "shard", lhe_writer.with_init(F.col("i.preamble"), lhe_writer.set_idwtup(F.col("i.beam_line"), -4), procs).alias("preamble"))
     path = scratch_dir(spark, "merged")
     lhe_writer.write_lhe(out, heads, path, ["source", "shard"], ["path", "pos"])
     back = lhe.parse_event_header(lhe.scan_lhe_events(spark, path, strict=True))
-    sums = back.groupBy(SOURCE.alias("source")).agg(F.count("*").alias("n"), r(F.sum("xwgtup"), 8).alias("sum_w"))
-    meta = lhe.scan_lhe_init(spark, path).groupBy(SOURCE.alias("source")).agg(F.min("beam_line").alias("beam_line"), F.max(F.get("processes", F.lit(0))["xsec"]).alias("xsec"))
+    sums = back.groupBy(source_col().alias("source")).agg(F.count("*").alias("n"), r(F.sum("xwgtup"), 8).alias("sum_w"))
+    meta = lhe.scan_lhe_init(spark, path).groupBy(source_col().alias("source")).agg(F.min("beam_line").alias("beam_line"), F.max(F.get("processes", F.lit(0))["xsec"]).alias("xsec"))
     return sums.join(meta, "source")
 
 
