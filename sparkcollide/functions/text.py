@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"
 # Fixed value: run directory naming.
@@ -98,7 +99,7 @@ def round_sig(x: Column, sig: int = 4) -> Column:
     return F.when((x == 0) | F.isnan(x), 0.0).otherwise(F.round(x * p) / p)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def format_level(x: pd.Series) -> pd.Series:
     """STR08: contour label by range; exact binary rounding needs C formatting."""
 
