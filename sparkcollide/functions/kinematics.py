@@ -77,6 +77,15 @@ class Vec:
         return self.pz / self.p()
 
 
+def snap(x: Column) -> Column:
+    """Round to nine decimals with plain double arithmetic.
+
+    Orders and ties must not depend on the last bits of a square root; this
+    stays inside generated code, unlike decimal rounding.
+    """
+    return F.floor(x * 1e9 + 0.5) / 1e9
+
+
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), x))
 

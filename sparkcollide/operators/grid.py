@@ -18,12 +18,15 @@ def axis(lo: float, hi: float, n: int) -> Column:
 def mesh_grid(df: DataFrame, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
     """JN11: every row times the axes; each axis adds its value and its index.
 
-    The axes are exploded in place, so the grid follows the partitioning of
-    ``df`` and nothing is joined or shuffled. All but the first axis stay as
-    compact arrays until the rows have been spread.
+    Only the first axis is exploded before the rows are spread over the
+    cluster, so even one surface row fills all tasks and the shuffle carries
+    surfaces x first axis. The other axes explode in place; nothing is joined.
     """
-    for name, spec in axes.items():
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for k, (name, spec) in enumerate(axes.items()):
         df = df.select("*", F.posexplode(axis(*spec)).alias("i_" + name, name))
+        if k == 0 and len(axes) > 1:
+            df = df.repartition(spread, *[c for c in df.columns if c != "coefficients"])
     return df
 
 

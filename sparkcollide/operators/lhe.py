@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkcollide.session import cut_lineage
+
 # Coloured PDG ids are the six quarks and the gluon.
 COLOURED = (1, 2, 3, 4, 5, 6, 21)
 
@@ -119,11 +121,12 @@ MAX_BROADCAST_SOURCES = 100_000
 def reweight_events(events: DataFrame, fractions: DataFrame) -> DataFrame:
     """AGG23: multiply every weight by the scale of its source.
 
-    The source table is broadcast only while its row count is below the
-    bound; beyond it the join is left to AQE, which splits hot sources.
+    The scales are written once, so the statistics pass is not repeated. The
+    table is broadcast only while its row count is below the bound; beyond it
+    the join is left to AQE, which splits hot sources.
     """
-    scales = fractions.select("source", F.col("scale").alias("source_scale"))
-    if scales.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
+    scales = cut_lineage(fractions.select("source", F.col("scale").alias("source_scale")), "scales")
+    if scales.count() <= MAX_BROADCAST_SOURCES:
         scales = F.broadcast(scales)
     return events.join(scales, "source").withColumn("new_weight", F.col("xwgtup") * F.col("source_scale"))
 
@@ -208,20 +211,27 @@ def check_events(
 
     groups.append(F.flatten(F.transform("_act", colour_problem)))
 
-    def tag_problem(t):
-        own = F.filter("_ends", lambda s: s["tag"] == t)
-        n = F.size(own)
-        kinds = F.array_sort(F.transform(own, lambda s: s["kind"]))
-        same = F.get(own, F.lit(0))["idx"] == F.get(own, F.lit(1))["idx"]
+    # ends of a tag and their kinds are bound once per tag by nested transforms
+    def gather_ends(t):
+        return F.filter("_ends", lambda s: s["tag"] == t)
+
+    def describe(own):
+        first = F.get(own, F.lit(0))
+        same = first["idx"] == F.get(own, F.lit(1))["idx"]
+        kinds = F.array_join(F.array_sort(F.transform(own, lambda s: s["kind"])), "")
+        return F.struct(first["tag"].alias("tag"), F.size(own).alias("n"), kinds.alias("kinds"), same.alias("same"))
+
+    def tag_problem(d):
+        two = d["n"] == 2
         return F.array_compact(
             F.array(
-                F.when(n != 2, text("tag ", t, " ends ", n)),
-                F.when((n == 2) & (F.array_join(kinds, "") != "ac"), text("tag ", t, " kinds ", F.array_join(kinds, ""))),
-                F.when((n == 2) & same, text("tag ", t, " self")),
+                F.when(~two, text("tag ", d["tag"], " ends ", d["n"])),
+                F.when(two & (d["kinds"] != "ac"), text("tag ", d["tag"], " kinds ", d["kinds"])),
+                F.when(two & d["same"], text("tag ", d["tag"], " self")),
             )
         )
 
-    groups.append(F.flatten(F.transform("_tags", tag_problem)))
+    groups.append(F.flatten(F.transform(F.transform(F.transform("_tags", gather_ends), describe), tag_problem)))
     if first_singlet is not None:
         q = F.get(F.filter("_fin", lambda p: p["pid"] == first_singlet), F.lit(0))
         aq = F.get(F.filter("_fin", lambda p: p["pid"] == -first_singlet), F.lit(0))

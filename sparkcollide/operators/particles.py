@@ -34,7 +34,7 @@ CHARGED_OTHERS = (1, 2, 3, 4, 5, 6, 11, 13, 15, 24)
 
 
 def with_order_pt(df: DataFrame) -> DataFrame:
-    return df.withColumn("pt", F.round(Vec.cols().pt(), 9))
+    return df.withColumn("pt", kin.snap(Vec.cols().pt()))
 
 
 def select_particles(df: DataFrame, var: str, lo: float, hi: float) -> DataFrame:
@@ -150,7 +150,7 @@ def order_particles(df: DataFrame, key: str, reverse: bool = False) -> DataFrame
 
     Works on order-key ranges, so a hot event is sorted by many tasks.
     """
-    df = df.withColumn("_key", F.round(VARIABLES[key](Vec.cols()), 9))
+    df = df.withColumn("_key", kin.snap(VARIABLES[key](Vec.cols())))
     order = (["_key"] + ["-" + k for k in JET_KEYS]) if reverse else (["-_key"] + list(JET_KEYS))
     return distributed_row_number(df, ["event_id"], order, "rank").drop("_key")
 
@@ -203,7 +203,7 @@ def charge_weighted_deta(df: DataFrame, first: tuple[int, ...], second: tuple[in
     Equal pseudorapidities are counted before they meet, so an event costs
     distinct values times distinct values instead of particles squared.
     """
-    eta = F.round(Vec.cols().eta(), 9)
+    eta = kin.snap(Vec.cols().eta())
     one = df.filter(F.col("pid").isin(*first)).groupBy("event_id", charge.alias("q"), eta.alias("eta1")).agg(F.count("*").alias("n1"))
     two = df.filter(F.col("pid").isin(*second)).groupBy("event_id", eta.alias("eta2")).agg(F.count("*").alias("n2"))
     pairs = one.join(two, "event_id")

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcollide.functions.kinematics import Vec, delta_r_rap
-
 # Mass targets by pair position and the ordered cut chain.
 TARGETS = (120.0, 115.0, 110.0, 105.0)
 MIN_DR, PT_CUT, MAX_CHI = 0.3, 20.0, 60.0
@@ -49,29 +47,41 @@ def pair_index(n: int) -> dict[tuple[int, int], int]:
     return {p: k for k, p in enumerate(combinations(range(n), 2))}
 
 
-def pairing_literal(n: int) -> Column:
+def pairing_sql(n: int) -> str:
     """Array of pairings; each is an array of pair numbers, one per position."""
     pos = pair_index(n)
-    rows = ",".join(
-        "array(" + ",".join(str(pos[tuple(sorted(p))]) for p in match) + ")" for match in pairings(n)
-    )
-    return F.expr(f"array({rows})")
+    rows = (",".join(str(pos[tuple(sorted(p))]) for p in match) for match in pairings(n))
+    return "array(" + ",".join(f"array({r})" for r in rows) + ")"
 
 
-def pair_columns(n: int, jets: str = "jets") -> tuple[Column, Column]:
-    """JN02: masses and separations of the n(n-1)/2 pairs of a bounded array."""
-    v = [Vec.of(at(F.col(jets), i)) for i in range(n)]
-    mass = F.array(*[(v[i] + v[j]).mass_signed() for i, j in combinations(range(n), 2)])
-    y, phi = [at(F.col("_y"), i) for i in range(n)], [at(F.col("_phi"), i) for i in range(n)]
-    dr = F.array(*[delta_r_rap(y[i], phi[i], y[j], phi[j]) for i, j in combinations(range(n), 2)])
-    return mass, dr
+def pinned(values: list[str]) -> str:
+    """An array the optimizer keeps as one computed column.
+
+    A bare array constructor is inlined into every element access, which
+    would rebuild it inside the pairing lambda; the slice prevents that.
+    """
+    return f"slice(array({','.join(values)}),1,{len(values)})"
+
+
+def _delta_r(y1: str, f1: str, y2: str, f2: str) -> str:
+    d = f"abs({f2} - {f1})"
+    return f"sqrt(({y1}-{y2})*({y1}-{y2}) + pow(if({d} > pi(), 2*pi()-{d}, {d}), 2))"
 
 
-def with_pairs(df: DataFrame, n: int, jets: str = "jets") -> DataFrame:
-    v = [Vec.of(at(F.col(jets), i)) for i in range(n)]
-    df = df.withColumns({"_y": F.array(*[x.rapidity() for x in v]), "_phi": F.array(*[x.phi() for x in v])})
-    mass, dr = pair_columns(n, jets)
-    return df.withColumns({"pair_m": mass, "pair_dr": dr}).drop("_y", "_phi")
+def _signed_root(x: str) -> str:
+    return f"signum({x})*sqrt(abs({x}))"
+
+
+def with_pairs(df: DataFrame, n: int) -> DataFrame:
+    """JN02: masses and separations of the n(n-1)/2 pairs of a bounded array."""
+    f = lambda i, c: f"get(jets,{i}).{c}"
+    s = lambda i, j, c: f"({f(i, c)}+{f(j, c)})"
+    two = list(combinations(range(n), 2))
+    sq = lambda i, j: "-".join(f"{s(i, j, c)}*{s(i, j, c)}" for c in ("e", "px", "py", "pz"))
+    m2 = pinned([f"({sq(i, j)})" for i, j in two])
+    dr = pinned([_delta_r(f(i, "y"), f(i, "phi"), f(j, "y"), f(j, "phi")) for i, j in two])
+    df = df.selectExpr("*", f"{m2} AS _m2", f"{dr} AS pair_dr")
+    return df.selectExpr("* EXCEPT (_m2)", f"transform(_m2, x -> {_signed_root('x')}) AS pair_m")
 
 
 def best_reconstruction(df: DataFrame, n: int, targets: tuple[float, ...] = TARGETS) -> DataFrame:
@@ -81,18 +91,12 @@ def best_reconstruction(df: DataFrame, n: int, targets: tuple[float, ...] = TARG
     tabulated squares. Ties go to the first pairing of the enumeration.
     """
     h, npair = n // 2, n * (n - 1) // 2
-    sq = F.array(*[F.pow(at(F.col("pair_m"), k) - targets[i], 2) for i in range(h) for k in range(npair)])
-    df = df.withColumn("_sq", sq)
-
-    def chi(p, idx):
-        total = at(F.col("_sq"), at(p, 0))
-        for i in range(1, h):
-            total = total + at(F.col("_sq"), at(p, i) + i * npair)
-        return F.struct(F.round(F.sqrt(total), 9).alias("chi"), idx.alias("idx"))
-
-    df = df.withColumn("best", F.array_min(F.transform(pairing_literal(n), chi))).drop("_sq")
-    picked = at(pairing_literal(n), F.col("best.idx"))
-    return df.withColumn("pairs", picked)
+    wanted = ",".join(f"{t!r}D" for t in targets[:h])
+    squares = f"flatten(transform(array({wanted}), t -> transform(pair_m, m -> (m-t)*(m-t))))"
+    total = "+".join(f"get(_sq, get(p,{i})+{i * npair})" for i in range(h))
+    search = f"array_min(transform({pairing_sql(n)}, (p, idx) -> named_struct('chi', floor(sqrt({total})*1e9D+0.5D)/1e9D, 'idx', idx)))"
+    df = df.selectExpr("*", f"{squares} AS _sq").selectExpr("* EXCEPT (_sq)", f"{search} AS best")
+    return df.selectExpr("*", f"get({pairing_sql(n)}, best.idx) AS pairs")
 
 
 def best_reconstruction_arrow(df: DataFrame, n: int, targets: tuple[float, ...] = TARGETS) -> DataFrame:
@@ -112,47 +116,39 @@ def best_reconstruction_arrow(df: DataFrame, n: int, targets: tuple[float, ...]
         total = np.zeros((len(m), len(lookup)))
         for i in range(h):
             total += (m[:, lookup[:, i]] - targets[i]) ** 2
-        chi = np.round(np.sqrt(total), 9)
+        chi = np.floor(np.sqrt(total) * 1e9 + 0.5) / 1e9
         idx = chi.argmin(axis=1)
         return pd.DataFrame({"chi": chi[np.arange(len(m)), idx], "idx": idx.astype("int32")})
 
     df = df.withColumn("best", search("pair_m"))
-    return df.withColumn("pairs", at(pairing_literal(n), F.col("best.idx")))
+    return df.selectExpr("*", f"get({pairing_sql(n)}, best.idx) AS pairs")
 
 
 def candidate_features(df: DataFrame, n: int, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """ARR03 + TOP02: features of the best pairing on bounded arrays."""
     h = n // 2
-    order = list(combinations(range(n), 2))
-    first = F.expr("array(" + ",".join(str(i) for i, _ in order) + ")")
-    second = F.expr("array(" + ",".join(str(j) for _, j in order) + ")")
-    k = [at(F.col("pairs"), i) for i in range(h)]
-    df = df.withColumn(
-        "delta_m", F.array_sort(F.array(*[F.abs(at(F.col("pair_m"), k[i]) - targets[i]) for i in range(h)]))
-    ).withColumn("dr_bb", F.array(*[at(F.col("pair_dr"), k[i]) for i in range(h)]))
-    heavy = []
-    for i in range(h):
-        v = Vec.of(at(F.col("jets"), at(first, k[i]))) + Vec.of(at(F.col("jets"), at(second, k[i])))
-        heavy.append(
-            F.struct((-F.round(v.pt(), 9)).alias("o"), F.lit(i).alias("h"), *[x.alias(a) for x, a in zip((v.e, v.px, v.py, v.pz), ("e", "px", "py", "pz"))])
-        )
-    df = df.withColumn("higgs", F.array_sort(F.array(*heavy)))
-    v = [Vec.of(at(F.col("higgs"), i)) for i in range(h)]
-    df = df.withColumns(
-        {
-            "higgs_pt": F.array(*[x.pt() for x in v]),
-            "_hy": F.array(*[x.rapidity() for x in v]),
-            "_hphi": F.array(*[x.phi() for x in v]),
-        }
+    two = list(combinations(range(n), 2))
+    ends = "array(" + ",".join(f"struct({i} AS i,{j} AS j)" for i, j in two) + ")"
+    wanted = ",".join(f"{t!r}D" for t in targets[:h])
+    both = lambda c: f"get(jets, get({ends}, k).i).{c} + get(jets, get({ends}, k).j).{c} AS {c}"
+    sums = f"transform(pairs, k -> struct({','.join(both(c) for c in ('e', 'px', 'py', 'pz'))}))"
+    derived = (
+        "transform(_sum, (v, h) -> named_struct('o', -floor(sqrt(v.px*v.px+v.py*v.py)*1e9D+0.5D), 'h', h, 'pt', sqrt(v.px*v.px+v.py*v.py), "
+        "'y', 0.5D*ln((v.e+v.pz)/(v.e-v.pz)), 'phi', atan2(v.py,v.px)))"
+    )
+    tot = lambda c: f"aggregate(jets, 0D, (a, j) -> a + j.{c})"
+    df = df.selectExpr(
+        "*", f"array_sort(zip_with(pairs, array({wanted}), (k, t) -> abs(get(pair_m, k) - t))) AS delta_m",
+        "transform(pairs, k -> get(pair_dr, k)) AS dr_bb", f"{sums} AS _sum",
+        f"named_struct('e', {tot('e')}, 'x', {tot('px')}, 'y', {tot('py')}, 'z', {tot('pz')}) AS _t",
+    )
+    df = df.selectExpr("* EXCEPT (_sum)", f"array_sort({derived}) AS higgs")
+    g = lambda i, c: f"get(higgs,{i}).{c}"
+    dr = [_delta_r(g(i, "y"), g(i, "phi"), g(j, "y"), g(j, "phi")) for i, j in combinations(range(h), 2)]
+    m2 = "(_t.e*_t.e-_t.x*_t.x-_t.y*_t.y-_t.z*_t.z)"
+    return df.selectExpr(
+        "* EXCEPT (_t)", "transform(higgs, v -> v.pt) AS higgs_pt", f"{pinned(dr)} AS dr_hh", f"{_signed_root(m2)} AS m8b"
     )
-    y, phi = F.col("_hy"), F.col("_hphi")
-    df = df.withColumn(
-        "dr_hh", F.array(*[delta_r_rap(at(y, i), at(phi, i), at(y, j), at(phi, j)) for i, j in combinations(range(h), 2)])
-    ).drop("_hy", "_hphi")
-    total = Vec.of(at(F.col("jets"), 0))
-    for i in range(1, n):
-        total = total + Vec.of(at(F.col("jets"), i))
-    return df.withColumn("m8b", total.mass_signed())
 
 
 def all_below(values: Column, cuts: Column) -> Column:
@@ -164,27 +160,26 @@ def all_above(values: Column, cuts: Column) -> Column:
     return F.forall(F.zip_with(values, cuts, lambda a, c: a > c), lambda ok: ok)
 
 
-def _cuts(values, n: int) -> Column:
-    return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in list(values)[:n]) + ")")
+def _cuts(values, n: int) -> str:
+    return "array(" + ",".join(f"{float(v)!r}D" for v in list(values)[:n]) + ")"
 
 
 def cutflow_flags(df: DataFrame, n: int) -> DataFrame:
     """FLT05: each flag is the AND of its own cut and every earlier one."""
     h = n // 2
-    steps = [
-        ("pass_drbb", F.array_min("pair_dr") >= MIN_DR),
-        ("pass_pt", F.array_min(F.transform("jets", lambda j: j["pt"])) > PT_CUT),
-        ("pass_chi", F.col("best.chi") < MAX_CHI),
-        ("pass_delta_m", all_below(F.col("delta_m"), _cuts(DELTA_M_CUTS, h))),
-        ("pass_higgs_pt", all_above(F.col("higgs_pt"), _cuts(HIGGS_PT_CUTS, h))),
-        ("pass_dr_bb", F.array_max("dr_bb") < MAX_DR_BB),
-        ("pass_dr_hh", F.array_max("dr_hh") < MAX_DR_HH),
+    every = lambda a, cuts, op: f"forall(zip_with({a}, {cuts}, (x, c) -> x {op} c), ok -> ok)"
+    own = [
+        f"array_min(pair_dr) >= {MIN_DR}D",
+        f"array_min(transform(jets, j -> j.pt)) > {PT_CUT}D",
+        f"best.chi < {MAX_CHI}D",
+        every("delta_m", _cuts(DELTA_M_CUTS, h), "<"),
+        every("higgs_pt", _cuts(HIGGS_PT_CUTS, h), ">"),
+        f"array_max(dr_bb) < {MAX_DR_BB}D",
+        f"array_max(dr_hh) < {MAX_DR_HH}D",
     ]
-    previous = None
-    for name, cut in steps:
-        df = df.withColumn(name, cut if previous is None else F.col(previous) & cut)
-        previous = name
-    return df
+    df = df.selectExpr("*", *[f"{cut} AS _c{i}" for i, cut in enumerate(own)])
+    chained = [" AND ".join(f"_c{j}" for j in range(i + 1)) + f" AS {name}" for i, name in enumerate(FLAGS)]
+    return df.selectExpr(f"* EXCEPT ({','.join(f'_c{i}' for i in range(len(own)))})", *chained)
 
 
 FLAGS = ("pass_drbb", "pass_pt", "pass_chi", "pass_delta_m", "pass_higgs_pt", "pass_dr_bb", "pass_dr_hh")

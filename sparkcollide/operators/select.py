@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcollide.functions import noise
-from sparkcollide.functions.kinematics import Vec, delta_r_rap
+from sparkcollide.functions.kinematics import Vec, delta_r_rap, snap
 from sparkcollide.operators.ranking import leading_n
 from sparkcollide.sources.fixtures import JET_KEYS
 
@@ -17,7 +17,7 @@ OVERLAP_DR = 0.05
 
 def with_pt_eta(df: DataFrame) -> DataFrame:
     v = Vec.cols()
-    return df.withColumns({"pt": F.round(v.pt(), 9), "eta": F.round(v.eta(), 9)})
+    return df.withColumns({"pt": snap(v.pt()), "eta": v.eta()})
 
 
 def jet_acceptance(df: DataFrame, pt_min: float = PT_MIN, eta_max: float = ETA_MAX) -> DataFrame:
@@ -77,13 +77,15 @@ def leading_jets(df: DataFrame, n: int) -> DataFrame:
 
 
 JET_FIELDS = ("e", "px", "py", "pz", "pt")
+DERIVED = ("0.5D*ln((e+pz)/(e-pz)) AS y", "atan2(py,px) AS phi")
 
 
 def gather(df: DataFrame, n: int, name: str = "jets") -> DataFrame:
     """At most ``n`` ranked rows per event (already limited) into one array."""
-    item = F.struct("rn", *JET_FIELDS)
+    item = F.struct("rn", *JET_FIELDS, "y", "phi")
     return (
-        df.groupBy("event_id")
+        df.selectExpr("event_id", "rn", *JET_FIELDS, *DERIVED)
+        .groupBy("event_id")
         .agg(F.sort_array(F.collect_list(item)).alias(name))
         .filter(F.size(name) == n)
     )
@@ -91,9 +93,7 @@ def gather(df: DataFrame, n: int, name: str = "jets") -> DataFrame:
 
 def _near_any(sel: Column, v: Vec, dr: float) -> Column:
     y, phi = v.rapidity(), v.phi()
-    return F.exists(
-        sel, lambda s: delta_r_rap(y, phi, Vec.of(s).rapidity(), Vec.of(s).phi()) < dr
-    )
+    return F.exists(sel, lambda s: delta_r_rap(y, phi, s["y"], s["phi"]) < dr)
 
 
 def overlap_removal(df: DataFrame, selected: DataFrame, name: str, dr: float = OVERLAP_DR) -> DataFrame:

@@ -243,12 +243,13 @@ def snk08(spark, sf):
     h = headers(spark, sf)
     f = ops.source_fractions(ops.source_weight_stats(h.select("source", "xwgtup")), 0.9, "count")
     out = ops.reweight_events(h, f)
-    out = out.select("source", "shard", "path", "pos", ops.rewrite_event_weight(F.col("event"), F.col("new_weight")).alias("event"))
-    init = lhe.scan_lhe_init(spark, root).groupBy(source_col().alias("source"), shard_col().alias("shard")).agg(F.min_by(F.struct("beam_line", "processes", "preamble"), "path").alias("i"))
+    chunk = F.regexp_extract("path", r"chunk=(\d+)", 1).cast("int").alias("chunk")
+    out = out.select("source", "shard", chunk, "path", "pos", ops.rewrite_event_weight(F.col("event"), F.col("new_weight")).alias("event"))
+    init = lhe.scan_lhe_init(spark, root).groupBy(source_col().alias("source"), shard_col().alias("shard"), chunk).agg(F.min_by(F.struct("beam_line", "processes", "preamble"), "path").alias("i"))
     procs = F.transform("i.processes", lambda p: F.struct(F.lit(0.9).alias("xsec"), F.lit(0.009).alias("xerr"), p["xmax"].alias("xmax"), p["lprup"].alias("lprup")))
-    heads = init.select("source", "shard", lhe_writer.with_init(F.col("i.preamble"), lhe_writer.set_idwtup(F.col("i.beam_line"), -4), procs).alias("preamble"))
+    heads = init.select("source", "shard", "chunk", lhe_writer.with_init(F.col("i.preamble"), lhe_writer.set_idwtup(F.col("i.beam_line"), -4), procs).alias("preamble"))
     path = scratch_dir(spark, "merged")
-    lhe_writer.write_lhe(out, heads, path, ["source", "shard"], ["path", "pos"])
+    lhe_writer.write_lhe(out, heads, path, ["source", "shard", "chunk"], ["path", "pos"])
     back = lhe.parse_event_header(lhe.scan_lhe_events(spark, path, strict=True))
     sums = back.groupBy(source_col().alias("source")).agg(F.count("*").alias("n"), r(F.sum("xwgtup"), 8).alias("sum_w"))
     meta = lhe.scan_lhe_init(spark, path).groupBy(source_col().alias("source")).agg(F.min("beam_line").alias("beam_line"), F.max(F.get("processes", F.lit(0))["xsec"]).alias("xsec"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +34,17 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def lookup_small(df: DataFrame, key: str, small: DataFrame, values: list[str], limit: int = 1000) -> DataFrame:
+    """Attach per-key values of a table with few keys, without shuffling ``df``.
+
+    The table becomes one scalar map; more than ``limit`` keys is an error, so
+    the size that travels to every task is bounded.
+    """
+    pairs = F.map_from_entries(F.collect_list(F.struct(key, F.struct(*values))))
+    n = F.count("*")
+    fail = F.raise_error(F.lit(f"more than {limit} values of {key}")).cast("string")
+    table_map = small.agg(pairs.alias("m"), n.alias("n")).select(F.when(F.when(F.col("n") > limit, fail).isNull(), F.col("m")).alias("m"))
+    df = df.withColumn("_m", table_map.scalar()).withColumn("_v", F.try_element_at("_m", F.col(key)))
+    return df.select(*[c for c in df.columns if c not in ("_m", "_v")], *[F.col("_v")[v].alias(v) for v in values])

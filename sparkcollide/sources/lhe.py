@@ -72,12 +72,13 @@ def parse_event_header(events: DataFrame) -> DataFrame:
 def parse_rows(events: DataFrame) -> DataFrame:
     """Typed particle array per event; malformed rows carry ``ok = false``."""
 
-    def row(line, idx):
-        tok = _tokens(line)
+    def row(tok, idx):
         fields = [F.get(tok, F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(PARTICLE)]
         return F.struct((idx + 1).alias("idx"), (F.size(tok) >= 13).alias("ok"), *fields)
 
-    rows = F.transform(F.slice("lines", F.lit(2), F.greatest(F.col("nup"), F.lit(0))), row)
+    # each line is split once; the second pass only picks and casts tokens
+    lines = F.slice("lines", F.lit(2), F.greatest(F.col("nup"), F.lit(0)))
+    rows = F.transform(F.transform(lines, _tokens), row)
     return parse_event_header(events).withColumn("particles", rows)
 
 
