@@ -130,8 +130,8 @@ def mt2_like(a: Vec, b: Vec) -> Column:
 
 
 def boost(v: Vec, ref: Vec) -> Vec:
-    """``v`` in the rest frame of ``ref`` (time-like)."""
-    m = ref.mass()
+    """``v`` in the rest frame of ``ref``; null for a light-like reference."""
+    m = F.nullif(ref.mass(), F.lit(0.0))
     dot = v.px * ref.px + v.py * ref.py + v.pz * ref.pz
     e = (ref.e * v.e - dot) / m
     k = (v.e + e) / (ref.e + m)

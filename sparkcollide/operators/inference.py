@@ -112,13 +112,10 @@ def least_squares(df: DataFrame, terms: list[Column], value: Column, error: Colu
     k = len(terms)
     names = [f"_t{i}" for i in range(k)]
     rows = df.select(*[t.alias(n) for t, n in zip(terms, names)], value.alias("_v"), error.alias("_e"))
-    w = 1 / (F.col("_e") * F.col("_e"))
+    rows = rows.selectExpr("*", "1/(_e*_e) AS _w")
     upper = [(i, j) for i in range(k) for j in range(i, k)]
-    prod = lambda i, j: F.col(names[i]) * F.col(names[j])
-    got = rows.agg(
-        F.count("*").alias("n"), *[F.sum(prod(i, j) * w).alias(f"g{i}_{j}") for i, j in upper],
-        *[F.sum(prod(i, j)).alias(f"d{i}_{j}") for i, j in upper], *[F.sum(F.col(names[i]) * F.col("_v") * w).alias(f"b{i}") for i in range(k)],
-    ).first()
+    sums = [f"sum(_t{i}*_t{j}*_w) AS g{i}_{j}" for i, j in upper] + [f"sum(_t{i}*_t{j}) AS d{i}_{j}" for i, j in upper]
+    got = rows.selectExpr("count(*) AS n", *sums, *[f"sum(_t{i}*_v*_w) AS b{i}" for i in range(k)]).first()
     if got["n"] < k:
         return {"status": "skipped", "n_points": got["n"], "n_terms": k, "coefficients": None}
     full = lambda p: np.array([[got[f"{p}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])

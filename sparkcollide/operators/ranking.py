@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def leading_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
@@ -37,22 +38,29 @@ def split_points(df: DataFrame, key: Column, buckets: int, oversample: int = 40)
     return sorted({ks[int(i * step)] for i in range(1, min(buckets, len(ks)))})
 
 
-def bucket_of(key: Column, points: list) -> Column:
-    """Number of boundaries at or below ``key`` (binary search as nested CASE)."""
+def bucket_of(df: DataFrame, key: str, points: list) -> Column:
+    """Number of boundaries at or below ``key``: a binary search as nested CASE.
 
-    def search(lo: int, hi: int) -> Column:
+    Written as SQL text, so it parses once and runs in generated code.
+    """
+    kind = df.schema[key].dataType
+
+    def search(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(key < _lit(points[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+        return f"CASE WHEN {key} < {_sql_literal(points[mid], kind)} THEN {search(lo, mid)} ELSE {search(mid + 1, hi)} END"
 
-    return search(0, len(points))
+    return F.expr(search(0, len(points)))
 
 
-def _lit(v):
-    if hasattr(v, "asDict"):
-        return F.struct(*[F.lit(x).alias(n) for n, x in v.asDict().items()])
-    return F.lit(v)
+def _sql_literal(value, kind: T.DataType) -> str:
+    if isinstance(kind, T.StructType):
+        return "named_struct(" + ",".join(f"'{f.name}',{_sql_literal(value[f.name], f.dataType)}" for f in kind) + ")"
+    if value is None:
+        return f"CAST(NULL AS {kind.simpleString()})"
+    text = repr(str(value)) if isinstance(kind, T.StringType) else f"'{value!r}'"
+    return f"CAST({text} AS {kind.simpleString()})"
 
 
 def running_sums(
@@ -72,7 +80,7 @@ def running_sums(
     group = group or []
     tied = df.groupBy(*group, key).agg(*[F.sum(src).alias(out) for out, src in sums.items()])
     points = split_points(tied, F.col(key), buckets)
-    tied = tied.withColumn("_b", bucket_of(F.col(key), points))
+    tied = tied.withColumn("_b", bucket_of(tied, key, points))
     order = [F.col("_b").desc() if descending else F.col("_b").asc()]
     before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = tied.groupBy(*group, "_b").agg(*[F.sum(o).alias(o) for o in sums])
@@ -100,7 +108,7 @@ def distributed_row_number(
     """
     fields = [(-F.col(c[1:]) if c.startswith("-") else F.col(c)).alias(f"o{i}") for i, c in enumerate(order)]
     keyed = df.withColumn("_o", F.struct(*fields))
-    keyed = keyed.withColumn("_b", bucket_of(F.col("_o"), split_points(keyed, F.col("_o"), buckets)))
+    keyed = keyed.withColumn("_b", bucket_of(keyed, "_o", split_points(keyed, F.col("_o"), buckets)))
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     offsets = offsets.select(*group, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
