@@ -114,13 +114,15 @@ def isolation_veto(refs: DataFrame, particles: DataFrame, dr: float, emax: float
     cells = {"ci": F.floor(v.eta() / dr).cast("int"), "cj": F.floor((v.phi() + F.pi()) / (2 * F.pi() / n_phi)).cast("int") % n_phi}
     p = particles.withColumns({**cells, "et": v.et()}).select("event_id", "ci", "cj", *[F.col(c).alias("b_" + c) for c in ("e", "px", "py", "pz")], "et")
     r = refs.withColumns(cells).select("event_id", "ci", "cj", *JET_KEYS, *[F.col(c).alias("a_" + c) for c in ("e", "px", "py", "pz")])
+    own = [c for c in r.columns if c not in ("ci", "cj")]
+    r = r.dropDuplicates()  # equal references have equal cones
     shift = lambda: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     r = r.withColumn("_i", shift()).withColumn("_j", shift())
     r = r.withColumns({"ci": F.col("ci") + F.col("_i"), "cj": (F.col("cj") + F.col("_j") + n_phi) % n_phi}).drop("_i", "_j")
     if n_phi < 3:
-        r = r.dropDuplicates(["event_id", *JET_KEYS, "ci", "cj"])
+        r = r.dropDuplicates()
     near = r.join(p, ["event_id", "ci", "cj"]).filter(kin.delta_r_eta(Vec.cols("a_"), Vec.cols("b_")) < dr)
-    busy = near.groupBy("event_id", *JET_KEYS).agg(F.sum("et").alias("cone_et")).filter(F.col("cone_et") > emax)
+    busy = near.groupBy(*own).agg(F.sum("et").alias("cone_et")).filter(F.col("cone_et") > emax)
     events = particles.select("event_id").unionByName(refs.select("event_id")).distinct()
     return events.join(busy.select("event_id").distinct(), "event_id", "left_anti")
 

@@ -109,8 +109,8 @@ def flt12(spark, sf):
 @query(
     "FLT13_isolation_veto",
     f"""{P}, rf AS (SELECT * FROM parts WHERE abs(pid)=11), ls AS (SELECT * FROM parts WHERE abs(pid)<>11),
- cone AS (SELECT rf.event_id, rf.l_linenumber, rf.l_partkey, rf.l_suppkey, sum(ls.et) AS et FROM rf JOIN ls ON rf.event_id=ls.event_id
-   WHERE sqrt(pow(rf.eta-ls.eta,2)+pow(acos(least(1,greatest(-1,(rf.px*ls.px+rf.py*ls.py)/(rf.pt*ls.pt)))),2)) < 0.8 GROUP BY ALL)
+ cone AS (SELECT rf.event_id, rf.l_linenumber, rf.l_partkey, rf.l_suppkey, sum(ls.et) AS et FROM (SELECT DISTINCT * FROM rf) rf JOIN ls ON rf.event_id=ls.event_id
+   WHERE sqrt(pow(rf.eta-ls.eta,2)+pow(acos(least(1,greatest(-1,(rf.px*ls.px+rf.py*ls.py)/(rf.pt*ls.pt)))),2)) < 0.8 GROUP BY rf.event_id, rf.l_linenumber, rf.l_partkey, rf.l_suppkey, rf.pt, rf.phi, rf.eta)
  SELECT DISTINCT event_id FROM parts WHERE event_id NOT IN (SELECT event_id FROM cone WHERE et > 40)""",
 )
 def flt13(spark, sf):
@@ -135,12 +135,15 @@ def flt15(spark, sf):
 
 for _key, _sql in (("pt", "pt"), ("eta", "eta"), ("phi", "phi")):
 
-    @query(f"TOP01_order_particles_{_key}", f"{P} SELECT event_id, {K3}, row_number() OVER (PARTITION BY event_id ORDER BY round({_sql},9) DESC, {K3}) AS rank, row_number() OVER (PARTITION BY event_id ORDER BY round({_sql},9), l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS reverse_rank FROM parts")
+    @query(
+        f"TOP01_order_particles_{_key}",
+        f"{P} SELECT 'forward' AS direction, event_id, {K3}, row_number() OVER (PARTITION BY event_id ORDER BY round({_sql},9) DESC, {K3}) AS rank FROM parts "
+        f"UNION ALL SELECT 'reverse', event_id, {K3}, row_number() OVER (PARTITION BY event_id ORDER BY round({_sql},9), l_linenumber DESC, l_partkey DESC, l_suppkey DESC) FROM parts",
+    )
     def top01(spark, sf, key=_key):
         p = fixtures.particles(spark, sf)
-        fwd = ops.order_particles(p, key).select("event_id", *fixtures.JET_KEYS, "rank")
-        back = ops.order_particles(p, key, reverse=True).select("event_id", *fixtures.JET_KEYS, F.col("rank").alias("reverse_rank"))
-        return fwd.join(back, ["event_id", *fixtures.JET_KEYS])
+        both = [ops.order_particles(p, key, reverse=back).select(F.lit(name).alias("direction"), "event_id", *fixtures.JET_KEYS, "rank") for name, back in (("forward", False), ("reverse", True))]
+        return both[0].unionByName(both[1])
 
 
 @query("SET02_merge_particle_lists", f"{P}, m AS (SELECT 'jets' AS list, event_id, pt FROM parts WHERE tag='b' UNION ALL SELECT 'leptons', event_id, pt FROM parts WHERE abs(pid)=11) SELECT list, event_id, count(*) AS n, {R('sum(pt)')} AS sum_pt FROM m GROUP BY list, event_id")

@@ -516,8 +516,8 @@ def jn12(spark, sf):
 @query(
     "SCL14_sample_btag_score",
     f"""{CELL}, cum AS (SELECT *, sum(content) OVER (PARTITION BY eta_bin, pt_bin ORDER BY bin_lo) AS c, sum(content) OVER (PARTITION BY eta_bin, pt_bin) AS t FROM dist),
- u AS (SELECT event_id, l_linenumber, l_partkey, l_suppkey, eta_bin, pt_bin, {S.uniform(11, *fixtures.JET_KEYS)} AS u FROM cl)
- SELECT event_id, l_linenumber, l_partkey, l_suppkey, min(bin_lo) AS score FROM u JOIN cum USING (eta_bin, pt_bin) WHERE u*t <= c GROUP BY ALL""",
+ u AS (SELECT row_number() OVER () AS rid, event_id, l_linenumber, l_partkey, l_suppkey, eta_bin, pt_bin, {S.uniform(11, *fixtures.JET_KEYS)} AS u FROM cl)
+ SELECT event_id, l_linenumber, l_partkey, l_suppkey, min(bin_lo) AS score FROM u JOIN cum USING (eta_bin, pt_bin) WHERE u*t <= c GROUP BY rid, event_id, l_linenumber, l_partkey, l_suppkey""",
 )
 def scl14(spark, sf):
     out = btag.sample_score(cells(spark, sf), distributions(spark, sf), seed=11)
