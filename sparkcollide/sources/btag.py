@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkcollide.functions import noise
@@ -19,16 +19,22 @@ def scan_btag_distributions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _edge_bin(x: Column, edges: tuple, label: str) -> Column:
-    out = F.raise_error(F.lit(f"{label} outside the defined bins")).cast("int")
-    for i in range(len(edges) - 2, -1, -1):
-        out = F.when((x >= edges[i]) & (x < edges[i + 1]), F.lit(i)).otherwise(out)
-    return out
+def _edge_bin(x: str, edges: tuple, label: str) -> str:
+    """Binary search over fixed edges; a value outside raises."""
+
+    def search(lo: int, hi: int) -> str:
+        if hi - lo == 1:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"IF({x} < {edges[mid]!r}, {search(lo, mid)}, {search(mid, hi)})"
+
+    bad = f"CAST(raise_error('{label} outside the defined bins') AS INT)"
+    return f"CASE WHEN {x} >= {edges[0]!r} AND {x} < {edges[-1]!r} THEN {search(0, len(edges) - 1)} ELSE {bad} END"
 
 
 def lookup_cell(jets: DataFrame) -> DataFrame:
-    """JN12: cell numbers by arithmetic on fixed edges; out of range is an error."""
-    return jets.withColumns({"pt_bin": _edge_bin(F.col("pt"), PT_EDGES, "pT"), "eta_bin": _edge_bin(F.abs("eta"), ETA_EDGES, "|eta|")})
+    """JN12: cell numbers from fixed edges; out of range is an error."""
+    return jets.selectExpr("*", f"{_edge_bin('pt', PT_EDGES, 'pT')} AS pt_bin", f"{_edge_bin('abs(eta)', ETA_EDGES, 'eta')} AS eta_bin")
 
 
 def sample_score(jets: DataFrame, dist: DataFrame, seed: int) -> DataFrame:

@@ -16,38 +16,30 @@ JET_KEYS = ("l_linenumber", "l_partkey", "l_suppkey")
 
 def jets(spark: SparkSession, sf: str) -> DataFrame:
     """One row per jet candidate; identity is (event_id,) + JET_KEYS."""
-    phi = 2 * F.pi() * ((F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729) % 10007) / F.lit(10007.0)
-    base = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("event_id"),
+    base = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS event_id",
         *JET_KEYS,
-        F.when(F.col("l_linenumber") <= 5, "b").when(F.col("l_linenumber") == 6, "c").otherwise("l").alias("tag"),
-        (15 + F.lit(1.2) * F.col("l_quantity")).alias("pt0"),
-        ((F.col("l_discount") - F.lit(0.05)) * F.lit(60.0)).alias("eta0"),
-        phi.alias("phi0"),
+        "CASE WHEN l_linenumber <= 5 THEN 'b' WHEN l_linenumber = 6 THEN 'c' ELSE 'l' END AS tag",
+        "15 + 1.2D*l_quantity AS pt0",
+        "(l_discount - 0.05D)*60D AS eta0",
+        "2*pi()*((l_partkey*7919 + l_suppkey*104729) % 10007)/10007D AS phi0",
     )
-    up, down = F.exp("eta0"), F.exp(-F.col("eta0"))
-    return base.select(
+    return base.selectExpr(
         "*",
-        (F.col("pt0") * F.cos("phi0")).alias("px"),
-        (F.col("pt0") * F.sin("phi0")).alias("py"),
-        (F.col("pt0") * (up - down) / 2).alias("pz"),
-        (F.col("pt0") * (up + down) / 2).alias("e"),
+        "pt0*cos(phi0) AS px",
+        "pt0*sin(phi0) AS py",
+        "pt0*(exp(eta0)-exp(-eta0))/2 AS pz",
+        "pt0*(exp(eta0)+exp(-eta0))/2 AS e",
     )
 
 
 def particles(spark: SparkSession, sf: str) -> DataFrame:
-    """Jets with PDG-like ids and charges, one row per particle."""
-    pid = (
-        F.when(F.col("l_partkey") % 8 == 0, 21)
-        .when(F.col("l_partkey") % 8 == 1, 11)
-        .when(F.col("l_partkey") % 8 == 2, -11)
-        .when(F.col("l_partkey") % 8 == 3, 22)
-        .when(F.col("l_partkey") % 8 == 4, 211)
-        .when(F.col("l_partkey") % 8 == 5, 12)
-        .when(F.col("l_linenumber") % 2 == 0, -5)
-        .otherwise(5)
+    """Jets with PDG-like ids, one row per particle."""
+    return jets(spark, sf).selectExpr(
+        "*",
+        "CASE l_partkey % 8 WHEN 0 THEN 21 WHEN 1 THEN 11 WHEN 2 THEN -11 WHEN 3 THEN 22 WHEN 4 THEN 211 WHEN 5 THEN 12 "
+        "ELSE IF(l_linenumber % 2 = 0, -5, 5) END AS pid",
     )
-    return jets(spark, sf).withColumn("pid", pid.cast("int"))
 
 
 def events_w(spark: SparkSession, sf: str) -> DataFrame:
