@@ -328,11 +328,11 @@ def scl02(spark, sf):
 
 @query(
     "SCL09_smear_energy",
-    f"{WITH_ACC}, {S.smeared('acc', 'sm')} SELECT event_id, l_linenumber, l_partkey, l_suppkey, {R('e')} AS e, {R('px')} AS px, {R('pz')} AS pz, {R('pt')} AS pt FROM sm",
+    f"{WITH_ACC}, {S.smeared('acc', 'sm')} SELECT event_id, l_linenumber, l_partkey, l_suppkey, {R('e')} AS e, {R('px')} AS px, {R('pz')} AS pz, {R('sqrt(px*px+py*py)')} AS pt FROM sm",
 )
 def scl09(spark, sf):
     out = select.smear_energy(accepted(spark, sf))
-    return out.select("event_id", *KEYS, *[r(c).alias(c) for c in ("e", "px", "pz", "pt")])
+    return out.select("event_id", *KEYS, *[r(c).alias(c) for c in ("e", "px", "pz")], r(Vec.cols().pt()).alias("pt"))
 
 
 @query(

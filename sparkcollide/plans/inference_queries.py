@@ -56,6 +56,15 @@ def inf02z(spark, sf):
     return hypotheses(spark, sf).select("k", r(inf.upper_limit("cls")(F.col("mean"), F.lit(0)), 6).alias("s95"))
 
 
+@query("INF02_tail_at_limit", f"{HYP} SELECT k, CAST(0.05 AS DOUBLE) AS cls_tail, CAST(0.05 AS DOUBLE) AS classical_tail FROM hyp")
+def inf02t(spark, sf):
+    """The series of INF01 evaluated at the bisection limits gives back 1 - CL."""
+    h = hypotheses(spark, sf).withColumn("obs", inf.poisson_median(F.col("mean")))
+    h = h.withColumns({"cls": inf.upper_limit("cls")(F.col("mean"), F.col("obs")), "cla": inf.upper_limit("classical")(F.col("mean"), F.col("obs"))})
+    tail = lambda s: inf.poisson_cdf(F.col("obs"), F.col("mean") + F.col(s))
+    return h.select("k", r(tail("cls") / inf.poisson_cdf(F.col("obs"), F.col("mean"))).alias("cls_tail"), r(tail("cla")).alias("classical_tail"))
+
+
 LS = f"""{SP}, bt AS (SELECT sum(sel) AS b FROM sp WHERE sig=0), ls AS (SELECT sp.*, b, -ln(CAST(0.05 AS DOUBLE)) AS need FROM sp, bt WHERE sig=1)"""
 
 
@@ -188,9 +197,9 @@ def grid2(spark, sf):
     return gr.evaluate_grid(surfaces(spark, sf, 15), (-30.0, 30.0, 21), (-600.0, 600.0, 21), 3000.0)
 
 
-@query("INF06_evaluate_grid", f"{G2} SELECT surface, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, {R('3000*greatest(CAST(0 AS DOUBLE), value)', 4)} AS events FROM gv")
+@query("INF06_evaluate_grid", f"{G2} SELECT surface, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, {R('3000*greatest(CAST(0 AS DOUBLE), value)', 6)} AS events FROM gv")
 def inf06(spark, sf):
-    return grid2(spark, sf).select("surface", F.col("i_c3").alias("ix"), F.col("i_d4").alias("iy"), r("events", 4).alias("events"))
+    return grid2(spark, sf).select("surface", F.col("i_c3").alias("ix"), F.col("i_d4").alias("iy"), r("events", 6).alias("events"))
 
 
 @query("INF07_perturbativity_grid", f"WITH {PT}, e AS (SELECT pc.*, CAST(200+10*i AS DOUBLE)*(200+10*i) AS s FROM pc, range(480) x(i)) SELECT k, {R(f'max({WAVE(chr(115))})', 6)} AS max_wave FROM e GROUP BY k")
