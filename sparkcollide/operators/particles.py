@@ -102,27 +102,54 @@ def select_by_ht(df: DataFrame, lo: float, hi: float, use_et: bool = False) -> D
     return df.groupBy("event_id").agg(F.sum(v.et() if use_et else v.pt()).alias("ht")).filter(F.col("ht").between(lo, hi))
 
 
+SUBCELLS = 8  # per cell side
+
+
 def isolation_veto(refs: DataFrame, particles: DataFrame, dr: float, emax: float) -> DataFrame:
     """FLT13: events without any reference whose cone holds more than ``emax``.
 
-    Particles are looked up through (event, eta cell, phi cell) with cells no
-    smaller than the cone, so a reference only meets its 3x3 neighbourhood
-    and the join keys spread a busy event over many tasks.
+    Particles are summed per small (eta, phi) square first. Squares are found
+    through (event, eta cell, phi cell) with cells no smaller than the cone:
+    a square wholly inside the cone counts as its sum, one outside is skipped,
+    and only squares cut by the cone's edge are looked into one by one. The
+    join keys spread a busy event over many tasks.
     """
     n_phi = int(2 * 3.141592653589793 / dr)
+    d_eta, d_phi = dr / SUBCELLS, 2 * 3.141592653589793 / (n_phi * SUBCELLS)
     v = Vec.cols()
-    cells = {"ci": F.floor(v.eta() / dr).cast("int"), "cj": F.floor((v.phi() + F.pi()) / (2 * F.pi() / n_phi)).cast("int") % n_phi}
-    p = particles.withColumns({**cells, "et": v.et()}).select("event_id", "ci", "cj", *[F.col(c).alias("b_" + c) for c in ("e", "px", "py", "pz")], "et")
-    r = refs.withColumns(cells).select("event_id", "ci", "cj", *JET_KEYS, *[F.col(c).alias("a_" + c) for c in ("e", "px", "py", "pz")])
+    squares = {
+        "si": F.floor(v.eta() / d_eta).cast("int"),
+        "sj": F.pmod(F.floor((v.phi() + F.pi()) / d_phi).cast("int"), F.lit(n_phi * SUBCELLS)),
+    }
+    cells = {"ci": F.floor(F.col("si") / SUBCELLS).cast("int"), "cj": F.floor(F.col("sj") / SUBCELLS).cast("int")}
+    mom = ("e", "px", "py", "pz")
+    p = particles.withColumns({**squares, "et": v.et()}).select("event_id", "si", "sj", "et", *[F.col(c).alias("b_" + c) for c in mom])
+    sums = p.groupBy("event_id", "si", "sj").agg(F.sum("et").alias("sum_et")).withColumns(cells)
+    r = refs.withColumns({**squares, "a_eta": v.eta(), "a_phi": v.phi()}).withColumns(cells)
+    r = r.select("event_id", "ci", "cj", *JET_KEYS, "a_eta", "a_phi", *[F.col(c).alias("a_" + c) for c in mom])
     own = [c for c in r.columns if c not in ("ci", "cj")]
     r = r.dropDuplicates()  # equal references have equal cones
     shift = lambda: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     r = r.withColumn("_i", shift()).withColumn("_j", shift())
-    r = r.withColumns({"ci": F.col("ci") + F.col("_i"), "cj": (F.col("cj") + F.col("_j") + n_phi) % n_phi}).drop("_i", "_j")
+    r = r.withColumns({"ci": F.col("ci") + F.col("_i"), "cj": F.pmod(F.col("cj") + F.col("_j"), F.lit(n_phi))}).drop("_i", "_j")
     if n_phi < 3:
         r = r.dropDuplicates()
-    near = r.join(p, ["event_id", "ci", "cj"]).filter(kin.delta_r_eta(Vec.cols("a_"), Vec.cols("b_")) < dr)
-    busy = near.groupBy(*own).agg(F.sum("et").alias("cone_et")).filter(F.col("cone_et") > emax)
+    lo, hi = F.col("si") * d_eta, (F.col("si") + 1) * d_eta
+    gap = F.abs(F.lit(-1.0) * F.pi() + (F.col("sj") + 0.5) * d_phi - F.col("a_phi"))
+    near = r.join(sums, ["event_id", "ci", "cj"]).withColumn("_d", F.least(gap, 2 * F.pi() - gap))
+    eta_min = F.greatest(F.lit(0.0), lo - F.col("a_eta"), F.col("a_eta") - hi)
+    eta_max = F.greatest(F.abs(F.col("a_eta") - lo), F.abs(F.col("a_eta") - hi))
+    phi_min, phi_max = F.greatest(F.lit(0.0), F.col("_d") - d_phi / 2), F.least(F.pi(), F.col("_d") + d_phi / 2)
+    eps = 1e-7  # squares this close to the edge are looked into
+    near = near.filter(eta_min * eta_min + phi_min * phi_min < (dr + eps) ** 2)
+    near = near.withColumn("inside", eta_max * eta_max + phi_max * phi_max < max(dr - eps, 0.0) ** 2)
+    # one-by-one rows only for squares on the edge; the others keep their sum
+    edge = p.select(F.col("event_id").alias("_ev"), F.col("si").alias("_si"), F.col("sj").alias("_sj"), "et", *["b_" + c for c in mom])
+    same = (F.col("event_id") == F.col("_ev")) & (F.col("si") == F.col("_si")) & (F.col("sj") == F.col("_sj"))
+    close = kin.delta_r_eta(Vec.cols("a_"), Vec.cols("b_")) < dr
+    full = near.join(edge, same & ~F.col("inside") & close, "left")
+    share = F.when(F.col("inside"), F.col("sum_et")).otherwise(F.coalesce("et", F.lit(0.0)))
+    busy = full.groupBy(*own).agg(F.sum(share).alias("cone_et")).filter(F.col("cone_et") > emax)
     events = particles.select("event_id").unionByName(refs.select("event_id")).distinct()
     return events.join(busy.select("event_id").distinct(), "event_id", "left_anti")
 
