@@ -35,7 +35,8 @@ HOT = 1 << 20  # frequent shingles known to every task: 8 MB at most
 SALTS = 64
 BLOCK = 1 << 21
 MEMBERS = 256
-SETS = "doc_id long, th long, n_shingles long, sid long, token long, times long"
+REGIONS = 256
+SETS = "doc_id long, th long, n_shingles long, sid long, spread binary, token long, times long"
 LISTS = "token long, salt int, sid long, n int, pos int"
 MET = LISTS + ", hub long, hub_n int, hub_pos int"
 
@@ -59,6 +60,11 @@ def _digest(sets: list[np.ndarray]) -> np.ndarray:
     return span_hash(flat, ends - [len(s) for s in sets], ends, 2)
 
 
+def _spread(s: np.ndarray) -> bytes:
+    """Shingles of a set per region of the hash range, 255 standing for that many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=REGIONS), 255).astype(np.uint8).tobytes()
+
+
 def _describe(words: int):
     """Set size and digest of each document, and shingles seen twice or more in a block of them."""
 
@@ -66,7 +72,7 @@ def _describe(words: int):
         token, times = np.unique(np.concatenate(held), return_counts=True)
         keep = times > 1
         none = pa.nulls(int(keep.sum()), pa.int64())
-        return row_batch(doc_id=none, th=none, n_shingles=none, sid=none, token=signed(token[keep]), times=times[keep].astype(np.int64))
+        return row_batch(doc_id=none, th=none, n_shingles=none, sid=none, spread=pa.nulls(int(keep.sum()), pa.binary()), token=signed(token[keep]), times=times[keep].astype(np.int64))
 
     def run(batches):
         held, n = [], 0
@@ -76,7 +82,7 @@ def _describe(words: int):
                 none = pa.nulls(len(sets), pa.int64())
                 yield row_batch(
                     doc_id=batch.column(0).slice(c.lo, len(sets)), th=batch.column(2).slice(c.lo, len(sets)), n_shingles=pa.array([len(s) for s in sets], pa.int64()),
-                    sid=signed(_digest(sets)), token=none, times=none,
+                    sid=signed(_digest(sets)), spread=pa.array([_spread(x) for x in sets], pa.binary()), token=none, times=none,
                 )
                 held += sets
                 n += sum(map(len, sets))
@@ -224,8 +230,25 @@ def _search(words: int):
     return run
 
 
+def _may_link(batches):
+    """Drop pairs that even all shared regions could not link: no overlap exceeds the sum of the smaller counts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGIONS) for k in (2, 3))
+        n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+        low = np.minimum(one, two).astype(np.int64)
+        keep = (7 * low.sum(1) >= 3 * n) | (low == 255).any(1)
+        yield row_batch(a=batch.column(0).to_numpy()[keep], b=batch.column(1).to_numpy()[keep])
+
+
 def links(pairs: DataFrame, source: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those pairs (a, b) of set digests that link. ``source``: one document of each set; texts: (doc_id, th, text)."""
+    """Those pairs (a, b) of set digests that link. ``source``: one document of each set; texts: (doc_id, th, text).
+
+    Counts by region rule out most pairs before any text is moved.
+    """
+    of = lambda side: source.select(F.col("sid").alias(side), F.col("spread").alias(f"{side}_spread"), F.col("n_shingles").alias(f"{side}_n"))
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_spread", "b_spread", "a_n", "b_n").mapInArrow(_may_link, "a long, b long")
     one = source.select(F.col("sid").alias("a"), F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"))
     two = source.select(F.col("sid").alias("b"), F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th"))
     pairs = cut_lineage(pairs.join(one, "a").join(two, "b"), "candidates")
@@ -249,11 +272,11 @@ def link_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     frequent = seen.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where("times > 8").orderBy(F.desc("times"), "token").limit(HOT)
     known = np.sort(np.array(frequent.select("token").toPandas()["token"], np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast(known)
-    sets = seen.where("token is null").select("doc_id", "th", "n_shingles", "sid")
+    sets = seen.where("token is null").select("doc_id", "th", "n_shingles", "sid", "spread")
     lists = texts.select("text").mapInArrow(_lists(words, hot), LISTS)
     met = cut_lineage(lists.repartition("token", "salt").sortWithinPartitions("token", "salt", "sid").mapInArrow(_meet, MET), "met")
 
-    source = cut_lineage(sets.where("n_shingles > 0").groupBy("sid").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.min("doc_id").alias("low")), "source")
+    source = cut_lineage(sets.where("n_shingles > 0").groupBy("sid").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("spread").alias("spread")), "source")
     star = met.where("sid <> hub").where(possible(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos"))).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
     parts = met.where("salt >= 0").select("token", "hub", "hub_n", "hub_pos").distinct()
     top = parts.groupBy("token").agg(F.min("hub").alias("top"))
