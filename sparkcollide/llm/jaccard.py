@@ -11,9 +11,10 @@ puts known frequent shingles last and is by hash otherwise.
    list, every set meets the list's first set (frequent lists are cut into
    salted parts, whose first sets meet again).
 3. T-occurrence search settles these pairs; links give groups.
-4. Pairs of one list whose sets are still in different groups are searched too,
-   which makes the groups exact.  A group of k copies thus costs about k
-   searches, not k * k, and no set of partners is capped.
+4. Sets of one list that are still in different groups are compared in cells of
+   bounded size, by size, place and counts per hash region; what these cannot
+   rule out is searched too, which makes the groups exact.  No list of all pairs
+   is made and no set of partners is capped.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ HOT = 1 << 20  # frequent shingles known to every task: 8 MB at most
 SALTS = 64
 BLOCK = 1 << 21
 MEMBERS = 256
+CELL = 1024  # sets of one list in a block; two blocks make a cell
 REGIONS = 256
 SETS = "doc_id long, th long, n_shingles long, sid long, spread binary, token long, times long"
 LISTS = "token long, salt int, sid long, n int, pos int"
@@ -242,6 +244,62 @@ def _may_link(batches):
         yield row_batch(a=batch.column(0).to_numpy()[keep], b=batch.column(1).to_numpy()[keep])
 
 
+def _cell_pairs(n, pos, group, spread, block, i, j):
+    """Row numbers of a cell's pairs that could link: blocks i and j of one list, or one block with itself."""
+    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for lo in range(0, len(one), 256):
+        x = one[lo : lo + 256]
+        a, b = (v.ravel() for v in np.meshgrid(x, two, indexing="ij"))
+        keep = group[a] != group[b]
+        if i == j:
+            keep &= a < b
+        a, b = a[keep], b[keep]
+        keep = (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & (7 * (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])) >= 3 * (n[a] + n[b]))
+        a, b = a[keep], b[keep]
+        for k in range(0, len(a), 8192):
+            p, q = a[k : k + 8192], b[k : k + 8192]
+            low = np.minimum(spread[p], spread[q])
+            fine = (7 * low.sum(1, dtype=np.int64) >= 3 * (n[p] + n[q])) | (low == 255).any(1)
+            yield p[fine], q[fine]
+
+
+def _cross(batches):
+    """Rows sorted by (token, i, j): the pairs of each cell that could link. One open cell is kept between batches."""
+
+    def cells(table):
+        token, i, j = (table.column(k).to_numpy() for k in range(3))
+        cut = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        return [0, *cut.tolist(), len(token)]
+
+    def work(table, cuts):
+        i, j, block, sid, n, pos, group = (table.column(k).to_numpy() for k in range(1, 8))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        spread = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, REGIONS)
+        found = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi - lo > 1:
+                c = slice(lo, hi)
+                found += [np.stack([sid[lo + p], sid[lo + q]], 1) for p, q in _cell_pairs(n[c], pos[c], group[c], spread[c], block[c], i[lo], j[lo])]
+        if found:
+            pairs = np.concatenate(found)
+            pairs = np.unique(np.sort(pairs, 1), axis=0)
+            yield row_batch(a=pairs[:, 0], b=pairs[:, 1])
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        table = table.combine_chunks()
+        cuts = cells(table)
+        if len(cuts) > 2:
+            yield from work(table, cuts[:-1])
+        rest = table.slice(cuts[-2])
+    if rest is not None and rest.num_rows:
+        table = rest.combine_chunks()
+        yield from work(table, [0, table.num_rows])
+
+
 def links(pairs: DataFrame, source: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Those pairs (a, b) of set digests that link. ``source``: one document of each set; texts: (doc_id, th, text).
 
@@ -286,10 +344,12 @@ def link_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     # what is left: sets of one list in different groups
     named = met.join(group.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("g"))
-    split = named.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
-    named = cut_lineage(named.join(split, "token", "left_semi"), "split")
-    other = named.toDF("token", "sid2", "n2", "pos2", "g2")
-    rest = named.join(other, "token").where("g < g2").where(possible(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"))).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+    split = named.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("k")).where("x <> y").select("token", F.ceil(F.col("k") / CELL).cast("int").alias("blocks"))
+    named = named.join(split, "token").select("token", "sid", "n", "pos", "g", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
+    cell = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    named = named.select("token", "sid", "n", "pos", "g", "block", cell).select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "sid", "n", "pos", "g")
+    named = cut_lineage(named, "cells").join(source.select("sid", "spread"), "sid").select("token", "i", "j", "block", "sid", "n", "pos", "g", "spread")
+    rest = named.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross, "a long, b long").distinct()
     late = cut_lineage(links(rest, source, texts, words), "late")
     late = late.join(group.toDF("a", "x"), "a", "left").join(group.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
     over = components(late)
