@@ -128,6 +128,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     """Spans (doc_id, th, a, b) in words whose windows also start elsewhere; ``th`` is the text's xxhash64."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     nodes = keyed.select("text").mapInArrow(_anchor_counts(window, kmer), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    nodes = cut_lineage(nodes, "nodes")  # written, so that a hot anchor's side of the join below can be split
     occurrences = cut_lineage(keyed.mapInArrow(_paths(window, kmer), PATH).join(nodes, "anchor", "left_semi"), "paths")
     paths = occurrences.groupBy("anchor", "p1", "p2").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "start", "windows")])
     branching = occurrences.select("anchor", "p1", "p2").distinct().groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
