@@ -33,8 +33,9 @@ from sparkcollide.llm.common import row_batch
 from sparkcollide.llm.words import U64, Chunk, chunks, mix, signed
 from sparkcollide.session import cut_lineage, scratch_dir
 
-BLOCK = 4_000_000
-SHARD = 2_000_000  # tokens whose pairs one shard holds, about
+BLOCK = 1_500_000
+SHARD = 1_000_000  # tokens whose pairs one shard holds, about
+RANGE = 500_000  # rows of a key range
 END = np.int64(0x2545F4914F6CDD1D)
 COUNTED = "h long, c long"
 STATS = "id long, total long, n1 long, n2 long, n3 long, three long, four long, contexts long"
@@ -106,7 +107,7 @@ def write_table(df: DataFrame, key: str, columns: list[str], weigh: str | None,
         yield row_batch(first=[int(arrays[0][0])], n=[len(arrays[0])], weight=[int(weights.sum())], path=[path])
 
     n = df.count()
-    parts = max(1, -(-n // 4_000_000))
+    parts = max(1, -(-n // RANGE))
     sorted_ = df.select(key, *columns).repartitionByRange(parts, key).sortWithinPartitions(key)
     rows = sorted(sorted_.mapInArrow(run, "first long, n long, weight long, path string").collect())
     num = lambda k: np.array([r[k] for r in rows], np.int64)
