@@ -29,7 +29,8 @@ UNITS = r" ?\S+|\s+(?!\S)|\s+"
 NONE = np.int64(2**62)
 POS = 20  # bits of the position in a key
 WIDE = 64
-CACHE = 400_000
+SPECIAL = "a \0"  # no unit of a text looks like this: it marks special tokens among them
+CACHE = 900_000
 SCHEMA = "doc_id long, ids binary, decoded string"
 
 
@@ -63,7 +64,7 @@ class Bpe:
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces, self.units = regex.compile(PIECES), regex.compile(UNITS)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {SPECIAL + t: np.uint32(i).tobytes() for t, i in self.special.items()}
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NONE where it has none) and the id it merges into."""
@@ -153,31 +154,36 @@ class Bpe:
 
     def learn(self, units: set[str]) -> None:
         """Encode units that the bounded cache lacks."""
-        pieces = {u: [p.encode() for p in self.pieces.findall(u)] for u in units}
-        words = list({p for ps in pieces.values() for p in ps})
-        short = [w for w in words if len(w) <= WIDE]
-        ids = dict(zip(short, (x.tobytes() for x in self.encode_many(short)), strict=True)) | {w: self.encode_long(w).tobytes() for w in words if len(w) > WIDE}
-        self.known.update({u: b"".join(ids[p] for p in ps) for u, ps in pieces.items()})
+        pieces = {u: self.pieces.findall(u) for u in units}
+        words = list({p for ps in pieces.values() for p in ps} - self.known.keys())
+        raw = [w.encode() for w in words]
+        short = [w for w in raw if len(w) <= WIDE]
+        ids = iter(self.encode_many(short))
+        made = {w: (next(ids) if len(r) <= WIDE else self.encode_long(r)).tobytes() for w, r in zip(words, raw, strict=True)}
+        known = self.known
+        self.known.update({u: b"".join([made.get(p) or known[p] for p in ps]) for u, ps in pieces.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts: list[list[str | bytes]] = []
+        parts: list[list[str]] = []
         for t in texts:
             if self.split and "<|" in t:
-                row: list[str | bytes] = []
+                row: list[str] = []
                 at = 0
                 for m in self.split.finditer(t):
-                    row += self.units.findall(t[at : m.start()])
-                    row.append(np.uint32(self.special[m[0]]).tobytes())
+                    row += [*self.units.findall(t[at : m.start()]), SPECIAL + m[0]]
                     at = m.end()
                 parts.append(row + self.units.findall(t[at:]))
             else:
                 parts.append(self.units.findall(t))
-        if len(self.known) > CACHE:
-            self.known.clear()
-        self.learn({u for u in set(chain.from_iterable(parts)) if isinstance(u, str)} - self.known.keys())
+        new = set(chain.from_iterable(parts)) - self.known.keys()
+        self.learn(new)
         get = self.known.__getitem__
-        return [b"".join(u if isinstance(u, bytes) else get(u) for u in row) if any(isinstance(u, bytes) for u in row) else b"".join(map(get, row)) for row in parts]
+        out = [b"".join(map(get, row)) for row in parts]
+        if len(self.known) > CACHE:  # common units came first; the others go again
+            for u in new:
+                del self.known[u]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters, special tokens their text."""
@@ -189,7 +195,7 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, rows_at_once: int = 500) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, rows_at_once: int = 1000) -> DataFrame:
     """Ids of every whole text and the text decoded from them: (doc_id, ids, decoded).
 
     ``ids`` holds little-endian unsigned 32-bit integers.  Other columns of

@@ -96,10 +96,10 @@ def with_next(docs: DataFrame) -> DataFrame:
         cuts = sorted(set(found or []))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_range_of(cuts)).cast("int")
     dealt = rows.withColumn("bucket", bucket)
-    order = Window.orderBy("bucket")  # one row a range
+    order = Window.orderBy("bucket")  # one row a range: at most MOST_RANGES + 1, hence broadcast below
     heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head"))
     heads = heads.select(F.col("bucket").alias("of"), "head", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("to"))
-    lent = dealt.join(heads, (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("to").agg(F.min("text").alias("text"))
+    lent = dealt.join(F.broadcast(heads), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("to").agg(F.min("text").alias("text"))
     both = dealt.select("bucket", "doc_id", "text", F.lit(0).alias("lent")).union(lent.select("to", F.lit(None).cast("long"), "text", F.lit(1)))
     w = Window.partitionBy("bucket").orderBy("lent", F.desc_nulls_last("doc_id"), "text")
     return both.select("bucket", F.row_number().over(w).alias("place"), "lent", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
@@ -113,7 +113,7 @@ def edit(rows: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per document: its fingerprint, its edited text's and its next document's.
+    """One row per document: its fingerprint, its edited text's, and its likeness to the next document.
 
     Null text: empty.  Empty texts have an empty fingerprint.  Equal texts have
     equal fingerprints.  A document alone is its own next one.  Repeated ids
@@ -127,7 +127,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     pick = lambda k: F.max(F.when(F.col("which") == k, F.col("fingerprint")))
     made = made.groupBy("bucket", "place", "lent").agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint"))
     w = Window.partitionBy("bucket").orderBy("place")
-    made = made.select("bucket", "place", "lent", "fingerprint", "edited_fingerprint", F.lead("fingerprint").over(w).alias("next_fingerprint")).where("lent = 0").drop("lent")
+    near = likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")
+    made = made.withColumn("next_fingerprint", F.lead("fingerprint").over(w)).where("lent = 0").select("bucket", "place", "fingerprint", "edited_fingerprint", near)
     told = rows.where("lent = 0").select("bucket", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     return told.join(made, ["bucket", "place"])
 
@@ -135,5 +136,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def op10_fingerprints(docs: DataFrame) -> DataFrame:
     return fingerprints(docs).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), "near_next",
     )

@@ -11,6 +11,7 @@ import os
 import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,16 @@ from sparkcollide.llm.common import row_batch
 from sparkcollide.session import cut_lineage
 
 LENGTH = 4096
-CACHE = 400_000
+CACHE = 1_200_000
 #: Pieces that one task packs together: large enough that its last, part-filled sequences are few.
 GROUP = 20_000
-BLANK = re.compile(r"[\x20\x09-\x0D]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+#: Latin-1 letters, then signs without the apostrophe (contractions) and angle brackets (special tokens).
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-!\"#$%&()*+,./:;=?@|]*)")
+
+
 @cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,15 +51,22 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     by the tokenizer and kept in a bounded cache.
     """
     tok, known = _tokenizer(path)
-    rows = [[w for w in BLANK.split(t) if w] for t in texts]
-    new = list({w for r in rows for w in r} - known.keys())
-    if len(known) > CACHE:
-        known.clear()
-        new = list({w for r in rows for w in r})
-    for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
+    rows = [t.encode().split() for t in texts]  # the ASCII blanks
+    new = list(set(chain.from_iterable(rows)) - known.keys())
+    # letters and the signs after them are tokens of their own, and case does not count: most new words are known parts
+    parts = [(m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(w)) else (w,) for w in (w.decode() for w in new)]
+    ask = list({p.encode() for ps in parts for p in ps} - known.keys())
+    for w, e in zip(ask, tok.encode_batch_fast([w.decode() for w in ask], add_special_tokens=False), strict=True):
         known[w] = np.array(e.ids, "<u4").tobytes()
+    for w, ps in zip(new, parts, strict=True):
+        if w not in known:
+            known[w] = b"".join([known[p.encode()] for p in ps])
     get = known.__getitem__
-    return [b"".join(map(get, r)) for r in rows]
+    out = [b"".join(map(get, r)) for r in rows]
+    if len(known) > CACHE:  # common words came first; the others go again
+        for w in {*new, *ask}:
+            del known[w]
+    return out
 
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -66,8 +77,8 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 row, piece, start, size, crc, body = [], [], [], [], [], []
                 for r, ids in enumerate(encode_texts([t or "" for t in part.column(1).to_pylist()], vocabulary)):
                     ids += np.uint32(end_id).tobytes()

@@ -144,10 +144,9 @@ class Kernel:
         """Kernel rows of each text's sentences; those without any match are left out."""
         texts = [t.lower() for t in texts]
         texts = [SPACED.sub(lambda m: JUNK.sub("", m[0]), t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
         seen = [set(t.split()) for t in texts]
-        self.learn(sorted(set().union(*seen) - self.known.keys()) if seen else [])
+        new = sorted(set().union(*seen) - self.known.keys()) if seen else []
+        self.learn(new)
         out = []
         for t, words in zip(texts, seen, strict=True):
             rows = []
@@ -157,6 +156,9 @@ class Kernel:
                     if hits:
                         rows.append(np.maximum.reduce(hits))
             out.append(rows)
+        if len(self.known) > CACHE:  # common words came first; the others go again
+            for w in new:
+                del self.known[w]
         return out
 
 
