@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +76,7 @@ def _letters(codes: np.ndarray, gap: int) -> np.ndarray:
 
 def _parts(word: str) -> list[str]:
     """A word's letters; longer words in overlapping parts of LONGEST letters."""
-    word = JUNK.sub("", word)
+    word = word if word.isalpha() else JUNK.sub("", word)
     return [word[k : k + LONGEST] for k in range(0, max(1, len(word) - LONGEST // 2), LONGEST // 2)] if word else []
 
 
@@ -86,8 +87,8 @@ class Kernel:
     landmarks: list[str]
     known: dict[str, np.ndarray | None] = field(default_factory=dict)
 
-    def __getstate__(self):
-        return {"landmarks": self.landmarks, "known": {}}
+    def __reduce__(self):
+        return shared, (tuple(self.landmarks),)
 
     def pairs(self, words: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Kernel of words[left] with landmarks[right], grouped by length so that little is padded."""
@@ -96,13 +97,13 @@ class Kernel:
         own = np.zeros(len(words))
         for at in range(1, LONGEST + 1, 3):
             rows = np.flatnonzero((size >= at) & (size < at + 3))
-            for k in range(0, len(rows), 2000):
-                some = rows[k : k + 2000]
+            for k in range(0, len(rows), 1000):
+                some = rows[k : k + 1000]
                 c = _codes([words[r] for r in some], 0)
                 own[some] = subsequence_kernel(c, np.where(c == 0, -1, c))
             chosen = np.flatnonzero(np.isin(left, rows))
-            for k in range(0, len(chosen), 2000):
-                some = chosen[k : k + 2000]
+            for k in range(0, len(chosen), 1000):
+                some = chosen[k : k + 1000]
                 a, b = _codes([words[r] for r in left[some]], 0), _codes([self.landmarks[r] for r in right[some]], -1)
                 out[some] = subsequence_kernel(a, b)
         c = _codes(self.landmarks, 0)
@@ -114,20 +115,21 @@ class Kernel:
     def learn(self, words: list[str]) -> None:
         """Fill the bounded cache: word to its kernel row, None where all values are 0.
 
-        A value is 0 by definition where the word has fewer than three fifths of
+        A value is 0 by definition where the word has fewer than two thirds of
         the landmark's neighbouring letter pairs, up to two letters between them.
         """
         parts = {w: [p for p in _parts(w) if len(p) >= ORDER] for w in words}
         flat = sorted({p for ps in parts.values() for p in ps})
         rows: dict[str, np.ndarray] = {}
         if flat and self.landmarks:
-            has, want = _letters(_codes(flat, 0), 3), _letters(_codes(self.landmarks, 0), 1)
+            want = _letters(_codes(self.landmarks, 0), 1)
+            has = np.concatenate([_letters(_codes(flat[k : k + 10_000], 0), 3) for k in range(0, len(flat), 10_000)], 1)
             length, size = np.array([len(p) for p in flat]), np.array([len(m) for m in self.landmarks])
             lefts, rights = [], []
             for j in range(len(self.landmarks)):
-                fits = (length >= 0.6 * size[j]) & (length <= 2.5 * size[j])
+                fits = (length >= 0.6 * size[j]) & (length <= 2 * size[j])
                 for lane in range(2):
-                    fits &= 5 * np.bitwise_count(has[lane] & want[lane, j]) >= 3 * np.bitwise_count(want[lane, j])
+                    fits &= 3 * np.bitwise_count(has[lane] & want[lane, j]) >= 2 * np.bitwise_count(want[lane, j])
                 lefts.append(np.flatnonzero(fits))
                 rights.append(np.full(len(lefts[-1]), j))
             left, right = np.concatenate(lefts), np.concatenate(rights)
@@ -150,9 +152,10 @@ class Kernel:
         out = []
         for t, words in zip(texts, seen, strict=True):
             rows = []
-            if any(self.known[w] is not None for w in words):
+            near = {w: k for w in words if (k := self.known[w]) is not None}
+            if near:
                 for s in SENTENCE.split(t):
-                    hits = [k for w in s.split() if (k := self.known[w]) is not None]
+                    hits = [near[w] for w in s.split() if w in near]
                     if hits:
                         rows.append(np.maximum.reduce(hits))
             out.append(rows)
@@ -162,6 +165,12 @@ class Kernel:
         return out
 
 
+@lru_cache(maxsize=1)
+def shared(landmarks: tuple[str, ...]) -> Kernel:
+    """A worker's kernel for these landmarks; its tasks share the known words."""
+    return Kernel(list(landmarks))
+
+
 @dataclass
 class Model:
     kernel: Kernel
@@ -221,7 +230,7 @@ def _spread(words: list[str], most: int) -> list[str]:
 
 def _label_counts(batches):
     """Distinct words of each document, counted by label within a batch."""
-    for batch in batches:
+    for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
         count: dict[str, list[int]] = {}
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for w in {p for w in set(SPACED.sub(lambda m: JUNK.sub("", m[0]), (t or "").lower()).split()) for p in _parts(w) if len(p) >= ORDER}:
@@ -262,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS) -> Model
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T  # Nyström: features are kernel rows times this
 
     def features(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found, empty = [], []
             for t, rows in zip(texts, kernel.sentences(texts), strict=True):
@@ -290,8 +299,8 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 yield row_batch(doc_id=part.column(0), score=model.scores([t or "" for t in part.column(1).to_pylist()]), carry=part.column(2))
 
     rows = docs.select("doc_id", "text", carried(carry))
