@@ -30,7 +30,7 @@ NONE = np.int64(2**62)
 POS = 20  # bits of the position in a key
 WIDE = 64
 SPECIAL = "a \0"  # no unit of a text looks like this: it marks special tokens among them
-CACHE = 900_000
+CACHE = 500_000
 SCHEMA = "doc_id long, ids binary, decoded string"
 
 

@@ -22,7 +22,7 @@ from sparkcollide.llm.common import row_batch
 from sparkcollide.session import cut_lineage
 
 LENGTH = 4096
-CACHE = 1_200_000
+CACHE = 500_000
 #: Pieces that one task packs together: large enough that its last, part-filled sequences are few.
 GROUP = 20_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"

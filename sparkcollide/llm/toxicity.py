@@ -35,7 +35,7 @@ LEAST_G = 30.0  # log-likelihood ratio of a landmark's counts in toxic and clean
 APART = 0.3  # landmarks are less alike than this
 FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 6_000, 9_000, 8
 LONGEST = 24  # letters; longer words are read in overlapping parts
-CACHE = 600_000
+CACHE = 250_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){2,}[^\W\d_](?!\w)")
 JUNK = re.compile(r"[\W\d_]+")

@@ -17,7 +17,7 @@ def test_stages(spark, sf):
         if name != "best_fit_packing":
             assert docs.columns == columns
     count = {k: v.count() for k, v in held.items()}
-    assert count["documents"] > count["toxicity"] > count["jaccard_join"] == count["substring_dedup"] == count["secret_scan"]
+    assert count["documents"] >= count["toxicity"] > count["jaccard_join"] == count["substring_dedup"] == count["secret_scan"]
     before = {r["doc_id"]: shingles(r["text"]) for r in held["toxicity"].collect()}
     left = {r["doc_id"] for r in held["jaccard_join"].collect()}
     for i in set(before) - left:  # every dropped document is near one that is left, or near one that is near it
