@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkcollide.session import join_null_safe
+
 
 def bin_left_open(x: Column, lo: float, hi: float, nbins: int) -> Column:
     """Bins ``(lo, hi]`` inside the open range; null outside."""
@@ -23,7 +25,7 @@ def _on_spine(filled: DataFrame, hist: list[str], nbins: int, first: int = 0) ->
     """All bins of every histogram seen; the spine is histograms x bins rows."""
     ids = filled.select(*hist).distinct()
     spine = ids.withColumn("bin", F.explode(F.sequence(F.lit(first), F.lit(first + nbins - 1))))
-    return spine.join(filled, [*hist, "bin"], "left")
+    return join_null_safe(spine, filled, [*hist, "bin"], "left")
 
 
 def histogram_1d(df: DataFrame, x: Column, weight: Column, hist: list[str], lo: float, hi: float, nbins: int, unit: bool = False) -> DataFrame:
@@ -32,7 +34,7 @@ def histogram_1d(df: DataFrame, x: Column, weight: Column, hist: list[str], lo:
     out = _on_spine(filled, hist, nbins).fillna(0.0, ["content"])
     if unit:
         total = filled.filter(F.col("bin").isNotNull()).groupBy(*hist).agg(F.sum("content").alias("_t"))
-        out = out.join(total, hist, "left").withColumn(
+        out = join_null_safe(out, total, hist, "left").withColumn(
             "content", F.when(F.col("_t") != 0, F.col("content") / F.col("_t")).otherwise(0.0)
         ).drop("_t")
     return out.withColumn("center", F.lit(float(lo)) + (F.col("bin") + 0.5) * F.lit((hi - lo) / nbins))
@@ -108,7 +110,7 @@ def histogram_sumw2(df: DataFrame, x: Column, weight: Column, hist: list[str], l
         )
     )
     spine = fills.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(nbins + 1))))
-    return spine.join(filled, [*hist, "bin"], "left").fillna(0.0, ["y", "y2"]).fillna(0, ["n"])
+    return join_null_safe(spine, filled, [*hist, "bin"], "left").fillna(0.0, ["y", "y2"]).fillna(0, ["n"])
 
 
 def finalize(h: DataFrame, width: float) -> DataFrame:
@@ -164,7 +166,7 @@ def _fold_opt(items: Column) -> Column:
         return F.struct(y.alias("y"), (y * y / (a + b)).alias("y2"))
 
     first = F.struct(items[0]["y"].alias("y"), items[0]["y2"].alias("y2"))
-    return F.aggregate(F.slice(items, 2, 1_000_000), first, step)
+    return F.aggregate(F.slice(items, F.lit(2), F.size(items)), first, step)
 
 
 def combine_histograms(shards: DataFrame, hist: list[str], width: float, mode: str = "cmb", factor: float = 1.0) -> DataFrame:

@@ -114,20 +114,13 @@ def source_fractions(stats: DataFrame, total_xsec: float, mode: str = "count") -
     return stats.withColumn("fraction", fraction).withColumn("scale", F.lit(total_xsec) * F.col("fraction") / F.col("sum_w"))
 
 
-# Sources are run directories; a broadcast of their scales is only taken below this.
-MAX_BROADCAST_SOURCES = 100_000
-
-
 def reweight_events(events: DataFrame, fractions: DataFrame) -> DataFrame:
     """AGG23: multiply every weight by the scale of its source.
 
-    The scales are written once, so the statistics pass is not repeated. The
-    table is broadcast only while its row count is below the bound; beyond it
-    the join is left to AQE, which splits hot sources.
+    A plain join: adaptive execution sends the scales to every task where they
+    are small and splits hot sources where they are not.
     """
-    scales = cut_lineage(fractions.select("source", F.col("scale").alias("source_scale")), "scales")
-    if scales.count() <= MAX_BROADCAST_SOURCES:
-        scales = F.broadcast(scales)
+    scales = fractions.select("source", F.col("scale").alias("source_scale"))
     return events.join(scales, "source").withColumn("new_weight", F.col("xwgtup") * F.col("source_scale"))
 
 

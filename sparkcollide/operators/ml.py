@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkcollide.functions import noise
 from sparkcollide.functions.couplings import significance
 from sparkcollide.operators.ranking import distributed_row_number, running_sums
-from sparkcollide.session import lookup_small
+from sparkcollide.session import lookup
 
 
 def balance_class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
@@ -24,7 +24,7 @@ def balance_class_weights(df: DataFrame, label: str = "label", weight: str = "we
     base = F.when(F.col(weight) == 0, 1.0).otherwise(F.abs(F.col(weight)))
     df = df.withColumn("_base", base)
     sums = df.groupBy(label).agg(F.count("*").alias("_n"), F.sum("_base").alias("_s"))
-    return lookup_small(df, label, sums, ["_n", "_s"]).withColumn("train_weight", F.col("_base") * F.col("_n") / F.col("_s")).drop("_base", "_n", "_s")
+    return lookup(df, label, sums, ["_n", "_s"]).withColumn("train_weight", F.col("_base") * F.col("_n") / F.col("_s")).drop("_base", "_n", "_s")
 
 
 def stratified_split(df: DataFrame, key: str, test: float = 0.35, seed: int = 12345, label: str = "label") -> DataFrame:
@@ -35,7 +35,7 @@ def stratified_split(df: DataFrame, key: str, test: float = 0.35, seed: int = 12
     df = df.withColumn("_u", noise.uniform(seed, F.col(key)))
     ranked = distributed_row_number(df, [label], ["_u", key], "_rank")
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    out = lookup_small(ranked, label, sizes, ["_n"])
+    out = lookup(ranked, label, sizes, ["_n"])
     return out.withColumn("is_test", F.col("_rank") <= F.round(F.lit(test) * F.col("_n"))).drop("_u", "_rank", "_n")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkcollide.session import join_null_safe
+
 
 def leading_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
     """First ``n`` rows per group.
@@ -18,19 +20,11 @@ def leading_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank
 
 
 def split_points(df: DataFrame, key: Column, buckets: int, oversample: int = 40) -> list:
-    """Quantile boundaries of ``key`` from a bounded, repeatable hash sample.
+    """Quantile boundaries of ``key`` from a bounded, repeatable hash sample of its distinct values.
 
     Only ``buckets * oversample`` keys reach the driver, whatever the input size.
     """
-    rows = (
-        df.select(key.alias("k"))
-        .orderBy(F.xxhash64("k"))
-        .limit(buckets * oversample)
-        .select("k")
-        .distinct()
-        .orderBy("k")
-        .collect()
-    )
+    rows = df.select(key.alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k")).limit(buckets * oversample).orderBy("k").collect()
     ks = [r["k"] for r in rows]
     if len(ks) <= 1:
         return []
@@ -39,7 +33,7 @@ def split_points(df: DataFrame, key: Column, buckets: int, oversample: int = 40)
 
 
 def bucket_of(df: DataFrame, key: str, points: list) -> Column:
-    """Number of boundaries at or below ``key``: a binary search as nested CASE.
+    """Number of boundaries at or below ``key``, -1 for NULL: a binary search as nested CASE.
 
     Written as SQL text, so it parses once and runs in generated code.
     """
@@ -51,7 +45,12 @@ def bucket_of(df: DataFrame, key: str, points: list) -> Column:
         mid = (lo + hi) // 2
         return f"CASE WHEN {key} < {_sql_literal(points[mid], kind)} THEN {search(lo, mid)} ELSE {search(mid + 1, hi)} END"
 
-    return F.expr(search(0, len(points)))
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.expr(search(0, len(points))))
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Ranges to cut into: as many as the session shuffles into, 64 at least."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _sql_literal(value, kind: T.DataType) -> str:
@@ -69,7 +68,7 @@ def running_sums(
     sums: dict[str, str],
     group: list[str] | None = None,
     descending: bool = False,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Inclusive running totals over distinct ``key`` values, ties collapsed.
 
@@ -79,7 +78,7 @@ def running_sums(
     """
     group = group or []
     tied = df.groupBy(*group, key).agg(*[F.sum(src).alias(out) for out, src in sums.items()])
-    points = split_points(tied, F.col(key), buckets)
+    points = split_points(tied, F.col(key), buckets or bucket_count(df))
     tied = tied.withColumn("_b", bucket_of(tied, key, points))
     order = [F.col("_b").desc() if descending else F.col("_b").asc()]
     before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -89,7 +88,7 @@ def running_sums(
     )
     inner = [F.col(key).desc() if descending else F.col(key).asc()]
     w = Window.partitionBy(*group, "_b").orderBy(*inner).rowsBetween(Window.unboundedPreceding, 0)
-    joined = tied.join(offsets, [*group, "_b"])
+    joined = join_null_safe(tied, offsets, [*group, "_b"])
     keep = [c for c in tied.columns if c not in sums and c != "_b"]
     return joined.select(
         *keep,
@@ -99,7 +98,7 @@ def running_sums(
 
 
 def distributed_row_number(
-    df: DataFrame, group: list[str], order: list[str], rank: str = "rn", buckets: int = 64
+    df: DataFrame, group: list[str], order: list[str], rank: str = "rn", buckets: int | None = None
 ) -> DataFrame:
     """Exact row_number per group with work split by order-key ranges.
 
@@ -108,14 +107,13 @@ def distributed_row_number(
     """
     fields = [(-F.col(c[1:]) if c.startswith("-") else F.col(c)).alias(f"o{i}") for i, c in enumerate(order)]
     keyed = df.withColumn("_o", F.struct(*fields))
-    keyed = keyed.withColumn("_b", bucket_of(keyed, "_o", split_points(keyed, F.col("_o"), buckets)))
+    keyed = keyed.withColumn("_b", bucket_of(keyed, "_o", split_points(keyed, F.col("_o"), buckets or bucket_count(df))))
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     offsets = offsets.select(*group, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*group, "_b").orderBy("_o")
     return (
-        keyed.withColumn("_r", F.row_number().over(inner))
-        .join(offsets, [*group, "_b"])
+        join_null_safe(keyed.withColumn("_r", F.row_number().over(inner)), offsets, [*group, "_b"])
         .withColumn(rank, F.col("_r") + F.col("_off"))
         .drop("_o", "_b", "_r", "_off")
     )

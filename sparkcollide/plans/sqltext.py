@@ -51,19 +51,15 @@ SCORES = """scores AS (SELECT event_id AS row_id, CASE WHEN event_type = 'purcha
   CAST(1 AS DOUBLE)/(1 + exp(-(value - 40)/CAST(60 AS DOUBLE))) AS score, CAST(1 + user_id % 7 AS DOUBLE)/10 AS weight FROM events)"""
 
 
-def uniform(seed: int, *keys: str) -> str:
+def uniform(seed: int, *keys: str, draw: int = 0) -> str:
     """Scalar SQL for the keyed uniform draw; keys are integer columns."""
-    w = (8191, 131, 31)
-    k = "CAST(event_id AS BIGINT)*1000003" + "".join(f" + CAST({c} AS BIGINT)*{f}" for f, c in zip(w, keys))
-    k = f"(({k} + {seed * 97}) % 2147483648)"
-    for _ in range(3):
-        k = f"(({k}*1103515245 + 12345) % 2147483648)"
-    return f"(({k} + CAST(0.5 AS DOUBLE))/CAST(2147483648 AS DOUBLE))"
+    k = ", ".join(f"CAST(CAST({c} AS BIGINT) AS VARCHAR)" for c in ("event_id", *keys))
+    return f"((CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{draw}', {k})), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE))/CAST(4503599627370496 AS DOUBLE))"
 
 
 def smeared(source: str, name: str, seed: int = 42) -> str:
     keys = ("l_linenumber", "l_partkey", "l_suppkey")
-    g = f"sqrt(-2*ln({uniform(seed, *keys)}))*cos(2*pi()*{uniform(seed + 1, *keys)})"
+    g = f"sqrt(-2*ln({uniform(seed, *keys)}))*cos(2*pi()*{uniform(seed, *keys, draw=1)})"
     return f"""{name}0 AS (SELECT *, greatest(CAST(0.000001 AS DOUBLE), e + CASE
    WHEN abs(asinh(pz/sqrt(px*px+py*py))) <= 3 THEN sqrt((CAST(0.05 AS DOUBLE)*e)*(CAST(0.05 AS DOUBLE)*e) + CAST(2.25 AS DOUBLE)*e)
    WHEN abs(asinh(pz/sqrt(px*px+py*py))) <= 5 THEN sqrt((CAST(0.13 AS DOUBLE)*e)*(CAST(0.13 AS DOUBLE)*e) + CAST(7.29 AS DOUBLE)*e)

@@ -36,15 +36,15 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup_small(df: DataFrame, key: str, small: DataFrame, values: list[str], limit: int = 1000) -> DataFrame:
-    """Attach per-key values of a table with few keys, without shuffling ``df``.
-
-    The table becomes one scalar map; more than ``limit`` keys is an error, so
-    the size that travels to every task is bounded.
-    """
-    pairs = F.map_from_entries(F.collect_list(F.struct(key, F.struct(*values))))
-    n = F.count("*")
-    fail = F.raise_error(F.lit(f"more than {limit} values of {key}")).cast("string")
-    table_map = small.agg(pairs.alias("m"), n.alias("n")).select(F.when(F.when(F.col("n") > limit, fail).isNull(), F.col("m")).alias("m"))
-    df = df.withColumn("_m", table_map.scalar()).withColumn("_v", F.try_element_at("_m", F.col(key)))
-    return df.select(*[c for c in df.columns if c not in ("_m", "_v")], *[F.col("_v")[v].alias(v) for v in values])
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key; the keys stand once, as in ``left.join(right, keys)``."""
+    other = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(F.col(f"_k{i}"))
+    return left.join(other, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def lookup(df: DataFrame, key: str, values_of: DataFrame, values: list[str]) -> DataFrame:
+    """Attach per-key values of an aggregate with one row a key; any number of keys, hot ones are an ordinary join side."""
+    return df.join(values_of.select(key, *values), key, "left").select(*df.columns, *values)
