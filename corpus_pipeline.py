@@ -27,8 +27,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity model rejects (score 0.5 or more); texts stay as they are."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    kept = toxicity.score(docs, model, ("text", "lang", "source", "n_chars")).where("score < 0.5")
-    return kept.select("doc_id", "carry.text", "carry.lang", "carry.source", "carry.n_chars")
+    kept = toxicity.score(docs, model, ("lang", "source", "n_chars"), keep_text=True).where("score < 0.5")
+    return kept.select("doc_id", "text", "carry.lang", "carry.source", "carry.n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the passages of 35 or more words that also start elsewhere; documents stay, some with an empty text."""
-    rows = substring.remove_repeats(docs, carry=("text", "lang", "source"))
-    return _documents(rows, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carry.text")))
+    """Cut the passages of 35 or more words that also start elsewhere; documents stay, some with an empty text.
+
+    Words are joined by one space. A text from which nothing is cut stays as it is.
+    """
+    rows = substring.remove_repeats(docs, carry=("lang", "source"), whole=True)
+    return _documents(rows, F.col("kept"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ equal anchors, so nothing is missed; window and path hashes have 128 bits.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,8 +106,8 @@ def _windows(window: int):
     return run
 
 
-def _cut(batches):
-    """Words outside the spans: (doc_id, text, spans) to the kept text and counts."""
+def _cut(batches, whole: bool = False):
+    """Words outside the spans: (doc_id, text, spans) to the kept text and counts; whole: texts without spans stay as they are."""
     for batch in batches:
         words_n, removed, kept = [], [], []
         for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -120,7 +122,7 @@ def _cut(batches):
                 words = [words[k] for k in keep]
             else:
                 removed.append(0)
-            kept.append(b" ".join(words).decode())
+            kept.append(t if whole and not spans else b" ".join(words).decode())
         yield row_batch(doc_id=batch.column(0), n_words=pa.array(words_n, pa.int64()), n_removed=pa.array(removed, pa.int64()), kept=pa.array(kept, pa.string()), carry=batch.column(3))
 
 
@@ -143,11 +145,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     return spans.union(single.select("doc_id", "th", F.col("pos").alias("a"), (F.col("pos") + window).alias("b")))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, carry): each document without its repeated spans.
 
     All occurrences of a repeated window go, the first included, judged on the
-    input.  Null or empty text: no words, kept text empty.  Repeated rows repeat
+    input.  Null or empty text: no words, kept text empty.
+    Kept words are joined by one space; with ``whole``, a text that loses nothing
+    is not touched.  Repeated rows repeat
     each other's windows.  A null doc_id is an id of its own.  Columns
     named in ``carry`` come along in a struct, others are not read.  Empty table:
     no rows.
@@ -156,7 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, carr
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), carried(carry))
     joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
     kind = keyed.schema["carry"].dataType.simpleString()
-    return joined.select("doc_id", "text", "spans", "carry").mapInArrow(_cut, f"doc_id long, n_words long, n_removed long, kept string, carry {kind}")
+    return joined.select("doc_id", "text", "spans", "carry").mapInArrow(partial(_cut, whole=whole), f"doc_id long, n_words long, n_removed long, kept string, carry {kind}")
 
 
 def op6_substring(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ LEAST_G = 30.0  # log-likelihood ratio of a landmark's counts in toxic and clean
 APART = 0.3  # landmarks are less alike than this
 FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 6_000, 9_000, 8
 LONGEST = 24  # letters; longer words are read in overlapping parts
-CACHE = 250_000
+CACHE = 150_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){2,}[^\W\d_](?!\w)")
 JUNK = re.compile(r"[\W\d_]+")
@@ -294,17 +294,22 @@ def fit(docs: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS) -> Model
     return Model(kernel, root @ coef, bias, slope, shift)
 
 
-def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, carry) of every whole text; null text is empty. Columns named in ``carry`` come along in a struct."""
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """(doc_id, score, text, carry) of every whole text; null text is empty.
+
+    ``text`` is null unless asked for, else the unchanged text; columns named in
+    ``carry`` come along in a struct.
+    """
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield row_batch(doc_id=part.column(0), score=model.scores([t or "" for t in part.column(1).to_pylist()]), carry=part.column(2))
+                text = part.column(1)
+                yield row_batch(doc_id=part.column(0), score=model.scores([t or "" for t in text.to_pylist()]), text=text if keep_text else pa.nulls(len(text), text.type), carry=part.column(2))
 
     rows = docs.select("doc_id", "text", carried(carry))
-    return rows.mapInArrow(run, f"doc_id long, score double, carry {rows.schema['carry'].dataType.simpleString()}")
+    return rows.mapInArrow(run, f"doc_id long, score double, text string, carry {rows.schema['carry'].dataType.simpleString()}")
 
 
 def held_out(doc_id: Column) -> Column:
