@@ -40,11 +40,17 @@ def poisson_median(mean: Column) -> Column:
     return F.when(mean <= 0, 0).when(mean > 100, F.greatest(F.lit(0), large)).otherwise(small)
 
 
+#: Terms of one matrix of an Arrow batch, and the largest signal a limit is looked for.
+TERMS = 1 << 20
+BRACKET = 1e9
+
+
 def upper_limit(method: str = "cls", cl: float = 0.95):
     """INF02: vectorised bracket-and-bisect limit; (background, observed) -> signal.
 
     Plain series algebra on Arrow batches; the work per row depends on the
-    observed count only.
+    observed count only. A background probability of zero and a limit above
+    BRACKET raise.
     """
     if method not in ("cls", "classical"):
         raise ValueError("method must be 'cls' or 'classical'")
@@ -59,7 +65,7 @@ def upper_limit(method: str = "cls", cl: float = 0.95):
             raise ValueError("background and observed events must be non-negative")
         out = np.empty(len(b))
         for obs in np.unique(n):  # rows that share a count share one series length
-            rows = n == obs
+            every = np.flatnonzero(n == obs)
             logfact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, obs + 1)))])
             k = np.arange(obs + 1)
 
@@ -69,16 +75,23 @@ def upper_limit(method: str = "cls", cl: float = 0.95):
                 top = logs.max(axis=1, keepdims=True)
                 return np.exp(top[:, 0]) * np.exp(logs - top).sum(axis=1)
 
-            base = cdf(b[rows]) if method == "cls" else 1.0
-            tail = lambda s: cdf(b[rows] + s) / base
-            lo, hi = np.zeros(rows.sum()), np.maximum(1.0, np.sqrt(b[rows] + obs + 1.0) + 3.0)
-            while (above := tail(hi) > alpha).any():
-                hi = np.where(above, 2 * hi, hi)
-            for _ in range(100):
-                mid = 0.5 * (lo + hi)
-                above = tail(mid) > alpha
-                lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-            out[rows] = 0.5 * (lo + hi)
+            step = max(1, TERMS // (int(obs) + 1))  # bounds the rows x terms matrix
+            for at in range(0, len(every), step):
+                rows = every[at : at + step]
+                base = cdf(b[rows]) if method == "cls" else np.ones(len(rows))
+                if not (base > 0).all():
+                    raise ValueError("background probability is zero: the limit is undefined")
+                tail = lambda s, rows=rows, base=base: cdf(b[rows] + s) / base
+                lo, hi = np.zeros(len(rows)), np.maximum(1.0, np.sqrt(b[rows] + obs + 1.0) + 3.0)
+                while (above := tail(hi) > alpha).any():
+                    hi = np.where(above, 2 * hi, hi)
+                    if hi.max() > BRACKET:
+                        raise ValueError("no upper limit found below the bracket limit")
+                for _ in range(100):
+                    mid = 0.5 * (lo + hi)
+                    above = tail(mid) > alpha
+                    lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+                out[rows] = 0.5 * (lo + hi)
         return pd.Series(out)
 
     return limit

@@ -67,7 +67,9 @@ def log_xsec_override(inits: DataFrame, logs: DataFrame, abs_tol: float = 0.0, r
     """JN08: values of agreeing sibling logs replace the header values.
 
     Logs hold one matching line per process, so the per-log array is bounded
-    by the process count. Disagreement raises.
+    by the process count. Disagreement raises, and so does a number of values
+    other than the declared processes, unless one process is declared. Files
+    without a log keep their header values.
     """
     vals = log_cross_sections(logs)
     first = vals.agg(F.min_by("values", F.struct("dir", "log")).alias("ref")).select("ref")
@@ -80,6 +82,10 @@ def log_xsec_override(inits: DataFrame, logs: DataFrame, abs_tol: float = 0.0, r
     good = vals.withColumn("log", F.when(~differ, F.col("log")).otherwise(fail))
     by_dir = good.groupBy("dir").agg(F.min_by("values", "log").alias("values"), F.min("log").alias("log"))
     out = inits.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")).join(by_dir, "dir", "left")
+    # a header with one process takes the first value; otherwise there is one value per process
+    wrong = F.col("values").isNotNull() & (F.size("values") != F.col("nprup")) & (F.col("nprup") != 1)
+    fail = F.raise_error(F.concat(F.col("log"), F.lit(": values differ in number from the declared processes"))).cast("string")
+    out = out.withColumn("path", F.when(wrong, fail).otherwise(F.col("path")))
     ex = out.select("path", "log", "values", F.posexplode("processes").alias("i", "p"))
     v = F.get("values", F.col("i"))
     return ex.select(
@@ -127,17 +133,22 @@ def reweight_events(events: DataFrame, fractions: DataFrame) -> DataFrame:
 def rewrite_event_weight(event: Column, weight: Column) -> Column:
     """STR06: replace the third token of the header line, keeping its indent."""
     pattern = r"(?s)^(<event[^>]*>(?:\s*\n|\s*#[^\n]*\n)*[ \t]*)(\S+)[ \t]+(\S+)[ \t]+\S+[ \t]*([^\n]*)"
-    return F.regexp_replace(event, F.lit(pattern), F.concat(F.lit("$1$2 $3 "), weight.cast("string"), F.lit(" $4")))
+    fail = F.raise_error(F.concat(F.lit("no event header to rewrite: "), F.substring(event, 1, 80))).cast("string")
+    new = F.regexp_replace(event, F.lit(pattern), F.concat(F.lit("$1$2 $3 "), weight.cast("string"), F.lit(" $4")))
+    return F.when(event.rlike(pattern) & weight.isNotNull(), new).otherwise(fail)
 
 
 # --- event checks ----------------------------------------------------------------------
 def check_events(
     events: DataFrame, incoming: int = 2, final_count: int | None = None, final_abs_pdg: int | None = None,
-    forbid: tuple[int, ...] = (), abs_tol: float = 1e-5, rel_tol: float = 1e-6, beam_order: bool = True,
-    first_singlet: int | None = None, isolated_singlet: int | None = None,
+    forbid: tuple[int, ...] = (), abs_tol: float = 1e-5, rel_tol: float = 1e-6, beam_order: bool = False,
+    first_singlet: int | None = None, isolated_singlet: int | None = None, mass_status: tuple[int, ...] = (-1, 1),
 ) -> DataFrame:
     """AGG29: sorted list of rule violations per event.
 
+    An event that cannot be read (bad header, a bad particle row, rows other
+    than declared) has that one error; no other rule looks at it.
+
     All rules look inside one event record, so the whole check is a narrow
     projection over the scan: no shuffle and no gathering across rows.
     ``events`` needs ``nup`` and the parsed ``particles`` array.
@@ -162,17 +173,23 @@ def check_events(
     ev = ev.withColumn("_tags", F.array_sort(F.array_distinct(F.transform("_ends", lambda s: s["tag"]))))
     text = lambda *parts: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in parts])
     single = lambda label, bad: F.when(bad, F.array(F.lit(label))).otherwise(F.array().cast("array<string>"))
+    bad_row = F.get(F.filter("particles", lambda p: ~p["ok"]), F.lit(0))["idx"]
+    unreadable = (
+        F.when(F.col("nup").isNull(), "bad header")
+        .when(bad_row.isNotNull(), text("short row ", bad_row))
+        .when(F.size("particles") != F.col("nup"), "row count")
+    )
     groups: list[Column] = [
-        single("row count", F.size("particles") != F.col("nup")),
-        F.transform(F.filter("particles", lambda p: ~p["ok"]), lambda p: text("short row ", p["idx"])),
         F.when(F.size("_in") != incoming, F.array(text("incoming ", F.size("_in")))).otherwise(F.array().cast("array<string>")),
     ]
     if beam_order:
+        groups.append(single("beam order needs two", F.size("_in") != 2))
         groups.append(single("beam order", (F.size("_in") == 2) & (F.get("_in", F.lit(0))["pz"] < F.get("_in", F.lit(1))["pz"])))
     if final_count is not None:
         groups.append(F.when(F.size("_fin") != final_count, F.array(text("final ", F.size("_fin")))).otherwise(F.array().cast("array<string>")))
     if final_abs_pdg is not None:
-        groups.append(F.transform(F.filter("_fin", lambda p: F.abs(p["pid"]) != final_abs_pdg), lambda p: text("final id ", p["pid"])))
+        others = F.transform(F.filter("_fin", lambda p: F.abs(p["pid"]) != final_abs_pdg), lambda p: p["pid"].cast("string"))
+        groups.append(F.when(F.size(others) > 0, F.array(text("final id ", F.array_join(others, ",")))).otherwise(F.array().cast("array<string>")))
     for pid in forbid:
         groups.append(single(f"forbidden {pid}", F.array_contains(F.transform("_fin", lambda p: p["pid"]), pid)))
 
@@ -182,7 +199,8 @@ def check_events(
         off = F.abs(F.sqrt(F.greatest(F.lit(0.0), m2)) - F.abs(p["m"])) > tol
         return F.when(m2 < -tol, text("negative mass ", p["idx"])).when(off, text("mass ", p["idx"]))
 
-    groups.append(F.array_compact(F.transform("_act", mass_problem)))
+    massive = F.filter("_p", lambda p: p["status"].isin(*mass_status))
+    groups.append(F.array_compact(F.transform(massive, mass_problem)))
 
     def colour_problem(p):
         a = F.abs(p["pid"])
@@ -234,7 +252,7 @@ def check_events(
         groups.append(single("first pair", ~F.coalesce(ok, F.lit(False))))
     if isolated_singlet is not None:
         groups.append(single("no singlet", F.size(singlet_tags(isolated_singlet)) == 0))
-    errors = F.array_sort(F.flatten(F.array(*groups)))
+    errors = F.when(unreadable.isNotNull(), F.array(unreadable)).otherwise(F.array_sort(F.flatten(F.array(*groups))))
     return ev.withColumn("errors", errors).drop("_p", "_in", "_fin", "_act", "_ends", "_tags")
 
 

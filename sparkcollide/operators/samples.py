@@ -148,11 +148,11 @@ def attach_params(files: DataFrame, key: str, values: DataFrame | list, name: st
             raise ValueError(f"{name}: give one value, or a table keyed by {key}")
         return files.withColumn(name, F.lit(values[0] if values else default))
     out = files.join(values.select(key, F.col(name)), key, "left")
-    n_values, n_files = values.count(), files.count()
-    if n_values != n_files:
-        raise ValueError(f"{name}: expected 1 or {n_files} values, got {n_values}")
-    miss = F.raise_error(F.concat(F.lit(f"{name}: no value for "), F.col(key).cast("string"))).cast(values.schema[name].dataType)
-    return out.withColumn(name, F.coalesce(F.col(name), miss))
+    kind = values.schema[name].dataType
+    n_values, n_files = (d.agg(F.count("*")).scalar() for d in (values, files))
+    miss = F.raise_error(F.concat(F.lit(f"{name}: no value for "), F.col(key).cast("string"))).cast(kind)
+    other = F.raise_error(F.concat(F.lit(f"{name}: expected 1 or "), n_files.cast("string"), F.lit(" values, got "), n_values.cast("string"))).cast(kind)
+    return out.withColumn(name, F.when(n_values == n_files, F.coalesce(F.col(name), miss)).otherwise(other))
 
 
 def attach_sample_metadata(facts: DataFrame, samples: DataFrame, how: str = "left") -> DataFrame:

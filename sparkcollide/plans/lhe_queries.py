@@ -32,7 +32,7 @@ def parsed(spark, sf):
 
 
 def headers(spark, sf):
-    ev = lhe.parse_event_header(lhe.scan_lhe_events(spark, lhe_files(spark, sf)))
+    ev = lhe.parse_event_header(lhe.scan_lhe_events(spark, lhe_files(spark, sf)), strict=True)
     return ev.withColumns({"source": source_col(), "shard": shard_col()})
 
 
@@ -187,9 +187,9 @@ def str06(spark, sf):
 ERRORS = f"""{ENDS}, er AS (
  SELECT k, v, 'row count' AS m FROM o WHERE v=7
  UNION ALL SELECT k, v, concat('short row ', idx) FROM p WHERE NOT ok
- UNION ALL SELECT k, v, 'beam order' FROM p WHERE idx=1 AND pz < -pz
- UNION ALL SELECT k, v, 'final 3' FROM o WHERE v=6
- UNION ALL SELECT k, v, concat('final id ', pid) FROM p WHERE status=1 AND ok AND abs(pid)<>5
+ UNION ALL SELECT * FROM (
+ SELECT k, v, 'beam order' FROM p WHERE idx=1 AND pz < -pz
+ UNION ALL SELECT k, v, concat('final id ', string_agg(pid, ',' ORDER BY idx)) FROM p WHERE status=1 AND ok AND abs(pid)<>5 GROUP BY k, v
  UNION ALL SELECT k, v, 'forbidden 4' FROM p WHERE pid=4 AND ok
  UNION ALL SELECT k, v, concat('mass ', idx) FROM p WHERE ok AND idx>2 AND m<>4.75
  UNION ALL SELECT k, v, concat('no colour ', idx) FROM p WHERE ok AND c1=0 AND c2=0
@@ -198,12 +198,12 @@ ERRORS = f"""{ENDS}, er AS (
  UNION ALL SELECT k, k%10, concat('tag ', tag, ' ends ', n) FROM tg WHERE n<>2
  UNION ALL SELECT k, k%10, concat('tag ', tag, ' kinds ', kinds) FROM tg WHERE n=2 AND kinds<>'ac'
  UNION ALL SELECT k, k%10, concat('tag ', tag, ' self') FROM tg WHERE n=2 AND same
- UNION ALL SELECT o.k, o.v, 'no singlet' FROM o WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.k=o.k AND n=2 AND NOT same AND quark IS NOT NULL AND antiquark IS NOT NULL)),
+ UNION ALL SELECT o.k, o.v, 'no singlet' FROM o WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.k=o.k AND n=2 AND NOT same AND quark IS NOT NULL AND antiquark IS NOT NULL)) WHERE v NOT IN (6, 7)),
  ev AS (SELECT o.k, o.v, o.shard, coalesce(list(m ORDER BY m) FILTER (m IS NOT NULL), []) AS errors FROM o LEFT JOIN er USING (k) GROUP BY o.k, o.v, o.shard)"""
 
 
 def checked(spark, sf):
-    ev = ops.check_events(parsed(spark, sf), final_count=4, final_abs_pdg=5, forbid=(4,), isolated_singlet=5)
+    ev = ops.check_events(parsed(spark, sf), final_count=4, final_abs_pdg=5, forbid=(4,), beam_order=True, isolated_singlet=5)
     return ev.withColumn("shard", shard_col())
 
 

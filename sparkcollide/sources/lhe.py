@@ -7,6 +7,9 @@ contains the closing tag. Plain files stay splittable, gzip is one task each.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,12 +64,19 @@ def _tokens(line: Column) -> Column:
     return F.split(line, r"\s+")
 
 
-def parse_event_header(events: DataFrame) -> DataFrame:
-    """SRC02: nup, idprup, xwgtup, scale and couplings of each event."""
+def parse_event_header(events: DataFrame, strict: bool = False) -> DataFrame:
+    """SRC02: nup, idprup, xwgtup, scale and couplings of each event.
+
+    An unreadable value is null; in strict mode an unreadable weight raises.
+    """
     ev = events.withColumn("lines", payload_lines(F.col("event")))
     ev = ev.withColumn("_h", _tokens(F.get("lines", F.lit(0))))
     names = (("nup", "int"), ("idprup", "int"), ("xwgtup", "double"), ("scale", "double"), ("aqed", "double"), ("aqcd", "double"))
-    return ev.withColumns({n: F.get("_h", F.lit(i)).try_cast(t) for i, (n, t) in enumerate(names)}).drop("_h")
+    out = ev.withColumns({n: F.get("_h", F.lit(i)).try_cast(t) for i, (n, t) in enumerate(names)}).drop("_h")
+    if strict:
+        fail = F.raise_error(F.concat(F.lit("unreadable event header: "), F.coalesce(F.get("lines", F.lit(0)), F.lit("")))).cast("double")
+        out = out.withColumn("xwgtup", F.coalesce("xwgtup", fail))
+    return out
 
 
 def parse_rows(events: DataFrame) -> DataFrame:
@@ -79,6 +89,8 @@ def parse_rows(events: DataFrame) -> DataFrame:
     # each line is split once; the second pass only picks and casts tokens
     lines = F.slice("lines", F.lit(2), F.greatest(F.col("nup"), F.lit(0)))
     rows = F.transform(F.transform(lines, _tokens), row)
+    read = lambda p: reduce(and_, [p[n].isNotNull() for n, _ in PARTICLE], p["ok"])
+    rows = F.transform(rows, lambda p: p.withField("ok", read(p)))
     return parse_event_header(events).withColumn("particles", rows)
 
 

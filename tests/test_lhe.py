@@ -70,6 +70,44 @@ def test_log_values_must_agree(spark, folder):
         ops.log_xsec_override(inits, off).collect()
 
 
+def test_log_values_must_match_the_process_count(spark, folder):
+    inits = lhe.scan_lhe_init(spark, str(folder))
+    here = inits.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).first()["dir"]
+    line = "proc : 2.5 pb +- ( 0.05 pb = 2 %)"
+    logs = spark.createDataFrame([(here, "a.log", k, line) for k in range(2)], "dir string, log string, line_no int, line string")
+    assert ops.log_xsec_override(inits, logs).count() == 2  # one process: the first value
+    two = inits.withColumns({"nprup": F.lit(3), "processes": F.array_repeat(F.get("processes", F.lit(0)), 3)})
+    with pytest.raises(Exception, match="differ in number"):
+        ops.log_xsec_override(two, logs).collect()
+
+
+def test_unreadable_event_has_one_error(spark):
+    good = "<event>\n 2 1 1 1 1 1\n 21 -1 0 0 501 502 0 0 1 1 0 0 9\n 21 -1 0 0 502 501 0 0 -1 1 0 0 9\n</event>"
+    texts = {
+        "good": good, "header": good.replace(" 2 1 1", " x 1 1"), "word": good.replace("501 502 0 0 1", "501 502 0 y 1"),
+        "short": good.replace(" 0 0 9\n<", "\n<"), "count": good.replace(" 2 1 1", " 3 1 1"), "swapped": good.replace("0 0 1 1", "0 0 -2 2"),
+        "one": "<event>\n 1 1 1 1 1 1\n 21 -1 0 0 501 502 0 0 1 1 0 0 9\n</event>",
+    }
+    rows = lhe.parse_rows(spark.createDataFrame(list(texts.items()), "path string, event string").withColumn("pos", F.lit(0)))
+    got = {r["path"]: r["errors"] for r in ops.check_events(rows, final_count=4, beam_order=True).collect()}
+    assert (got["header"], got["word"], got["short"], got["count"]) == (["bad header"], ["short row 1"], ["short row 2"], ["row count"])
+    assert got["good"] == ["final 0"] and "beam order" in got["swapped"]
+    assert {"incoming 1", "beam order needs two"} <= set(got["one"])
+    assert [r["errors"] for r in ops.check_events(rows.where("path = 'swapped'")).collect()] == [[]]
+    massive = rows.withColumn("particles", F.transform("particles", lambda p: p.withField("m", F.lit(3.0))))
+    assert "mass 1" in ops.check_events(massive.where("path = 'good'")).first()["errors"]
+    assert ops.check_events(massive.where("path = 'good'"), mass_status=(1,)).first()["errors"] == []
+
+
+def test_unreadable_weight_raises(spark):
+    bad = spark.createDataFrame([("<event>\n 2 1 w 1 1 1\n</event>",)], "event string")
+    assert lhe.parse_event_header(bad).first()["xwgtup"] is None
+    with pytest.raises(Exception, match="unreadable event header"):
+        lhe.parse_event_header(bad, strict=True).collect()
+    with pytest.raises(Exception, match="no event header"):
+        spark.createDataFrame([("<event>\n 2 1\n</event>",)], "event string").select(ops.rewrite_event_weight(F.col("event"), F.lit(1.0))).collect()
+
+
 def test_round_trip_keeps_order_and_one_header(spark, folder, tmp_path):
     ev = lhe.scan_lhe_events(spark, str(folder)).withColumn("part", F.lit(0))
     head = spark.createDataFrame([(0, HEAD)], "part int, preamble string")
