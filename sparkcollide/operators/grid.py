@@ -50,10 +50,14 @@ def perturbativity(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ratio_grid(grid: DataFrame, at_zero: Column) -> DataFrame:
-    """INF08: ratio to the value at the origin; only positive ratios survive."""
-    z = F.when(at_zero > 0, at_zero).otherwise(F.raise_error(F.lit("reference value must be positive")).cast("double"))
-    ratio = F.col("value") / z
-    return grid.withColumn("ratio", F.when(ratio > 0, ratio)).withColumn("log_ratio", F.log10("ratio"))
+    """INF08: ratio to the value at the origin; only positive ratios survive.
+
+    Cells of a surface whose value at the origin is not positive have no ratio
+    and ``reference_ok`` false; other surfaces are not affected.
+    """
+    ok = F.coalesce(at_zero > 0, F.lit(False))
+    ratio = F.col("value") / F.when(ok, at_zero)
+    return grid.withColumns({"reference_ok": ok, "ratio": F.when(ratio > 0, ratio)}).withColumn("log_ratio", F.log10("ratio"))
 
 
 def log_levels(ratios: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,13 +157,13 @@ def marginalise_4d(surfaces: DataFrame, keys: list[str], events, delta: Column,
 
 
 def one_d_scan(surfaces: DataFrame, model: str, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
-    """INF17: value relative to the origin along each axis, others at zero."""
+    """INF17: value relative to the origin along each axis, others at zero; null where the origin is zero."""
     zero = {a: F.lit(0.0) for a in axes}
     parts = []
     for a, spec in axes.items():
         g = mesh_grid(surfaces, {"x": spec})
         v = cf.coupling_polynomial(model, {**zero, a: F.col("x")}, F.col("coefficients"))
-        parts.append(g.select("surface", F.lit(a).alias("axis"), "x", (v / cf.coupling_polynomial(model, zero, F.col("coefficients"))).alias("ratio")))
+        parts.append(g.select("surface", F.lit(a).alias("axis"), "x", F.try_divide(v, cf.coupling_polynomial(model, zero, F.col("coefficients"))).alias("ratio")))
     return reduce(lambda p, q: p.unionByName(q), parts)
 
 
@@ -173,7 +177,7 @@ def correlation_matrix(surfaces: DataFrame, model: str, axes: dict[str, tuple[fl
         for b in names[i + 1:]:
             g = mesh_grid(surfaces, {"x": axes[a], "y": axes[b]})
             v = cf.coupling_polynomial(model, {**zero, a: F.col("x"), b: F.col("y")}, F.col("coefficients"))
-            parts.append(g.select("surface", F.lit(f"{a}:{b}").alias("axes"), "x", "y", (v / base).alias("ratio")))
+            parts.append(g.select("surface", F.lit(f"{a}:{b}").alias("axes"), "x", "y", F.try_divide(v, base).alias("ratio")))
     return reduce(lambda p, q: p.unionByName(q), parts)
 
 

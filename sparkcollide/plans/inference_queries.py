@@ -207,11 +207,11 @@ def inf07(spark, sf):
     return gr.perturbativity(points(spark, sf).select("k", "c3", "d4"), ["k", "c3", "d4"]).select("k", r("max_wave").alias("max_wave"))
 
 
-@query("INF08_ratio_grid", f"{G2}, zz AS (SELECT surface, {SURF_VAL} AS z FROM (SELECT sf.*, CAST(0 AS DOUBLE) AS c3, CAST(0 AS DOUBLE) AS d4 FROM sf)) SELECT surface, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CASE WHEN value/z>0 THEN {R('value/z', 5)} END AS ratio FROM gv JOIN zz USING (surface) WHERE z > 0")
+@query("INF08_ratio_grid", f"{G2}, zz AS (SELECT surface, {SURF_VAL} AS z FROM (SELECT sf.*, CAST(0 AS DOUBLE) AS c3, CAST(0 AS DOUBLE) AS d4 FROM sf)) SELECT surface, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, z > 0 AS reference_ok, CASE WHEN z > 0 AND value > 0 THEN {R('value/z', 5)} END AS ratio FROM gv JOIN zz USING (surface)")
 def inf08(spark, sf):
-    base = surfaces(spark, sf, 15).withColumn("z", cf.evaluate_surface(F.lit(0.0), F.lit(0.0), F.col("coefficients"))).filter("z > 0")
+    base = surfaces(spark, sf, 15).withColumn("z", cf.evaluate_surface(F.lit(0.0), F.lit(0.0), F.col("coefficients")))
     g = gr.evaluate_grid(base, (-30.0, 30.0, 21), (-600.0, 600.0, 21), 1.0)
-    return gr.ratio_grid(g, F.col("z")).select("surface", F.col("i_c3").alias("ix"), F.col("i_d4").alias("iy"), r("ratio", 5).alias("ratio"))
+    return gr.ratio_grid(g, F.col("z")).select("surface", F.col("i_c3").alias("ix"), F.col("i_d4").alias("iy"), "reference_ok", r("ratio", 5).alias("ratio"))
 
 
 @query(
@@ -350,18 +350,18 @@ SCAN_AXES = {"c3": (-2.0, 2.0, 9), "d4": (-3.0, 3.0, 9), "ct2": (-1.0, 1.0, 9),
 _step = lambda a, i: f"({a[0]} + {i}*CAST({(a[1] - a[0]) / 8!r} AS DOUBLE))"
 
 
-@query("INF17_one_d_scan", f"WITH {surf_sql(25)} " + " UNION ALL ".join(f"SELECT surface, '{a}' AS axis, {R('x', 9)} AS x, {R(poly_sql('ct2ct3', {a: 'x'}) + '/q24', 5)} AS ratio FROM (SELECT sf.*, {_step(v, 'i')} AS x FROM sf, range(9) t(i)) WHERE q24 <> 0" for a, v in SCAN_AXES.items()))
+@query("INF17_one_d_scan", f"WITH {surf_sql(25)} " + " UNION ALL ".join(f"SELECT surface, '{a}' AS axis, {R('x', 9)} AS x, {R(poly_sql('ct2ct3', {a: 'x'}) + '/nullif(q24, 0)', 5)} AS ratio FROM (SELECT sf.*, {_step(v, 'i')} AS x FROM sf, range(9) t(i))" for a, v in SCAN_AXES.items()))
 def inf17(spark, sf):
-    s = surfaces(spark, sf, 25).filter(F.get("coefficients", F.lit(24)) != 0)
+    s = surfaces(spark, sf, 25)
     return gr.one_d_scan(s, "ct2ct3", SCAN_AXES).select("surface", "axis", r("x", 9).alias("x"), r("ratio", 5).alias("ratio"))
 
 
 _pairs = [(a, b) for i, a in enumerate(SCAN_AXES) for b in list(SCAN_AXES)[i + 1:]]
 
 
-@query("INF17_correlation_matrix", f"WITH {surf_sql(25)} " + " UNION ALL ".join(f"SELECT surface, '{a}:{b}' AS axes, {R('x', 9)} AS x, {R('y', 9)} AS y, {R(poly_sql('ct2ct3', {a: 'x', b: 'y'}) + '/q24', 5)} AS ratio FROM (SELECT sf.*, {_step(SCAN_AXES[a], 'i')} AS x, {_step(SCAN_AXES[b], 'j')} AS y FROM sf, range(9) t(i), range(9) u(j)) WHERE q24 <> 0" for a, b in _pairs))
+@query("INF17_correlation_matrix", f"WITH {surf_sql(25)} " + " UNION ALL ".join(f"SELECT surface, '{a}:{b}' AS axes, {R('x', 9)} AS x, {R('y', 9)} AS y, {R(poly_sql('ct2ct3', {a: 'x', b: 'y'}) + '/nullif(q24, 0)', 5)} AS ratio FROM (SELECT sf.*, {_step(SCAN_AXES[a], 'i')} AS x, {_step(SCAN_AXES[b], 'j')} AS y FROM sf, range(9) t(i), range(9) u(j))" for a, b in _pairs))
 def inf17c(spark, sf):
-    s = surfaces(spark, sf, 25).filter(F.get("coefficients", F.lit(24)) != 0)
+    s = surfaces(spark, sf, 25)
     return gr.correlation_matrix(s, "ct2ct3", SCAN_AXES).select("surface", "axes", r("x", 9).alias("x"), r("y", 9).alias("y"), r("ratio", 5).alias("ratio"))
 
 
