@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
+SHARE = 1024  # a key with more than 1 / SHARE of all lookups is hot, hence fewer than SHARE of them
+SALTS = 64  # parts of a hot key
 
 
 def host_of(url: Column) -> Column:
@@ -47,19 +49,30 @@ def lookup_keys(url: Column) -> Column:
     return F.when(host == "", F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
+def hot_keys(keyed: DataFrame) -> DataFrame:
+    """(hot): the keys of more than 1 / SHARE of all rows; there are fewer than SHARE, whatever the input."""
+    total = keyed.agg(F.count("*")).scalar()
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SHARE > total).select(F.col("key").alias("hot"))
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(page_id, url, fetched_at, host, action, list, pattern, valid_from, valid_to), one row per distinct capture.
 
     ``captures``: (page_id, url, fetched_at); other columns are not read.
     Nothing in force: the last five are null.  A null or relative URL, or a null
     time, matches nothing and keeps its row.  Both join sides are dealt by the
-    pattern, whose intervals are few; captures of a hot host are an ordinary
-    skewed join side, and are reduced to one row each before they are dealt again.
+    pattern, whose intervals are few; captures of a hot pattern are dealt into
+    SALTS parts, each of which meets a copy of the pattern's intervals, and are
+    reduced to one row each before they are dealt again.
     """
     rows = captures.select("page_id", "url", "fetched_at")
     keyed = rows.select("*", F.explode(lookup_keys(F.col("url"))).alias("key"))
-    active = intervals(entries)
-    holds = (F.col("key") == F.col("pattern")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
+    hot = F.broadcast(hot_keys(keyed.select("key")))
+    salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(SALTS)).cast("int"))
+    keyed = keyed.join(hot, F.col("key") == F.col("hot"), "left").select("page_id", "url", "fetched_at", "key", salt.alias("salt"))
+    parts = F.sequence(F.lit(0), F.when(F.col("hot").isNull(), 0).otherwise(SALTS - 1))
+    active = intervals(entries).join(hot, F.col("pattern") == F.col("hot"), "left").select("list", "pattern", "action", "valid_from", "valid_to", F.explode(parts).alias("part"))
+    holds = (F.col("key") == F.col("pattern")) & (F.col("salt") == F.col("part")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     met = keyed.join(active, holds, "left")
     # longest pattern first, then block before allow, then the list's name
     rank = F.struct(F.length("pattern").alias("size"), (F.col("action") == "block").alias("block"), F.col("list"), F.col("pattern"), F.col("action"), F.col("valid_from"), F.col("valid_to"))
