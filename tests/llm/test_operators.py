@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkcollide.llm import bpe, fingerprints, jaccard, kneser_ney, packing, queries, secrets, substring, toxicity, url_filter, vectors
 from sparkcollide.llm.words import chunks
@@ -45,6 +46,17 @@ def test_url_lists_ties_nulls_and_repeats(spark):
     assert url_filter.filter_urls(caps.limit(0), entries).count() == 0
 
 
+def test_url_lists_hot_pattern(spark):
+    caps = spark.range(4000).selectExpr("id as page_id", "if(id % 2 = 0, 'http://hot.com/a', concat('http://h', id, '.org/')) as url", "date_add(date'2020-01-01', cast(id % 100 as int)) as fetched_at")
+    keyed = caps.select(F.explode(url_filter.lookup_keys(F.col("url"))).alias("key"))
+    assert {r["hot"] for r in url_filter.hot_keys(keyed).collect()} == {"hot.com", "com", "org"}
+    entries = spark.sql("select * from values ('l', 'hot.com', 'block', date'2020-01-01'), ('l', 'hot.com', 'allow', date'2020-02-01'), ('m', 'h7.org', 'allow', date'2019-01-01') as t(list, pattern, action, effective_at)")
+    got = by_id(url_filter.filter_urls(caps, entries), "page_id")
+    assert len(got) == 4000
+    for i, r in got.items():
+        assert r["action"] == (("block" if i % 100 < 31 else "allow") if i % 2 == 0 else "allow" if i == 7 else None)
+
+
 def test_guess_cost():
     words = secrets.dictionary(WORDS)
     cost = lambda v: secrets.guess_cost(v, words)[0]
