@@ -201,6 +201,18 @@ def test_vectors(spark):
     assert vectors.passes_for(10**6, 0.9) > vectors.passes_for(10**4, 0.9)
 
 
+def test_vectors_dense_group(spark):
+    """A group of distinct near copies far larger than three blocks keeps its links."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((1800, 64))
+    x[:1200] = r.standard_normal(64) + 0.3 * x[:1200]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    deg = (x @ x.T >= 0.9).sum(1) - 1
+    got = np.array([n for _, n in sorted((r["vec_id"], r["n_links"]) for r in vectors.near_duplicates(df, block=16).collect())])
+    assert deg.sum() > 500_000 and (got <= deg).all() and got.sum() >= vectors.RECALL * deg.sum()
+
+
 def test_language_model(spark):
     docs = clashing(documents(spark))
     got = by_id(kneser_ney.op9_language_model(docs))
