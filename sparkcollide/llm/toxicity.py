@@ -43,16 +43,17 @@ JUNK = re.compile(r"[\W\d_]+")
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray, decay: float = DECAY, order: int = ORDER) -> np.ndarray:
     """Kernel of many pairs of words: rows of letter codes, 0 and -1 as fillers of the two sides."""
-    n, la, lb = len(a), a.shape[1], b.shape[1]
-    same = a[:, :, None] == b[:, None, :]
+    a, b = a.T.copy(), b.T.copy()  # the pairs are the last axis, hence contiguous
+    n, la, lb = a.shape[1], len(a), len(b)
+    same = a[:, None] == b[None]
     ends = same * decay**2
     for _ in range(order - 1):
-        upto = np.zeros((n, la + 1, lb + 1))
+        upto = np.zeros((la + 1, lb + 1, n))
         for i in range(la):
             for j in range(lb):
-                upto[:, i + 1, j + 1] = ends[:, i, j] + decay * (upto[:, i, j + 1] + upto[:, i + 1, j]) - decay**2 * upto[:, i, j]
-        ends = same * decay**2 * upto[:, :-1, :-1]
-    return ends.sum((1, 2))
+                upto[i + 1, j + 1] = ends[i, j] + decay * (upto[i, j + 1] + upto[i + 1, j]) - decay**2 * upto[i, j]
+        ends = same * decay**2 * upto[:-1, :-1]
+    return ends.sum((0, 1))
 
 
 def _codes(words: list[str], filler: int) -> np.ndarray:
@@ -94,6 +95,7 @@ class Kernel:
         """Kernel of words[left] with landmarks[right], grouped by length so that little is padded."""
         out = np.zeros(len(left))
         size = np.array([len(w) for w in words])
+        wide = np.array([len(m) for m in self.landmarks])
         own = np.zeros(len(words))
         for at in range(1, LONGEST + 1, 3):
             rows = np.flatnonzero((size >= at) & (size < at + 3))
@@ -102,6 +104,7 @@ class Kernel:
                 c = _codes([words[r] for r in some], 0)
                 own[some] = subsequence_kernel(c, np.where(c == 0, -1, c))
             chosen = np.flatnonzero(np.isin(left, rows))
+            chosen = chosen[np.argsort(wide[right[chosen]], kind="stable")]
             for k in range(0, len(chosen), 1000):
                 some = chosen[k : k + 1000]
                 a, b = _codes([words[r] for r in left[some]], 0), _codes([self.landmarks[r] for r in right[some]], -1)
@@ -115,29 +118,45 @@ class Kernel:
     def learn(self, words: list[str]) -> None:
         """Fill the bounded cache: word to its kernel row, None where all values are 0.
 
-        A value is 0 by definition where the word has fewer than two thirds of
-        the landmark's neighbouring letter pairs, up to two letters between them.
+        A word more than twice as long as a landmark counts with its best part
+        of that length, or as a whole where that is closer.  A value is 0 by
+        definition where the word has fewer than two thirds of the landmark's
+        neighbouring letter pairs, up to two letters between them.
         """
         parts = {w: [p for p in _parts(w) if len(p) >= ORDER] for w in words}
         flat = sorted({p for ps in parts.values() for p in ps})
         rows: dict[str, np.ndarray] = {}
         if flat and self.landmarks:
-            want = _letters(_codes(self.landmarks, 0), 1)
-            has = np.concatenate([_letters(_codes(flat[k : k + 10_000], 0), 3) for k in range(0, len(flat), 10_000)], 1)
-            length, size = np.array([len(p) for p in flat]), np.array([len(m) for m in self.landmarks])
-            lefts, rights = [], []
-            for j in range(len(self.landmarks)):
-                fits = (length >= 0.6 * size[j]) & (length <= 2 * size[j])
-                for lane in range(2):
-                    fits &= 3 * np.bitwise_count(has[lane] & want[lane, j]) >= 2 * np.bitwise_count(want[lane, j])
-                lefts.append(np.flatnonzero(fits))
-                rights.append(np.full(len(lefts[-1]), j))
-            left, right = np.concatenate(lefts), np.concatenate(rights)
-            used, left = np.unique(left, return_inverse=True)
-            some = [flat[k] for k in used]
-            value = self.pairs(some, left, right) if some else np.zeros(0)
+            want, size = _letters(_codes(self.landmarks, 0), 1), np.array([len(m) for m in self.landmarks])
+
+            def masks(some):
+                return np.concatenate([_letters(_codes(some[k : k + 10_000], 0), 3) for k in range(0, len(some), 10_000)], 1)
+
+            def fits(has, j):
+                return np.logical_and.reduce([3 * np.bitwise_count(has[lane] & want[lane, j]) >= 2 * np.bitwise_count(want[lane, j]) for lane in range(2)])
+
+            has, length = masks(flat), np.array([len(p) for p in flat])
+            item = {p: k for k, p in enumerate(flat)}
+            lefts, rights, owners = [], [], []
+            for n in np.unique(size).tolist():
+                alike = np.flatnonzero(size == n)
+                fit = np.array([fits(has, j) for j in alike])
+                cut = [(k, flat[k][at : at + 2 * n]) for k in np.flatnonzero(fit.any(0) & (length > 2 * n)).tolist() for at in range(0, len(flat[k]) - n, n)]
+                owner, within = np.array([k for k, _ in cut], int), np.array([item.setdefault(p, len(item)) for _, p in cut], int)
+                inner = masks([p for _, p in cut]) if cut else np.zeros((2, 0), np.uint64)
+                for j, whole in zip(alike, fit, strict=True):
+                    a, b = np.flatnonzero(whole), np.flatnonzero(whole[owner] & fits(inner, j))
+                    lefts += [a, within[b]]
+                    owners += [a, owner[b]]
+                    rights.append(np.full(len(a) + len(b), j))
+            left, right, owner = np.concatenate(lefts), np.concatenate(rights), np.concatenate(owners)
+            pair, each = np.unique(left * len(size) + right, return_inverse=True)
+            used, left = np.unique(pair // len(size), return_inverse=True)
+            names = list(item)
+            value = self.pairs([names[k] for k in used], left, pair % len(size))[each] if len(used) else np.zeros(0)
             for k in np.flatnonzero(value):
-                rows.setdefault(some[left[k]], np.zeros(len(self.landmarks)))[right[k]] = value[k]
+                row = rows.setdefault(flat[owner[k]], np.zeros(len(size)))
+                row[right[k]] = max(row[right[k]], value[k])
         for w, ps in parts.items():
             hits = [rows[p] for p in ps if p in rows]
             self.known[w] = np.maximum.reduce(hits) if hits else None

@@ -268,6 +268,22 @@ def test_subsequence_kernel():
     assert toxicity.subsequence_kernel(a, toxicity._codes(["cat"], -1), 0.5)[0] == pytest.approx(0.5**6)
 
 
+def test_kernel_of_stretched_and_joined_words():
+    """No length limit: values are the kernel's own, and long words count with their best part."""
+    k = toxicity.Kernel(["idiot", "stupid"])
+    words = ["iiddiioottt", "youaresostupid", "stupididiot", "what" * 5 + "stupid" + "river" * 4, "garden" * 5]
+    k.learn(words)
+    value = [np.zeros(2) if k.known[w] is None else k.known[w] for w in words]
+    code = lambda w, filler: toxicity._codes([w], filler)
+    own = lambda w: toxicity.subsequence_kernel(code(w, 0), code(w, -1))[0]
+    plain = lambda a, b: (toxicity.subsequence_kernel(code(a, 0), code(b, -1))[0] / math.sqrt(own(a) * own(b))) ** toxicity.SHARP
+    least = lambda a, b: plain(a, b) * (1 - 1e-9)
+    assert value[0][0] >= least(words[0], "idiot") > 0.5
+    assert value[1][1] >= least(words[1], "stupid") > 0.1
+    assert value[2][0] >= least("didiot", "idiot") > 0.2 and value[2][1] >= least(words[2], "stupid") > 0.15
+    assert value[3][1] > 0.1 and not value[4].any()
+
+
 def test_toxicity(spark):
     import random
 
