@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,15 +121,52 @@ def limit_scan(points: DataFrame, background: Column, s95: Column, luminosity: f
 
 
 # --- least squares --------------------------------------------------------------------
-def least_squares(df: DataFrame, terms: list[Column], value: Column, error: Column) -> dict:
-    """Normal equations in one pass; only k(k+1)/2 + k sums reach the driver."""
+def _normal_sums(df: DataFrame, terms: list[Column], value: Column, error: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of the normal equations, one row for each group of ``keys``."""
     k = len(terms)
     names = [f"_t{i}" for i in range(k)]
-    rows = df.select(*[t.alias(n) for t, n in zip(terms, names)], value.alias("_v"), error.alias("_e"))
+    rows = df.select(*keys, *[t.alias(n) for t, n in zip(terms, names)], value.alias("_v"), error.alias("_e"))
     rows = rows.selectExpr("*", "1/(_e*_e) AS _w")
     upper = [(i, j) for i in range(k) for j in range(i, k)]
     sums = [f"sum(_t{i}*_t{j}*_w) AS g{i}_{j}" for i, j in upper] + [f"sum(_t{i}*_t{j}) AS d{i}_{j}" for i, j in upper]
-    got = rows.selectExpr("count(*) AS n", *sums, *[f"sum(_t{i}*_v*_w) AS b{i}" for i in range(k)]).first()
+    return rows.groupBy(*keys).agg(*map(F.expr, ["count(*) AS n", *sums, *[f"sum(_t{i}*_v*_w) AS b{i}" for i in range(k)]]))
+
+
+def least_squares(df: DataFrame, terms: list[Column], value: Column, error: Column) -> dict:
+    """Normal equations in one pass; only k(k+1)/2 + k sums reach the driver."""
+    return _solved(_normal_sums(df, terms, value, error).first(), len(terms))
+
+
+def least_squares_by(df: DataFrame, key: str, terms: list[Column], value: Column, error: Column) -> DataFrame:
+    """One fit for each value of ``key``: (key, status, n_points, coefficients); each small solve is a row of its group's sums."""
+    sums, k = _normal_sums(df, terms, value, error, (key,)), len(terms)
+
+    def solve(batches):
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(key), ("status", pa.string()), ("n_points", pa.int64()), ("coefficients", pa.list_(pa.float64()))])
+            for row in batch.to_pylist():
+                fit = _solved(row, k)
+                yield pa.RecordBatch.from_pylist([{key: row[key], "status": fit["status"], "n_points": fit["n_points"], "coefficients": fit["coefficients"]}], schema=schema)
+
+    return sums.mapInArrow(solve, f"`{key}` {sums.schema[key].dataType.simpleString()}, status string, n_points long, coefficients array<double>")
+
+
+def surface_recovery(surfaces: DataFrame, points: DataFrame) -> DataFrame:
+    """INF04: each of the known surfaces (surface, coefficients) is evaluated at the points (c3, d4), fitted on its own and compared.
+
+    (surface, coefficients, status, gap): the sum of absolute differences of the
+    coefficients, null where the surface could not be fitted.
+    """
+    # the known surfaces are few, the points are not
+    rows = points.select("c3", "d4").crossJoin(F.broadcast(surfaces)).withColumn("value", cf.evaluate_surface(F.col("c3"), F.col("d4"), F.col("coefficients")))
+    rows = rows.where(F.abs("value") < float("inf"))
+    fit = least_squares_by(rows, "surface", cf.chebyshev_basis(F.col("c3"), F.col("d4")), F.col("value"), F.lit(0.1))
+    fit = fit.select(F.col("surface").alias("_s"), "status", F.col("coefficients").alias("_f"))
+    gap = F.aggregate(F.zip_with("coefficients", "_f", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda x, y: x + y)
+    return surfaces.join(fit, F.col("surface").eqNullSafe(F.col("_s")), "left").select("surface", "coefficients", F.coalesce("status", F.lit("skipped")).alias("status"), gap.alias("gap"))
+
+
+def _solved(got, k: int) -> dict:
     if got["n"] < k:
         return {"status": "skipped", "n_points": got["n"], "n_terms": k, "coefficients": None}
     full = lambda p: np.array([[got[f"{p}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])

@@ -7,6 +7,8 @@ particles per event is ever put side by side.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -265,6 +267,24 @@ def rotate_to(df: DataFrame, items: list[tuple[int, int]]) -> DataFrame:
     return _transformed(df, reference_sum(df, items), kin.rotate_to_z)
 
 
+def all_to_reference(df: DataFrame, items: list[tuple[int, int]], fn, least_mass: float | None = None) -> DataFrame:
+    """SCL07 for all events: boost_to() or rotate_to() by ``fn``, and a status.
+
+    Events that lack one of the references ('no_reference'), and those whose
+    reference is no heavier than ``least_mass`` ('light_like'), keep their
+    particles, with null momenta.
+    """
+    refs = [nth(df, flavour, item).select("event_id", "e", "px", "py", "pz") for flavour, item in items]
+    ref = reduce(DataFrame.unionByName, refs).groupBy("event_id").agg(F.count("*").alias("r_n"), *[F.sum(c).alias("r_" + c) for c in ("e", "px", "py", "pz")])
+    ref = ref.where(F.col("r_n") == len(items)).drop("r_n")
+    out = df.join(ref, "event_id", "left")
+    light = F.lit(False) if least_mass is None else ~(Vec.cols("r_").mass() > least_mass)
+    status = F.when(F.col("r_e").isNull(), "no_reference").when(light, "light_like").otherwise("ok")
+    v = fn(Vec.cols(), Vec.cols("r_"))
+    momenta = [F.when(status == "ok", x).alias(c) for c, x in (("e", v.e), ("px", v.px), ("py", v.py), ("pz", v.pz))]
+    return out.select(*[c for c in df.columns if c not in ("e", "px", "py", "pz")], *momenta, status.alias("status"))
+
+
 def missing_momentum(df: DataFrame, flavours: tuple[int, ...]) -> DataFrame:
     """SCL08: listed flavours replaced by one pseudo-particle (id 0) per event."""
     lost = F.abs("pid").isin(*flavours)

@@ -220,6 +220,27 @@ def scl07r(spark, sf):
     return out.select("event_id", *fixtures.JET_KEYS, r("e", 5).alias("e"), r("px", 4).alias("px"), r("pz", 4).alias("pz"))
 
 
+# the two queries above are, by their SQL, on events with both references; these are on all events
+@query(
+    "SCL07_boost_reference_all",
+    f"""{P}, {REF}, b AS (SELECT parts.*, re, rx, ry, rz, sqrt(abs(re*re-rx*rx-ry*ry-rz*rz)) AS m, (re*e-px*rx-py*ry-pz*rz)/nullif(sqrt(abs(re*re-rx*rx-ry*ry-rz*rz)),0) AS en FROM parts LEFT JOIN rf USING (event_id))
+ SELECT event_id, {K3}, CASE WHEN re IS NULL THEN 'no_reference' WHEN m > 5 THEN 'ok' ELSE 'light_like' END AS status, CASE WHEN m > 5 THEN {R('en', 3)} END AS e, CASE WHEN m > 5 THEN {R('px-(e+en)/(re+m)*rx', 3)} END AS px, CASE WHEN m > 5 THEN {R('pz-(e+en)/(re+m)*rz', 3)} END AS pz FROM b""",
+)
+def scl07ba(spark, sf):
+    out = ops.all_to_reference(rows(spark, sf), [(5, 0), (-5, 0)], kin.boost, 5.0)
+    return out.select("event_id", *fixtures.JET_KEYS, "status", *[r(c, 3).alias(c) for c in ("e", "px", "pz")])
+
+
+@query(
+    "SCL07_rotate_reference_all",
+    f"""{P}, {REF}, n AS (SELECT event_id, rx/sqrt(rx*rx+ry*ry+rz*rz) AS nx, ry/sqrt(rx*rx+ry*ry+rz*rz) AS ny, rz/sqrt(rx*rx+ry*ry+rz*rz) AS nz FROM rf)
+ SELECT event_id, {K3}, CASE WHEN nx IS NULL THEN 'no_reference' ELSE 'ok' END AS status, CASE WHEN nx IS NOT NULL THEN {R('e', 5)} END AS e, {R('nz*px-nx*pz+ny*(ny*px-nx*py)/(1+nz)', 4)} AS px, {R('nx*px+ny*py+nz*pz', 4)} AS pz FROM parts LEFT JOIN n USING (event_id)""",
+)
+def scl07ra(spark, sf):
+    out = ops.all_to_reference(rows(spark, sf), [(5, 0), (-5, 0)], kin.rotate_to_z)
+    return out.select("event_id", *fixtures.JET_KEYS, "status", r("e", 5).alias("e"), r("px", 4).alias("px"), r("pz", 4).alias("pz"))
+
+
 @query("SCL08_missing_momentum", f"{P}, m AS (SELECT event_id, pid, e, px, pz FROM parts WHERE abs(pid)<>12 UNION ALL SELECT event_id, 0, sum(CASE WHEN abs(pid)=12 THEN e ELSE 0 END), sum(CASE WHEN abs(pid)=12 THEN px ELSE 0 END), sum(CASE WHEN abs(pid)=12 THEN pz ELSE 0 END) FROM parts GROUP BY event_id) SELECT event_id, pid, count(*) AS n, {R('sum(e)', 5)} AS e, {R('sum(px)', 5)} AS px, {R('sum(pz)', 5)} AS pz FROM m GROUP BY event_id, pid")
 def scl08(spark, sf):
     m = ops.missing_momentum(fixtures.particles(spark, sf), (12,))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkcollide.functions import couplings as cf
 from sparkcollide.operators import hist, inference, lhe, ml, reco, samples, select
+from sparkcollide.plans import inference_queries, load_all
 from sparkcollide.plans.event_queries import accepted, reconstructed
+from sparkcollide.plans.registry import QUERIES
 from sparkcollide.sources import fixtures
 
 
@@ -81,6 +83,22 @@ def test_fit_recovers_known_surface(spark):
     assert inference.fit_surface(pts.limit(10)).first()["status"] == "skipped"
 
 
+def test_each_surface_is_fitted(spark, sf, monkeypatch):
+    two = spark.createDataFrame([("a", [0.5] * 15), ("b", [0.5] * 14 + [None])], "surface string, coefficients array<double>")
+    assert {r["surface"]: r["status"] for r in inference.surface_recovery(two, inference_queries.points(spark, sf)).collect()} == {"a": "ok", "b": "skipped"}
+    monkeypatch.setattr(inference_queries, "surfaces", lambda *_: two)
+    got = inference_queries.inf04r(spark, sf).collect()
+    assert {r["surface"]: r["recovered"] for r in got} == {"a": True, "b": False}
+
+
+@pytest.mark.parametrize("name", ["boost", "rotate"])
+def test_events_without_references_stay(spark, sf, name):
+    load_all()
+    got = QUERIES[f"SCL07_{name}_reference_all"](spark, sf)
+    assert got.count() == fixtures.particles(spark, sf).count() > QUERIES[f"SCL07_{name}_reference"](spark, sf).count()
+    assert got.where("status = 'no_reference' and e is null").count() == got.where("status = 'no_reference'").count() > 0
+
+
 def test_finalize_and_restore_are_inverse(spark):
     h = spark.createDataFrame([("h", 1, 3.0, 5.0, 7.0), ("h", 2, 1.0, 1.0, 7.0)], "hist string, bin int, y double, y2 double, fills double")
     back = hist.restore(hist.finalize(h, 0.5), 0.5).orderBy("bin").collect()
