@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkcollide.llm import bpe, fingerprints, jaccard, kneser_ney, packing, secrets, substring, toxicity, url_filter, vectors
+from sparkcollide.llm import bpe, conversations, fingerprints, jaccard, kneser_ney, nearest, packing, periods, secrets, substring, toxicity, url_filter, vectors
 from sparkcollide.session import table
 
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -56,6 +56,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op10_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.op11_repair(table(spark, sf_dir, "conversations"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.op12_runs(table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.op13_nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filter": op1,
     "op2_secret_scan": op2,
@@ -67,5 +79,8 @@ QUERIES = {
     "op8_embedding_dedup": op8,
     "op9_language_model": op9,
     "op10_fingerprints": op10,
+    "op11_conversation_repair": op11,
+    "op12_periodic_runs": op12,
+    "op13_nearest_neighbours": op13,
 }
 ORACLES: dict[str, str] = {"op1_url_filter": url_filter.ORACLE}
