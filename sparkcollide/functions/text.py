@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"
 # Fixed value: run directory naming.
 RUN_NAME = rf"run_gg_4h_([^_/]+)_({NUMBER})_({NUMBER})"
+# Fixed value: terminal colour codes.
 ANSI = r"\x1b\[[0-9;]*m"
 
 

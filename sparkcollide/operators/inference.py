@@ -7,23 +7,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkcollide.functions import couplings as cf
+from sparkcollide.functions import poisson
 
 
 # --- Poisson ------------------------------------------------------------------------
-def poisson_cdf(n: Column, mean: Column) -> Column:
-    """INF01: P(k <= n) by a running log-sum-exp over the series."""
-    start = F.struct((-mean).alias("lt"), (-mean).alias("m"), F.lit(1.0).alias("s"))
+@F.pandas_udf(T.DoubleType())
+def _cdf(n: pd.Series, mean: pd.Series) -> pd.Series:
+    return pd.Series(np.exp(poisson.log_cdf(n.to_numpy(float), mean.to_numpy(float))))
 
-    def step(acc, k):
-        lt = acc["lt"] + F.log(mean) - F.log(k.cast("double"))
-        m = F.greatest(acc["m"], lt)
-        return F.struct(lt.alias("lt"), m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(lt - m)).alias("s"))
 
-    seq = F.when(n >= 1, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(seq, start, step, lambda a: F.exp(a["m"]) * a["s"])
-    return F.when(n < 0, 0.0).when(mean == 0, 1.0).otherwise(F.least(F.lit(1.0), total))
+def poisson_cdf(n: Column, mean: Column) -> Column:
+    """INF01: P(k <= n) by the incomplete gamma function, in memory that does not depend on n."""
+    return _cdf(n.cast("double"), mean.cast("double"))
 
 
 def poisson_median(mean: Column) -> Column:
@@ -41,58 +39,26 @@ def poisson_median(mean: Column) -> Column:
     return F.when(mean <= 0, 0).when(mean > 100, F.greatest(F.lit(0), large)).otherwise(small)
 
 
-#: Terms of one matrix of an Arrow batch, and the largest signal a limit is looked for.
-TERMS = 1 << 20
-BRACKET = 1e9
-
-
 def upper_limit(method: str = "cls", cl: float = 0.95):
-    """INF02: vectorised bracket-and-bisect limit; (background, observed) -> signal.
+    """INF02: (background, observed) -> largest signal compatible with the observed count.
 
-    Plain series algebra on Arrow batches; the work per row depends on the
-    observed count only. A background probability of zero and a limit above
-    BRACKET raise.
+    ``cls`` divides by the probability without signal, ``classical`` does not.
+    Steps and memory a row do not grow with its counts, but for the square root
+    in the gamma function. A count that is impossible without signal and a limit
+    above 1e9 raise.
     """
     if method not in ("cls", "classical"):
-        raise ValueError("method must be 'cls' or 'classical'")
+        raise ValueError(f"unknown limit method {method!r}: cls or classical")
     if not 0.0 < cl < 1.0:
-        raise ValueError("confidence level must be between 0 and 1")
-    alpha = 1.0 - cl
+        raise ValueError(f"confidence level {cl} is not inside (0, 1)")
 
     @F.pandas_udf("double")
     def limit(background: pd.Series, observed: pd.Series) -> pd.Series:
-        b, n = background.to_numpy(float), observed.to_numpy(int)
-        if len(b) and (b.min() < 0 or n.min() < 0):
-            raise ValueError("background and observed events must be non-negative")
-        out = np.empty(len(b))
-        for obs in np.unique(n):  # rows that share a count share one series length
-            every = np.flatnonzero(n == obs)
-            logfact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, obs + 1)))])
-            k = np.arange(obs + 1)
-
-            def cdf(mean):
-                mean = np.maximum(mean, 1e-300)[:, None]
-                logs = -mean + k * np.log(mean) - logfact
-                top = logs.max(axis=1, keepdims=True)
-                return np.exp(top[:, 0]) * np.exp(logs - top).sum(axis=1)
-
-            step = max(1, TERMS // (int(obs) + 1))  # bounds the rows x terms matrix
-            for at in range(0, len(every), step):
-                rows = every[at : at + step]
-                base = cdf(b[rows]) if method == "cls" else np.ones(len(rows))
-                if not (base > 0).all():
-                    raise ValueError("background probability is zero: the limit is undefined")
-                tail = lambda s, rows=rows, base=base: cdf(b[rows] + s) / base
-                lo, hi = np.zeros(len(rows)), np.maximum(1.0, np.sqrt(b[rows] + obs + 1.0) + 3.0)
-                while (above := tail(hi) > alpha).any():
-                    hi = np.where(above, 2 * hi, hi)
-                    if hi.max() > BRACKET:
-                        raise ValueError("no upper limit found below the bracket limit")
-                for _ in range(100):
-                    mid = 0.5 * (lo + hi)
-                    above = tail(mid) > alpha
-                    lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-                out[rows] = 0.5 * (lo + hi)
+        b, n = background.to_numpy(float), observed.to_numpy(float)
+        if len(b) and (np.nanmin(b) < 0 or np.nanmin(n) < 0):
+            raise ValueError(f"background {np.nanmin(b)} or count {np.nanmin(n)} is below zero")
+        out, known = np.full(len(b), np.nan), np.flatnonzero(~np.isnan(b) & ~np.isnan(n))
+        out[known] = poisson.signal_limit(b[known], n[known], 1.0 - cl, method == "cls")
         return pd.Series(out)
 
     return limit

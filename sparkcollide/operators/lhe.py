@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcollide.session import cut_lineage
+from sparkcollide.functions.text import strip_ansi
 
 # Coloured PDG ids are the six quarks and the gluon.
 COLOURED = (1, 2, 3, 4, 5, 6, 21)
@@ -46,14 +46,42 @@ def init_compatibility(inits: DataFrame, abs_tol: float = 0.0, rel_tol: float =
     return rows.withColumn("problem", F.explode(problems)).select("path", F.col("_r.ref_path").alias("reference"), "problem")
 
 
-ANSI = r"\x1b\[[0-9;]*m"
+def guard(like: DataFrame, error: Column) -> DataFrame:
+    """No rows of the columns of ``like``, but a failure where ``error`` (a message from scalars) is not null.
+
+    Union it to a result: it costs nothing per row and also looks at an empty one.
+    """
+    wrong = F.when(error.isNull(), F.lit(False)).otherwise(F.raise_error(error).cast("boolean"))
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema]
+    return like.sparkSession.range(1).where(wrong).select(*nulls)
+
+
+def merge_shards(
+    events: DataFrame, inits: DataFrame, expected_events: int | Column | None = None, abs_tol: float = 0.0, rel_tol: float = 1e-9, relaxed: bool = False
+) -> DataFrame:
+    """SET01: the events of all shards; headers that disagree, or another number of events than expected, raise.
+
+    ``inits`` are the headers of the same files. Counting the events needs a scan
+    of its own only if a number is expected.
+    """
+    odd = init_compatibility(inits, abs_tol, rel_tol, relaxed)
+    odd = odd.agg(F.min(F.concat("path", F.lit(": "), "problem", F.lit(" differs from "), "reference")).alias("m")).scalar()
+    none = F.when(inits.agg(F.count("*").alias("n")).scalar() == 0, "no run headers found")
+    checks = [odd, none]
+    if expected_events is not None:
+        want = expected_events if isinstance(expected_events, Column) else F.lit(expected_events)
+        have = events.agg(F.count("*").alias("n")).scalar()
+        checks.append(F.when(have != want, F.concat(F.lit("expected "), want.cast("string"), F.lit(" events, found "), have.cast("string"))))
+    return events.union(guard(events, F.coalesce(*checks)))
+
+
 # Fixed value: the cross-section line printed by the generator.
 XSEC_LINE = r":\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)\s*pb\s*\+-\s*\(\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)\s*pb"
 
 
 def log_cross_sections(logs: DataFrame) -> DataFrame:
     """(dir, log, line_no, line) -> numbered cross-section values per log."""
-    line = F.regexp_replace("line", ANSI, "")
+    line = strip_ansi(F.col("line"))
     hits = logs.select(
         "dir", "log", "line_no",
         F.regexp_extract(line, XSEC_LINE, 1).try_cast("double").alias("xsec"),

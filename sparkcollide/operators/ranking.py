@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,33 +22,98 @@ def leading_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def split_points(df: DataFrame, key: Column, buckets: int, oversample: int = 40) -> list:
-    """Quantile boundaries of ``key`` from a bounded, repeatable hash sample of its distinct values.
-
-    Only ``buckets * oversample`` keys reach the driver, whatever the input size.
-    """
-    rows = df.select(key.alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k")).limit(buckets * oversample).orderBy("k").collect()
-    ks = [r["k"] for r in rows]
-    if len(ks) <= 1:
-        return []
-    step = len(ks) / min(buckets, len(ks))
-    return sorted({ks[int(i * step)] for i in range(1, min(buckets, len(ks)))})
+#: Quantiles taken for each bucket, and their accuracy: shares of a bucket.
+FINE = 10
+ACCURACY = 40
+_LARGEST = 1.7976931348623157e308
 
 
-def bucket_of(df: DataFrame, key: str, points: list) -> Column:
-    """Number of boundaries at or below ``key``, -1 for NULL: a binary search as nested CASE.
+def sort_code(df: DataFrame, column: Column) -> Column:
+    """A double that never falls where ``column`` rises; nulls come first, NaN last.
 
-    Written as SQL text, so it parses once and runs in generated code.
+    Different values may share a code: numbers beyond 2**53, strings that agree
+    in six bytes, and all values of types without a number.
     """
-    kind = df.schema[key].dataType
-
-    def search(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN {key} < {_sql_literal(points[mid], kind)} THEN {search(lo, mid)} ELSE {search(mid + 1, hi)} END"
-
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.expr(search(0, len(points))))
+    kind = df.select(column.alias("c")).schema["c"].dataType
+    if isinstance(kind, T.StringType):
+        lead = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
+        code = F.conv(lead, 16, 10).cast("double")
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        code = F.least(F.greatest(column.cast("double"), F.lit(-_LARGEST)), F.lit(_LARGEST))
+        code = F.when(F.isnan(column.cast("double")), _LARGEST).otherwise(code)
+    elif isinstance(kind, T.DateType):
+        code = F.unix_date(column).cast("double")
+    elif isinstance(kind, T.TimestampType):
+        code = F.unix_micros(column).cast("double")
+    else:
+        code = F.when(column.isNotNull(), 0.0)
+    return F.coalesce(code, F.lit(-_LARGEST))
+
+
+def split_points(df: DataFrame, codes: list[Column], buckets: int) -> list[tuple[float, ...]]:
+    """Ascending boundaries that cut the rows into about ``buckets`` equal parts by their codes.
+
+    One aggregate, a mergeable quantile sketch over all rows, gives the
+    boundaries of the first code; only ``FINE * buckets`` quantiles reach the
+    driver.  Values that fill a bucket alone are refined by the next code, in a
+    scan of just their rows, and those that fill one by all codes get a bucket
+    of their own.
+    """
+    fractions = [i / (FINE * buckets) for i in range(1, FINE * buckets)]
+    names = [f"_c{i}" for i in range(len(codes))]
+    rows = df.select(*[c.alias(n) for c, n in zip(codes, names, strict=True)])
+    sketch = lambda name: F.percentile_approx(name, fractions, ACCURACY * buckets).alias("q")
+    found = rows.agg(sketch(names[0])).first()["q"] or []
+    cells = {(v,): w for v, w in _counted(found, 1.0).items()}
+    for depth in range(1, len(codes)):
+        hot = [c for c, w in cells.items() if len(c) == depth and w >= FINE]
+        if not hot:
+            break
+        known, head = F.from_json(F.lit(_json(hot)), _kind(depth)), F.struct(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names[:depth])])
+        for row in rows.where(F.array_contains(known, head)).groupBy(*names[:depth]).agg(sketch(names[depth])).collect():
+            value = tuple(row)[:depth]
+            weight = cells.pop(value)
+            cells |= {(*value, v): w for v, w in _counted(row["q"], weight / len(row["q"])).items()}
+    low = lambda c: c + (-_LARGEST,) * (len(codes) - len(c))
+    cells = sorted((low(c), w) for c, w in cells.items())
+    alone = {c for c, w in cells if w >= FINE}
+    target = sum(w for c, w in cells if c not in alone) / max(1, buckets - len(alone))
+    points, filled = set(), 0.0
+    for c, w in cells:
+        if c in alone:
+            points |= {c, (*c[:-1], math.nextafter(c[-1], math.inf))}
+            filled = 0.0
+            continue
+        filled += w
+        if filled >= target - 0.5:
+            points.add(c)
+            filled = 0.0
+    return sorted(points)
+
+
+def _counted(values: list[float], weight: float) -> dict[float, float]:
+    out: dict[float, float] = {}
+    for v in values:
+        out[v] = out.get(v, 0.0) + weight
+    return out
+
+
+def _kind(n: int) -> str:
+    return "array<struct<" + ",".join(f"c{i}:double" for i in range(n)) + ">>"
+
+
+def _json(points: list[tuple[float, ...]]) -> str:
+    return json.dumps([{f"c{i}": v for i, v in enumerate(p)} for p in points])
+
+
+def bucket_of(codes: list[Column], points: list[tuple[float, ...]]) -> Column:
+    """Number of boundaries at or below a row's codes: binary search in one array literal."""
+    if not points:
+        return F.lit(0)
+    bounds = F.from_json(F.lit(_json(points)), _kind(len(codes)))
+    key = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(codes)])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(points).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get(bounds, i + step - 1) <= key, i + step).otherwise(i))
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -53,15 +121,6 @@ def bucket_count(df: DataFrame) -> int:
     return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _sql_literal(value, kind: T.DataType) -> str:
-    if isinstance(kind, T.StructType):
-        return "named_struct(" + ",".join(f"'{f.name}',{_sql_literal(value[f.name], f.dataType)}" for f in kind) + ")"
-    if value is None:
-        return f"CAST(NULL AS {kind.simpleString()})"
-    text = repr(str(value)) if isinstance(kind, T.StringType) else f"'{value!r}'"
-    return f"CAST({text} AS {kind.simpleString()})"
-
-
 def running_sums(
     df: DataFrame,
     key: str,
@@ -78,8 +137,8 @@ def running_sums(
     """
     group = group or []
     tied = df.groupBy(*group, key).agg(*[F.sum(src).alias(out) for out, src in sums.items()])
-    points = split_points(tied, F.col(key), buckets or bucket_count(df))
-    tied = tied.withColumn("_b", bucket_of(tied, key, points))
+    codes = [sort_code(df, F.col(key))]
+    tied = tied.withColumn("_b", bucket_of(codes, split_points(df, codes, buckets or bucket_count(df))))
     order = [F.col("_b").desc() if descending else F.col("_b").asc()]
     before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = tied.groupBy(*group, "_b").agg(*[F.sum(o).alias(o) for o in sums])
@@ -106,8 +165,9 @@ def distributed_row_number(
     for descending numeric order.
     """
     fields = [(-F.col(c[1:]) if c.startswith("-") else F.col(c)).alias(f"o{i}") for i, c in enumerate(order)]
-    keyed = df.withColumn("_o", F.struct(*fields))
-    keyed = keyed.withColumn("_b", bucket_of(keyed, "_o", split_points(keyed, F.col("_o"), buckets or bucket_count(df))))
+    codes = [sort_code(df, f) for f in fields]
+    points = split_points(df, codes, buckets or bucket_count(df))
+    keyed = df.withColumns({"_o": F.struct(*fields), "_b": bucket_of(codes, points)})
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     offsets = offsets.select(*group, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 FOOTER = "</LesHouchesEvents>"
@@ -21,14 +21,17 @@ def set_idwtup(beam: Column, idwtup: int) -> Column:
 
 
 def write_lhe(events: DataFrame, preambles: DataFrame, path: str, parts: list[str], order: list[str],
-              footer: bool = True, compression: str = "none", mode: str = "append", single_file: bool = False) -> None:
+              footer: bool = True, compression: str = "none", mode: str = "append", single_file: bool = False, expected_events: int | None = None) -> int:
     """SNK08: preamble, events in order, footer - one document per part.
 
     ``events`` has (parts, order, event); ``preambles`` (parts, preamble).
     Header and footer travel as rows, so the write is one shuffle by part and
     one in-task sort. Choose parts to hold a bounded number of events; a single
-    file is only produced on request.
+    file is only produced on request. Returns the number of events, which is
+    observed while they are written; another number than expected raises.
     """
+    seen = Observation("events")
+    events = events.observe(seen, F.count("*").alias("n"))
     lead, tail = F.lit(0), F.lit(2)
     null_order = [F.lit(None).cast(events.schema[c].dataType).alias(c) for c in order]
     rows = events.select(*parts, F.lit(1).alias("_k"), *order, F.col("event").alias("value"))
@@ -39,6 +42,9 @@ def write_lhe(events: DataFrame, preambles: DataFrame, path: str, parts: list[st
     rows = rows.coalesce(1) if single_file else rows.repartition(*parts)
     rows = rows.sortWithinPartitions(*parts, "_k", *order)
     rows.select(*parts, "value").write.mode(mode).option("compression", compression).partitionBy(*parts).text(path)
+    if expected_events is not None and seen.get["n"] != expected_events:
+        raise ValueError(f"{path}: expected {expected_events} events, wrote {seen.get['n']}")
+    return seen.get["n"]
 
 
 def write_merge_manifest(fractions: DataFrame, path: str, total_xsec: float, mode: str) -> None:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkcollide.sources.lhe_header import LheHeaderSource, can_open
+
 CLOSE = "</event>"
 
 PARTICLE = (
@@ -64,18 +66,18 @@ def _tokens(line: Column) -> Column:
     return F.split(line, r"\s+")
 
 
-def parse_event_header(events: DataFrame, strict: bool = False) -> DataFrame:
+def parse_event_header(events: DataFrame, strict: bool = True) -> DataFrame:
     """SRC02: nup, idprup, xwgtup, scale and couplings of each event.
 
-    An unreadable value is null; in strict mode an unreadable weight raises.
+    An unreadable value raises; where strict is off it is null.
     """
     ev = events.withColumn("lines", payload_lines(F.col("event")))
     ev = ev.withColumn("_h", _tokens(F.get("lines", F.lit(0))))
     names = (("nup", "int"), ("idprup", "int"), ("xwgtup", "double"), ("scale", "double"), ("aqed", "double"), ("aqcd", "double"))
     out = ev.withColumns({n: F.get("_h", F.lit(i)).try_cast(t) for i, (n, t) in enumerate(names)}).drop("_h")
     if strict:
-        fail = F.raise_error(F.concat(F.lit("unreadable event header: "), F.coalesce(F.get("lines", F.lit(0)), F.lit("")))).cast("double")
-        out = out.withColumn("xwgtup", F.coalesce("xwgtup", fail))
+        fail = F.raise_error(F.concat(F.lit("unreadable event header: "), F.coalesce(F.get("lines", F.lit(0)), F.lit(""))))
+        out = out.withColumns({n: F.coalesce(n, fail.cast(t)) for n, t in names})
     return out
 
 
@@ -91,7 +93,7 @@ def parse_rows(events: DataFrame) -> DataFrame:
     rows = F.transform(F.transform(lines, _tokens), row)
     read = lambda p: reduce(and_, [p[n].isNotNull() for n, _ in PARTICLE], p["ok"])
     rows = F.transform(rows, lambda p: p.withField("ok", read(p)))
-    return parse_event_header(events).withColumn("particles", rows)
+    return parse_event_header(events, strict=False).withColumn("particles", rows)
 
 
 def explode_particles(events: DataFrame) -> DataFrame:
@@ -116,11 +118,24 @@ INIT_TYPE = T.StructType(
 )
 
 
+def scan_preambles(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, preamble): the text before the first event of each file.
+
+    Only the head of a file is read, by the ``lhe_header`` source; where Python
+    cannot open the path's file system, the preambles come from the event scan.
+    """
+    if not can_open(path):
+        return scan_chunks(spark, path).filter(is_preamble()).select("path", F.col("chunk").alias("preamble"))
+    spark.dataSource.register(LheHeaderSource)
+    paths = path if isinstance(path, str) else "\n".join(path)
+    return spark.read.format("lhe_header").load(paths).select("path", "preamble")
+
+
 def scan_lhe_init(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SRC04: beam line and processes per file; malformed headers raise."""
-    pre = scan_chunks(spark, path).filter(is_preamble()).select("path", "chunk")
-    block = F.regexp_extract("chunk", r"(?s)(<init\b.*?</init>)", 1)
-    pre = pre.withColumns({"preamble": F.col("chunk"), "_lines": payload_lines(block)}).drop("chunk")
+    pre = scan_preambles(spark, path)
+    block = F.regexp_extract("preamble", r"(?s)(<init\b.*?</init>)", 1)
+    pre = pre.withColumn("_lines", payload_lines(block))
     beam = _tokens(F.get("_lines", F.lit(0)))
 
     def proc(line):

@@ -53,8 +53,9 @@ def test_distributed_row_number(jets):
 
 
 def test_hot_rank_is_split_over_buckets(jets):
-    points = ranking.split_points(jets, F.col("l_partkey"), 16)
-    sizes = [r["count"] for r in jets.groupBy(ranking.bucket_of(jets, "l_partkey", points)).count().collect()]
+    codes = [ranking.sort_code(jets, F.col("l_partkey"))]
+    points = ranking.split_points(jets, codes, 16)
+    sizes = [r["count"] for r in jets.groupBy(ranking.bucket_of(codes, points)).count().collect()]
     assert len(sizes) == 16 and max(sizes) < 3000 / 4
 
 
