@@ -12,6 +12,7 @@ from sparkcollide.plans.registry import query
 from sparkcollide.session import scratch_dir, table
 from sparkcollide.sources import fixtures
 from sparkcollide.sources.lhe_fixture import lhe_files
+from sparkcollide.streaming import assembly as asm
 from sparkcollide.streaming import incremental as inc
 
 R = S.rnd
@@ -58,19 +59,24 @@ def stm02(spark, sf):
 
 @query(
     "STM03_streaming_cutflow",
-    f"{eq.WITH_ACC}, {S.EVENTS_W}, {S.top_n('acc', 4)}, {S.reco(4)} SELECT sample, count(*) AS events_in, {R('sum(evweight)', 7)} AS w_in, {R('sum(CASE WHEN p2 THEN evweight ELSE 0 END)', 7)} AS w_pt, {R('sum(CASE WHEN p3 THEN evweight ELSE 0 END)', 7)} AS w_chi FROM ew LEFT JOIN flags USING (event_id) GROUP BY sample",
+    f"""{eq.WITH_ACC}, {S.EVENTS_W}, {S.top_n('acc', 8)}, {S.reco(8)} SELECT sample, count(*) AS events_in, CAST(0 AS BIGINT) AS late, {R('sum(evweight)', 7)} AS w_in, {R('sum(CASE WHEN p1 THEN evweight ELSE 0 END)', 7)} AS w_drbb,
+ {R('sum(CASE WHEN p2 THEN evweight ELSE 0 END)', 7)} AS w_pt, {R('sum(CASE WHEN p3 THEN evweight ELSE 0 END)', 7)} AS w_chi FROM ew LEFT JOIN flags USING (event_id) GROUP BY sample""",
 )
 def stm03(spark, sf):
-    flags = eq.reconstructed(spark, sf, 4).select("event_id", "pass_pt", "pass_chi")
-    rows = fixtures.events_w(spark, sf).join(flags, "event_id", "left")
-    w = lambda c: F.sum(F.when(F.col(c), F.col("evweight")).otherwise(0.0))
-    aggs = [F.count("*").alias("events_in"), F.sum("evweight").alias("w_in"), w("pass_pt").alias("w_pt"), w("pass_chi").alias("w_chi")]
-
-    def run(path, out, ckpt):
-        inc.running_aggregate(spark.readStream.schema(rows.schema).parquet(path), ["sample"], aggs, out, ckpt)
-
-    out = inc.latest(spark, run_in_two_steps(rows, "event_id", run), ["sample"])
-    return out.select("sample", "events_in", *[r(c, 7).alias(c) for c in ("w_in", "w_pt", "w_chi")])
+    """Headers and jets come in three files in any order; an event's jets are spread over all of them."""
+    jets, out, ckpt, path = fixtures.jets(spark, sf), scratch_dir(spark, "out"), scratch_dir(spark, "ckpt"), scratch_dir(spark, "arrivals")
+    # the header of an order that has no jets announces none
+    counts = jets.groupBy("event_id").agg(F.count("*").alias("n_jets"))
+    heads = fixtures.events_w(spark, sf).join(counts, "event_id", "left").fillna(0, ["n_jets"])
+    jets = jets.join(heads.select("event_id"), "event_id", "left_semi")
+    step = F.pmod(F.xxhash64("event_id", *fixtures.JET_KEYS), F.lit(3))
+    at = lambda k: F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * k))
+    for k in range(3):
+        asm.jet_rows(jets.where(step == k).withColumn("ts", at(k))).write.mode("append").parquet(path)
+        asm.header_rows(heads.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).withColumn("ts", at(k))).write.mode("append").parquet(path)
+        asm.streaming_cutflow(spark.readStream.schema(asm.INPUT).parquet(path), 8, out, ckpt)
+    got = asm.totals(spark, out, ["sample"])
+    return got.select("sample", "events_in", "late", *[r(c, 7).alias(n) for c, n in (("w_in", "w_in"), ("w_pass_drbb", "w_drbb"), ("w_pass_pt", "w_pt"), ("w_pass_chi", "w_chi"))])
 
 
 @query("STM04_streaming_histogram", f"{hq.WJ} SELECT tag, CAST(ceil(pt0/5)-1 AS INT) AS bin, {R('sum(evweight)', 7)} AS content FROM wj WHERE pt0>0 AND pt0<300 GROUP BY ALL")
