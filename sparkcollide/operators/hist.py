@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,28 +154,41 @@ def histogram_stats(h: DataFrame, hist: list[str], lo: float, hi: float, nbins:
     )
 
 
-def _fold_opt(items: Column) -> Column:
-    """Pairwise weighting in shard order; the rule depends on the order."""
+def _fold_opt(keys: list[str]):
+    """Pairwise weighting in shard order over sorted rows; a task carries one running value from batch to batch."""
 
-    def weight(y, y2):
-        return F.when(y2 != 0, y * y / y2)
+    def run(batches):
+        key, acc = None, None
+        for batch in batches:
+            schema, done = pa.schema([*[batch.schema.field(k) for k in keys], ("y", pa.float64()), ("y2", pa.float64()), ("fills", pa.float64())]), []
+            for *here, y, y2, fills in zip(*(batch.column(c).to_pylist() for c in (*keys, "y", "y2", "fills")), strict=True):
+                if acc is None or here != key:
+                    if acc is not None:
+                        done.append((*key, *acc))
+                    key, acc = here, (y, y2, fills)
+                    continue
+                w1, w2 = (v * v / e if e else 0.0 for v, e in (acc[:2], (y, y2)))
+                w1, w2 = (w1, w2) if w1 > 0 and w2 > 0 else (1.0, 1.0)
+                mean = (acc[0] * w1 + y * w2) / (w1 + w2)
+                acc = (mean, mean * mean / (w1 + w2), acc[2] + fills)
+            if done:
+                yield _columns(done, schema)
+        if acc is not None:
+            yield _columns([(*key, *acc)], schema)
 
-    def step(acc, x):
-        w1, w2 = weight(acc["y"], acc["y2"]), weight(x["y"], x["y2"])
-        ok = F.coalesce((w1 > 0) & (w2 > 0), F.lit(False))
-        a, b = F.when(ok, w1).otherwise(1.0), F.when(ok, w2).otherwise(1.0)
-        y = (acc["y"] * a + x["y"] * b) / (a + b)
-        return F.struct(y.alias("y"), (y * y / (a + b)).alias("y2"))
+    return run
 
-    first = F.struct(items[0]["y"].alias("y"), items[0]["y2"].alias("y2"))
-    return F.aggregate(F.slice(items, F.lit(2), F.size(items)), first, step)
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def combine_histograms(shards: DataFrame, hist: list[str], width: float, mode: str = "cmb", factor: float = 1.0) -> DataFrame:
     """AGG12: combine finalized shard histograms (columns shard, bin, y, y2, fills).
 
-    A histogram without fills in any shard is skipped. Shards per histogram
-    are the number of input runs, so the ordered fold of ``opt`` is bounded.
+    A histogram without fills in any shard is skipped. ``opt`` depends on the
+    order of the shards: a bin's rows pass through one task in that order, which
+    keeps one running value, so any number of shards fits.
     """
     valid = shards.groupBy(*hist).agg(F.min("fills").alias("_m")).filter(F.col("_m") > 0).drop("_m")
     shards = shards.join(valid, hist, "left_semi")
@@ -182,9 +197,10 @@ def combine_histograms(shards: DataFrame, hist: list[str], width: float, mode: s
         total = restore(shards, width).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("y", "y2", "fills")])
         return finalize(total, width)
     if mode == "opt":
-        items = F.sort_array(F.collect_list(F.struct("shard", "y", "y2")))
-        out = shards.groupBy(*key).agg(items.alias("_i"), F.sum("fills").alias("fills")).withColumn("_o", _fold_opt(F.col("_i")))
-        return out.select(*key, F.col("_o.y").alias("y"), F.col("_o.y2").alias("y2"), "fills")
+        rows = shards.select(*key, "shard", F.col("y").cast("double").alias("y"), F.col("y2").cast("double").alias("y2"), F.col("fills").cast("double").alias("fills"))
+        kind = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+        folded = rows.repartition(*key).sortWithinPartitions(*key, "shard").mapInArrow(_fold_opt(key), f"{kind}, y double, y2 double, fills double")
+        return folded.withColumn("fills", F.col("fills").cast(shards.schema["fills"].dataType))
     if mode in ("min", "max"):
         sign = 1 if mode == "min" else -1
         pick = F.min(F.struct((F.col("y") * sign).alias("k"), "shard", "y", "y2"))
@@ -198,33 +214,136 @@ def combine_histograms(shards: DataFrame, hist: list[str], width: float, mode: s
     raise ValueError(f"unknown combination mode {mode!r}")
 
 
+#: Runs on a side of a cell, and histograms in one.
+RUNS, HISTS = 256, 32
+
+
+def _pulls(y: np.ndarray, y2: np.ndarray, ok: np.ndarray, other: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """(bins used, sum, sum of squares of the pulls) of all runs of one side with all of the other; arrays are runs x bins."""
+    n, s, s2 = (np.zeros((len(y), len(other[0]))) for _ in range(3))
+    for k in range(y.shape[1]):  # one bin of all pairs at a time
+        spread = y2[:, k, None] + other[1][None, :, k]
+        use = ok[:, k, None] & other[2][None, :, k] & (spread > 0)
+        pull = np.where(use, (y[:, k, None] - other[0][None, :, k]) / np.sqrt(np.where(use, spread, 1.0)), 0.0)
+        n += use
+        s += pull
+        s2 += pull * pull
+    return n, s, s2
+
+
+def _cells(shards: DataFrame, hist: list[str], nbins: int) -> DataFrame:
+    """Runs as vectors over the inner bins, sent to the cells (i, j) of blocks of runs, i <= j, in which they meet other runs."""
+    inner = shards.filter(F.col("bin").between(1, nbins))
+    bins = F.sort_array(F.collect_list(F.struct("bin", F.col("y").cast("double").alias("y"), F.col("y2").cast("double").alias("y2"))))
+    runs = inner.groupBy(*hist, "shard").agg(bins.alias("bins"))
+    blocks = shards.agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("shard") / RUNS)).cast("int").alias("b")).scalar()
+    runs = runs.withColumns({"_b": blocks, "_own": F.pmod(F.xxhash64("shard"), F.lit(2**20)).cast("int")}).withColumn("_own", F.col("_own") % F.col("_b"))
+    out = runs.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    return out.select(*hist, "shard", "bins", F.col("_own").alias("own"), F.least("_own", "_to").alias("i"), F.greatest("_own", "_to").alias("j"))
+
+
+def _compared(table: pa.Table, i: int, j: int, nbins: int):
+    """(left names, right names, n, s, s2, mask of the pairs to report) of one histogram in one cell."""
+    own, names = table.column("own").to_numpy(), np.array(table.column("shard").to_pylist(), dtype=object)
+    bins = table.column("bins").combine_chunks()
+    flat, row = bins.flatten(), np.repeat(np.arange(len(own)), np.asarray(bins.value_lengths()))
+    y, y2, there = np.zeros((len(own), nbins)), np.zeros((len(own), nbins)), np.zeros((len(own), nbins), bool)
+    at = flat.field("bin").to_numpy(zero_copy_only=False) - 1
+    y[row, at], y2[row, at], there[row, at] = (flat.field("y").to_numpy(zero_copy_only=False), flat.field("y2").to_numpy(zero_copy_only=False), True)
+    sq = y * y
+    ok = there & (np.abs(y2 - sq) > 1e-12 * (np.abs(y2) + np.abs(sq)))
+    a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    n, s, s2 = _pulls(y[a], y2[a], ok[a], (y[b], y2[b], ok[b]))
+    shared = (there[a][:, None, :] & there[b][None, :, :]).any(2) if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
+    first = names[a][:, None] < names[b][None, :]
+    return names[a], names[b], n, s, s2, shared & (first if i == j else True), first
+
+
 def shard_compatibility(shards: DataFrame, hist: list[str], nbins: int) -> DataFrame:
     """AGG13: rms pull per bin for each pair of runs and histogram.
 
-    The join is on (hist, bin) of already aggregated histograms: its size is
-    bins times pairs of runs, independent of the number of events.
+    Runs meet as vectors in cells of RUNS by RUNS, one histogram a cell; no row
+    is made for a bin of a pair. Shards must not be null.
     """
-    inner = shards.filter(F.col("bin").between(1, nbins))
-    sq = F.col("y") * F.col("y")
-    usable = F.abs(F.col("y2") - sq) > 1e-12 * (F.abs("y2") + F.abs(sq))
-    inner = inner.select(*hist, "bin", "shard", "y", "y2", usable.alias("ok"))
-    right = inner.select(*hist, "bin", *[F.col(c).alias(c + "_b") for c in ("shard", "y", "y2", "ok")])
-    pairs = inner.join(right, [*hist, "bin"]).filter(F.col("shard") < F.col("shard_b"))
-    use = F.col("ok") & F.col("ok_b") & (F.col("y2") + F.col("y2_b") > 0)
-    pull = F.when(use, (F.col("y") - F.col("y_b")) / F.sqrt(F.when(use, F.col("y2") + F.col("y2_b")))).otherwise(0.0)
-    out = pairs.withColumns({"_use": use, "_pull": pull}).groupBy(*hist, "shard", "shard_b").agg(
-        F.count(F.when(F.col("_use"), 1)).alias("n_used"),
-        F.sum("_pull").alias("_s"), F.sum(F.col("_pull") * F.col("_pull")).alias("_s2"),
-    )
+    kind = {f.name: f.dataType.simpleString() for f in shards.schema}
+    names = [f"`{h}` {kind[h]}" for h in hist]
+
+    def cell(key, table):
+        i, j = key[-2].as_py(), key[-1].as_py()
+        left, right, n, s, s2, keep, first = _compared(table, i, j, nbins)
+        a, b = np.nonzero(keep)
+        low, high = np.where(first[a, b], left[a], right[b]), np.where(first[a, b], right[b], left[a])
+        sign = np.where(first[a, b], 1.0, -1.0)  # the pull is earlier less later name
+        cols = {h: pa.array([k.as_py()] * len(a), k.type) for h, k in zip(hist, key, strict=False)}
+        shard = table.schema.field("shard").type
+        return pa.table(cols | {"shard": pa.array(low.tolist(), shard), "shard_b": pa.array(high.tolist(), shard), "n_used": pa.array(n[a, b].astype(np.int64)), "_s": sign * s[a, b], "_s2": s2[a, b]})
+
+    out = _cells(shards, hist, nbins).groupBy(*hist, "i", "j").applyInArrow(cell, ", ".join([*names, f"shard {kind['shard']}", f"shard_b {kind['shard']}", "n_used long, _s double, _s2 double"]))
     n = F.col("n_used")
     out = out.withColumns(
         {"avg_pull": F.when(n > 0, F.col("_s") / n).otherwise(0.0), "rms_pull": F.when(n > 0, F.sqrt(F.col("_s2") / n)).otherwise(0.0)}
     ).drop("_s", "_s2")
     rms = F.col("rms_pull")
     status = (
-        F.when(n <= 1, "unchecked").when(rms > 1.5, "incompatible").when(rms == 0, "identical")
-        .when(rms < 0.5, "correlated").otherwise("compatible")
+        F.when(n <= 1, "unchecked").when(rms > INCOMPATIBLE, "incompatible").when(rms == 0, "identical")
+        .when(rms < CORRELATED, "correlated").otherwise("compatible")
+    )
+    return out.withColumn("status", status)
+
+
+# Rms pulls beyond which runs do not fit or depend on each other.
+INCOMPATIBLE, CORRELATED = 1.5, 0.5
+
+
+def pair_summary(shards: DataFrame, hist: str, nbins: int) -> DataFrame:
+    """AGG13: what all histograms together say of each pair of runs.
+
+    (shard, shard_b, n_checked, worst, worst_hist, n_incompatible, least,
+    least_hist, n_correlated, status): the largest rms pull above one and the
+    smallest below one, with the first histogram in which they occur. A cell
+    takes HISTS histograms of two blocks of runs and leaves one row a pair.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in shards.schema}
+    cells = _cells(shards, [hist], nbins)
+    groups = cells.agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct(hist) / HISTS)).cast("int").alias("g")).scalar()
+    cells = cells.withColumn("_g", groups).withColumn("_g", F.pmod(F.xxhash64(hist), F.col("_g")).cast("int"))
+    fields = f"shard {kind['shard']}, shard_b {kind['shard']}, n_checked long, worst double, worst_hist {kind[hist]}, n_incompatible long, least double, least_hist {kind[hist]}, n_correlated long"
+
+    def cell(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        own, label = table.column("own").to_numpy(), np.array(table.column(hist).to_pylist(), dtype=object)
+        every = np.array(table.column("shard").to_pylist(), dtype=object)
+        left, right = np.unique(every[own == i]), np.unique(every[own == j])
+        shape = (len(left), len(right))
+        count, high, low = (np.zeros(shape, np.int64) for _ in range(3))
+        worst, least, worst_at, least_at = np.ones(shape), np.ones(shape), np.full(shape, -1), np.full(shape, -1)
+        hists = sorted(set(label.tolist()), key=lambda x: (x is not None, x))
+        for k, name in enumerate(hists):
+            a_names, b_names, n, _, s2, keep, _ = _compared(table.take(pa.array(np.flatnonzero([x == name for x in label]))), i, j, nbins)
+            at = np.ix_(np.searchsorted(left, a_names), np.searchsorted(right, b_names))
+            keep &= n > 1
+            rms = np.sqrt(np.divide(s2, n, out=np.zeros_like(s2), where=n > 0))
+            count[at] += keep
+            high[at] += keep & (rms > INCOMPATIBLE)
+            low[at] += keep & (rms < CORRELATED)
+            for value, where, better in ((worst, worst_at, keep & (rms > worst[at])), (least, least_at, keep & (rms < least[at]))):
+                value[at], where[at] = np.where(better, rms, value[at]), np.where(better, k, where[at])
+        a, b = np.nonzero(count)
+        first = left[a] < right[b] if len(a) else np.zeros(0, bool)
+        kind_of = lambda c: table.schema.field(c).type
+        named = lambda x: pa.array([hists[k] if k >= 0 else None for k in x[a, b]], kind_of(hist))
+        return pa.table({
+            "shard": pa.array(np.where(first, left[a], right[b]).tolist(), kind_of("shard")), "shard_b": pa.array(np.where(first, right[b], left[a]).tolist(), kind_of("shard")),
+            "n_checked": count[a, b], "worst": worst[a, b], "worst_hist": named(worst_at), "n_incompatible": high[a, b], "least": least[a, b], "least_hist": named(least_at), "n_correlated": low[a, b],
+        })
+
+    part = cells.groupBy("_g", "i", "j").applyInArrow(cell, fields)
+    at = lambda value, name, sign: F.min_by(name, F.struct((sign * F.col(value)).alias("v"), F.col(name).alias("n"))).alias(name)
+    out = part.groupBy("shard", "shard_b").agg(
+        F.sum("n_checked").alias("n_checked"), F.max("worst").alias("worst"), at("worst", "worst_hist", -1), F.sum("n_incompatible").alias("n_incompatible"),
+        F.min("least").alias("least"), at("least", "least_hist", 1), F.sum("n_correlated").alias("n_correlated"),
     )
+    status = F.when(F.col("worst") > INCOMPATIBLE, "incompatible").when(F.col("least") == 0, "identical").when(F.col("least") < CORRELATED, "correlated").otherwise("passed")
     return out.withColumn("status", status)
 
 

@@ -207,6 +207,21 @@ def agg13(spark, sf):
     return out.select("hist", "shard", "shard_b", "n_used", r("avg_pull").alias("avg_pull"), r("rms_pull").alias("rms_pull"), "status")
 
 
+@query(
+    "AGG13_pair_summary",
+    f"""{FIN}, q AS (SELECT *, abs(y2-y*y) > CAST(1e-12 AS DOUBLE)*(abs(y2)+y*y) AS ok FROM h10 WHERE bin BETWEEN 1 AND {NB}),
+ p AS (SELECT a.hist, a.shard, b.shard AS shard_b, a.ok AND b.ok AND a.y2+b.y2>0 AS u, CASE WHEN a.ok AND b.ok AND a.y2+b.y2>0 THEN (a.y-b.y)/sqrt(a.y2+b.y2) ELSE 0 END AS d FROM q a JOIN q b ON a.hist=b.hist AND a.bin=b.bin AND a.shard<b.shard),
+ g AS (SELECT hist, shard, shard_b, round(sqrt(sum(d*d)/count(CASE WHEN u THEN 1 END)),9) AS rms FROM p GROUP BY ALL HAVING count(CASE WHEN u THEN 1 END) > 1)
+ SELECT shard, shard_b, count(*) AS n_checked, {R('greatest(max(rms),1)')} AS worst, min_by(hist, hist) FILTER (rms > 1 AND rms = mx) AS worst_hist, count(CASE WHEN rms>1.5 THEN 1 END) AS n_incompatible,
+ {R('least(min(rms),1)')} AS least, min_by(hist, hist) FILTER (rms < 1 AND rms = mn) AS least_hist, count(CASE WHEN rms<0.5 THEN 1 END) AS n_correlated,
+ CASE WHEN max(rms)>1.5 THEN 'incompatible' WHEN min(rms)=0 THEN 'identical' WHEN min(rms)<0.5 THEN 'correlated' ELSE 'passed' END AS status
+ FROM (SELECT *, max(rms) OVER (PARTITION BY shard, shard_b) AS mx, min(rms) OVER (PARTITION BY shard, shard_b) AS mn FROM g) GROUP BY shard, shard_b""",
+)
+def agg13s(spark, sf):
+    out = hist.pair_summary(final(spark, sf), "hist", NB)
+    return out.withColumns({"worst": r("worst"), "least": r("least")})
+
+
 @query(
     "AGG14_ratio_profile",
     f"""WITH {S.JETS}, b AS (SELECT tag, CAST(floor((pt0-20)/CAST(4 AS DOUBLE)+1) AS INT) AS bin, e, 1+l_linenumber/CAST(8 AS DOUBLE) AS w FROM jets),
