@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcollide.functions.text import strip_ansi
-
-# Coloured PDG ids are the six quarks and the gluon.
-COLOURED = (1, 2, 3, 4, 5, 6, 21)
-
+from sparkcollide.operators import event_check
+from sparkcollide.operators.labels import unique_labels  # noqa: F401  (WIN07)
 
 def is_close(a: Column, b: Column, abs_tol: float, rel_tol: float) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(abs_tol), rel_tol * F.greatest(F.abs(a), F.abs(b)))
@@ -167,133 +167,37 @@ def rewrite_event_weight(event: Column, weight: Column) -> Column:
 
 
 # --- event checks ----------------------------------------------------------------------
-def check_events(
-    events: DataFrame, incoming: int = 2, final_count: int | None = None, final_abs_pdg: int | None = None,
-    forbid: tuple[int, ...] = (), abs_tol: float = 1e-5, rel_tol: float = 1e-6, beam_order: bool = False,
-    first_singlet: int | None = None, isolated_singlet: int | None = None, mass_status: tuple[int, ...] = (-1, 1),
-) -> DataFrame:
-    """AGG29: sorted list of rule violations per event.
+def check_events(events: DataFrame, **rules) -> DataFrame:
+    """AGG29: sorted list of rule violations per event; ``rules`` are those of :class:`event_check.Rules`.
 
     An event that cannot be read (bad header, a bad particle row, rows other
     than declared) has that one error; no other rule looks at it.
 
-    All rules look inside one event record, so the whole check is a narrow
-    projection over the scan: no shuffle and no gathering across rows.
-    ``events`` needs ``nup`` and the parsed ``particles`` array.
+    ``events`` has either the text of each event (``event``), which then gains
+    ``nup`` and ``xwgtup`` as well, or ``nup`` and the parsed ``particles``.
+    Rules look inside one event only: one narrow Arrow pass, no shuffle.
     """
-    ps = F.filter("particles", lambda p: p["ok"])
-    ev = events.withColumns({"_p": ps})
-    ev = ev.withColumns(
-        {
-            "_in": F.filter("_p", lambda p: p["status"] == -1),
-            "_fin": F.filter("_p", lambda p: p["status"] == 1),
-            "_act": F.filter("_p", lambda p: F.abs(p["status"]) == 1),
-        }
-    )
-
-    def ends_of(p):
-        inward = p["status"] == -1
-        first = F.struct(p["c1"].alias("tag"), F.when(inward, "a").otherwise("c").alias("kind"), p["idx"].alias("idx"))
-        second = F.struct(p["c2"].alias("tag"), F.when(inward, "c").otherwise("a").alias("kind"), p["idx"].alias("idx"))
-        return F.filter(F.array(first, second), lambda s: s["tag"] != 0)
-
-    ev = ev.withColumn("_ends", F.flatten(F.transform("_act", ends_of)))
-    ev = ev.withColumn("_tags", F.array_sort(F.array_distinct(F.transform("_ends", lambda s: s["tag"]))))
-    text = lambda *parts: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in parts])
-    single = lambda label, bad: F.when(bad, F.array(F.lit(label))).otherwise(F.array().cast("array<string>"))
-    bad_row = F.get(F.filter("particles", lambda p: ~p["ok"]), F.lit(0))["idx"]
-    unreadable = (
-        F.when(F.col("nup").isNull(), "bad header")
-        .when(bad_row.isNotNull(), text("short row ", bad_row))
-        .when(F.size("particles") != F.col("nup"), "row count")
-    )
-    groups: list[Column] = [
-        F.when(F.size("_in") != incoming, F.array(text("incoming ", F.size("_in")))).otherwise(F.array().cast("array<string>")),
-    ]
-    if beam_order:
-        groups.append(single("beam order needs two", F.size("_in") != 2))
-        groups.append(single("beam order", (F.size("_in") == 2) & (F.get("_in", F.lit(0))["pz"] < F.get("_in", F.lit(1))["pz"])))
-    if final_count is not None:
-        groups.append(F.when(F.size("_fin") != final_count, F.array(text("final ", F.size("_fin")))).otherwise(F.array().cast("array<string>")))
-    if final_abs_pdg is not None:
-        others = F.transform(F.filter("_fin", lambda p: F.abs(p["pid"]) != final_abs_pdg), lambda p: p["pid"].cast("string"))
-        groups.append(F.when(F.size(others) > 0, F.array(text("final id ", F.array_join(others, ",")))).otherwise(F.array().cast("array<string>")))
-    for pid in forbid:
-        groups.append(single(f"forbidden {pid}", F.array_contains(F.transform("_fin", lambda p: p["pid"]), pid)))
-
-    def mass_problem(p):
-        m2 = p["e"] * p["e"] - p["px"] * p["px"] - p["py"] * p["py"] - p["pz"] * p["pz"]
-        tol = F.greatest(F.lit(abs_tol), rel_tol * F.greatest(F.lit(1.0), F.abs(p["e"])))
-        off = F.abs(F.sqrt(F.greatest(F.lit(0.0), m2)) - F.abs(p["m"])) > tol
-        return F.when(m2 < -tol, text("negative mass ", p["idx"])).when(off, text("mass ", p["idx"]))
-
-    massive = F.filter("_p", lambda p: p["status"].isin(*mass_status))
-    groups.append(F.array_compact(F.transform(massive, mass_problem)))
-
-    def colour_problem(p):
-        a = F.abs(p["pid"])
-        c1, c2 = p["c1"], p["c2"]
-        none, gluon = (c1 == 0) & (c2 == 0), a == 21
-        one = (c1 != 0) != (c2 != 0)
-        wrong_side = F.when(p["pid"] > 0, c1 == 0).otherwise(c2 == 0)
-        coloured = a.isin(*COLOURED)
-        return F.array_compact(
-            F.array(
-                F.when(coloured & none, text("no colour ", p["idx"])),
-                F.when(gluon & ((c1 == 0) | (c2 == 0)), text("gluon tag missing ", p["idx"])),
-                F.when(gluon & (c1 == c2), text("gluon tags equal ", p["idx"])),
-                F.when(coloured & ~gluon & ~one, text("quark tags ", p["idx"])),
-                F.when(coloured & ~gluon & one & wrong_side, text("quark side ", p["idx"])),
-                F.when(~coloured & ~none, text("colourless tag ", p["idx"])),
-            )
-        )
-
-    groups.append(F.flatten(F.transform("_act", colour_problem)))
-
-    # ends of a tag and their kinds are bound once per tag by nested transforms
-    def gather_ends(t):
-        return F.filter("_ends", lambda s: s["tag"] == t)
-
-    def describe(own):
-        first = F.get(own, F.lit(0))
-        same = first["idx"] == F.get(own, F.lit(1))["idx"]
-        kinds = F.array_join(F.array_sort(F.transform(own, lambda s: s["kind"])), "")
-        return F.struct(first["tag"].alias("tag"), F.size(own).alias("n"), kinds.alias("kinds"), same.alias("same"))
-
-    def tag_problem(d):
-        two = d["n"] == 2
-        return F.array_compact(
-            F.array(
-                F.when(~two, text("tag ", d["tag"], " ends ", d["n"])),
-                F.when(two & (d["kinds"] != "ac"), text("tag ", d["tag"], " kinds ", d["kinds"])),
-                F.when(two & d["same"], text("tag ", d["tag"], " self")),
-            )
-        )
-
-    groups.append(F.flatten(F.transform(F.transform(F.transform("_tags", gather_ends), describe), tag_problem)))
-    if first_singlet is not None:
-        q = F.get(F.filter("_fin", lambda p: p["pid"] == first_singlet), F.lit(0))
-        aq = F.get(F.filter("_fin", lambda p: p["pid"] == -first_singlet), F.lit(0))
-        on = F.array_sort(F.transform(F.filter("_ends", lambda s: s["tag"] == q["c1"]), lambda s: s["idx"]))
-        ok = (q["c1"] != 0) & (q["c2"] == 0) & (aq["c1"] == 0) & (aq["c2"] == q["c1"])
-        ok = ok & (F.array_distinct(on) == F.array_sort(F.array(q["idx"], aq["idx"])))
-        groups.append(single("first pair", ~F.coalesce(ok, F.lit(False))))
-    if isolated_singlet is not None:
-        groups.append(single("no singlet", F.size(singlet_tags(isolated_singlet)) == 0))
-    errors = F.when(unreadable.isNotNull(), F.array(unreadable)).otherwise(F.array_sort(F.flatten(F.array(*groups))))
-    return ev.withColumn("errors", errors).drop("_p", "_in", "_fin", "_act", "_ends", "_tags")
-
-
-def singlet_tags(flavour: int) -> Column:
-    """Tags shared by exactly one final quark and one final antiquark."""
-
-    def isolated(t):
-        own = F.filter("_ends", lambda s: s["tag"] == t)
-        q = F.exists("_fin", lambda p: (p["pid"] == flavour) & (p["c1"] == t) & (p["c2"] == 0))
-        aq = F.exists("_fin", lambda p: (p["pid"] == -flavour) & (p["c2"] == t) & (p["c1"] == 0))
-        return (F.size(F.array_distinct(F.transform(own, lambda s: s["idx"]))) == 2) & q & aq
-
-    return F.filter("_tags", isolated)
+    rule = event_check.Rules(**rules)
+    parsed = "particles" in events.columns
+    source = ["nup", "particles"] if parsed else ["event"]
+    carry = [c for c in events.columns if parsed or c != "event"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                if parsed:
+                    found, more = event_check.from_arrays(part.column("nup"), part.column("particles")), []
+                else:
+                    found, weight = event_check.read_text(part.column("event"))
+                    more = [pa.array(found.nup, pa.int32(), mask=found.nup < 0), pa.array(weight, mask=np.isnan(weight))]
+                kept = [part.column("carry")]
+                yield pa.RecordBatch.from_arrays([*kept, *more, event_check.error_lists(found, rule)], names=["carry", *(() if parsed else ("nup", "xwgtup")), "errors"])
+
+    rows = events.select(F.struct(*carry).alias("carry") if carry else F.lit(0).alias("carry"), *source)
+    kind = rows.schema["carry"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"carry {kind}, {'' if parsed else 'nup int, xwgtup double, '}errors array<string>")
+    return out.select(*[f"carry.{c}" for c in carry], *(() if parsed else ("nup", "xwgtup")), "errors")
 
 
 def colour_line_partners(particles: DataFrame, event: list[str], flavour: int) -> DataFrame:
@@ -331,36 +235,3 @@ def first_errors(checked: DataFrame, keys: list[str], max_errors: int = 20) -> D
     # the outer form keeps the optimizer from copying the check into an inferred filter
     rows = checked.select(*keys, F.posexplode_outer("errors").alias("i", "message"))
     return rows.filter(F.col("message").isNotNull()).orderBy(*keys, "i").limit(max_errors)
-
-
-# --- labels -----------------------------------------------------------------------------
-def unique_labels(inputs: DataFrame, order: str = "ord", base: str = "base") -> DataFrame:
-    """WIN07: base name, then ``_2``, ``_3``... in input order, skipping names in use.
-
-    Duplicates are numbered by a distributed rank. Only families in which some
-    input literally carries a numbered name depend on the input sequence; just
-    those are resolved in order.
-    """
-    from sparkcollide.operators.ranking import distributed_row_number
-
-    stem = F.regexp_replace(base, r"(_\d+)+$", "")
-    rows = inputs.withColumn("_stem", stem)
-    tricky = rows.filter(F.col(base) != F.col("_stem")).select("_stem").distinct()
-    plain = distributed_row_number(rows.join(tricky, "_stem", "left_anti"), [base], [order], "_k")
-    label = F.when(F.col("_k") == 1, F.col(base)).otherwise(F.concat_ws("_", base, F.col("_k").cast("string")))
-    plain = plain.withColumn("label", label).drop("_k", "_stem")
-    schema = inputs.schema.simpleString()[7:-1] + ",label:string"
-
-    def in_order(pdf):
-        used, labels = set(), []
-        pdf = pdf.sort_values(order)
-        for name in pdf[base]:
-            label, k = name, 2
-            while label in used:
-                label, k = f"{name}_{k}", k + 1
-            used.add(label)
-            labels.append(label)
-        return pdf.drop(columns="_stem").assign(label=labels)
-
-    hard = rows.join(tricky, "_stem", "left_semi").groupBy("_stem").applyInPandas(in_order, schema)
-    return plain.select(*inputs.columns, "label").unionByName(hard.select(*inputs.columns, "label"))

@@ -27,10 +27,6 @@ def r(c, n=6):
     return F.round(c, n)
 
 
-def parsed(spark, sf):
-    return lhe.parse_rows(lhe.scan_lhe_events(spark, lhe_files(spark, sf)))
-
-
 def headers(spark, sf):
     ev = lhe.parse_event_header(lhe.scan_lhe_events(spark, lhe_files(spark, sf)))
     return ev.withColumns({"source": source_col(), "shard": shard_col()})
@@ -203,7 +199,7 @@ ERRORS = f"""{ENDS}, er AS (
 
 
 def checked(spark, sf):
-    ev = ops.check_events(parsed(spark, sf), final_count=4, final_abs_pdg=5, forbid=(4,), beam_order=True, isolated_singlet=5)
+    ev = ops.check_events(lhe.scan_lhe_events(spark, lhe_files(spark, sf)), final_count=4, final_abs_pdg=5, forbid=(4,), beam_order=True, isolated_singlet=5)
     return ev.withColumn("shard", shard_col())
 
 

@@ -111,3 +111,27 @@ def test_unreadable_event_header_raises(spark):
     with pytest.raises(Exception, match="unreadable event header: 1 1 0.5 x"):
         lhe.parse_event_header(ev).collect()
     assert lhe.parse_event_header(ev, strict=False).first()["scale"] is None
+
+
+def test_text_and_parsed_rows_give_the_same_errors(spark):
+    import random
+
+    r = random.Random(3)
+    pick = lambda *x: r.choice(x)
+    events = []
+    for _ in range(400):
+        n = r.randrange(0, 7)
+        rows = []
+        for _ in range(n):
+            tags = pick((501, 0), (0, 501), (501, 502), (502, 501), (0, 0), (503, 503))
+            tokens = [pick(5, -5, 21, 11, 4), pick(1, 1, -1, 2), 0, 0, *tags, "1.0", "2.0", pick("3.0", "nan", "+3e0", "x"), pick("4.0", "9.5"), pick("4.75", "0"), 0, 9]
+            rows.append(" ".join(map(str, tokens[: pick(13, 13, 13, 13, 13, 12)])))
+        head = f"{pick(n, n, n, n, n + 1, 'q')} 1 {pick('0.5', 'w')} 1 1 1"
+        events.append("<event a='1'>\n# note\n" + "\n".join([head, *rows, pick("", "  ", "<rwgt/>")]) + "\n</event>")
+    events += ["<event>\n</event>", "<event> 1 1 2 3 4 5\n</event>"]
+    df = spark.createDataFrame([(i, e) for i, e in enumerate(events)], "k int, event string")
+    rules = dict(final_count=2, final_abs_pdg=5, forbid=(4,), beam_order=True, first_singlet=5, isolated_singlet=5)
+    text = {r["k"]: (r["errors"], r["nup"], r["xwgtup"]) for r in ops.check_events(df, **rules).collect()}
+    parsed = {r["k"]: (r["errors"], r["nup"], r["xwgtup"]) for r in ops.check_events(lhe.parse_rows(df), **rules).collect()}
+    assert text == parsed and len(text) == len(events)
+    assert {m.rsplit(" ", 1)[0] for e, _, _ in text.values() for m in e} > {"mass", "tag 501 ends", "tag 501 kinds", "short row", "quark tags", "colourless tag", "gluon tags equal"}
