@@ -7,6 +7,7 @@ particles per event is ever put side by side.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkcollide.functions import kinematics as kin
 from sparkcollide.functions.kinematics import Vec
-from sparkcollide.operators.ranking import distributed_row_number, leading_n
+from sparkcollide.operators.ranking import TILE, distributed_row_number, leading_n, tiled
 from sparkcollide.operators.select import pt_order
 from sparkcollide.sources.fixtures import JET_KEYS
 
@@ -105,6 +106,8 @@ def select_by_ht(df: DataFrame, lo: float, hi: float, use_et: bool = False) -> D
 
 
 SUBCELLS = 8  # per cell side
+LEAF = 64  # different particles of a square that is looked into one by one
+DEEPEST = 6  # times a square is halved
 
 
 def isolation_veto(refs: DataFrame, particles: DataFrame, dr: float, emax: float) -> DataFrame:
@@ -112,48 +115,95 @@ def isolation_veto(refs: DataFrame, particles: DataFrame, dr: float, emax: float
 
     Particles are summed per small (eta, phi) square first. Squares are found
     through (event, eta cell, phi cell) with cells no smaller than the cone:
-    a square wholly inside the cone counts as its sum, one outside is skipped,
-    and only squares cut by the cone's edge are looked into one by one. The
-    join keys spread a busy event over many tasks.
+    a square wholly inside the cone counts as its sum, one outside is skipped.
+    A square cut by the cone's edge is looked into one by one if it holds at
+    most LEAF particles and split into four otherwise, as far down as the
+    fullest square asks for, so a dense event costs the cone's outline and not
+    its area. Busy squares and their references meet in tiles.
     """
     n_phi = int(2 * 3.141592653589793 / dr)
-    d_eta, d_phi = dr / SUBCELLS, 2 * 3.141592653589793 / (n_phi * SUBCELLS)
     v = Vec.cols()
-    squares = {
-        "si": F.floor(v.eta() / d_eta).cast("int"),
-        "sj": F.pmod(F.floor((v.phi() + F.pi()) / d_phi).cast("int"), F.lit(n_phi * SUBCELLS)),
-    }
-    cells = {"ci": F.floor(F.col("si") / SUBCELLS).cast("int"), "cj": F.floor(F.col("sj") / SUBCELLS).cast("int")}
     mom = ("e", "px", "py", "pz")
-    p = particles.withColumns({**squares, "et": v.et()}).select("event_id", "si", "sj", "et", *[F.col(c).alias("b_" + c) for c in mom])
-    sums = p.groupBy("event_id", "si", "sj").agg(F.sum("et").alias("sum_et")).withColumns(cells)
-    r = refs.withColumns({**squares, "a_eta": v.eta(), "a_phi": v.phi()}).withColumns(cells)
-    r = r.select("event_id", "ci", "cj", *JET_KEYS, "a_eta", "a_phi", *[F.col(c).alias("a_" + c) for c in mom])
+    alike = particles.groupBy("event_id", *mom).agg(F.count("*").alias("copies"))
+    alike = alike.withColumn("et", v.et() * F.col("copies"))
+    cone = v.eta().alias("a_eta"), v.phi().alias("a_phi")
+    r = _numbered(refs, dr, n_phi, 0).select("event_id", *_cell(), *JET_KEYS, *cone, *[F.col(c).alias("a_" + c) for c in mom])
     own = [c for c in r.columns if c not in ("ci", "cj")]
     r = r.dropDuplicates()  # equal references have equal cones
     shift = lambda: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    r = r.withColumn("_i", shift()).withColumn("_j", shift())
-    r = r.withColumns({"ci": F.col("ci") + F.col("_i"), "cj": F.pmod(F.col("cj") + F.col("_j"), F.lit(n_phi))}).drop("_i", "_j")
+    r = r.withColumn("_s", shift()).withColumn("_t", shift())
+    r = r.withColumns({"ci": F.col("ci") + F.col("_s"), "cj": F.pmod(F.col("cj") + F.col("_t"), F.lit(n_phi))}).drop("_s", "_t")
     if n_phi < 3:
         r = r.dropDuplicates()
-    lo, hi = F.col("si") * d_eta, (F.col("si") + 1) * d_eta
-    gap = F.abs(F.lit(-1.0) * F.pi() + (F.col("sj") + 0.5) * d_phi - F.col("a_phi"))
-    near = r.join(sums, ["event_id", "ci", "cj"]).withColumn("_d", F.least(gap, 2 * F.pi() - gap))
+    # how far down the fullest square asks to go, and whether any cell has more references than a tile
+    most = lambda df, keys: df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+    fullest = most(_numbered(alike, dr, n_phi, 0), ["event_id", "si", "sj"])
+    fullest, asked = (x["n"] or 0 for x in fullest.union(most(r, ["event_id", "ci", "cj"])).collect())
+    depth = min(DEEPEST, max(0, math.ceil(math.log(max(1, fullest) / LEAF, 4))))
+
+    def meet(left, right, keys):
+        if asked <= TILE:
+            return left.join(right, keys)
+        left, right = tiled(left, right, keys)
+        return left.join(right, [*keys, "_i", "_j"]).drop("_i", "_j")
+
+    fine = _numbered(alike, dr, n_phi, depth).select("event_id", "si", "sj", "et", *[F.col(c).alias("b_" + c) for c in mom])
+    squares = fine.groupBy("event_id", "si", "sj").agg(F.sum("et").alias("sum_et"), F.count("*").alias("n"))
+    shares, front = None, None
+    for level in range(depth + 1):
+        step = 1 << (depth - level)
+        here = squares.groupBy("event_id", F.floor(F.col("si") / step).cast("int").alias("si"), F.floor(F.col("sj") / step).cast("int").alias("sj"))
+        here = here.agg(F.sum("sum_et").alias("sum_et"), F.sum("n").alias("n"))
+        if level == 0:
+            left, right, keys = r, here.select("*", *_cell()), ["event_id", "ci", "cj"]
+        else:
+            left, right, keys = front, here.withColumns({"pi": F.floor(F.col("si") / 2).cast("int"), "pj": F.floor(F.col("sj") / 2).cast("int")}), ["event_id", "pi", "pj"]
+        near = _placed(meet(left, right, keys), dr, n_phi, level)
+        inside = near.where("inside").select(*own, F.col("sum_et").alias("share"))
+        edge = near.where("not inside")
+        last = level == depth
+        leaves = edge if last else edge.where(F.col("n") <= LEAF)
+        looked = leaves.select(*own, "si", "sj")
+        rows = fine.withColumns({"si": F.floor(F.col("si") / step).cast("int"), "sj": F.floor(F.col("sj") / step).cast("int")})
+        close = kin.delta_r_eta(Vec.cols("a_"), Vec.cols("b_")) < dr
+        looked = meet(looked, rows, ["event_id", "si", "sj"]).where(close).select(*own, F.col("et").alias("share"))
+        found = inside.unionByName(looked)
+        shares = found if shares is None else shares.unionByName(found)
+        front = None if last else edge.where(F.col("n") > LEAF).select(*own, F.col("si").alias("pi"), F.col("sj").alias("pj"))
+    busy = shares.groupBy(*own).agg(F.sum("share").alias("cone_et")).filter(F.col("cone_et") > emax)
+    events = particles.select("event_id").unionByName(refs.select("event_id")).distinct()
+    return events.join(busy.select("event_id").distinct(), "event_id", "left_anti")
+
+
+def _sides(dr: float, n_phi: int, level: int) -> tuple[float, float]:
+    """Height in eta and width in phi of a square of a level."""
+    return dr / (SUBCELLS << level), 2 * math.pi / (n_phi * SUBCELLS << level)
+
+
+def _numbered(df: DataFrame, dr: float, n_phi: int, level: int) -> DataFrame:
+    """Adds the square (si, sj) of each particle."""
+    v, (high, wide) = Vec.cols(), _sides(dr, n_phi, level)
+    around = F.lit(n_phi * SUBCELLS << level)
+    return df.withColumns({"si": F.floor(v.eta() / high).cast("int"), "sj": F.pmod(F.floor((v.phi() + F.pi()) / wide).cast("int"), around)})
+
+
+def _cell() -> list[Column]:
+    """Cells of squares of level 0."""
+    return [F.floor(F.col(c) / SUBCELLS).cast("int").alias(n) for n, c in (("ci", "si"), ("cj", "sj"))]
+
+
+def _placed(near: DataFrame, dr: float, n_phi: int, level: int) -> DataFrame:
+    """Squares that touch the cone of their reference, and whether they lie inside."""
+    high, wide = _sides(dr, n_phi, level)
+    lo, hi = F.col("si") * high, (F.col("si") + 1) * high
+    gap = F.abs(F.lit(-1.0) * F.pi() + (F.col("sj") + 0.5) * wide - F.col("a_phi"))
+    near = near.withColumn("_d", F.least(gap, 2 * F.pi() - gap))
     eta_min = F.greatest(F.lit(0.0), lo - F.col("a_eta"), F.col("a_eta") - hi)
     eta_max = F.greatest(F.abs(F.col("a_eta") - lo), F.abs(F.col("a_eta") - hi))
-    phi_min, phi_max = F.greatest(F.lit(0.0), F.col("_d") - d_phi / 2), F.least(F.pi(), F.col("_d") + d_phi / 2)
+    phi_min, phi_max = F.greatest(F.lit(0.0), F.col("_d") - wide / 2), F.least(F.pi(), F.col("_d") + wide / 2)
     eps = 1e-7  # squares this close to the edge are looked into
     near = near.filter(eta_min * eta_min + phi_min * phi_min < (dr + eps) ** 2)
-    near = near.withColumn("inside", eta_max * eta_max + phi_max * phi_max < max(dr - eps, 0.0) ** 2)
-    # one-by-one rows only for squares on the edge; the others keep their sum
-    edge = p.select(F.col("event_id").alias("_ev"), F.col("si").alias("_si"), F.col("sj").alias("_sj"), "et", *["b_" + c for c in mom])
-    same = (F.col("event_id") == F.col("_ev")) & (F.col("si") == F.col("_si")) & (F.col("sj") == F.col("_sj"))
-    close = kin.delta_r_eta(Vec.cols("a_"), Vec.cols("b_")) < dr
-    full = near.join(edge, same & ~F.col("inside") & close, "left")
-    share = F.when(F.col("inside"), F.col("sum_et")).otherwise(F.coalesce("et", F.lit(0.0)))
-    busy = full.groupBy(*own).agg(F.sum(share).alias("cone_et")).filter(F.col("cone_et") > emax)
-    events = particles.select("event_id").unionByName(refs.select("event_id")).distinct()
-    return events.join(busy.select("event_id").distinct(), "event_id", "left_anti")
+    return near.withColumn("inside", eta_max * eta_max + phi_max * phi_max < max(dr - eps, 0.0) ** 2)
 
 
 def extract_nth(df: DataFrame, flavour: int | None, item: int, var: str, lo: float, hi: float) -> DataFrame:
@@ -232,12 +282,14 @@ def charge_weighted_deta(df: DataFrame, first: tuple[int, ...], second: tuple[in
     """SCL06: charge x (eta2 - eta1) over all cross pairs, as weighted values.
 
     Equal pseudorapidities are counted before they meet, so an event costs
-    distinct values times distinct values instead of particles squared.
+    distinct values times distinct values instead of particles squared. The
+    values of a busy event meet in tiles, spread over many tasks.
     """
     eta = kin.snap(Vec.cols().eta())
     one = df.filter(F.col("pid").isin(*first)).groupBy("event_id", charge.alias("q"), eta.alias("eta1")).agg(F.count("*").alias("n1"))
     two = df.filter(F.col("pid").isin(*second)).groupBy("event_id", eta.alias("eta2")).agg(F.count("*").alias("n2"))
-    pairs = one.join(two, "event_id")
+    one, two = tiled(one, two, ["event_id"])
+    pairs = one.join(two, ["event_id", "_i", "_j"])
     value = F.round(F.col("q") * (F.col("eta2") - F.col("eta1")), 6)
     return pairs.groupBy("event_id", value.alias("value")).agg(F.sum(F.col("n1") * F.col("n2")).alias("fills"))
 

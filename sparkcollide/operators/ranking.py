@@ -177,3 +177,23 @@ def distributed_row_number(
         .withColumn(rank, F.col("_r") + F.col("_off"))
         .drop("_o", "_b", "_r", "_off")
     )
+
+
+TILE = 2048  # rows of one side of one tile
+
+
+def tiled(left: DataFrame, right: DataFrame, keys: list[str], tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys`` with tile numbers ``_i`` and ``_j`` to join on as well.
+
+    Keys with more than ``tile`` rows on a side are cut into parts by a hash of
+    their rows; a part goes to every part of the other side, so that all pairs
+    still meet, each in one tile of bounded size. Rows of a side must differ.
+    """
+    parts = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    busy = parts(left, "_n").join(parts(right, "_m"), keys).where("_n > 1 or _m > 1")
+
+    def dealt(df, own, other, mine, theirs):
+        out = df.join(busy, keys, "left").withColumn(mine, F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1))).cast("int"))
+        return out.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).select(*df.columns, "_i", "_j")
+
+    return dealt(left, "_n", "_m", "_i", "_j"), dealt(right, "_m", "_n", "_j", "_i")

@@ -95,6 +95,57 @@ def test_isolation_against_all_pairs(jets):
     assert got == want
 
 
+def dense(spark, n):
+    """Event 0 has half of the rows, most of them close together; copies of particles included."""
+    r = random.Random(5)
+    rows = []
+    for i in range(n):
+        hot = i % 2 == 0
+        eta, phi = (r.gauss(0.3, 0.15), r.gauss(3.1, 0.15)) if hot else (r.uniform(-2, 2), r.uniform(-3.1, 3.1))
+        rows.append((0 if hot else 1 + i % 40, 1, i, i, "b", r.choice([1.0, 2.5]), eta, phi))
+    rows += rows[:50]
+    df = spark.createDataFrame(rows, "event_id long, l_linenumber int, l_partkey long, l_suppkey long, tag string, pt0 double, eta0 double, phi0 double")
+    df = df.withColumns({"px": F.col("pt0") * F.cos("phi0"), "py": F.col("pt0") * F.sin("phi0"), "pz": F.col("pt0") * F.sinh("eta0"), "e": F.col("pt0") * F.cosh("eta0")})
+    return rows, df
+
+
+@pytest.mark.parametrize("tile", [100_000, 40])
+def test_isolation_in_a_dense_event(spark, monkeypatch, tile):
+    import numpy as np
+
+    monkeypatch.setattr(particles, "TILE", tile)
+    monkeypatch.setattr(particles, "LEAF", 4)
+    monkeypatch.setattr(ranking.tiled, "__defaults__", (min(tile, 2048),))
+    rows, df = dense(spark, 3000)
+    refs, rest = df.where("l_partkey % 5 = 0"), df.where("l_partkey % 5 <> 0")
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], ([], []))[r[2] % 5 != 0].append(r)
+    for dr, emax in ((0.4, 150.0), (0.15, 220.0)):
+        want = set()
+        for e, (a, b) in by.items():
+            x, y = np.array([r[5:8] for r in a]).reshape(-1, 3), np.array([r[5:8] for r in b]).reshape(-1, 3)
+            d = np.abs(x[:, None, 2] - y[None, :, 2]) % (2 * np.pi)
+            d = np.minimum(d, 2 * np.pi - d)
+            cone = ((np.hypot(x[:, None, 1] - y[None, :, 1], d) < dr) * y[None, :, 0]).sum(1)
+            if not (cone > emax).any():
+                want.add(e)
+        assert {r["event_id"] for r in particles.isolation_veto(refs, rest, dr, emax).collect()} == want
+    assert want and 0 not in want
+
+
+def test_tiles_are_bounded_and_all_pairs_meet(spark):
+    left = spark.range(6000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("a"))
+    right = left.select("k", F.col("a").alias("b"))
+    one, two = ranking.tiled(left, right, ["k"], 100)
+    for side in (one, two):
+        sizes = sorted(r["count"] for r in side.groupBy("k", "_i", "_j").count().collect())
+        assert max(sizes) < 200
+    met = one.join(two, ["k", "_i", "_j"]).agg(F.count("*").alias("n"), F.count_distinct("a", "b").alias("d")).first()
+    want = sum(r["count"] ** 2 for r in left.groupBy("k").count().collect())
+    assert met["n"] == met["d"] == want
+
+
 def test_charge_weighted_deta_counts_every_pair(jets):
     q = F.when(F.col("pid") == 11, -1).otherwise(1)
     fills = particles.charge_weighted_deta(jets, (11,), (5, -5), q).groupBy("event_id").agg(F.sum("fills").alias("n"))
