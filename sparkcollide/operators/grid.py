@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkcollide.functions import couplings as cf
 
@@ -137,25 +143,86 @@ def profile_intervals(grid: DataFrame, keys: list[str], x: str, cut: float = 3.8
     return p.groupBy(*keys).agg(F.min(ok).alias("low"), F.max(ok).alias("high"))
 
 
-def marginalise_4d(surfaces: DataFrame, keys: list[str], events, delta: Column, x1: tuple, x2: tuple, sigma3: float, sigma4: float, n: int) -> DataFrame:
-    """INF16: Gaussian priors on two axes summed out of a four-axis grid.
+REACH = 10  # standard deviations of a prior axis
+BLOCK = 64  # cells of one matrix product
 
-    ``events(x1, x2, x3, x4)`` returns the expected events. The prior axes are
-    exploded beside their (x1, x2) cell and collapse in the partial aggregate.
+
+def marginalise_4d(surfaces: DataFrame, keys: list[str], model: str, axes: dict[str, tuple[float, float]], priors: dict[str, float], scale: float, delta: float, n: int = 40) -> DataFrame:
+    """INF16: two axes with Gaussian priors summed out of a four-axis grid.
+
+    ``surfaces`` has keys and ``coefficients`` of the model; ``axes`` are the two
+    that stay (name: range), ``priors`` the two that go (name: deviation). One row
+    is made for a cell of the axes that stay. The prior axes are contracted one
+    after the other, as logarithms, over blocks of cells: a monomial is a
+    product of a part that stays and a part that goes, so a block is one matrix
+    product. (i_x1, i_x2, x1, x2, log_p, p, chisq, delta_chisq); chisq is null
+    where the density is below the smallest double, log_p is not.
     """
-    reach = 10
-    g = mesh_grid(surfaces, {"x1": (*x1, n), "x2": (*x2, n), "x3": (-reach * sigma3, reach * sigma3, n), "x4": (-reach * sigma4, reach * sigma4, n)})
-    x = [F.col(f"x{i}") for i in (1, 2, 3, 4)]
-    pull = (F.col("sm_events") - events(*x)) / delta
-    p = F.exp(-pull * pull / 2) / (F.sqrt(2 * F.pi()) * delta) * cf.gaussian(x[2], 0.0, sigma3) * cf.gaussian(x[3], 0.0, sigma4)
-    step = (2 * reach * sigma3 / n) * (2 * reach * sigma4 / n)
-    m = g.withColumn("_p", p).groupBy(*keys, "i_x1", "i_x2", "x1", "x2").agg((F.sum("_p") * step).alias("p"))
+    (one, lim1), (two, lim2) = axes.items()
+    (three, s3), (four, s4) = priors.items()
+    powers = cf.monomials(model)
+    x3, x4 = np.linspace(-REACH * s3, REACH * s3, n), np.linspace(-REACH * s4, REACH * s4, n)
+    going = np.stack([np.outer(x3 ** m.get(three, 0), x4 ** m.get(four, 0)).ravel() for m in powers])
+    weight = (-0.5 * (x3 / s3)[:, None] ** 2 - 0.5 * (x4 / s4)[None, :] ** 2).ravel()
+    constant = -np.log(delta * s3 * s4 * (2 * np.pi) ** 1.5) + np.log((2 * REACH * s3 / n) * (2 * REACH * s4 / n))
+    unit = next(k for k, m in enumerate(powers) if not m)
+
+    def contracted(log: np.ndarray) -> np.ndarray:
+        top = log.max(-1, keepdims=True)
+        return top[..., 0] + np.log(np.exp(log - top).sum(-1))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                c = part.column("coefficients").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                a, b = (part.column(x).to_numpy() for x in ("x1", "x2"))
+                stays = np.stack([a ** m.get(one, 0) * b ** m.get(two, 0) for m in powers], axis=1)
+                pull = scale * (c[:, unit, None] - (c * stays) @ going) / delta
+                log = (weight - 0.5 * pull * pull).reshape(-1, n, n)
+                log_p = contracted(contracted(log)) + constant
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in part.schema.names if k != "coefficients"), pa.array(log_p)], names=[*(k for k in part.schema.names if k != "coefficients"), "log_p"])
+
+    cells = mesh_grid(surfaces.select(*keys, "coefficients"), {"x1": (*lim1, n), "x2": (*lim2, n)}).select(*keys, "i_x1", "i_x2", "x1", "x2", "coefficients")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema if f.name != "coefficients")
+    m = cells.mapInArrow(run, f"{kind}, log_p double").withColumn("p", F.exp("log_p"))
     # the two-degree chi-square inverse survival function is exactly -2 ln p
-    m = m.withColumn("chisq", -2 * F.log(F.when(F.col("p") > 0, F.col("p"))))
+    m = m.withColumn("chisq", F.when(F.col("p") > 0, -2 * F.col("log_p")))
     low = m.groupBy(*keys).agg(F.min("chisq").alias("_m"))
     return m.join(low, keys).withColumn("delta_chisq", F.col("chisq") - F.col("_m")).drop("_m")
 
 
+@F.pandas_udf(T.DoubleType())
+def _one_degree(log_p: pd.Series) -> pd.Series:
+    """Inverse survival function of chi-square with one degree of freedom, of exp(log_p); null above one."""
+    normal = NormalDist()
+
+    def value(x: float) -> float:
+        if not x <= 0:
+            return float("nan")
+        if x > -600:
+            return normal.inv_cdf(0.5 * math.exp(x)) ** 2
+        z2 = -2 * x
+        for _ in range(60):  # p = 2 phi(z) / z (1 - 1/z^2 + 3/z^4 - 15/z^6), far out in the tail
+            z2 = -2 * (x - math.log(2)) - math.log(2 * math.pi * z2) + 2 * math.log1p(-1 / z2 + 3 / z2**2 - 15 / z2**3)
+        return z2
+
+    return log_p.map(value)
+
+
+def marginal_1d(marginal: DataFrame, keys: list[str], stays: str, limits: tuple[float, float], n: int = 40) -> DataFrame:
+    """INF16: one of the two axes left (``x1`` or ``x2``) summed out as well; ``limits`` are those of the axis that goes.
+
+    (i, x, log_p, chisq, delta_chisq), chi-square of one degree of freedom.
+    """
+    top = marginal.groupBy(*keys).agg(F.max("log_p").alias("_t"))
+    rows = marginal.join(top, keys).groupBy(*keys, F.col(f"i_{stays}").alias("i"), F.col(stays).alias("x"))
+    log_p = F.log(F.sum(F.exp(F.col("log_p") - F.col("_t")))) + F.max("_t") + F.lit(math.log((limits[1] - limits[0]) / n))
+    out = rows.agg(log_p.alias("log_p")).withColumn("chisq", F.nanvl(_one_degree("log_p"), F.lit(None).cast("double")))
+    low = out.groupBy(*keys).agg(F.min("chisq").alias("_m"))
+    return out.join(low, keys).withColumn("delta_chisq", F.col("chisq") - F.col("_m")).drop("_m")
+
+
 def one_d_scan(surfaces: DataFrame, model: str, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
     """INF17: value relative to the origin along each axis, others at zero; null where the origin is zero."""
     zero = {a: F.lit(0.0) for a in axes}

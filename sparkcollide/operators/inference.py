@@ -103,33 +103,38 @@ def least_squares(df: DataFrame, terms: list[Column], value: Column, error: Colu
     return _solved(_normal_sums(df, terms, value, error).first(), len(terms))
 
 
-def least_squares_by(df: DataFrame, key: str, terms: list[Column], value: Column, error: Column) -> DataFrame:
-    """One fit for each value of ``key``: (key, status, n_points, coefficients); each small solve is a row of its group's sums."""
-    sums, k = _normal_sums(df, terms, value, error, (key,)), len(terms)
+def surface_recovery(surfaces: DataFrame, points: DataFrame) -> DataFrame:
+    """INF04: each of the known surfaces (surface, coefficients), taken at the points (c3, d4), is fitted on its own and compared.
+
+    The points share one matrix of normal sums, made in one pass over them; a
+    surface's right side is that matrix times its coefficients, so points and
+    surfaces are never joined. (surface, coefficients, status, gap): the sum of
+    absolute differences of the coefficients, null where the surface could not
+    be fitted.
+    """
+    terms = cf.chebyshev_basis(F.col("c3"), F.col("d4"))
+    k, one = len(terms), F.lit(1.0)
+    sums = _normal_sums(points.select("c3", "d4"), terms, F.lit(0.0), F.lit(0.1))
+    upper = [f"{p}{i}_{j}" for p in "gd" for i in range(k) for j in range(i, k)]
+    matrix = sums.select(F.struct("n", *[(F.col(u) * one).alias(u) for u in upper]).alias("m")).scalar()
+    rows = surfaces.select("surface", "coefficients", matrix.alias("m"))
 
     def solve(batches):
         for batch in batches:
-            schema = pa.schema([batch.schema.field(key), ("status", pa.string()), ("n_points", pa.int64()), ("coefficients", pa.list_(pa.float64()))])
+            out = []
             for row in batch.to_pylist():
-                fit = _solved(row, k)
-                yield pa.RecordBatch.from_pylist([{key: row[key], "status": fit["status"], "n_points": fit["n_points"], "coefficients": fit["coefficients"]}], schema=schema)
-
-    return sums.mapInArrow(solve, f"`{key}` {sums.schema[key].dataType.simpleString()}, status string, n_points long, coefficients array<double>")
-
-
-def surface_recovery(surfaces: DataFrame, points: DataFrame) -> DataFrame:
-    """INF04: each of the known surfaces (surface, coefficients) is evaluated at the points (c3, d4), fitted on its own and compared.
-
-    (surface, coefficients, status, gap): the sum of absolute differences of the
-    coefficients, null where the surface could not be fitted.
-    """
-    # the known surfaces are few, the points are not
-    rows = points.select("c3", "d4").crossJoin(F.broadcast(surfaces)).withColumn("value", cf.evaluate_surface(F.col("c3"), F.col("d4"), F.col("coefficients")))
-    rows = rows.where(F.abs("value") < float("inf"))
-    fit = least_squares_by(rows, "surface", cf.chebyshev_basis(F.col("c3"), F.col("d4")), F.col("value"), F.lit(0.1))
-    fit = fit.select(F.col("surface").alias("_s"), "status", F.col("coefficients").alias("_f"))
-    gap = F.aggregate(F.zip_with("coefficients", "_f", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda x, y: x + y)
-    return surfaces.join(fit, F.col("surface").eqNullSafe(F.col("_s")), "left").select("surface", "coefficients", F.coalesce("status", F.lit("skipped")).alias("status"), gap.alias("gap"))
+                c, m = row["coefficients"], row["m"]
+                known = np.array(c, float) if c is not None and None not in c and len(c) == k else np.full(k, np.nan)
+                fit = {"status": "skipped", "coefficients": None}
+                if np.isfinite(known).all():
+                    side = np.array([[m[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) @ known
+                    fit = _solved(m | {f"b{i}": float(v) for i, v in enumerate(side)}, k)
+                gap = None if fit["coefficients"] is None else float(np.abs(known - fit["coefficients"]).sum())
+                out.append({"surface": row["surface"], "coefficients": c, "status": fit["status"], "gap": gap})
+            schema = pa.schema([batch.schema.field("surface"), ("coefficients", pa.list_(pa.float64())), ("status", pa.string()), ("gap", pa.float64())])
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.mapInArrow(solve, f"surface {rows.schema['surface'].dataType.simpleString()}, coefficients array<double>, status string, gap double")
 
 
 def _solved(got, k: int) -> dict:

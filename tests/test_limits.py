@@ -63,3 +63,39 @@ def test_columns_with_nulls_and_errors(spark):
         inference.upper_limit("other")
     with pytest.raises(ValueError, match="confidence level"):
         inference.upper_limit("cls", 1.0)
+
+
+def test_one_degree_chi_square_of_a_log_probability(spark):
+    from sparkcollide.operators import grid
+
+    df = spark.createDataFrame([(math.log(0.05),), (math.log(0.31731),), (math.log(2.0),), (-800.0,), (-600.5,), (-599.5,)], "x double")
+    got = [r[0] for r in df.select(grid._one_degree("x")).collect()]
+    assert got[0] == pytest.approx(3.841459, abs=1e-6) and got[1] == pytest.approx(1.0, abs=1e-4) and (got[2] is None or math.isnan(got[2]))
+    tail = lambda z2: math.log(2) - z2 / 2 - 0.5 * math.log(2 * math.pi * z2) + math.log1p(-1 / z2 + 3 / z2**2)
+    assert tail(got[3]) == pytest.approx(-800, abs=1e-6) and 0 < got[4] - got[5] < 2.1
+
+
+def test_marginals_against_the_whole_grid(spark):
+    from sparkcollide.functions import couplings as cf
+    from sparkcollide.operators import grid
+
+    n, r = 7, np.random.default_rng(5)
+    c = r.normal(0, 1, 25)
+    surfaces = spark.createDataFrame([("s", c.tolist())], "surface string, coefficients array<double>")
+    two = grid.marginalise_4d(surfaces, ["surface"], "ct2ct3", {"ct3": (-1.0, 1.0), "d4": (-2.0, 2.0)}, {"c3": 0.2, "ct2": 0.1}, 2.0, 3.0, n)
+    x = {"ct3": np.linspace(-1, 1, n), "d4": np.linspace(-2, 2, n), "c3": np.linspace(-2, 2, n), "ct2": np.linspace(-1, 1, n)}
+    mesh = dict(zip(x, np.meshgrid(*x.values(), indexing="ij"), strict=True))
+    s = 0
+    for k, m in zip(c, cf.monomials("ct2ct3"), strict=True):
+        term = np.full((n,) * 4, k)
+        for v, p in m.items():
+            term = term * mesh[v] ** p
+        s = s + term
+    gauss = lambda d, w: np.exp(-0.5 * (d / w) ** 2) / (math.sqrt(2 * math.pi) * w)
+    unit = cf.monomials("ct2ct3").index({})
+    p = gauss(2.0 * (c[unit] - s), 3.0) * gauss(mesh["c3"], 0.2) * gauss(mesh["ct2"], 0.1)
+    p2 = p.sum((2, 3)) * (4.0 / n) * (2.0 / n)
+    got = {(r["i_x1"], r["i_x2"]): r["p"] for r in two.collect()}
+    assert all(got[i, j] == pytest.approx(p2[i, j], rel=1e-9) for i in range(n) for j in range(n))
+    d4 = {r["i"]: math.exp(r["log_p"]) for r in grid.marginal_1d(two, ["surface"], "x2", (-1.0, 1.0), n).collect()}
+    assert all(d4[j] == pytest.approx(p2[:, j].sum() * 2.0 / n, rel=1e-9) for j in range(n))
