@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkcollide.functions import noise
 from sparkcollide.functions.couplings import significance
 from sparkcollide.operators.ranking import distributed_row_number, running_sums
-from sparkcollide.session import lookup
+from sparkcollide.session import cut_lineage, lookup
 
 
 def balance_class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
@@ -98,24 +98,36 @@ def auc(df: DataFrame, weight: Column | None = None) -> DataFrame:
 THRESHOLDS = 501
 
 
+def score_buckets(df: DataFrame, weight: str = "weight") -> DataFrame:
+    """Totals of signal (s, n1) and background (b, n0) per bucket between two thresholds, at most THRESHOLDS + 2 rows.
+
+    Bucket ``i`` holds scores from threshold i up to the next; -1 those below
+    zero, null those without a score.
+    """
+    step = 1.0 / (THRESHOLDS - 1)
+    b = F.floor(F.col("score") / step)
+    b = F.when((b + 1) * step <= F.col("score"), b + 1).when(b * step > F.col("score"), b - 1).otherwise(b)
+    b = F.greatest(F.lit(-1), F.least(F.lit(THRESHOLDS - 1), b)).cast("int")
+    b = F.when(F.col("score").isNotNull(), F.when(F.col("score") >= 0, b).otherwise(-1))
+    own = lambda label, v: F.sum(F.when(F.col("label") == label, v).otherwise(0.0))
+    count = lambda label: F.count(F.when(F.col("label") == label, 1))
+    return df.groupBy(b.alias("i")).agg(own(1, F.col(weight)).alias("s"), own(0, F.col(weight)).alias("b"), count(1).alias("n1"), count(0).alias("n0"), F.count("*").alias("n"))
+
+
 def threshold_scan(df: DataFrame, systematics: float = 0.0, weight: str = "weight") -> DataFrame:
     """ML04: all 501 cuts from one aggregation into 501 buckets.
 
     A row counts for every threshold up to its bucket, so suffix sums over
     the 501 bucket totals give S and B at each cut.
     """
-    step = 1.0 / (THRESHOLDS - 1)
-    b = F.floor(F.col("score") / step)
-    b = F.when((b + 1) * step <= F.col("score"), b + 1).when(b * step > F.col("score"), b - 1).otherwise(b)
-    b = F.least(F.lit(THRESHOLDS - 1), b).cast("int")
-    sums = df.filter(F.col("score") >= 0).groupBy(b.alias("i")).agg(
-        F.sum(F.when(F.col("label") == 1, F.col(weight)).otherwise(0.0)).alias("s"),
-        F.sum(F.when(F.col("label") == 0, F.col(weight)).otherwise(0.0)).alias("b"),
-    )
-    spine = df.sparkSession.range(THRESHOLDS).select(F.col("id").cast("int").alias("i"))
+    return scan_buckets(df.sparkSession, score_buckets(df, weight), systematics)
+
+
+def scan_buckets(spark: SparkSession, buckets: DataFrame, systematics: float) -> DataFrame:
+    spine = spark.range(THRESHOLDS).select(F.col("id").cast("int").alias("i"))
     suffix = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    full = spine.join(sums, "i", "left").fillna(0.0, ["s", "b"])
-    out = full.select("i", (F.col("i") * step).alias("threshold"), F.sum("s").over(suffix).alias("signal"), F.sum("b").over(suffix).alias("background"))
+    full = spine.join(buckets.where("i >= 0").select("i", "s", "b"), "i", "left").fillna(0.0, ["s", "b"])
+    out = full.select("i", (F.col("i") * (1.0 / (THRESHOLDS - 1))).alias("threshold"), F.sum("s").over(suffix).alias("signal"), F.sum("b").over(suffix).alias("background"))
     return out.withColumn("significance", significance(F.col("signal"), F.col("background"), systematics))
 
 
@@ -171,16 +183,31 @@ def accuracy(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def evaluate(df: DataFrame, systematics: float = 0.0) -> DataFrame:
-    """ML05: one row of metrics; every figure is a scalar of its own aggregate."""
-    best = best_threshold(threshold_scan(df, systematics))
-    cut = best.select("threshold").scalar()
-    sel = (F.col("score") >= F.col("_cut")).cast("int")
-    flagged = df.withColumn("_cut", cut)
-    counts = flagged.agg(
-        *[F.count(F.when((F.col("label") == a) & (sel == b), 1)).alias(f"n_{a}{b}") for a in (0, 1) for b in (0, 1)],
-        F.sum(F.when(F.col("label") == 1, F.col("weight"))).alias("preselected_signal"), F.sum(F.when(F.col("label") == 0, F.col("weight"))).alias("preselected_background"),
+    """ML05: one row of metrics.
+
+    Two passes: bucket totals, from which cuts, counts, accuracy and class
+    totals follow, and one set of running sums for both areas under the curve.
+    """
+    spark = df.sparkSession
+    buckets = cut_lineage(score_buckets(df), "buckets")
+    best = best_threshold(scan_buckets(spark, buckets, systematics))
+    at = F.round(F.col("_b.threshold") * (THRESHOLDS - 1)).cast("int")
+    half = (THRESHOLDS - 1) // 2
+    passed = F.col("i") >= at
+    n = lambda label, ok: F.coalesce(F.sum(F.when(ok, F.col(f"n{label}"))), F.lit(0))
+    rows = buckets.withColumn("_b", best.select(F.struct("*")).scalar())
+    counts = rows.agg(
+        *[n(a, passed if b else ~passed).alias(f"n_{a}{b}") for a in (0, 1) for b in (0, 1)],
+        F.sum("s").alias("preselected_signal"), F.sum("b").alias("preselected_background"),
+        (n(1, F.col("i") >= half) + n(0, F.col("i") < half)).alias("_hit"), F.sum("n").alias("_n"), F.sum("n1").alias("_n1"), F.sum("n0").alias("_n0"), F.first("_b").alias("_b"),
     )
-    out = counts.withColumns(
-        {"accuracy": accuracy(df).scalar(), "auc": auc(df).scalar(), "auc_weighted": auc(df, F.col("weight")).scalar(), "_b": best.select(F.struct("*")).scalar()}
+    signal, other = F.col("label") == 1, F.col("label") == 0
+    sides = df.select("score", *[F.when(c, w).otherwise(0.0).alias(k) for k, c, w in (("p", signal, F.lit(1.0)), ("q", other, F.lit(1.0)), ("pw", signal, F.col("weight")), ("qw", other, F.col("weight")))])
+    run = running_sums(sides, "score", {"tp": "p", "fp": "q", "tw": "pw", "fw": "qw"}, descending=True)
+    area = lambda t, f: F.sum(F.col(f"{f}_here") * (2 * F.col(t) - F.col(f"{t}_here")) / 2)
+    areas = run.agg(area("tp", "fp").alias("a"), area("tw", "fw").alias("w"))
+    out = counts.withColumn("_a", areas.select(F.struct("*")).scalar())
+    return out.select(
+        *[f"n_{a}{b}" for a in (0, 1) for b in (0, 1)], "preselected_signal", "preselected_background", (F.col("_hit") / F.col("_n")).alias("accuracy"),
+        F.try_divide(F.col("_a.a"), F.col("_n1") * F.col("_n0").cast("double")).alias("auc"), F.try_divide(F.col("_a.w"), F.col("preselected_signal") * F.col("preselected_background")).alias("auc_weighted"), "_b.*",
     )
-    return out.select("*", "_b.*").drop("_b")

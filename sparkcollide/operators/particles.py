@@ -45,6 +45,12 @@ def select_particles(df: DataFrame, var: str, lo: float, hi: float) -> DataFrame
     return df.filter(VARIABLES[var](Vec.cols()).between(lo, hi))
 
 
+def select_particles_each(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """FLT09 for several variables in one scan: a row for each variable (``var``) whose range a particle is in."""
+    hit = [F.when(VARIABLES[var](Vec.cols()).between(lo, hi), F.lit(var)) for var, (lo, hi) in ranges.items()]
+    return df.select(F.explode(F.array_compact(F.array(*hit))).alias("var"), *df.columns)
+
+
 def nth(df: DataFrame, flavour: int | None, item: int) -> DataFrame:
     """The item-th particle (0-based, by descending pT) of a flavour per event."""
     own = df if flavour is None else df.filter(F.col("pid") == flavour)
@@ -294,13 +300,26 @@ def charge_weighted_deta(df: DataFrame, first: tuple[int, ...], second: tuple[in
     return pairs.groupBy("event_id", value.alias("value")).agg(F.sum(F.col("n1") * F.col("n2")).alias("fills"))
 
 
-def reference_sum(df: DataFrame, items: list[tuple[int, int]]) -> DataFrame:
-    """Sum of chosen particles per event (columns r_e, r_px, r_py, r_pz)."""
-    rows = None
+def pick_items(df: DataFrame, items: list[tuple[int | None, int]]) -> DataFrame:
+    """nth() for several (flavour, item) in one scan; a particle wanted twice comes twice.
+
+    Every flavour is a lane of its own (None: all particles), cut to its
+    deepest item by one partial group limit.
+    """
+    deepest: dict[int | None, int] = {}
     for flavour, item in items:
-        one = nth(df, flavour, item).select("event_id", "e", "px", "py", "pz")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("event_id").agg(*[F.sum(c).alias("r_" + c) for c in ("e", "px", "py", "pz")])
+        deepest[flavour] = max(item, deepest.get(flavour, 0))
+    lanes = list(deepest)
+    own = [F.when(F.lit(True) if f is None else F.col("pid") == f, F.lit(k)) for k, f in enumerate(lanes)]
+    rows = df.withColumn("_lane", F.explode(F.array_compact(F.array(*own))))
+    led = leading_n(rows, ["event_id", "_lane"], pt_order(), max(deepest.values()) + 1)
+    wanted = F.array(*[F.when((F.col("_lane") == lanes.index(f)) & (F.col("rn") == item + 1), F.lit(1)) for f, item in items])
+    return led.withColumn("_want", F.explode(F.array_compact(wanted))).drop("_lane", "rn", "_want")
+
+
+def reference_sum(df: DataFrame, items: list[tuple[int | None, int]]) -> DataFrame:
+    """Sum of chosen particles per event (columns r_e, r_px, r_py, r_pz) and how many of them the event has (r_n)."""
+    return pick_items(df, items).groupBy("event_id").agg(F.count("*").alias("r_n"), *[F.sum(c).alias("r_" + c) for c in ("e", "px", "py", "pz")])
 
 
 def _transformed(df: DataFrame, ref: DataFrame, fn) -> DataFrame:
@@ -326,9 +345,7 @@ def all_to_reference(df: DataFrame, items: list[tuple[int, int]], fn, least_mass
     reference is no heavier than ``least_mass`` ('light_like'), keep their
     particles, with null momenta.
     """
-    refs = [nth(df, flavour, item).select("event_id", "e", "px", "py", "pz") for flavour, item in items]
-    ref = reduce(DataFrame.unionByName, refs).groupBy("event_id").agg(F.count("*").alias("r_n"), *[F.sum(c).alias("r_" + c) for c in ("e", "px", "py", "pz")])
-    ref = ref.where(F.col("r_n") == len(items)).drop("r_n")
+    ref = reference_sum(df, items).where(F.col("r_n") == len(items)).drop("r_n")
     out = df.join(ref, "event_id", "left")
     light = F.lit(False) if least_mass is None else ~(Vec.cols("r_").mass() > least_mass)
     status = F.when(F.col("r_e").isNull(), "no_reference").when(light, "light_like").otherwise("ok")

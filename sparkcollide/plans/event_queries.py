@@ -167,14 +167,16 @@ def jn04(spark, sf):
     return fixtures.events_w(spark, sf).join(spark.read.parquet(path), "event_id", "left_semi").select("event_id", "sample", "evweight")
 
 
+PAIRING_TEXT = [",".join(f"{a}-{b}" for a, b in match) for match in reco.pairings(8)]
+
+
 @query(
     "JN06_pairing_cross",
-    f"""{WITH_ACC}, {S.top_n('acc', 4)}, f AS (SELECT event_id FROM sel GROUP BY event_id HAVING count(*)=4),
- pairing(idx,p) AS (VALUES (0,'0-1,2-3'),(1,'0-2,1-3'),(2,'0-3,2-1')) SELECT event_id, idx, p AS pairing FROM f, pairing""",
+    f"""{WITH_ACC}, {S.top_n('acc', 8)}, f AS (SELECT event_id FROM sel GROUP BY event_id HAVING count(*)=8),
+ pairing(idx,p) AS (VALUES {','.join(f"({k},'{t}')" for k, t in enumerate(PAIRING_TEXT))}) SELECT event_id, idx, p AS pairing FROM f, pairing""",
 )
 def jn06(spark, sf):
-    text = [",".join(f"{a}-{b}" for a, b in match) for match in reco.pairings(4)]
-    return candidates(spark, sf, 4).select("event_id", F.posexplode(F.array(*[F.lit(t) for t in text])).alias("idx", "pairing"))
+    return candidates(spark, sf, 8).select("event_id", F.posexplode(F.array(*[F.lit(t) for t in PAIRING_TEXT])).alias("idx", "pairing"))
 
 
 @query(
@@ -294,21 +296,21 @@ for _n in (4, 8):
 
 @query(
     "AGG01_weighted_cutflow_smeared",
-    flow_sql(4, f"WITH {S.JETS}, {S.ACC}, {S.smeared('acc', 'sm')}", "sm"),
+    flow_sql(8, f"WITH {S.JETS}, {S.ACC}, {S.smeared('acc', 'sm')}", "sm"),
 )
 def agg01s(spark, sf):
     sm = select.smear_energy(accepted(spark, sf))
-    rec = reco.reconstruct(select.gather(select.leading_jets(sm, 4), 4), 4)
+    rec = reco.reconstruct(select.gather(select.leading_jets(sm, 8), 8), 8)
     return round_flow(cutflow.weighted_cutflow(fixtures.events_w(spark, sf), rec, ["sample"]))
 
 
 @query(
     "AGG02_efficiencies",
-    f"""WITH f AS ({flow_sql(4, WITH_ACC)}) SELECT sample, {R('CASE WHEN w_in<>0 THEN w_pt/w_in ELSE 0 END')} AS eff_preselection,
+    f"""WITH f AS ({flow_sql(8, WITH_ACC)}) SELECT sample, {R('CASE WHEN w_in<>0 THEN w_pt/w_in ELSE 0 END')} AS eff_preselection,
  {R('CASE WHEN w_in<>0 THEN w_dr_hh/w_in ELSE 0 END')} AS eff_final FROM f""",
 )
 def agg02(spark, sf):
-    out = cutflow.efficiencies(flow(spark, sf, 4))
+    out = cutflow.efficiencies(flow(spark, sf, 8))
     return out.select("sample", r("eff_preselection").alias("eff_preselection"), r("eff_final").alias("eff_final"))
 
 
@@ -360,18 +362,18 @@ def snk01(spark, sf):
 
 @query(
     "SNK02_write_cutflow_summary",
-    f"""WITH f AS ({flow_sql(4, WITH_ACC)}) SELECT CAST(20 AS DOUBLE) AS pt_cut_gev, CAST(2.5 AS DOUBLE) AS eta_cut, CAST(0.3 AS DOUBLE) AS min_delta_r_jets, CAST(sum(events_in) AS BIGINT) AS mc_events_in,
+    f"""WITH f AS ({flow_sql(8, WITH_ACC)}) SELECT CAST(20 AS DOUBLE) AS pt_cut_gev, CAST(2.5 AS DOUBLE) AS eta_cut, CAST(0.3 AS DOUBLE) AS min_delta_r_jets, CAST(sum(events_in) AS BIGINT) AS mc_events_in,
  {R('sum(w_in)', 5)} AS total_weight_in, CAST(sum(n_preselection) AS BIGINT) AS preselection_mc_events_out, {R('sum(w_pt)/sum(w_in)')} AS preselection_efficiency,
  CAST(sum(n_final) AS BIGINT) AS analysis_mc_events_out, {R('sum(w_dr_hh)/sum(w_in)')} AS analysis_efficiency FROM f""",
 )
 def snk02(spark, sf):
     path = scratch_dir(spark, "summary")
-    writers.write_cutflow_summary(flow(spark, sf, 4), path)
+    writers.write_cutflow_summary(flow(spark, sf, 8), path)
     return writers.read_cutflow_summary(spark, path)
 
 
-@query("SNK03_write_pass_list", f"{WITH_ACC}, {S.top_n('acc', 4)}, {S.reco(4)} SELECT event_id FROM flags WHERE p3")
+@query("SNK03_write_pass_list", f"{WITH_ACC}, {S.top_n('acc', 8)}, {S.reco(8)} SELECT event_id FROM flags WHERE p3")
 def snk03(spark, sf):
     path = scratch_dir(spark, "passlist")
-    writers.write_pass_list(reconstructed(spark, sf, 4).filter("pass_chi"), path)
+    writers.write_pass_list(reconstructed(spark, sf, 8).filter("pass_chi"), path)
     return spark.read.parquet(path)

@@ -184,11 +184,27 @@ def inf05(spark, sf):
     return f.select("k", r("fitted_events", 4).alias("fitted_events"), r("fitted_s_over_sqrt_b", 4).alias("fitted_s_over_sqrt_b"), "fitted_excluded")
 
 
-G2 = f"WITH {surf_sql(15)}, g AS (SELECT *, -30 + ix*CAST(60 AS DOUBLE)/20 AS c3, -600 + iy*CAST(1200 AS DOUBLE)/20 AS d4 FROM sf, range(21) a(ix), range(21) b(iy)), gv AS (SELECT surface, ix, iy, c3, d4, {SURF_VAL} AS value FROM g)"
+def g2_sql(n: int) -> str:
+    return f"WITH {surf_sql(15)}, g AS (SELECT *, -30 + ix*CAST({60 / (n - 1)!r} AS DOUBLE) AS c3, -600 + iy*CAST({1200 / (n - 1)!r} AS DOUBLE) AS d4 FROM sf, range({n}) a(ix), range({n}) b(iy)), gv AS (SELECT surface, ix, iy, c3, d4, {SURF_VAL} AS value FROM g)"
 
 
-def grid2(spark, sf):
-    return gr.evaluate_grid(surfaces(spark, sf, 15), (-30.0, 30.0, 21), (-600.0, 600.0, 21), 3000.0)
+# Fixed value: points an axis of the production grid; the grid of 21 shows every cell
+GRID = 301
+G2, G2_FULL = g2_sql(21), g2_sql(GRID)
+SUMMARY_SQL = lambda v: f"count(*) AS cells, count({v}) AS filled, {R(f'sum({v})/count({v})', 3)} AS mean, {R(f'min({v})', 3)} AS low, {R(f'max({v})', 3)} AS high"
+
+
+def grid2(spark, sf, n=21):
+    return gr.evaluate_grid(surfaces(spark, sf, 15), (-30.0, 30.0, n), (-600.0, 600.0, n), 3000.0)
+
+
+def grid_summary(g, v):
+    return g.groupBy("surface").agg(F.count("*").alias("cells"), F.count(v).alias("filled"), r(F.sum(v) / F.count(v), 3).alias("mean"), r(F.min(v), 3).alias("low"), r(F.max(v), 3).alias("high"))
+
+
+@query("INF06_evaluate_grid_full", f"{G2_FULL}, e AS (SELECT surface, 3000*greatest(CAST(0 AS DOUBLE), value) AS v FROM gv) SELECT surface, {SUMMARY_SQL('v')} FROM e GROUP BY surface")
+def inf06f(spark, sf):
+    return grid_summary(grid2(spark, sf, GRID), "events")
 
 
 @query("INF06_evaluate_grid", f"{G2} SELECT surface, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, {R('3000*greatest(CAST(0 AS DOUBLE), value)', 6)} AS events FROM gv")
@@ -201,22 +217,43 @@ def inf07(spark, sf):
     return gr.perturbativity(points(spark, sf).select("k", "c3", "d4"), ["k", "c3", "d4"]).select("k", r("max_wave").alias("max_wave"))
 
 
-@query("INF08_ratio_grid", f"{G2}, zz AS (SELECT surface, {SURF_VAL} AS z FROM (SELECT sf.*, CAST(0 AS DOUBLE) AS c3, CAST(0 AS DOUBLE) AS d4 FROM sf)) SELECT surface, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, z > 0 AS reference_ok, CASE WHEN z > 0 AND value > 0 THEN {R('value/z', 5)} END AS ratio FROM gv JOIN zz USING (surface)")
-def inf08(spark, sf):
+ZERO = f"zz AS (SELECT surface, {SURF_VAL} AS z FROM (SELECT sf.*, CAST(0 AS DOUBLE) AS c3, CAST(0 AS DOUBLE) AS d4 FROM sf))"
+
+
+def ratios(spark, sf, n):
     base = surfaces(spark, sf, 15).withColumn("z", cf.evaluate_surface(F.lit(0.0), F.lit(0.0), F.col("coefficients")))
-    g = gr.evaluate_grid(base, (-30.0, 30.0, 21), (-600.0, 600.0, 21), 1.0)
-    return gr.ratio_grid(g, F.col("z")).select("surface", F.col("i_c3").alias("ix"), F.col("i_d4").alias("iy"), "reference_ok", r("ratio", 5).alias("ratio"))
+    g = gr.evaluate_grid(base, (-30.0, 30.0, n), (-600.0, 600.0, n), 1.0)
+    return gr.ratio_grid(g, F.col("z"))
+
+
+@query("INF08_ratio_grid", f"{G2}, {ZERO} SELECT surface, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, z > 0 AS reference_ok, CASE WHEN z > 0 AND value > 0 THEN {R('value/z', 5)} END AS ratio FROM gv JOIN zz USING (surface)")
+def inf08(spark, sf):
+    return ratios(spark, sf, 21).select("surface", F.col("i_c3").alias("ix"), F.col("i_d4").alias("iy"), "reference_ok", r("ratio", 5).alias("ratio"))
+
+
+@query("INF08_ratio_grid_full", f"{G2_FULL}, {ZERO}, q AS (SELECT surface, CASE WHEN z > 0 AND value > 0 THEN value/z END AS v FROM gv JOIN zz USING (surface)) SELECT surface, {SUMMARY_SQL('v')} FROM q GROUP BY surface")
+def inf08f(spark, sf):
+    return grid_summary(ratios(spark, sf, GRID), "ratio")
+
+
+@query(
+    "INF08_log_levels",
+    f"""{G2_FULL}, {ZERO}, q AS (SELECT surface, floor(log10(min(v))) AS lo, ceil(log10(max(v))) AS hi FROM (SELECT surface, CASE WHEN z > 0 AND value > 0 THEN value/z END AS v FROM gv JOIN zz USING (surface)) WHERE v IS NOT NULL GROUP BY surface)
+ SELECT surface, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, CAST(least(80, greatest(12, (hi-lo)*4+1)) AS INT) AS n_levels FROM q""",
+)
+def inf08l(spark, sf):
+    return gr.log_levels(ratios(spark, sf, GRID), ["surface"]).select("surface", "lo", "hi", "n_levels")
 
 
 @query(
     "INF09_contour_cells",
-    f"""{G2}, e AS (SELECT *, 3000*greatest(CAST(0 AS DOUBLE), value) AS v FROM gv),
- x AS (SELECT surface, 'c3' AS direction, c3 + (2000-v)/(v2-v)*3 AS c3, d4 FROM (SELECT *, lead(v) OVER (PARTITION BY surface, iy ORDER BY ix) AS v2 FROM e) WHERE (v<2000) <> (v2<2000)),
- y AS (SELECT surface, 'd4' AS direction, c3, d4 + (2000-v)/(v2-v)*60 AS d4 FROM (SELECT *, lead(v) OVER (PARTITION BY surface, ix ORDER BY iy) AS v2 FROM e) WHERE (v<2000) <> (v2<2000))
+    f"""{G2_FULL}, e AS (SELECT *, 3000*greatest(CAST(0 AS DOUBLE), value) AS v FROM gv),
+ x AS (SELECT surface, 'c3' AS direction, c3 + (2000-v)/(v2-v)*CAST({60 / (GRID - 1)!r} AS DOUBLE) AS c3, d4 FROM (SELECT *, lead(v) OVER (PARTITION BY surface, iy ORDER BY ix) AS v2 FROM e) WHERE (v<2000) <> (v2<2000)),
+ y AS (SELECT surface, 'd4' AS direction, c3, d4 + (2000-v)/(v2-v)*CAST({1200 / (GRID - 1)!r} AS DOUBLE) AS d4 FROM (SELECT *, lead(v) OVER (PARTITION BY surface, ix ORDER BY iy) AS v2 FROM e) WHERE (v<2000) <> (v2<2000))
  SELECT surface, direction, {R('c3', 4)} AS c3, {R('d4', 3)} AS d4 FROM (SELECT * FROM x UNION ALL SELECT * FROM y)""",
 )
 def inf09(spark, sf):
-    c = gr.contour_cells(grid2(spark, sf), ["surface"], 2000.0)
+    c = gr.contour_cells(grid2(spark, sf, GRID), ["surface"], 2000.0)
     return c.select("surface", "direction", r("c3", 4).alias("c3"), r("d4", 3).alias("d4"))
 
 
@@ -253,7 +290,7 @@ def agg34(spark, sf):
 
 
 # --- chi-square grids -------------------------------------------------------------------------
-NB = 25
+NB = 101
 AX = {"x": (-3.0, 3.0, NB), "y": (-2.0, 4.0, NB)}
 DX, DY = 6.0 / (NB - 1), 6.0 / (NB - 1)
 C2 = f"""WITH {surf_sql(9)}, g AS (SELECT sf.*, ix, iy, -3 + ix*CAST({DX!r} AS DOUBLE) AS x, -2 + iy*CAST({DY!r} AS DOUBLE) AS y FROM sf, range({NB}) a(ix), range({NB}) b(iy)),
@@ -279,9 +316,9 @@ def jn11b(spark, sf):
     return g.groupBy("surface").agg(F.count("*").alias("cells"), r(F.sum(F.col("a") + F.col("b") + F.col("c") + F.col("d"))).alias("checksum"))
 
 
-@query("INF13_chisq_grid", f"{C2} SELECT surface, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, {R('d', 4)} AS delta_chisq FROM dc")
+@query("INF13_chisq_grid", f"{C2} SELECT surface, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, {R('d', 2)} AS delta_chisq FROM dc")
 def inf13(spark, sf):
-    return chi_grid(spark, sf).select("surface", F.col("i_x").alias("ix"), F.col("i_y").alias("iy"), r("delta_chisq", 4).alias("delta_chisq"))
+    return chi_grid(spark, sf).select("surface", F.col("i_x").alias("ix"), F.col("i_y").alias("iy"), r("delta_chisq", 2).alias("delta_chisq"))
 
 
 MARG = f"""{C2}, m0 AS (SELECT surface, ix, x, sum(exp(-d/2)) AS p FROM dc GROUP BY surface, ix, x), m AS (SELECT *, p/(sum(p) OVER (PARTITION BY surface)*CAST({DX!r} AS DOUBLE)) AS density FROM m0),
@@ -353,11 +390,12 @@ def inf16m(spark, sf):
     return parts[0].unionByName(parts[1]).select("surface", "axis", "i", r("x", 9).alias("x"), r("log_p", 5).alias("log_p"))
 
 
-SCAN_AXES = {"c3": (-2.0, 2.0, 9), "d4": (-3.0, 3.0, 9), "ct2": (-1.0, 1.0, 9), "ct3": (-1.0, 1.0, 9)}
-_step = lambda a, i: f"({a[0]} + {i}*CAST({(a[1] - a[0]) / 8!r} AS DOUBLE))"
+POINTS = 41
+SCAN_AXES = {"c3": (-2.0, 2.0, POINTS), "d4": (-3.0, 3.0, POINTS), "ct2": (-1.0, 1.0, POINTS), "ct3": (-1.0, 1.0, POINTS)}
+_step = lambda a, i: f"({a[0]} + {i}*CAST({(a[1] - a[0]) / (POINTS - 1)!r} AS DOUBLE))"
 
 
-@query("INF17_one_d_scan", f"WITH {surf_sql(25)} " + " UNION ALL ".join(f"SELECT surface, '{a}' AS axis, {R('x', 9)} AS x, {R(poly_sql('ct2ct3', {a: 'x'}) + '/nullif(q24, 0)', 5)} AS ratio FROM (SELECT sf.*, {_step(v, 'i')} AS x FROM sf, range(9) t(i))" for a, v in SCAN_AXES.items()))
+@query("INF17_one_d_scan", f"WITH {surf_sql(25)} " + " UNION ALL ".join(f"SELECT surface, '{a}' AS axis, {R('x', 9)} AS x, {R(poly_sql('ct2ct3', {a: 'x'}) + '/nullif(q24, 0)', 5)} AS ratio FROM (SELECT sf.*, {_step(v, 'i')} AS x FROM sf, range({POINTS}) t(i))" for a, v in SCAN_AXES.items()))
 def inf17(spark, sf):
     s = surfaces(spark, sf, 25)
     return gr.one_d_scan(s, "ct2ct3", SCAN_AXES).select("surface", "axis", r("x", 9).alias("x"), r("ratio", 5).alias("ratio"))
@@ -366,7 +404,7 @@ def inf17(spark, sf):
 _pairs = [(a, b) for i, a in enumerate(SCAN_AXES) for b in list(SCAN_AXES)[i + 1:]]
 
 
-@query("INF17_correlation_matrix", f"WITH {surf_sql(25)} " + " UNION ALL ".join(f"SELECT surface, '{a}:{b}' AS axes, {R('x', 9)} AS x, {R('y', 9)} AS y, {R(poly_sql('ct2ct3', {a: 'x', b: 'y'}) + '/nullif(q24, 0)', 5)} AS ratio FROM (SELECT sf.*, {_step(SCAN_AXES[a], 'i')} AS x, {_step(SCAN_AXES[b], 'j')} AS y FROM sf, range(9) t(i), range(9) u(j))" for a, b in _pairs))
+@query("INF17_correlation_matrix", f"WITH {surf_sql(25)} " + " UNION ALL ".join(f"SELECT surface, '{a}:{b}' AS axes, {R('x', 9)} AS x, {R('y', 9)} AS y, {R(poly_sql('ct2ct3', {a: 'x', b: 'y'}) + '/nullif(q24, 0)', 5)} AS ratio FROM (SELECT sf.*, {_step(SCAN_AXES[a], 'i')} AS x, {_step(SCAN_AXES[b], 'j')} AS y FROM sf, range({POINTS}) t(i), range({POINTS}) u(j))" for a, b in _pairs))
 def inf17c(spark, sf):
     s = surfaces(spark, sf, 25)
     return gr.correlation_matrix(s, "ct2ct3", SCAN_AXES).select("surface", "axes", r("x", 9).alias("x"), r("y", 9).alias("y"), r("ratio", 5).alias("ratio"))
@@ -382,8 +420,8 @@ def snk12(spark, sf):
     return back.select("surface", F.size("coefficients").alias("n"), r(g(0) + g(1) + g(2)).alias("head"))
 
 
-@query("SNK13_save_grid", f"{C2} SELECT surface, {R('x', 9)} AS x, {R('y', 9)} AS y, {R('d', 4)} AS chisq FROM dc")
+@query("SNK13_save_grid", f"{C2} SELECT surface, {R('x', 9)} AS x, {R('y', 9)} AS y, {R('d', 2)} AS chisq FROM dc")
 def snk13(spark, sf):
     path = scratch_dir(spark, "grid")
-    gr.save_grid(chi_grid(spark, sf).select("surface", r("x", 9).alias("x"), r("y", 9).alias("y"), r("delta_chisq", 4).alias("chisq")), path)
+    gr.save_grid(chi_grid(spark, sf).select("surface", r("x", 9).alias("x"), r("y", 9).alias("y"), r("delta_chisq", 2).alias("chisq")), path)
     return spark.read.parquet(path)

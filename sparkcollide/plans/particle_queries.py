@@ -46,12 +46,7 @@ SQLVAR = {"pt": "pt", "et": "et", "eta": "eta", "abs_eta": "abs(eta)", "y": "y",
 
 @query("FLT09_select_particles", f"{P} " + " UNION ALL ".join(f"SELECT '{k}' AS var, event_id, {K3} FROM parts WHERE {SQLVAR[k]} BETWEEN {a} AND {b}" for k, (a, b) in RANGES.items()))
 def flt09(spark, sf):
-    p = fixtures.particles(spark, sf)
-    out = None
-    for k, (a, b) in RANGES.items():
-        one = ops.select_particles(p, k, a, b).select(F.lit(k).alias("var"), "event_id", *fixtures.JET_KEYS)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return ops.select_particles_each(fixtures.particles(spark, sf), RANGES).select("var", "event_id", *fixtures.JET_KEYS)
 
 
 for _mode, _cond in ((0, "true"), (1, "(pid<>5 OR (parts.l_linenumber=h.l_linenumber AND parts.l_partkey=h.l_partkey AND parts.l_suppkey=h.l_suppkey))")):
@@ -191,54 +186,50 @@ def scl06(spark, sf):
 REF = f"{nth_sql('ra', 5, 0)}, {nth_sql('rb', -5, 0)}, rf AS (SELECT event_id, sum(e) AS re, sum(px) AS rx, sum(py) AS ry, sum(pz) AS rz FROM (SELECT event_id,e,px,py,pz FROM ra UNION ALL SELECT event_id,e,px,py,pz FROM rb) GROUP BY event_id HAVING count(*)=2)"
 
 
-def both_refs(spark, sf):
-    p = rows(spark, sf)
-    two = ops.nth(p, 5, 0).select("event_id").join(ops.nth(p, -5, 0).select("event_id"), "event_id")
-    return p.join(two, "event_id", "left_semi")
+BOOST = f"{P}, {REF}, b AS (SELECT parts.*, re, rx, ry, rz, sqrt(abs(re*re-rx*rx-ry*ry-rz*rz)) AS m, (re*e-px*rx-py*ry-pz*rz)/nullif(sqrt(abs(re*re-rx*rx-ry*ry-rz*rz)),0) AS en FROM parts LEFT JOIN rf USING (event_id))"
+BOOST_STATUS = "CASE WHEN re IS NULL THEN 'no_reference' WHEN m > 5 THEN 'ok' ELSE 'light_like' END AS status"
+ROTATE = f"{P}, {REF}, n AS (SELECT event_id, rx/sqrt(rx*rx+ry*ry+rz*rz) AS nx, ry/sqrt(rx*rx+ry*ry+rz*rz) AS ny, rz/sqrt(rx*rx+ry*ry+rz*rz) AS nz FROM rf)"
+boosted_sql = lambda c: f"CASE WHEN m > 5 THEN {R(f'p{c}-(e+en)/(re+m)*r{c}', 3)} END AS p{c}"
+turned_sql = lambda c, o: f"{R(f'nz*p{c}-n{c}*pz+n{o}*(n{o}*p{c}-n{c}*p{o})/(1+nz)', 4)} AS p{c}"
+MOMENTUM = ("e", "px", "py", "pz")
 
 
-@query(
-    "SCL07_boost_reference",
-    f"""{P}, {REF}, b AS (SELECT parts.*, re, rx, ry, rz, sqrt(abs(re*re-rx*rx-ry*ry-rz*rz)) AS m, (re*e-px*rx-py*ry-pz*rz)/nullif(sqrt(abs(re*re-rx*rx-ry*ry-rz*rz)),0) AS en FROM parts JOIN rf USING (event_id))
- SELECT event_id, {K3}, CASE WHEN m > 5 THEN {R('en', 3)} END AS e, CASE WHEN m > 5 THEN {R('px-(e+en)/(re+m)*rx', 3)} END AS px, CASE WHEN m > 5 THEN {R('pz-(e+en)/(re+m)*rz', 3)} END AS pz FROM b""",
-)
+def boosted(spark, sf):
+    """All events; a nearly light-like reference has no numerically stable rest frame."""
+    out = ops.all_to_reference(rows(spark, sf), [(5, 0), (-5, 0)], kin.boost, 5.0)
+    return out.select("event_id", *fixtures.JET_KEYS, "status", *[r(c, 3).alias(c) for c in MOMENTUM])
+
+
+def turned(spark, sf):
+    out = ops.all_to_reference(rows(spark, sf), [(5, 0), (-5, 0)], kin.rotate_to_z)
+    return out.select("event_id", *fixtures.JET_KEYS, "status", r("e", 5).alias("e"), *[r(c, 4).alias(c) for c in MOMENTUM[1:]])
+
+
+@query("SCL07_boost_reference", f"{BOOST} SELECT event_id, {K3}, {BOOST_STATUS}, CASE WHEN m > 5 THEN {R('en', 3)} END AS e, {', '.join(map(boosted_sql, 'xyz'))} FROM b")
 def scl07b(spark, sf):
-    # a nearly light-like reference has no numerically stable rest frame: report nulls there
-    p = both_refs(spark, sf)
-    ref = ops.reference_sum(p, [(5, 0), (-5, 0)]).select("event_id", (Vec.cols("r_").mass() > 5).alias("stable"))
-    out = ops.boost_to(p, [(5, 0), (-5, 0)]).join(ref, "event_id")
-    return out.select("event_id", *fixtures.JET_KEYS, *[F.when(F.col("stable"), r(c, 3)).alias(c) for c in ("e", "px", "pz")])
+    return boosted(spark, sf)
 
 
 @query(
     "SCL07_rotate_reference",
-    f"""{P}, {REF}, n AS (SELECT event_id, rx/sqrt(rx*rx+ry*ry+rz*rz) AS nx, ry/sqrt(rx*rx+ry*ry+rz*rz) AS ny, rz/sqrt(rx*rx+ry*ry+rz*rz) AS nz FROM rf)
- SELECT event_id, {K3}, {R('e', 5)} AS e, {R('nz*px-nx*pz+ny*(ny*px-nx*py)/(1+nz)', 4)} AS px, {R('nx*px+ny*py+nz*pz', 4)} AS pz FROM parts JOIN n USING (event_id)""",
+    f"""{ROTATE} SELECT event_id, {K3}, CASE WHEN nx IS NULL THEN 'no_reference' ELSE 'ok' END AS status, CASE WHEN nx IS NOT NULL THEN {R('e', 5)} END AS e, {turned_sql('x', 'y')}, {turned_sql('y', 'x')}, {R('nx*px+ny*py+nz*pz', 4)} AS pz FROM parts LEFT JOIN n USING (event_id)""",
 )
 def scl07r(spark, sf):
-    out = ops.rotate_to(both_refs(spark, sf), [(5, 0), (-5, 0)])
-    return out.select("event_id", *fixtures.JET_KEYS, r("e", 5).alias("e"), r("px", 4).alias("px"), r("pz", 4).alias("pz"))
+    return turned(spark, sf)
 
 
-# the two queries above are, by their SQL, on events with both references; these are on all events
-@query(
-    "SCL07_boost_reference_all",
-    f"""{P}, {REF}, b AS (SELECT parts.*, re, rx, ry, rz, sqrt(abs(re*re-rx*rx-ry*ry-rz*rz)) AS m, (re*e-px*rx-py*ry-pz*rz)/nullif(sqrt(abs(re*re-rx*rx-ry*ry-rz*rz)),0) AS en FROM parts LEFT JOIN rf USING (event_id))
- SELECT event_id, {K3}, CASE WHEN re IS NULL THEN 'no_reference' WHEN m > 5 THEN 'ok' ELSE 'light_like' END AS status, CASE WHEN m > 5 THEN {R('en', 3)} END AS e, CASE WHEN m > 5 THEN {R('px-(e+en)/(re+m)*rx', 3)} END AS px, CASE WHEN m > 5 THEN {R('pz-(e+en)/(re+m)*rz', 3)} END AS pz FROM b""",
-)
+# without py
+@query("SCL07_boost_reference_all", f"{BOOST} SELECT event_id, {K3}, {BOOST_STATUS}, CASE WHEN m > 5 THEN {R('en', 3)} END AS e, {boosted_sql('x')}, {boosted_sql('z')} FROM b")
 def scl07ba(spark, sf):
-    out = ops.all_to_reference(rows(spark, sf), [(5, 0), (-5, 0)], kin.boost, 5.0)
-    return out.select("event_id", *fixtures.JET_KEYS, "status", *[r(c, 3).alias(c) for c in ("e", "px", "pz")])
+    return boosted(spark, sf).drop("py")
 
 
 @query(
     "SCL07_rotate_reference_all",
-    f"""{P}, {REF}, n AS (SELECT event_id, rx/sqrt(rx*rx+ry*ry+rz*rz) AS nx, ry/sqrt(rx*rx+ry*ry+rz*rz) AS ny, rz/sqrt(rx*rx+ry*ry+rz*rz) AS nz FROM rf)
- SELECT event_id, {K3}, CASE WHEN nx IS NULL THEN 'no_reference' ELSE 'ok' END AS status, CASE WHEN nx IS NOT NULL THEN {R('e', 5)} END AS e, {R('nz*px-nx*pz+ny*(ny*px-nx*py)/(1+nz)', 4)} AS px, {R('nx*px+ny*py+nz*pz', 4)} AS pz FROM parts LEFT JOIN n USING (event_id)""",
+    f"""{ROTATE} SELECT event_id, {K3}, CASE WHEN nx IS NULL THEN 'no_reference' ELSE 'ok' END AS status, CASE WHEN nx IS NOT NULL THEN {R('e', 5)} END AS e, {turned_sql('x', 'y')}, {R('nx*px+ny*py+nz*pz', 4)} AS pz FROM parts LEFT JOIN n USING (event_id)""",
 )
 def scl07ra(spark, sf):
-    out = ops.all_to_reference(rows(spark, sf), [(5, 0), (-5, 0)], kin.rotate_to_z)
-    return out.select("event_id", *fixtures.JET_KEYS, "status", r("e", 5).alias("e"), r("px", 4).alias("px"), r("pz", 4).alias("pz"))
+    return turned(spark, sf).drop("py")
 
 
 @query("SCL08_missing_momentum", f"{P}, m AS (SELECT event_id, pid, e, px, pz FROM parts WHERE abs(pid)<>12 UNION ALL SELECT event_id, 0, sum(CASE WHEN abs(pid)=12 THEN e ELSE 0 END), sum(CASE WHEN abs(pid)=12 THEN px ELSE 0 END), sum(CASE WHEN abs(pid)=12 THEN pz ELSE 0 END) FROM parts GROUP BY event_id) SELECT event_id, pid, count(*) AS n, {R('sum(e)', 5)} AS e, {R('sum(px)', 5)} AS px, {R('sum(pz)', 5)} AS pz FROM m GROUP BY event_id, pid")
