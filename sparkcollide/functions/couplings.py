@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values: (i, j) orders of the 15-term surface and the default ranges.
 CHEB_TERMS = tuple([(i, 0) for i in range(7)] + [(i, 1) for i in range(5)] + [(i, 2) for i in range(3)])
@@ -101,6 +104,20 @@ def partial_wave(s: Column, c3: Column, d4: Column) -> Column:
     return F.coalesce(F.abs(pre * (-k4 * (safe - mh2) - 3 * k3sq * mh2 + loop)), F.lit(0.0))
 
 
+@F.pandas_udf(T.DoubleType())
+def largest_wave(c3: pd.Series, d4: pd.Series) -> pd.Series:
+    """Largest partial wave of SCL16 over SQRT_S, a block of cells by energies at a time."""
+    mh2, s = M_H**2, np.array(SQRT_S, float) ** 2
+    s = s[s > 4 * mh2]
+    pre = 3 * mh2 * np.sqrt(s * s - 4 * mh2 * s) / (32 * np.pi * s * (s - mh2) * VEV**2)
+    loop = 6 * mh2 * (s - mh2) / (s - 4 * mh2) * np.log(s / mh2 - 3) - 3 * mh2
+    out = np.zeros(len(c3))
+    for at in range(0, len(c3), 1024):
+        k3, k4 = 1 + c3.to_numpy(float)[at : at + 1024, None], 1 + d4.to_numpy(float)[at : at + 1024, None]
+        out[at : at + 1024] = np.abs(pre * (k3 * k3 * loop - k4 * (s - mh2))).max(1, initial=0.0)
+    return pd.Series(out)
+
+
 def gaussian(x: Column, mu: float, delta) -> Column:
     """SCL13: normal density."""
     d = delta if isinstance(delta, Column) else F.lit(float(delta))

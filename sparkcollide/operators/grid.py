@@ -44,15 +44,8 @@ def evaluate_grid(surfaces: DataFrame, c3: tuple, d4: tuple, luminosity: float)
 
 
 def perturbativity(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """INF07: largest partial wave over the energy scan per cell.
-
-    Energies are exploded next to their cell, so the partial maximum runs in
-    the same task and only one row per cell is shuffled.
-    """
-    energies = F.array(*[F.lit(float(e)) for e in cf.SQRT_S])
-    rows = cells.select(*keys, F.explode(energies).alias("_e"))
-    a0 = cf.partial_wave(F.col("_e") * F.col("_e"), F.col("c3"), F.col("d4"))
-    return rows.select(*keys, a0.alias("_a")).groupBy(*keys).agg(F.max("_a").alias("max_wave"))
+    """INF07: largest partial wave over the energy scan per cell, without a row per energy and without a shuffle."""
+    return cells.select(*keys, cf.largest_wave("c3", "d4").alias("max_wave"))
 
 
 def ratio_grid(grid: DataFrame, at_zero: Column) -> DataFrame:
@@ -261,6 +254,16 @@ def read_fit(spark, path: str, expected: int) -> DataFrame:
     return df.withColumn("coefficients", F.when(F.size("coefficients") == expected, F.col("coefficients")).otherwise(bad))
 
 
-def save_grid(grid: DataFrame, path: str) -> None:
-    """SNK13: contour grid."""
-    grid.write.parquet(path)
+def save_grid(grid: DataFrame, path: str, intervals: DataFrame | None = None) -> None:
+    """SNK13: contour grid, and the intervals of its axes if there are any."""
+    grid.write.parquet(f"{path}/grid")
+    if intervals is not None:
+        intervals.write.parquet(f"{path}/intervals")
+
+
+def read_grid(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/grid")
+
+
+def read_intervals(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/intervals")

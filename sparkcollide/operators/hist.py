@@ -134,21 +134,24 @@ def restore(h: DataFrame, width: float) -> DataFrame:
     return h.withColumns({"y": F.col("y") * f * width, "y2": y2 * f * width**2})
 
 
-def histogram_stats(h: DataFrame, hist: list[str], lo: float, hi: float, nbins: int, scale: float = 1.0) -> DataFrame:
+def histogram_stats(h: DataFrame, hist: list[str], lo: float, hi: float, nbins: int, scale: float = 1.0, log: bool = False) -> DataFrame:
     """AGG11: integral over all bins; average, mean and extrema over inner bins.
 
     The average advances its bin centre by range/(nbins+2), as the histogram
-    class does.
+    class does. The mean weights a bin by its width; on a logarithmic axis
+    (``lo`` and ``hi`` are powers of ten) widths grow, with the same steps.
     """
     y = F.col("y") * scale
     inner = F.col("bin").between(1, nbins)
     step = (hi - lo) / (nbins + 2)
     centre = F.lit(float(lo)) + (F.col("bin") - 0.5) * F.lit(step)
+    edge = lambda i: F.pow(F.lit(10.0), F.lit(float(lo)) + i * F.lit(step))
+    width = edge(F.col("bin")) - edge(F.col("bin") - 1) if log else F.lit(1.0)
     total = F.sum(F.when(inner, y))
     return h.groupBy(*hist).agg(
         (F.sum(y) * F.lit((hi - lo) / nbins)).alias("integral"),
         F.when(total != 0, F.sum(F.when(inner, y * centre)) / total).alias("average"),
-        F.avg(F.when(inner, y)).alias("mean"),
+        (F.sum(F.when(inner, y * width)) / F.sum(F.when(inner, width))).alias("mean"),
         F.min(F.when(inner & (y != 0), y)).alias("ymin"),
         F.max(F.when(inner, y)).alias("ymax"),
     )
@@ -347,11 +350,11 @@ def pair_summary(shards: DataFrame, hist: str, nbins: int) -> DataFrame:
     return out.withColumn("status", status)
 
 
-def ratio_profile(df: DataFrame, x: Column, y: Column, weight: Column, hist: list[str], lo: float, hi: float, nbins: int, density: bool = False) -> DataFrame:
-    """AGG14: weighted mean of y in bins of x with propagated error."""
+def ratio_profile(df: DataFrame, x: Column, y: Column, weight: Column, hist: list[str], lo: float, hi: float, nbins: int, density: bool = False, flow: bool = True) -> DataFrame:
+    """AGG14: weighted mean of y in bins of x with propagated error; bins 0 and nbins + 1 hold what lies outside, unless ``flow`` is off."""
     df = df.withColumns({"_x": x, "_y": y, "_w": weight})
     fills = df.groupBy(*hist).agg(F.greatest(F.lit(1.0), F.count("*").cast("double")).alias("n"))
-    sums = df.withColumn("bin", bin_with_flow(F.col("_x"), lo, hi, nbins)).filter(F.col("bin").between(1, nbins)).groupBy(*hist, "bin").agg(
+    sums = df.withColumn("bin", bin_with_flow(F.col("_x"), lo, hi, nbins)).filter(F.lit(True) if flow else F.col("bin").between(1, nbins)).groupBy(*hist, "bin").agg(
         F.sum(F.col("_y") * F.col("_w")).alias("o"), F.sum(F.pow(F.col("_y") * F.col("_w"), 2)).alias("o2"),
         F.sum("_w").alias("m"), F.sum(F.pow("_w", 2)).alias("m2"),
     )

@@ -157,6 +157,18 @@ def agg11(spark, sf):
     return s.select("shard", "hist", *[r(c).alias(c) for c in ("integral", "average", "mean", "ymin", "ymax")])
 
 
+LOG_WIDTH = f"(pow(10, 1.3+bin*CAST({0.5 / 12!r} AS DOUBLE)) - pow(10, 1.3+(bin-1)*CAST({0.5 / 12!r} AS DOUBLE)))"
+
+
+@query(
+    "AGG11_histogram_stats_log",
+    f"{SR}, {sumw2_sql('(log10(x)-CAST(1.3 AS DOUBLE))/CAST(0.05 AS DOUBLE)+1', 10)} SELECT shard, hist, {R(f'sum(CASE WHEN bin BETWEEN 1 AND 10 THEN y*{LOG_WIDTH} END)/sum(CASE WHEN bin BETWEEN 1 AND 10 THEN {LOG_WIDTH} END)', 4)} AS mean, {R('max(CASE WHEN bin BETWEEN 1 AND 10 THEN y END)', 5)} AS ymax FROM h9 GROUP BY ALL",
+)
+def agg11log(spark, sf):
+    h = hist.histogram_sumw2(shard_rows(spark, sf), F.col("x"), F.col("w"), ["shard", "hist"], 1.3, 1.8, 10, log=True)
+    return hist.histogram_stats(h, ["shard", "hist"], 1.3, 1.8, 10, log=True).select("shard", "hist", r("mean", 4).alias("mean"), r("ymax", 5).alias("ymax"))
+
+
 OPT_STEP = "CASE WHEN y2{i}<>0 AND z2<>0 AND y{i}*y{i}/y2{i}>0 AND z*z/z2>0 THEN {a} ELSE {b} END"
 COMBINE_SQL = {
     "cmb": f"""SELECT hist, bin, fills, sy/(fills*4) AS y, (sy2/(fills*16)-pow(sy/(fills*4),2))/(fills-1) AS y2 FROM (SELECT hist, bin, sum(fills) AS fills, sum(y) AS sy, sum(y2) AS sy2 FROM h9 GROUP BY ALL)""",
@@ -224,9 +236,9 @@ def agg13s(spark, sf):
 
 @query(
     "AGG14_ratio_profile",
-    f"""WITH {S.JETS}, b AS (SELECT tag, CAST(floor((pt0-20)/CAST(4 AS DOUBLE)+1) AS INT) AS bin, e, 1+l_linenumber/CAST(8 AS DOUBLE) AS w FROM jets),
+    f"""WITH {S.JETS}, b AS (SELECT tag, CAST(greatest(0, least({NB + 1}, floor((pt0-20)/CAST(4 AS DOUBLE)+1))) AS INT) AS bin, e, 1+l_linenumber/CAST(8 AS DOUBLE) AS w FROM jets),
  nn AS (SELECT tag, CAST(count(*) AS DOUBLE) AS n FROM b GROUP BY tag),
- s AS (SELECT tag, bin, sum(e*w)/any_value(n) AS o, sum(pow(e*w,2))/pow(any_value(n),2) AS o2, sum(w)/any_value(n) AS m, sum(w*w)/pow(any_value(n),2) AS m2, any_value(n) AS n FROM b JOIN nn USING (tag) WHERE bin BETWEEN 1 AND {NB} GROUP BY tag, bin)
+ s AS (SELECT tag, bin, sum(e*w)/any_value(n) AS o, sum(pow(e*w,2))/pow(any_value(n),2) AS o2, sum(w)/any_value(n) AS m, sum(w*w)/pow(any_value(n),2) AS m2, any_value(n) AS n FROM b JOIN nn USING (tag) GROUP BY tag, bin)
  SELECT tag, bin, {R('o/m')} AS ratio, {R('pow(o/m*(sqrt((n*o2-o*o)/(n-1))/abs(o)+sqrt((n*m2-m*m)/(n-1))/abs(m)),2)', 4)} AS ratio_var, {R('m', 8)} AS norm FROM s""",
 )
 def agg14(spark, sf):

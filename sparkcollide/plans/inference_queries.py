@@ -422,6 +422,14 @@ def snk12(spark, sf):
 
 @query("SNK13_save_grid", f"{C2} SELECT surface, {R('x', 9)} AS x, {R('y', 9)} AS y, {R('d', 2)} AS chisq FROM dc")
 def snk13(spark, sf):
-    path = scratch_dir(spark, "grid")
-    gr.save_grid(chi_grid(spark, sf).select("surface", r("x", 9).alias("x"), r("y", 9).alias("y"), r("delta_chisq", 2).alias("chisq")), path)
-    return spark.read.parquet(path)
+    path, g = scratch_dir(spark, "grid"), chi_grid(spark, sf)
+    gr.save_grid(g.select("surface", r("x", 9).alias("x"), r("y", 9).alias("y"), r("delta_chisq", 2).alias("chisq")), path)
+    return gr.read_grid(spark, path)
+
+
+@query("SNK13_save_intervals", f"{C2}, p AS (SELECT surface, 'x' AS axis, x AS v, min(d) AS p FROM dc GROUP BY surface, x UNION ALL SELECT surface, 'y', y, min(d) FROM dc GROUP BY surface, y) SELECT surface, axis, {R('min(CASE WHEN p<=3.84 THEN v END)')} AS low, {R('max(CASE WHEN p<=3.84 THEN v END)')} AS high FROM p GROUP BY surface, axis")
+def snk13i(spark, sf):
+    path, g = scratch_dir(spark, "grid"), chi_grid(spark, sf)
+    both = [gr.profile_intervals(g, ["surface"], a).select("surface", F.lit(a).alias("axis"), "low", "high") for a in ("x", "y")]
+    gr.save_grid(g, path, both[0].unionByName(both[1]))
+    return gr.read_intervals(spark, path).select("surface", "axis", r("low").alias("low"), r("high").alias("high"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkcollide.operators import ml
 from sparkcollide.plans import sqltext as S
 from sparkcollide.plans.registry import query
-from sparkcollide.session import scratch_dir, table
+from sparkcollide.session import cut_lineage, scratch_dir, table
 from sparkcollide.sinks import tables as sinks
 from sparkcollide.sources import fixtures
 
@@ -37,7 +37,7 @@ def model(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _models:
         rows = ml.stratified_split(train_rows(spark, sf), "event_id")
-        _models[key] = ml.train_classifier(rows.filter("NOT is_test"), FEATURES, rounds=10, rate=0.3)
+        _models[key] = ml.train_classifier(cut_lineage(rows.filter("NOT is_test"), "training"), FEATURES)
     return _models[key]
 
 

@@ -487,6 +487,29 @@ def snk05(spark, sf):
     return back.select("point.*", "metadata.luminosity")
 
 
+@query("SNK05_write_backgrounds", f"""{SP}, k AS (SELECT * FROM sp WHERE sig=0) SELECT sample_id AS process_id, entries, selected_entries, {R('sel', 5)} AS expected_selected_events, normalisation_source, {R('(SELECT sum(sel) FROM k)', 4)} AS total FROM k""")
+def snk05b(spark, sf):
+    path = scratch_dir(spark, "backgrounds")
+    named = {"sample_id": "process_id", "expected_preselected": "expected_preselected_events", "expected_selected": "expected_selected_events", "normalisation": "normalisation_weight", "classifier_efficiency": "xgboost_efficiency", "raw_efficiency": "raw_weight_efficiency"}
+    sinks.write_backgrounds(scored(spark, sf).filter("sig = 0").withColumnsRenamed(named).withColumn("threshold", F.lit(0.5)), path, "model", 0.5, LUMI)
+    back = spark.read.schema("metadata struct<expected_selected_events_total:double>, background struct<process_id:bigint,entries:bigint,selected_entries:bigint,expected_selected_events:double,normalisation_source:string>").json(path + "/json")
+    b = back.select("background.*", "metadata.expected_selected_events_total")
+    return b.select("process_id", "entries", "selected_entries", r("expected_selected_events", 5).alias("expected_selected_events"), "normalisation_source", r("expected_selected_events_total", 4).alias("total"))
+
+
+@query(
+    "SRC08_scan_variables_limited",
+    f"{VARS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY event_id) AS k FROM vars) SELECT event_id, sample, 1 AS label, {R('weight*CAST(2.5 AS DOUBLE)', 8)} AS weight, {R('weight', 8)} AS weight_feature FROM l WHERE k <= 40 AND event_id % 7 <> 0",
+)
+def src08l(spark, sf):
+    """The first events of each sample, of which unusable ones then go; the weight is a feature as well."""
+    v = rounded_variables(variables(spark, sf)).withColumn("m8b", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("m8b")))
+    path = scratch_dir(spark, "vars")
+    v.write.parquet(path)
+    out = vsrc.scan_variables(spark, path, label=1, xsec=2.5, max_events=40, include_weight=True)
+    return out.select("event_id", "sample", "label", r("weight", 8).alias("weight"), r("weight_feature", 8).alias("weight_feature"))
+
+
 # --- b-tag cells ----------------------------------------------------------------------------
 PT_CASE = "CASE " + " ".join(f"WHEN pt>={a} AND pt<{b} THEN {i}" for i, (a, b) in enumerate(zip(btag.PT_EDGES, btag.PT_EDGES[1:]))) + " END"
 ETA_CASE = "CASE " + " ".join(f"WHEN abs(eta)>={a} AND abs(eta)<{b} THEN {i}" for i, (a, b) in enumerate(zip(btag.ETA_EDGES, btag.ETA_EDGES[1:]))) + " END"

@@ -11,6 +11,7 @@ from sparkcollide.sources.fixtures import JET_KEYS
 # Cell edges, lower edge inclusive.
 PT_EDGES = (20, 30, 40, 50, 60, 70, 80, 90, 100, 120, 140, 160, 180, 200, 250, 300, 400, 600, 1000)
 ETA_EDGES = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5)
+MAX_BINS = 10_000
 
 
 def scan_btag_distributions(spark: SparkSession, path: str) -> DataFrame:
@@ -40,12 +41,15 @@ def lookup_cell(jets: DataFrame) -> DataFrame:
 def sample_score(jets: DataFrame, dist: DataFrame, seed: int) -> DataFrame:
     """SCL14: inverse-cdf draw; returns the lower edge of the chosen bin.
 
-    There are at most 18 x 5 cells with one short array each, so the table
-    is safe to broadcast; its row count is fixed by the edges.
+    A cell outside the fixed edges or of more than MAX_BINS bins raises, so the
+    table is bounded (90 rows) and broadcast.
     """
     w = Window.partitionBy("eta_bin", "pt_bin").orderBy("bin_lo")
     cum = dist.withColumn("cum", F.sum("content").over(w))
     cell = cum.groupBy("eta_bin", "pt_bin").agg(F.sort_array(F.collect_list(F.struct("bin_lo", "cum"))).alias("bins"), F.sum("content").alias("total"))
+    bounded = (F.size("bins") <= MAX_BINS) & F.col("eta_bin").between(0, len(ETA_EDGES) - 2) & F.col("pt_bin").between(0, len(PT_EDGES) - 2)
+    fail = F.raise_error(F.lit(f"a cell outside the edges or of more than {MAX_BINS} bins")).cast("double")
+    cell = cell.withColumn("total", F.when(bounded, F.col("total")).otherwise(fail))
     u = noise.uniform(seed, F.col("event_id"), *[F.col(k) for k in JET_KEYS])
     out = jets.join(F.broadcast(cell), ["eta_bin", "pt_bin"]).withColumn("_u", u * F.col("total"))
     hit = F.get(F.filter("bins", lambda b: F.col("_u") <= b["cum"]), F.lit(0))

@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcollide.operators.ranking import leading_n
+from sparkcollide.operators.ranking import distributed_row_number, leading_n
 from sparkcollide.operators.reco import feature_names
 
 
+PARTIAL_LIMIT = 1000  # Spark cuts groups to at most so many rows before a shuffle
+
+
 def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """FLT06: keep rows where every named column is a finite number."""
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -18,11 +21,18 @@ def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scan_variables(spark: SparkSession, path: str, label: int, xsec: float = 1.0, max_events: int | None = None, include_weight: bool = False) -> DataFrame:
-    """SRC08: features + label + weight * xsec; non-finite rows are dropped."""
+    """SRC08: features + label + weight * xsec; non-finite rows are dropped.
+
+    ``max_events`` takes the first events of each sample, before that; small
+    limits run before the shuffle, large ones by distributed ranks.
+    """
     names = feature_names(8)
     df = spark.read.parquet(path).select("event_id", "sample", "weight", *names)
     if max_events is not None:
-        df = leading_n(df, ["sample"], [F.col("event_id").asc()], max_events).drop("rn")
+        if max_events <= PARTIAL_LIMIT:
+            df = leading_n(df, ["sample"], [F.col("event_id").asc()], max_events).drop("rn")
+        else:
+            df = distributed_row_number(df, ["sample"], ["event_id"]).where(F.col("rn") <= max_events).drop("rn")
     df = finite_rows(df, ["weight", *names])
     if include_weight:
         df = df.withColumn("weight_feature", F.col("weight"))
