@@ -18,6 +18,7 @@ HEADLINE = [
     "AGG01_weighted_cutflow_n4", "AGG01_weighted_cutflow_n8", "ARR02_best_reconstruction_n8", "ARR02_best_reconstruction_n4", "UDF02_reconstruct_udf_n4",
     "AGG03_histogram_1d", "AGG09_histogram_sumw2", "ML04_threshold_scan", "WIN03_running_efficiency", "INF07_perturbativity_grid",
     "AGG17_score_points", "AGG21_source_weight_stats", "AGG23_reweight_events", "AGG29_lhe_event_check", "FLT13_isolation_veto", "AGG32_momentum_tensor", "INF16_marginalise_4d",
+    "TOP01_order_particles_pt", "WIN04_auc", "ML01_stratified_split", "ML05_evaluate",
 ]
 
 
