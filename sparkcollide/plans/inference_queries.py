@@ -169,12 +169,12 @@ def inf04(spark, sf):
     return f.select("status", "n_points", "n_terms", "rank", r("condition", 3).alias("condition"), r("chi2_dof", 4).alias("chi2_dof"), r("residual_rms", 5).alias("residual_rms"), F.transform("coefficients", lambda c: F.round(c, 5)).alias("coefficients"))
 
 
-@query("INF04_fit_recovers_surface", f"WITH {PT}, {surf_sql(15)} SELECT surface, {R('sum(abs(v))', 3)} AS sum_abs, 'ok' AS status, CAST(0 AS DOUBLE) AS gap FROM (SELECT surface, unnest([{', '.join(f'q{i}' for i in range(15))}]) AS v FROM sf) GROUP BY surface")
+@query("INF04_fit_recovers_surface", f"WITH {PT}, {surf_sql(15)} SELECT surface, {R('sum(abs(v))', 3)} AS sum_abs, 'ok' AS status, true AS recovered, CAST(0 AS DOUBLE) AS gap FROM (SELECT surface, unnest([{', '.join(f'q{i}' for i in range(15))}]) AS v FROM sf) GROUP BY surface")
 def inf04r(spark, sf):
     """Each surface is fitted on its own; its gap is what the fit misses of its coefficients."""
     found = inf.surface_recovery(surfaces(spark, sf, 15), points(spark, sf))
     total = F.aggregate("coefficients", F.lit(0.0), lambda a, c: a + F.abs(c))
-    return found.select("surface", r(total, 3).alias("sum_abs"), "status", r("gap", 6).alias("gap"))
+    return found.select("surface", r(total, 3).alias("sum_abs"), "status", F.coalesce(F.col("gap") < 1e-6, F.lit(False)).alias("recovered"), r("gap", 6).alias("gap"))
 
 
 @query("INF05_fitted_points", f"WITH {PT}, {surf_sql(15)}, f AS (SELECT k, 3000*greatest(CAST(0 AS DOUBLE), {SURF_VAL}) AS s FROM pc JOIN sf USING (surface)) SELECT k, {R('s', 4)} AS fitted_events, {R('s/sqrt(CAST(50 AS DOUBLE))', 4)} AS fitted_s_over_sqrt_b, s >= 2500 AS fitted_excluded FROM f")
