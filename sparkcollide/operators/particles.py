@@ -17,6 +17,7 @@ from sparkcollide.functions import kinematics as kin
 from sparkcollide.functions.kinematics import Vec
 from sparkcollide.operators.ranking import TILE, distributed_row_number, leading_n, tiled
 from sparkcollide.operators.select import pt_order
+from sparkcollide.session import cut_lineage
 from sparkcollide.sources.fixtures import JET_KEYS
 
 VARIABLES = {
@@ -130,8 +131,6 @@ def isolation_veto(refs: DataFrame, particles: DataFrame, dr: float, emax: float
     n_phi = int(2 * 3.141592653589793 / dr)
     v = Vec.cols()
     mom = ("e", "px", "py", "pz")
-    alike = particles.groupBy("event_id", *mom).agg(F.count("*").alias("copies"))
-    alike = alike.withColumn("et", v.et() * F.col("copies"))
     cone = v.eta().alias("a_eta"), v.phi().alias("a_phi")
     r = _numbered(refs, dr, n_phi, 0).select("event_id", *_cell(), *JET_KEYS, *cone, *[F.col(c).alias("a_" + c) for c in mom])
     own = [c for c in r.columns if c not in ("ci", "cj")]
@@ -143,8 +142,12 @@ def isolation_veto(refs: DataFrame, particles: DataFrame, dr: float, emax: float
         r = r.dropDuplicates()
     # how far down the fullest square asks to go, and whether any cell has more references than a tile
     most = lambda df, keys: df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
-    fullest = most(_numbered(alike, dr, n_phi, 0), ["event_id", "si", "sj"])
-    fullest, asked = (x["n"] or 0 for x in fullest.union(most(r, ["event_id", "ci", "cj"])).collect())
+    in_square = lambda df: most(_numbered(df, dr, n_phi, 0), ["event_id", "si", "sj"])
+    fullest, asked = (x["n"] or 0 for x in in_square(particles).union(most(r, ["event_id", "ci", "cj"])).collect())
+    alike = particles.select("event_id", *mom, v.et().alias("et"))
+    if fullest > LEAF:  # copies of a particle count as one
+        alike = particles.groupBy("event_id", *mom).agg(F.count("*").alias("copies")).withColumn("et", v.et() * F.col("copies"))
+        fullest = in_square(alike).first()["n"]
     depth = min(DEEPEST, max(0, math.ceil(math.log(max(1, fullest) / LEAF, 4))))
 
     def meet(left, right, keys):
@@ -157,25 +160,33 @@ def isolation_veto(refs: DataFrame, particles: DataFrame, dr: float, emax: float
     squares = fine.groupBy("event_id", "si", "sj").agg(F.sum("et").alias("sum_et"), F.count("*").alias("n"))
     shares, front = None, None
     for level in range(depth + 1):
-        step = 1 << (depth - level)
-        here = squares.groupBy("event_id", F.floor(F.col("si") / step).cast("int").alias("si"), F.floor(F.col("sj") / step).cast("int").alias("sj"))
-        here = here.agg(F.sum("sum_et").alias("sum_et"), F.sum("n").alias("n"))
+        step, last = 1 << (depth - level), level == depth
+        here = squares
+        if not last:
+            here = here.groupBy("event_id", F.floor(F.col("si") / step).cast("int").alias("si"), F.floor(F.col("sj") / step).cast("int").alias("sj"))
+            here = here.agg(F.sum("sum_et").alias("sum_et"), F.sum("n").alias("n"))
         if level == 0:
             left, right, keys = r, here.select("*", *_cell()), ["event_id", "ci", "cj"]
         else:
             left, right, keys = front, here.withColumns({"pi": F.floor(F.col("si") / 2).cast("int"), "pj": F.floor(F.col("sj") / 2).cast("int")}), ["event_id", "pi", "pj"]
         near = _placed(meet(left, right, keys), dr, n_phi, level)
-        inside = near.where("inside").select(*own, F.col("sum_et").alias("share"))
-        edge = near.where("not inside")
-        last = level == depth
-        leaves = edge if last else edge.where(F.col("n") <= LEAF)
-        looked = leaves.select(*own, "si", "sj")
-        rows = fine.withColumns({"si": F.floor(F.col("si") / step).cast("int"), "sj": F.floor(F.col("sj") / step).cast("int")})
+        if not last:  # what is settled here, and what goes down
+            near = cut_lineage(near.select(*own, "si", "sj", "sum_et", "n", "inside"), "squares")
+            front = near.where(~F.col("inside") & (F.col("n") > LEAF)).select(*own, F.col("si").alias("pi"), F.col("sj").alias("pj"))
+            near = near.where(F.col("inside") | (F.col("n") <= LEAF))
+        # one-by-one rows only for squares on the edge; the others keep their sum
+        at = lambda c: F.col(c) if last else F.floor(F.col(c) / step).cast("int")
+        rows = fine.select(F.col("event_id"), at("si").alias("si"), at("sj").alias("sj"), "et", *["b_" + c for c in mom])
         close = kin.delta_r_eta(Vec.cols("a_"), Vec.cols("b_")) < dr
-        looked = meet(looked, rows, ["event_id", "si", "sj"]).where(close).select(*own, F.col("et").alias("share"))
-        found = inside.unionByName(looked)
+        if asked <= TILE:
+            named = rows.withColumnsRenamed({"event_id": "_e", "si": "_x", "sj": "_y"})
+            same = (F.col("event_id") == F.col("_e")) & (F.col("si") == F.col("_x")) & (F.col("sj") == F.col("_y"))
+            full = near.join(named, same & ~F.col("inside") & close, "left")
+            found = full.select(*own, F.when(F.col("inside"), F.col("sum_et")).otherwise(F.coalesce("et", F.lit(0.0))).alias("share"))
+        else:
+            looked = meet(near.where("not inside").select(*own, "si", "sj"), rows, ["event_id", "si", "sj"]).where(close)
+            found = near.where("inside").select(*own, F.col("sum_et").alias("share")).unionByName(looked.select(*own, F.col("et").alias("share")))
         shares = found if shares is None else shares.unionByName(found)
-        front = None if last else edge.where(F.col("n") > LEAF).select(*own, F.col("si").alias("pi"), F.col("sj").alias("pj"))
     busy = shares.groupBy(*own).agg(F.sum("share").alias("cone_et")).filter(F.col("cone_et") > emax)
     events = particles.select("event_id").unionByName(refs.select("event_id")).distinct()
     return events.join(busy.select("event_id").distinct(), "event_id", "left_anti")

@@ -69,8 +69,8 @@ def split_points(df: DataFrame, codes: list[Column], buckets: int) -> list[tuple
         hot = [c for c, w in cells.items() if len(c) == depth and w >= FINE]
         if not hot:
             break
-        known, head = F.from_json(F.lit(_json(hot)), _kind(depth)), F.struct(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names[:depth])])
-        for row in rows.where(F.array_contains(known, head)).groupBy(*names[:depth]).agg(sketch(names[depth])).collect():
+        known = df.sparkSession.createDataFrame([tuple(map(float, h)) for h in hot], ", ".join(f"{n} double" for n in names[:depth]))
+        for row in rows.join(F.broadcast(known), names[:depth]).groupBy(*names[:depth]).agg(sketch(names[depth])).collect():
             value = tuple(row)[:depth]
             weight = cells.pop(value)
             cells |= {(*value, v): w for v, w in _counted(row["q"], weight / len(row["q"])).items()}
@@ -107,13 +107,25 @@ def _json(points: list[tuple[float, ...]]) -> str:
 
 
 def bucket_of(codes: list[Column], points: list[tuple[float, ...]]) -> Column:
-    """Number of boundaries at or below a row's codes: binary search in one array literal."""
+    """Number of boundaries at or below a row's codes: binary search in one array literal.
+
+    Only the codes that tell boundaries apart are computed, once a row.
+    """
     if not points:
         return F.lit(0)
-    bounds = F.from_json(F.lit(_json(points)), _kind(len(codes)))
-    key = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(codes)])
+    used = max(k + 1 for p in points for k in range(len(p)) if k == 0 or p[k] != -_LARGEST)
+    if used == 1:
+        bounds, key = F.from_json(F.lit(json.dumps([p[0] for p in points])), "array<double>"), codes[0]
+    else:
+        bounds = F.from_json(F.lit(_json([p[:used] for p in points])), _kind(used))
+        key = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(codes[:used])])
     steps = F.array(*[F.lit(1 << k) for k in range(len(points).bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get(bounds, i + step - 1) <= key, i + step).otherwise(i))
+
+    def step(at, size):
+        to = at["i"] + size
+        return F.struct(F.when(F.get(bounds, to - 1) <= at["k"], to).otherwise(at["i"]).alias("i"), at["k"].alias("k"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("i"), key.alias("k")), step, lambda at: at["i"])
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -156,15 +168,29 @@ def running_sums(
     )
 
 
+WHOLE = 200_000  # rows of a group that one task may rank
+
+
 def distributed_row_number(
     df: DataFrame, group: list[str], order: list[str], rank: str = "rn", buckets: int | None = None
 ) -> DataFrame:
-    """Exact row_number per group with work split by order-key ranges.
+    """Exact row_number per group, with the work of large groups split by order-key ranges.
 
-    ``order`` must identify a row within its group; prefix a name with ``-``
-    for descending numeric order.
+    Groups of at most WHOLE rows are ranked by a plain window. ``order`` must
+    identify a row within its group; prefix a name with ``-`` for descending
+    numeric order.
     """
     fields = [(-F.col(c[1:]) if c.startswith("-") else F.col(c)).alias(f"o{i}") for i, c in enumerate(order)]
+    plain = Window.partitionBy(*group).orderBy(*[f.asc() for f in fields])
+    busy = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > WHOLE).select(*group, F.lit(True).alias("_hot"))
+    if busy.isEmpty():
+        return df.withColumn(rank, F.row_number().over(plain).cast("long"))
+    told = join_null_safe(df, busy, group, "left")
+    small = told.where("_hot is null").drop("_hot").withColumn(rank, F.row_number().over(plain).cast("long"))
+    return small.unionByName(_split_row_number(told.where("_hot").drop("_hot"), group, fields, rank, buckets))
+
+
+def _split_row_number(df: DataFrame, group: list[str], fields: list[Column], rank: str, buckets: int | None) -> DataFrame:
     codes = [sort_code(df, f) for f in fields]
     points = split_points(df, codes, buckets or bucket_count(df))
     keyed = df.withColumns({"_o": F.struct(*fields), "_b": bucket_of(codes, points)})

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkcollide.functions import noise
 from sparkcollide.operators.hist import histogram_1d
+from sparkcollide.operators import ranking
 from sparkcollide.operators.ranking import bucket_of, distributed_row_number, running_sums, sort_code, split_points
 from sparkcollide.session import lookup
 
@@ -24,7 +25,9 @@ def test_uniform_seeds_are_unrelated_and_keys_are_free(spark):
     assert all(0 < x["u"] < 1 and x["g"] is not None for x in keys.select(noise.uniform(1, F.col("id")).alias("u"), noise.gaussian(1, F.col("id")).alias("g")).collect())
 
 
-def test_null_groups_and_keys_keep_their_rows(spark):
+@pytest.mark.parametrize("whole", [ranking.WHOLE, 0])
+def test_null_groups_and_keys_keep_their_rows(spark, monkeypatch, whole):
+    monkeypatch.setattr(ranking, "WHOLE", whole)
     df = spark.createDataFrame([(None, 1, 2.0), (None, 3, 1.0), ("a", 2, 5.0), ("a", None, 7.0)], "g string, k int, w double")
     assert {(r["g"], r["k"]): r["rn"] for r in distributed_row_number(df, ["g"], ["k"]).collect()} == {(None, 1): 1, (None, 3): 2, ("a", None): 1, ("a", 2): 2}
     assert {(r["g"], r["k"]): r["s"] for r in running_sums(df, "k", {"s": "w"}, ["g"]).select("g", "k", "s").collect()} == {(None, 1): 2.0, (None, 3): 3.0, ("a", None): 7.0, ("a", 2): 12.0}

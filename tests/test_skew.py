@@ -46,7 +46,9 @@ def test_group_limit_runs_before_the_shuffle(jets):
     assert "Partial" in plan and "WindowGroupLimit" in plan
 
 
-def test_distributed_row_number(jets):
+@pytest.mark.parametrize("whole", [ranking.WHOLE, 100, 0])  # all events by a window, the hot one by ranges, all by ranges
+def test_distributed_row_number(jets, monkeypatch, whole):
+    monkeypatch.setattr(ranking, "WHOLE", whole)
     out = particles.order_particles(jets, "pt").select("event_id", "l_partkey", "rank").collect()
     want = {(e, r[2]): k + 1 for e, rows in by_event().items() for k, r in enumerate(brute_order(rows))}
     assert {(r["event_id"], r["l_partkey"]): r["rank"] for r in out} == want
