@@ -33,6 +33,7 @@ TOP = 20
 LIST = 512  # vectors of a list, before those near its boundary come in
 MOST_LISTS = 8192
 SAMPLE = 32  # sampled vectors a list; one half makes centroids, the other the ratio
+LEAST_SAMPLE = 4096  # vectors sampled at least, so that few lists have a sure ratio too
 SAMPLE_VALUES = 1 << 24  # components of the whole sample
 COPIES = 4
 CLOSURE = 1.1
@@ -306,7 +307,7 @@ def nearest(vectors: DataFrame, asks: Column, top: int = TOP) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n, dim, norm = facts["n"], facts["dim"], min(facts["norm"], 1e300)
     lists = min(MOST_LISTS, 1 << max(0, int(np.ceil(np.log2(n / LIST)))))
-    size = max(2, min(lists * SAMPLE, SAMPLE_VALUES // dim))
+    size = max(2, min(max(LEAST_SAMPLE, lists * SAMPLE), SAMPLE_VALUES // dim))
     sample = one.orderBy(F.xxhash64("v")).limit(size).select("v").toArrow().column(0).combine_chunks()
     index = build(_dense(sample, dim), n, norm)
     shared = spark.sparkContext.broadcast(index)
