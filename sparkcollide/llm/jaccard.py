@@ -11,10 +11,12 @@ puts known frequent shingles last and is by hash otherwise.
    list, every set meets the list's first set (frequent lists are cut into
    salted parts, whose first sets meet again).
 3. T-occurrence search settles these pairs; links give groups.
-4. Sets of one list that are still in different groups are compared in cells of
-   bounded size, by size, place and counts per hash region; what these cannot
-   rule out is searched too, which makes the groups exact.  No list of all pairs
-   is made and no set of partners is capped.
+4. Rounds, until nothing is left to ask: sets of one list that are in different
+   groups are compared in cells of bounded size, by size, place and parity
+   sketch.  A set asks for its most likely few partners only; the search settles
+   them, links merge groups, and refuted pairs are not asked again.  A group that
+   has grown together asks nothing within itself, so no list of all pairs is made,
+   and as the rounds end only when no pair is left, no partner is left out.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ SALTS = 64
 BLOCK = 1 << 21
 MEMBERS = 256
 CELL = 1024  # sets of one list in a block; two blocks make a cell
-REGIONS = 256
-SETS = "doc_id long, th long, n_shingles long, sid long, spread binary, token long, times long"
+SKETCH = 2048  # bits of a parity sketch at least, else 4 a shingle or more
+ASKED = 2  # partners a set asks for in the first round, four times as many in each one after
+SETS = "doc_id long, th long, n_shingles long, sid long, sketch binary, token long, times long"
 LISTS = "token long, salt int, sid long, n int, pos int"
 MET = LISTS + ", hub long, hub_n int, hub_pos int"
 
@@ -62,9 +65,23 @@ def _digest(sets: list[np.ndarray]) -> np.ndarray:
     return span_hash(flat, ends - [len(s) for s in sets], ends, 2)
 
 
-def _spread(s: np.ndarray) -> bytes:
-    """Shingles of a set per region of the hash range, 255 standing for that many or more."""
-    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=REGIONS), 255).astype(np.uint8).tobytes()
+def _sketch(s: np.ndarray) -> bytes:
+    """Whether the number of a set's shingles is odd, per cell of the hash range.
+
+    Two sets differ in at least as many shingles as their sketches differ in
+    bits.  A sketch of half the bits is the exclusive or of a longer one's halves.
+    """
+    bits = max(SKETCH, 1 << (4 * max(1, len(s)) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (one row each, 64-bit words) in ``size`` words."""
+    while sketch.shape[1] > size:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
 
 
 def _describe(words: int):
@@ -74,7 +91,7 @@ def _describe(words: int):
         token, times = np.unique(np.concatenate(held), return_counts=True)
         keep = times > 1
         none = pa.nulls(int(keep.sum()), pa.int64())
-        return row_batch(doc_id=none, th=none, n_shingles=none, sid=none, spread=pa.nulls(int(keep.sum()), pa.binary()), token=signed(token[keep]), times=times[keep].astype(np.int64))
+        return row_batch(doc_id=none, th=none, n_shingles=none, sid=none, sketch=pa.nulls(int(keep.sum()), pa.binary()), token=signed(token[keep]), times=times[keep].astype(np.int64))
 
     def run(batches):
         held, n = [], 0
@@ -84,7 +101,7 @@ def _describe(words: int):
                 none = pa.nulls(len(sets), pa.int64())
                 yield row_batch(
                     doc_id=batch.column(0).slice(c.lo, len(sets)), th=batch.column(2).slice(c.lo, len(sets)), n_shingles=pa.array([len(s) for s in sets], pa.int64()),
-                    sid=signed(_digest(sets)), spread=pa.array([_spread(x) for x in sets], pa.binary()), token=none, times=none,
+                    sid=signed(_digest(sets)), sketch=pa.array([_sketch(x) for x in sets], pa.binary()), token=none, times=none,
                 )
                 held += sets
                 n += sum(map(len, sets))
@@ -208,65 +225,97 @@ def t_occurrence(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
     return count >= need
 
 
-def _search(words: int):
-    """Pairs sorted by their first set: (a, a_text, b, b_text) to the links (a, b)."""
-
-    def of(text: str) -> np.ndarray:
-        return next(s for c in chunks(pa.array([text]), lower=True) for s in shingle_sets(c, words))
+def _arrays(words: int):
+    """(sid, text) to the set's shingles."""
 
     def run(batches):
-        hub, query = None, None
         for batch in batches:
-            firsts, texts = batch.column(0).to_numpy(), batch.column(1)
-            cuts = np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1]])).tolist() + [len(firsts)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if firsts[lo] != hub:
-                    hub, query = firsts[lo], of(texts[lo].as_py())
-                for at in range(lo, hi, MEMBERS):
-                    part = batch.slice(at, min(MEMBERS, hi - at))
-                    members = [s for c in chunks(part.column(3), lower=True) for s in shingle_sets(c, words)]
-                    ok = t_occurrence(query, members)
-                    if ok.any():
-                        yield row_batch(a=part.column(0).to_numpy()[ok], b=part.column(2).to_numpy()[ok])
+            for c in chunks(batch.column(1), lower=True):
+                sets = list(shingle_sets(c, words))
+                yield row_batch(sid=batch.column(0).slice(c.lo, len(sets)), held=pa.array([s.tobytes() for s in sets], pa.binary()))
 
     return run
 
 
+def _search(batches):
+    """Pairs sorted by their first set, (a, a_held, b, b_held): which of them link."""
+    hub, query = None, None
+    for batch in batches:
+        firsts, own = batch.column(0).to_numpy(), batch.column(1)
+        cuts = np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1]])).tolist() + [len(firsts)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if firsts[lo] != hub:
+                hub, query = firsts[lo], np.frombuffer(own[lo].as_py(), np.uint64)
+            for at in range(lo, hi, MEMBERS):
+                part = batch.slice(at, min(MEMBERS, hi - at))
+                members = [np.frombuffer(x.as_py(), np.uint64) for x in part.column(3)]
+                yield row_batch(a=part.column(0), b=part.column(2), linked=t_occurrence(query, members))
+
+
 def _may_link(batches):
-    """Drop pairs that even all shared regions could not link: no overlap exceeds the sum of the smaller counts."""
+    """(a, b, a_sketch, b_sketch, n): drop the pairs whose sketches differ in over n / 7 bits."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGIONS) for k in (2, 3))
-        n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-        low = np.minimum(one, two).astype(np.int64)
-        keep = (7 * low.sum(1) >= 3 * n) | (low == 255).any(1)
+        n, keep = batch.column(4).to_numpy(), np.zeros(batch.num_rows, bool)
+        one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        sizes = np.array([(len(x) // 8, len(y) // 8) for x, y in zip(one, two, strict=True)]).reshape(-1, 2)
+        for w, v in np.unique(sizes, axis=0).tolist():
+            rows = np.flatnonzero((sizes == (w, v)).all(1))
+            left, right = (folded(np.frombuffer(b"".join(side[r] for r in rows), np.uint64).reshape(len(rows), -1), min(w, v)) for side in (one, two))
+            keep[rows] = 7 * np.bitwise_count(left ^ right).sum(1, dtype=np.int64) <= n[rows]
         yield row_batch(a=batch.column(0).to_numpy()[keep], b=batch.column(1).to_numpy()[keep])
 
 
-def _cell_pairs(n, pos, group, spread, block, i, j):
-    """Row numbers of a cell's pairs that could link: blocks i and j of one list, or one block with itself."""
+def _closest(p, q, far, most: int):
+    """Of pairs in both directions, each p's ``most`` least far ones (ties: smaller q)."""
+    order = np.lexsort((q, far, p))
+    p, q, far = p[order], q[order], far[order]
+    start = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    keep = np.arange(len(p)) - np.repeat(start, np.diff(np.append(start, len(p)))) < most
+    return p[keep], q[keep], far[keep]
+
+
+def _cell_pairs(n, pos, group, sketches, block, i, j, refuted, most: int):
+    """A cell's pairs of different groups that could link, each set's ``most`` closest: blocks i and j of one list, or one with itself.
+
+    ``refuted``: codes p * len(n) + q of pairs known not to link.
+    """
+    words = np.array([len(s) for s in sketches]) // 8
+    bits = {w: np.frombuffer(b"".join(sketches[r] for r in np.flatnonzero(words == w)), np.uint64).reshape(-1, w) for w in np.unique(words).tolist()}
     one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    within = np.empty(len(n), np.int64)
+    for w in bits:
+        within[words == w] = np.arange(int((words == w).sum()))
+    fold = {(w, v): folded(bits[w], v) for w in bits for v in bits if v <= w <= 2 * v}  # linked sets' sizes differ by a third at most
+    best = (np.zeros(0, np.int64),) * 3
     for lo in range(0, len(one), 256):
         x = one[lo : lo + 256]
-        a, b = (v.ravel() for v in np.meshgrid(x, two, indexing="ij"))
-        keep = group[a] != group[b]
+        near = (group[x, None] != group[two]) & (4 * np.minimum(n[x, None], n[two]) >= 3 * np.maximum(n[x, None], n[two]))
+        near &= 7 * (np.minimum(pos[x, None], pos[two]) + np.minimum((n - pos)[x, None], (n - pos)[two])) >= 3 * (n[x, None] + n[two])
         if i == j:
-            keep &= a < b
-        a, b = a[keep], b[keep]
-        keep = (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & (7 * (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])) >= 3 * (n[a] + n[b]))
-        a, b = a[keep], b[keep]
-        for k in range(0, len(a), 8192):
-            p, q = a[k : k + 8192], b[k : k + 8192]
-            low = np.minimum(spread[p], spread[q])
-            fine = (7 * low.sum(1, dtype=np.int64) >= 3 * (n[p] + n[q])) | (low == 255).any(1)
-            yield p[fine], q[fine]
-
-
-def _cross(batches):
-    """Rows sorted by (token, i, j): the pairs of each cell that could link. One open cell is kept between batches."""
-
-    def cells(table):
+            near &= x[:, None] < two
+        a, b = np.nonzero(near)
+        a, b = x[a], two[b]
+        if len(refuted):
+            fresh = ~np.isin(a * len(n) + b, refuted)
+            a, b = a[fresh], b[fresh]
+        for w, v in {(int(w), int(v)) for w, v in zip(*np.unique(np.stack([words[a], words[b]]), axis=1), strict=True)} if len(a) else ():
+            some = np.flatnonzero((words[a] == w) & (words[b] == v))
+            size = min(w, v)
+            left, right = fold[w, size], fold[v, size]
+            for k in range(0, len(some), max(64, (1 << 18) // size)):
+                p, q = a[some[k : k + max(64, (1 << 18) // size)]], b[some[k : k + max(64, (1 << 18) // size)]]
+                apart = np.bitwise_count(left[within[p]] ^ right[within[q]]).sum(1, dtype=np.int64)
+                fine = 7 * apart <= n[p] + n[q]  # sharing 3 / 7 of n + m leaves 1 / 7 of it apart
+                if fine.any():
+                    p, q, far = p[fine], q[fine], 1_000_000 * apart[fine] // (n[p] + n[q])[fine]
+                    best = _closest(*(np.concatenate(c) for c in zip(best, (p, q, far), (q, p, far), strict=True)), most)
+    return best
+
+
+def _cross(most: int):
+    """Rows sorted by (token, i, j): whom each set of a cell asks, (s, o, far). One open cell is kept between batches."""
+
+    def starts(table):
         token, i, j = (table.column(k).to_numpy() for k in range(3))
         cut = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         return [0, *cut.tolist(), len(token)]
@@ -274,55 +323,108 @@ def _cross(batches):
     def work(table, cuts):
         i, j, block, sid, n, pos, group = (table.column(k).to_numpy() for k in range(1, 8))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        spread = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, REGIONS)
+        sketch, refuted = table.column(8), table.column(9)
         found = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi - lo > 1:
-                c = slice(lo, hi)
-                found += [np.stack([sid[lo + p], sid[lo + q]], 1) for p, q in _cell_pairs(n[c], pos[c], group[c], spread[c], block[c], i[lo], j[lo])]
+            if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
+                continue
+            c, own = slice(lo, hi), sid[lo:hi]
+            gone = refuted.slice(lo, hi - lo).combine_chunks()
+            owner, other = np.repeat(np.arange(hi - lo), np.asarray(gone.fill_null([]).value_lengths())), gone.flatten().to_numpy()
+            if len(other):
+                order = np.argsort(own)
+                at = np.minimum(np.searchsorted(own[order], other), len(own) - 1)
+                here = own[order][at] == other
+                other, owner = order[at][here], owner[here]
+            p, q, far = _cell_pairs(n[c], pos[c], group[c], sketch.slice(lo, hi - lo).to_pylist(), block[c], i[lo], j[lo], owner * (hi - lo) + other, most)
+            found.append(np.stack([own[p], own[q], far], 1))
         if found:
-            pairs = np.concatenate(found)
-            pairs = np.unique(np.sort(pairs, 1), axis=0)
-            yield row_batch(a=pairs[:, 0], b=pairs[:, 1])
+            s, o, far = np.unique(np.concatenate(found), axis=0).T
+            yield row_batch(s=s, o=o, far=far)
 
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            table = table.combine_chunks()
+            cuts = starts(table)
+            if len(cuts) > 2:
+                yield from work(table, cuts[:-1])
+            rest = table.slice(cuts[-2])
         if rest is not None:
-            table = pa.concat_tables([rest, table])
-        table = table.combine_chunks()
-        cuts = cells(table)
-        if len(cuts) > 2:
-            yield from work(table, cuts[:-1])
-        rest = table.slice(cuts[-2])
-    if rest is not None and rest.num_rows:
-        table = rest.combine_chunks()
-        yield from work(table, [0, table.num_rows])
+            table = rest.combine_chunks()
+            yield from work(table, [0, table.num_rows])
+
+    return run
 
 
-def links(pairs: DataFrame, source: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those pairs (a, b) of set digests that link. ``source``: one document of each set; texts: (doc_id, th, text).
+def settle(pairs: DataFrame, source: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b, linked) of pairs of set digests. ``source``: one document of each set; texts: (doc_id, th, text).
 
-    Counts by region rule out most pairs before any text is moved.
+    A set's text is read once, from one row however often that row is repeated,
+    and travels as its shingles.
     """
-    of = lambda side: source.select(F.col("sid").alias(side), F.col("spread").alias(f"{side}_spread"), F.col("n_shingles").alias(f"{side}_n"))
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_spread", "b_spread", "a_n", "b_n").mapInArrow(_may_link, "a long, b long")
-    one = source.select(F.col("sid").alias("a"), F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"))
-    two = source.select(F.col("sid").alias("b"), F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th"))
-    pairs = cut_lineage(pairs.join(one, "a").join(two, "b"), "candidates")
-    same = lambda side: texts["doc_id"].eqNullSafe(F.col(f"{side}_doc")) & (texts["th"] == F.col(f"{side}_th"))
-    with_b = pairs.join(texts, same("b")).select("a", "a_doc", "a_th", "b", F.col("text").alias("b_text"))
-    both = with_b.join(texts, same("a")).select("a", F.col("text").alias("a_text"), "b", "b_text")
-    return both.sortWithinPartitions("a").mapInArrow(_search(words), "a long, b long")
+    pairs = cut_lineage(pairs, "pairs")
+    need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    need = source.join(need, "sid", "left_semi").select("sid", F.col("doc_id").alias("d"), F.col("th").alias("h"))
+    found = texts.join(need, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["th"] == F.col("h"))).select("sid", "text")
+    held = cut_lineage(found.groupBy("sid").agg(F.first("text").alias("text")).mapInArrow(_arrays(words), "sid long, held binary"), "held")
+    of = lambda side: held.select(F.col("sid").alias(side), F.col("held").alias(f"{side}_held"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "a_held", "b", "b_held")
+    return cut_lineage(both.sortWithinPartitions("a").mapInArrow(_search, "a long, b long, linked boolean"), "settled")
+
+
+def _joined(group: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups (node, label) after the links (a, b); sets of no group are their own label."""
+    found = found.join(group.toDF("a", "x"), "a", "left").join(group.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    over = components(found)
+    grown = group.join(over.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return cut_lineage(grown.union(over.join(group.select("node"), "node", "left_anti").select("node", "label")), "groups")
+
+
+def grow(group: DataFrame, lists: DataFrame, source: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Groups (node, label) after all links between sets of one list (token, sid, n, pos)."""
+    most, refuted = ASKED, None
+    while True:
+        named = lists.join(group.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("g"))
+        split = named.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("k")).where("x <> y").select("token", F.ceil(F.col("k") / CELL).cast("int").alias("blocks"))
+        named = cut_lineage(named.join(split, "token"), "lists")
+        lists = named.select("token", "sid", "n", "pos")
+        cells = named.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "sid", "n", "pos", "g")
+        known = source.select("sid", "sketch")
+        if refuted is None:
+            known = known.withColumn("refuted", F.lit(None).cast("array<bigint>"))
+        else:
+            both = refuted.union(refuted.select("b", "a")).toDF("r", "o")
+            known = known.join(both.groupBy("r").agg(F.collect_set("o").alias("refuted")), F.col("sid") == F.col("r"), "left").select("sid", "sketch", "refuted")
+        cells = cells.join(known, "sid").select("token", "i", "j", "block", "sid", "n", "pos", "g", "sketch", "refuted")
+        asked = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross(most), "s long, o long, far long")
+        asked = asked.groupBy("s").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "o"))), 1, most).alias("c")).select("s", F.explode("c.o").alias("o"))
+        told = settle(asked.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct(), source, texts, words)
+        n = told.agg(F.count("*").alias("n"), F.count_if("linked").alias("linked")).first()
+        if n["linked"]:
+            group = _joined(group, told.where("linked").select("a", "b"))
+        if not n["n"]:
+            return group
+        new = told.where("not linked").select("a", "b")
+        refuted = new if refuted is None else refuted.union(new)
+        most *= 4
 
 
 def link_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, th, n_shingles, component_id): smallest doc_id reachable by links.
 
     No words or null text: an empty set, linked with nothing, its own component.
-    Equal sets link, so repeated rows and copies share a component.  A row with
+    Equal sets link, so repeated rows and copies share a component; only one of
+    them is searched.  A row with
     a null doc_id links like others; its component is the smallest non-null id,
-    null if there is none.  Other columns are not read.
+    null if there is none.  Very long texts are taken whole.  Other columns are
+    not read.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text")).select("doc_id", "text", "th")
@@ -330,33 +432,21 @@ def link_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     frequent = seen.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where("times > 8").orderBy(F.desc("times"), "token").limit(HOT)
     known = np.sort(np.array(frequent.select("token").toPandas()["token"], np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast(known)
-    sets = seen.where("token is null").select("doc_id", "th", "n_shingles", "sid", "spread")
+    sets = seen.where("token is null").select("doc_id", "th", "n_shingles", "sid", "sketch")
     lists = texts.select("text").mapInArrow(_lists(words, hot), LISTS)
     met = cut_lineage(lists.repartition("token", "salt").sortWithinPartitions("token", "salt", "sid").mapInArrow(_meet, MET), "met")
 
-    source = cut_lineage(sets.where("n_shingles > 0").groupBy("sid").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("spread").alias("spread")), "source")
+    source = cut_lineage(sets.where("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")).select("sid", "d.doc_id", "d.th", "low", "sketch", "n"), "source")
     star = met.where("sid <> hub").where(possible(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos"))).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
     parts = met.where("salt >= 0").select("token", "hub", "hub_n", "hub_pos").distinct()
     top = parts.groupBy("token").agg(F.min("hub").alias("top"))
     star = star.union(parts.join(top, "token").where("hub <> top").select("top", "hub").toDF("a", "b"))
-    near = cut_lineage(links(star.distinct(), source, texts, words), "near")
-    group = components(near)
-
-    # what is left: sets of one list in different groups
-    named = met.join(group.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("g"))
-    split = named.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("k")).where("x <> y").select("token", F.ceil(F.col("k") / CELL).cast("int").alias("blocks"))
-    named = named.join(split, "token").select("token", "sid", "n", "pos", "g", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
-    cell = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    named = named.select("token", "sid", "n", "pos", "g", "block", cell).select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "sid", "n", "pos", "g")
-    named = cut_lineage(named, "cells").join(source.select("sid", "spread"), "sid").select("token", "i", "j", "block", "sid", "n", "pos", "g", "spread")
-    rest = named.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross, "a long, b long").distinct()
-    late = cut_lineage(links(rest, source, texts, words), "late")
-    late = late.join(group.toDF("a", "x"), "a", "left").join(group.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    over = components(late)
-
-    final = group.join(over.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
-    final = final.union(over.join(group.select(F.col("node")), "node", "left_anti").select("node", "label"))
-    rooted = cut_lineage(source.join(final, source["sid"] == final["node"], "left").select("sid", "low", F.coalesce("root", "sid").alias("root")), "rooted")
+    of = lambda side: source.select(F.col("sid").alias(side), F.col("sketch").alias(f"{side}_sketch"), F.col("n").alias(f"{side}_n"))
+    star = star.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_sketch", "b_sketch", F.expr("a_n + b_n").alias("n")).mapInArrow(_may_link, "a long, b long")
+    near = settle(star, source, texts, words).where("linked").select("a", "b")
+    final = grow(components(near), met.select("token", "sid", "n", "pos"), source, texts, words)
+
+    rooted = cut_lineage(source.join(final, source["sid"] == final["node"], "left").select("sid", "low", F.coalesce("label", "sid").alias("root")), "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = cut_lineage(rooted.join(lowest, "root").select(F.col("sid").alias("s"), "component_id"), "named")
     return sets.join(named, (sets["sid"] == named["s"]) & (sets["n_shingles"] > 0), "left").select("doc_id", "th", "n_shingles", F.when(F.col("s").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
