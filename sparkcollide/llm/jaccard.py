@@ -39,10 +39,12 @@ SALTS = 64
 BLOCK = 1 << 21
 MEMBERS = 256
 CELL = 1024  # sets of one list in a block; two blocks make a cell
-SKETCH = 2048  # bits of a parity sketch at least, else 4 a shingle or more
+SKETCH = 512  # bits of a parity sketch at least, else 2 a shingle or more
+SMALL = 64  # cells up to this size are worked on many at a time
 ASKED = 2  # partners a set asks for in the first round, four times as many in each one after
 SETS = "doc_id long, th long, n_shingles long, sid long, sketch binary, token long, times long"
 LISTS = "token long, salt int, sid long, n int, pos int"
+CELLS = "token long, i int, j int, block int, sid long, n int, pos int, g long"
 MET = LISTS + ", hub long, hub_n int, hub_pos int"
 
 
@@ -71,7 +73,7 @@ def _sketch(s: np.ndarray) -> bytes:
     Two sets differ in at least as many shingles as their sketches differ in
     bits.  A sketch of half the bits is the exclusive or of a longer one's halves.
     """
-    bits = max(SKETCH, 1 << (4 * max(1, len(s)) - 1).bit_length())
+    bits = max(SKETCH, 1 << (2 * max(1, len(s)) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").tobytes()
 
@@ -274,74 +276,41 @@ def _closest(p, q, far, most: int):
     return p[keep], q[keep], far[keep]
 
 
-def _cell_pairs(n, pos, group, sketches, block, i, j, refuted, most: int):
-    """A cell's pairs of different groups that could link, each set's ``most`` closest: blocks i and j of one list, or one with itself.
-
-    ``refuted``: codes p * len(n) + q of pairs known not to link.
-    """
-    words = np.array([len(s) for s in sketches]) // 8
-    bits = {w: np.frombuffer(b"".join(sketches[r] for r in np.flatnonzero(words == w)), np.uint64).reshape(-1, w) for w in np.unique(words).tolist()}
-    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    within = np.empty(len(n), np.int64)
-    for w in bits:
-        within[words == w] = np.arange(int((words == w).sum()))
-    fold = {(w, v): folded(bits[w], v) for w in bits for v in bits if v <= w <= 2 * v}  # linked sets' sizes differ by a third at most
-    best = (np.zeros(0, np.int64),) * 3
-    for lo in range(0, len(one), 256):
-        x = one[lo : lo + 256]
-        near = (group[x, None] != group[two]) & (4 * np.minimum(n[x, None], n[two]) >= 3 * np.maximum(n[x, None], n[two]))
-        near &= 7 * (np.minimum(pos[x, None], pos[two]) + np.minimum((n - pos)[x, None], (n - pos)[two])) >= 3 * (n[x, None] + n[two])
-        if i == j:
-            near &= x[:, None] < two
-        a, b = np.nonzero(near)
-        a, b = x[a], two[b]
-        if len(refuted):
-            fresh = ~np.isin(a * len(n) + b, refuted)
-            a, b = a[fresh], b[fresh]
-        for w, v in {(int(w), int(v)) for w, v in zip(*np.unique(np.stack([words[a], words[b]]), axis=1), strict=True)} if len(a) else ():
-            some = np.flatnonzero((words[a] == w) & (words[b] == v))
-            size = min(w, v)
-            left, right = fold[w, size], fold[v, size]
-            for k in range(0, len(some), max(64, (1 << 18) // size)):
-                p, q = a[some[k : k + max(64, (1 << 18) // size)]], b[some[k : k + max(64, (1 << 18) // size)]]
-                apart = np.bitwise_count(left[within[p]] ^ right[within[q]]).sum(1, dtype=np.int64)
-                fine = 7 * apart <= n[p] + n[q]  # sharing 3 / 7 of n + m leaves 1 / 7 of it apart
-                if fine.any():
-                    p, q, far = p[fine], q[fine], 1_000_000 * apart[fine] // (n[p] + n[q])[fine]
-                    best = _closest(*(np.concatenate(c) for c in zip(best, (p, q, far), (q, p, far), strict=True)), most)
-    return best
-
-
-def _cross(most: int):
-    """Rows sorted by (token, i, j): whom each set of a cell asks, (s, o, far). One open cell is kept between batches."""
+def _near(n, pos, group, block, i, j, cuts):
+    """Rows (p, q) of pairs of one cell, but of different groups, whose sizes and places could allow a link, some at a time."""
+
+    def could(p, q):
+        p, q = p[group[p] != group[q]], q[group[p] != group[q]]
+        both = n[p] + n[q]
+        keep = (4 * np.minimum(n[p], n[q]) >= 3 * np.maximum(n[p], n[q])) & (7 * (np.minimum(pos[p], pos[q]) + np.minimum(n[p] - pos[p], n[q] - pos[q])) >= 3 * both)
+        return p[keep], q[keep]
+
+    lo, hi = np.array(cuts[:-1]), np.array(cuts[1:])
+    alone = (hi - lo <= SMALL) & (i[lo] == j[lo])
+    end = np.repeat(np.where(alone, hi, lo), hi - lo)  # a row meets those after it in its cell
+    later = np.maximum(end - np.arange(lo[0], hi[-1]) - 1, 0)
+    rows = lo[0] + np.flatnonzero(later)
+    later = later[later > 0]
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(later) >> 18)) + 1):
+        p, many = np.repeat(rows[part], later[part]), later[part]
+        yield could(p, p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many))
+    for a, b in zip(lo[~alone].tolist(), hi[~alone].tolist(), strict=True):
+        if (group[a:b] == group[a]).all():
+            continue
+        one, two = a + np.flatnonzero(block[a:b] == i[a]), a + np.flatnonzero(block[a:b] == j[a])
+        for k in range(0, len(one), 256):
+            p, q = (x.ravel() for x in np.meshgrid(one[k : k + 256], two, indexing="ij"))
+            yield could(p[p < q], q[p < q]) if i[a] == j[a] else could(p, q)
+
+
+def _by_cell(work):
+    """Rows sorted by (token, i, j) to whole cells. One open cell is kept between batches."""
 
     def starts(table):
         token, i, j = (table.column(k).to_numpy() for k in range(3))
         cut = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         return [0, *cut.tolist(), len(token)]
 
-    def work(table, cuts):
-        i, j, block, sid, n, pos, group = (table.column(k).to_numpy() for k in range(1, 8))
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
-        sketch, refuted = table.column(8), table.column(9)
-        found = []
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
-                continue
-            c, own = slice(lo, hi), sid[lo:hi]
-            gone = refuted.slice(lo, hi - lo).combine_chunks()
-            owner, other = np.repeat(np.arange(hi - lo), np.asarray(gone.fill_null([]).value_lengths())), gone.flatten().to_numpy()
-            if len(other):
-                order = np.argsort(own)
-                at = np.minimum(np.searchsorted(own[order], other), len(own) - 1)
-                here = own[order][at] == other
-                other, owner = order[at][here], owner[here]
-            p, q, far = _cell_pairs(n[c], pos[c], group[c], sketch.slice(lo, hi - lo).to_pylist(), block[c], i[lo], j[lo], owner * (hi - lo) + other, most)
-            found.append(np.stack([own[p], own[q], far], 1))
-        if found:
-            s, o, far = np.unique(np.concatenate(found), axis=0).T
-            yield row_batch(s=s, o=o, far=far)
-
     def run(batches):
         rest = None
         for batch in batches:
@@ -362,6 +331,56 @@ def _cross(most: int):
     return run
 
 
+def _some_partner(table, cuts):
+    """The rows of (token, i, j, block, sid, n, pos, g) that could link with another of their cell."""
+    i, j, block, _, n, pos, group = (table.column(k).to_numpy() for k in range(1, 8))
+    seen = np.zeros(len(n), bool)
+    for p, q in _near(n.astype(np.int64), pos.astype(np.int64), group, block, i, j, cuts):
+        seen[p] = seen[q] = True
+    yield from table.filter(pa.array(seen)).to_batches()
+
+
+def _ask(most: int):
+    """Rows with sketch and refuted partners: whom each set of a cell asks, its ``most`` closest (s, o, far)."""
+
+    def work(table, cuts):
+        i, j, block, sid, n, pos, group = (table.column(k).to_numpy() for k in range(1, 8))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        sketch, gone = table.column(8).to_pylist(), table.column(9).combine_chunks()
+        refuted = set(zip(np.repeat(sid, np.asarray(gone.fill_null([]).value_lengths())).tolist(), gone.flatten().to_pylist(), strict=True))
+        words = np.array([len(s) for s in sketch]) // 8
+        within, fold = np.empty(len(n), np.int64), {}
+        for w in np.unique(words).tolist():
+            rows = np.flatnonzero(words == w)
+            within[rows] = np.arange(len(rows))
+            fold[w, w] = np.frombuffer(b"".join(sketch[r] for r in rows), np.uint64).reshape(-1, w)
+        best = (np.zeros(0, np.int64),) * 3
+        for a, b in _near(n, pos, group, block, i, j, cuts):
+            both = words[a] * (1 << 32) + words[b]
+            for kind in np.unique(both).tolist():
+                w, v = kind >> 32, kind & 0xFFFFFFFF
+                size = min(w, v)
+                for x in (w, v):
+                    if (x, size) not in fold:
+                        fold[x, size] = folded(fold[x, x], size)
+                some = np.flatnonzero(both == kind)
+                for part in np.split(some, range(1 << 14, len(some), 1 << 14)):
+                    p, q = a[part], b[part]
+                    apart = np.bitwise_count(fold[w, size][within[p]] ^ fold[v, size][within[q]]).sum(1, dtype=np.int64)
+                    fine = 7 * apart <= n[p] + n[q]  # linked sets have 1 / 7 of n + m apart at most
+                    if refuted and fine.any():
+                        fine[fine] = [pair not in refuted for pair in zip(sid[p[fine]].tolist(), sid[q[fine]].tolist(), strict=True)]
+                    if fine.any():
+                        p, q, far = p[fine], q[fine], 1_000_000 * apart[fine] // (n[p] + n[q])[fine]
+                        best = _closest(*(np.concatenate(c) for c in zip(best, (p, q, far), (q, p, far), strict=True)), most)
+        p, q, far = best
+        if len(p):
+            s, o, far = np.unique(np.stack([sid[p], sid[q], far], 1), axis=0).T
+            yield row_batch(s=s, o=o, far=far)
+
+    return work
+
+
 def settle(pairs: DataFrame, source: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(a, b, linked) of pairs of set digests. ``source``: one document of each set; texts: (doc_id, th, text).
 
@@ -393,9 +412,10 @@ def grow(group: DataFrame, lists: DataFrame, source: DataFrame, texts: DataFrame
         named = lists.join(group.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("g"))
         split = named.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("k")).where("x <> y").select("token", F.ceil(F.col("k") / CELL).cast("int").alias("blocks"))
         named = cut_lineage(named.join(split, "token"), "lists")
-        lists = named.select("token", "sid", "n", "pos")
         cells = named.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "sid", "n", "pos", "g")
+        by_cell = lambda rows: rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        cells = cut_lineage(by_cell(cells).mapInArrow(_by_cell(_some_partner), CELLS), "cells")
         known = source.select("sid", "sketch")
         if refuted is None:
             known = known.withColumn("refuted", F.lit(None).cast("array<bigint>"))
@@ -403,8 +423,11 @@ def grow(group: DataFrame, lists: DataFrame, source: DataFrame, texts: DataFrame
             both = refuted.union(refuted.select("b", "a")).toDF("r", "o")
             known = known.join(both.groupBy("r").agg(F.collect_set("o").alias("refuted")), F.col("sid") == F.col("r"), "left").select("sid", "sketch", "refuted")
         cells = cells.join(known, "sid").select("token", "i", "j", "block", "sid", "n", "pos", "g", "sketch", "refuted")
-        asked = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross(most), "s long, o long, far long")
+        asked = by_cell(cells).mapInArrow(_by_cell(_ask(most)), "s long, o long, far long")
         asked = asked.groupBy("s").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "o"))), 1, most).alias("c")).select("s", F.explode("c.o").alias("o"))
+        asked = cut_lineage(asked, "asked")
+        # who asks nobody now has no partner left; every partner of a pair asks
+        lists = named.select("token", "sid", "n", "pos").join(asked.select(F.col("s").alias("sid")).distinct(), "sid", "left_semi")
         told = settle(asked.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct(), source, texts, words)
         n = told.agg(F.count("*").alias("n"), F.count_if("linked").alias("linked")).first()
         if n["linked"]:
