@@ -54,6 +54,7 @@ def directions(pass_: int, dim: int) -> np.ndarray:
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])  # by a power of two, exact: no square overflows or vanishes
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -215,7 +216,7 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, block: i
     named = cut_lineage(named.join(lowest, "root").select(F.col("node").alias("k"), "n_links", "component_id"), "classes")
     out = rows.select("vec_id", "node").join(named, F.col("node") == F.col("k"), "left")
     component = F.when(F.col("k").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op8_vectors(vectors: DataFrame) -> DataFrame:

@@ -314,3 +314,9 @@ def test_empty_tables(spark):
     assert toxicity.op5_toxicity(none, labels).count() == 0
     assert secrets.op2_secrets(none, WORDS).count() == 0 and bpe.op7_bpe(none, BYTES).count() == 0
     assert vectors.op8_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_extreme_vectors_and_null_ids(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e198]), (None, [1e200, 0.0]), (4, [0.0, 1e-200]), (5, [0.0, 1e-180]), (None, [0.0, 0.0])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got)) == [(0, 0, 0, True), (0, 2, 1, False), (1, 2, 1, True), (2, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
