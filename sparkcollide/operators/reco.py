@@ -63,6 +63,16 @@ def pinned(values: list[str]) -> str:
     return f"slice(array({','.join(values)}),1,{len(values)})"
 
 
+def bound(value: str, name: str, body: str) -> str:
+    """``body`` in which ``name`` stands for ``value``.
+
+    A filter on a result is moved below the projections and takes their
+    expressions along; a value that lambdas use would then be computed again
+    in each of their steps. A lambda's own variable is computed once.
+    """
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def _delta_r(y1: str, f1: str, y2: str, f2: str) -> str:
     d = f"abs({f2} - {f1})"
     return f"sqrt(({y1}-{y2})*({y1}-{y2}) + pow(if({d} > pi(), 2*pi()-{d}, {d}), 2))"
@@ -92,9 +102,9 @@ def best_reconstruction(df: DataFrame, n: int, targets: tuple[float, ...] = TARG
     """
     h, npair = n // 2, n * (n - 1) // 2
     wanted = ",".join(f"{t!r}D" for t in targets[:h])
-    squares = f"flatten(transform(array({wanted}), t -> transform(pair_m, m -> (m-t)*(m-t))))"
-    total = "+".join(f"get(_sq, get(p,{i})+{i * npair})" for i in range(h))
-    search = f"array_min(transform({pairing_sql(n)}, (p, idx) -> named_struct('chi', floor(sqrt({total})*1e9D+0.5D)/1e9D, 'idx', idx)))"
+    squares = bound("pair_m", "ms", f"flatten(transform(array({wanted}), t -> transform(ms, m -> (m-t)*(m-t))))")
+    total = "+".join(f"get(sq, get(p,{i})+{i * npair})" for i in range(h))
+    search = bound("_sq", "sq", f"array_min(transform({pairing_sql(n)}, (p, idx) -> named_struct('chi', floor(sqrt({total})*1e9D+0.5D)/1e9D, 'idx', idx)))")
     df = df.selectExpr("*", f"{squares} AS _sq").selectExpr("* EXCEPT (_sq)", f"{search} AS best")
     return df.selectExpr("*", f"get({pairing_sql(n)}, best.idx) AS pairs")
 
