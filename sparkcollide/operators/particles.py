@@ -99,10 +99,14 @@ def item_pair(df: DataFrame, first: tuple[int, int], second: tuple[int, int]) ->
     return side("a_", first).join(side("b_", second), "event_id")
 
 
+def pair_in_range(var: str, lo: float, hi: float) -> Column:
+    """Both ends count as inside; a value is taken to nine decimals, so that one on an end does not hang on the last bits."""
+    return F.round(PAIR_VARIABLES[var](Vec.cols("a_"), Vec.cols("b_")), 9).between(lo, hi)
+
+
 def select_event_by_pair(df: DataFrame, first: tuple[int, int], second: tuple[int, int], var: str, lo: float, hi: float) -> DataFrame:
     """FLT11: keep events whose chosen pair is in range."""
-    value = PAIR_VARIABLES[var](Vec.cols("a_"), Vec.cols("b_"))
-    hit = item_pair(df, first, second).filter(value.between(lo, hi))
+    hit = item_pair(df, first, second).filter(pair_in_range(var, lo, hi))
     return df.join(hit.select("event_id"), "event_id", "left_semi")
 
 

@@ -75,11 +75,10 @@ OBS_SQL = {
 }
 
 
-@query("FLT11_select_event_by_pair", f"{P}, {AB} " + " UNION ALL ".join(f"SELECT '{k}' AS var, event_id FROM ab WHERE {PAIR_SQL[k]} BETWEEN {a} AND {b}" for k, (a, b) in PAIR_RANGE.items()))
+@query("FLT11_select_event_by_pair", f"{P}, {AB} " + " UNION ALL ".join(f"SELECT '{k}' AS var, event_id FROM ab WHERE round({PAIR_SQL[k]}, 9) BETWEEN {a} AND {b}" for k, (a, b) in PAIR_RANGE.items()))
 def flt11(spark, sf):
     pair = ops.item_pair(rows(spark, sf), (5, 0), (-5, 0))
-    a, b = Vec.cols("a_"), Vec.cols("b_")
-    hits = [F.when(ops.PAIR_VARIABLES[k](a, b).between(lo, hi), F.lit(k)) for k, (lo, hi) in PAIR_RANGE.items()]
+    hits = [F.when(ops.pair_in_range(k, lo, hi), F.lit(k)) for k, (lo, hi) in PAIR_RANGE.items()]
     return pair.select(F.explode(F.array_compact(F.array(*hits))).alias("var"), "event_id")
 
 
