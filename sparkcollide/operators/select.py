@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkcollide.functions import noise
 from sparkcollide.functions.kinematics import Vec, delta_r_rap, snap
 from sparkcollide.operators.ranking import leading_n
+from sparkcollide.session import cut_lineage
 from sparkcollide.sources.fixtures import JET_KEYS
 
 # Acceptance and overlap cuts of the analysis.
@@ -114,6 +115,10 @@ def select_candidates(jets: DataFrame, c: int = 0, l: int = 0, total: int = 8, c
     """
     keep = ["event_id", *JET_KEYS, "tag", *JET_FIELDS]
     jets = jets.select(*keep)
+    # events with too few jets of a kind drop out before their jets are shuffled; the others are read several times
+    counts = multiplicities(jets)
+    enough = cut_lineage(counts.filter((F.col("n_b") >= total - c - l) & (F.col("n_c") >= c) & (F.col("n_l") >= l)).select("event_id"), "enough")
+    jets = cut_lineage(jets.join(enough, "event_id", "left_semi"), "candidates")
     b = leading_jets(jets.filter(F.col("tag") == "b"), total - c - l)
     b_sel = gather(b, total - c - l, "b_sel")
     out = b.join(b_sel.select("event_id"), "event_id", "left_semi").select(*keep)
