@@ -51,6 +51,7 @@ def sample_score(jets: DataFrame, dist: DataFrame, seed: int) -> DataFrame:
     fail = F.raise_error(F.lit(f"a cell outside the edges or of more than {MAX_BINS} bins")).cast("double")
     cell = cell.withColumn("total", F.when(bounded, F.col("total")).otherwise(fail))
     u = noise.uniform(seed, F.col("event_id"), *[F.col(k) for k in JET_KEYS])
-    out = jets.join(F.broadcast(cell), ["eta_bin", "pt_bin"]).withColumn("_u", u * F.col("total"))
-    hit = F.get(F.filter("bins", lambda b: F.col("_u") <= b["cum"]), F.lit(0))
-    return out.withColumn("score", hit["bin_lo"]).drop("_u", "bins", "total")
+    out = jets.join(F.broadcast(cell), ["eta_bin", "pt_bin"])
+    # the draw is a lambda's own variable: as a column it would be computed again for each bin
+    hit = F.get(F.transform(F.array(u * F.col("total")), lambda x: F.get(F.filter("bins", lambda b: x <= b["cum"]), F.lit(0))), F.lit(0))
+    return out.withColumn("score", hit["bin_lo"]).drop("bins", "total")
