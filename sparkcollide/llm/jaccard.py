@@ -12,9 +12,12 @@ puts known frequent shingles last and is by hash otherwise.
    salted parts, whose first sets meet again).
 3. T-occurrence search settles these pairs; links give groups.
 4. Sets of one list that are still in different groups are compared in cells of
-   bounded size, by size, place and counts per hash region; what these cannot
-   rule out is searched too, which makes the groups exact.  No list of all pairs
-   is made and no set of partners is capped.
+   bounded size, by size, place and parities of hash regions; lists of the same
+   sets are one list.  First a cell names a spanning forest of the pairs that
+   could link, closest pairs first, fewer than it has sets; what these join
+   needs no comparison any more.  Then the cells that are left name all pairs
+   that could link and were not searched yet, which makes the groups exact.  No
+   list of all pairs is made and no set of partners is capped.
 """
 
 from __future__ import annotations
@@ -37,7 +40,6 @@ SALTS = 64
 BLOCK = 1 << 21
 MEMBERS = 256
 CELL = 1024  # sets of one list in a block; two blocks make a cell
-REGIONS = 256
 SETS = "doc_id long, th long, n_shingles long, sid long, spread binary, token long, times long"
 LISTS = "token long, salt int, sid long, n int, pos int"
 MET = LISTS + ", hub long, hub_n int, hub_pos int"
@@ -63,8 +65,15 @@ def _digest(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _spread(s: np.ndarray) -> bytes:
-    """Shingles of a set per region of the hash range, 255 standing for that many or more."""
-    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=REGIONS), 255).astype(np.uint8).tobytes()
+    """Parity of a set's shingles in each region of the hash range; twice as many regions for a set up to twice as large.
+
+    Sets whose sizes allow a link differ at most by a factor of two here: the
+    wider one is folded, as regions are the lowest bits of a hash.
+    """
+    n = max(len(s), 1)
+    regions = max(64, 1 << (4 * n - 1).bit_length()) if n <= 512 else max(2048, 1 << (n - 1).bit_length())
+    odd = np.bincount((s & np.uint64(regions - 1)).astype(np.int64), minlength=regions) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
 def _describe(words: int):
@@ -232,20 +241,45 @@ def _search(words: int):
     return run
 
 
+def _ragged(column: pa.Array):
+    """Binary values as one array of 64-bit words, with the first word and the number of words of each."""
+    held = column.to_pylist()
+    width = np.array([len(v) // 8 for v in held], np.int64)
+    return np.frombuffer(b"".join(held), "<u8"), np.cumsum(width) - width, width
+
+
+def _distance(flat, start, width, p, q):
+    """In how many regions the parities of rows p and q differ: no more than shingles are in one of the sets only."""
+    out = np.zeros(len(p), np.int64)
+    narrow = np.minimum(width[p], width[q])
+    for w in np.unique(narrow):
+        m = np.zeros((len(start), w), np.uint64)
+        for times in (1, 2):
+            rows = np.flatnonzero(width == times * w)
+            at = start[rows][:, None] + np.arange(w)
+            m[rows] = flat[at] if times == 1 else flat[at] ^ flat[at + w]
+        step = max(1, (1 << 18) // int(w))
+        pairs = np.flatnonzero(narrow == w)
+        for k in range(0, len(pairs), step):
+            some = pairs[k : k + step]
+            out[some] = np.bitwise_count(m[p[some]] ^ m[q[some]]).sum(1, dtype=np.int64)
+    return out
+
+
 def _may_link(batches):
-    """Drop pairs that even all shared regions could not link: no overlap exceeds the sum of the smaller counts."""
+    """Drop pairs that cannot link: links have at most (n + m) / 7 shingles in one of the sets only."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGIONS) for k in (2, 3))
-        n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-        low = np.minimum(one, two).astype(np.int64)
-        keep = (7 * low.sum(1) >= 3 * n) | (low == 255).any(1)
-        yield row_batch(a=batch.column(0).to_numpy()[keep], b=batch.column(1).to_numpy()[keep])
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            n, m = (part.column(k).to_numpy().astype(np.int64) for k in (4, 5))
+            fit = np.flatnonzero(4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+            flat, start, width = _ragged(pa.concat_arrays([part.column(2), part.column(3)]))
+            keep = fit[7 * _distance(flat, start, width, fit, fit + len(n)) <= (n + m)[fit]]
+            yield row_batch(a=part.column(0).to_numpy()[keep], b=part.column(1).to_numpy()[keep])
 
 
-def _cell_pairs(n, pos, group, spread, block, i, j):
-    """Row numbers of a cell's pairs that could link: blocks i and j of one list, or one block with itself."""
+def _cell_pairs(n, pos, group, parity, block, i, j):
+    """Row numbers of a cell's pairs that could link, and how far apart they are: blocks i and j of one list, or one block with itself."""
     one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
     for lo in range(0, len(one), 256):
         x = one[lo : lo + 256]
@@ -256,15 +290,40 @@ def _cell_pairs(n, pos, group, spread, block, i, j):
         a, b = a[keep], b[keep]
         keep = (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & (7 * (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])) >= 3 * (n[a] + n[b]))
         a, b = a[keep], b[keep]
-        for k in range(0, len(a), 8192):
-            p, q = a[k : k + 8192], b[k : k + 8192]
-            low = np.minimum(spread[p], spread[q])
-            fine = (7 * low.sum(1, dtype=np.int64) >= 3 * (n[p] + n[q])) | (low == 255).any(1)
-            yield p[fine], q[fine]
-
-
-def _cross(batches):
-    """Rows sorted by (token, i, j): the pairs of each cell that could link. One open cell is kept between batches."""
+        if len(a):
+            far = 7 * _distance(*parity, a, b) / (n[a] + n[b])
+            fine = far <= 1
+            yield a[fine], b[fine], far[fine]
+
+
+def _spanning(a, b, far, group):
+    """Which pairs make a spanning forest of all of them, closest pairs first; rows of a group count as one."""
+    label = np.unique(group, return_inverse=True)[1]
+    kept, left = [], np.argsort(far, kind="stable")
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return np.concatenate(kept) if kept else left
+        x, y, place = label[a[left]], label[b[left]], np.arange(len(left))
+        nearest = np.full(label.max() + 1, len(left))
+        np.minimum.at(nearest, x, place)
+        np.minimum.at(nearest, y, place)
+        pick = np.unique(nearest[nearest < len(left)])
+        kept.append(left[pick])
+        root = np.arange(len(nearest))
+        while True:
+            new = root.copy()
+            np.minimum.at(new, x[pick], root[y[pick]])
+            np.minimum.at(new, y[pick], root[x[pick]])
+            new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+        label = root[label]
+
+
+def _cross(forest: bool):
+    """Rows sorted by (token, i, j): the pairs of each cell that could link, or a spanning forest of them. One open cell is kept between batches."""
 
     def cells(table):
         token, i, j = (table.column(k).to_numpy() for k in range(3))
@@ -274,39 +333,53 @@ def _cross(batches):
     def work(table, cuts):
         i, j, block, sid, n, pos, group = (table.column(k).to_numpy() for k in range(1, 8))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        spread = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, REGIONS)
+        flat, start, width = _ragged(table.column(8))
         found = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi - lo > 1:
                 c = slice(lo, hi)
-                found += [np.stack([sid[lo + p], sid[lo + q]], 1) for p, q in _cell_pairs(n[c], pos[c], group[c], spread[c], block[c], i[lo], j[lo])]
+                held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+                for more in _cell_pairs(n[c], pos[c], group[c], (flat, start[c], width[c]), block[c], i[lo], j[lo]):
+                    if forest:
+                        held = [np.concatenate(v) for v in zip(held, more, strict=True)]
+                        if len(held[0]) > 1:
+                            best = _spanning(*held, group[c])
+                            held = [v[best] for v in held]
+                    elif len(more[0]):
+                        found.append(np.stack([sid[lo + more[0]], sid[lo + more[1]]], 1))
+                if len(held[0]):
+                    found.append(np.stack([sid[lo + held[0]], sid[lo + held[1]]], 1))
         if found:
             pairs = np.concatenate(found)
             pairs = np.unique(np.sort(pairs, 1), axis=0)
             yield row_batch(a=pairs[:, 0], b=pairs[:, 1])
 
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        table = table.combine_chunks()
-        cuts = cells(table)
-        if len(cuts) > 2:
-            yield from work(table, cuts[:-1])
-        rest = table.slice(cuts[-2])
-    if rest is not None and rest.num_rows:
-        table = rest.combine_chunks()
-        yield from work(table, [0, table.num_rows])
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            table = table.combine_chunks()
+            cuts = cells(table)
+            if len(cuts) > 2:
+                yield from work(table, cuts[:-1])
+            rest = table.slice(cuts[-2])
+        if rest is not None and rest.num_rows:
+            table = rest.combine_chunks()
+            yield from work(table, [0, table.num_rows])
 
+    return run
 
-def links(pairs: DataFrame, source: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those pairs (a, b) of set digests that link. ``source``: one document of each set; texts: (doc_id, th, text).
 
-    Counts by region rule out most pairs before any text is moved.
-    """
+def may_link(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """Without the pairs (a, b) that sizes and parities rule out before any text is moved."""
     of = lambda side: source.select(F.col("sid").alias(side), F.col("spread").alias(f"{side}_spread"), F.col("n_shingles").alias(f"{side}_n"))
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_spread", "b_spread", "a_n", "b_n").mapInArrow(_may_link, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_spread", "b_spread", "a_n", "b_n").mapInArrow(_may_link, "a long, b long")
+
+
+def links(pairs: DataFrame, source: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Those pairs (a, b) of set digests that link. ``source``: one document of each set; texts: (doc_id, th, text)."""
     one = source.select(F.col("sid").alias("a"), F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"))
     two = source.select(F.col("sid").alias("b"), F.col("doc_id").alias("b_doc"), F.col("th").alias("b_th"))
     pairs = cut_lineage(pairs.join(one, "a").join(two, "b"), "candidates")
@@ -339,23 +412,34 @@ def link_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     parts = met.where("salt >= 0").select("token", "hub", "hub_n", "hub_pos").distinct()
     top = parts.groupBy("token").agg(F.min("hub").alias("top"))
     star = star.union(parts.join(top, "token").where("hub <> top").select("top", "hub").toDF("a", "b"))
-    near = cut_lineage(links(star.distinct(), source, texts, words), "near")
+    near = cut_lineage(links(may_link(star.distinct(), source), source, texts, words), "near")
     group = components(near)
 
-    # what is left: sets of one list in different groups
+    # what is left: sets of one list in different groups; lists of the same sets are one
     named = met.join(group.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("label", "sid").alias("g"))
-    split = named.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("k")).where("x <> y").select("token", F.ceil(F.col("k") / CELL).cast("int").alias("blocks"))
-    named = named.join(split, "token").select("token", "sid", "n", "pos", "g", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
-    cell = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    named = named.select("token", "sid", "n", "pos", "g", "block", cell).select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "sid", "n", "pos", "g")
-    named = cut_lineage(named, "cells").join(source.select("sid", "spread"), "sid").select("token", "i", "j", "block", "sid", "n", "pos", "g", "spread")
-    rest = named.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross, "a long, b long").distinct()
-    late = cut_lineage(links(rest, source, texts, words), "late")
-    late = late.join(group.toDF("a", "x"), "a", "left").join(group.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    over = components(late)
-
-    final = group.join(over.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
-    final = final.union(over.join(group.select(F.col("node")), "node", "left_anti").select("node", "label"))
+    split = named.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("k"), F.bit_xor("sid").alias("u"), F.bit_xor(F.xxhash64("sid")).alias("v")).where("x <> y")
+    split = split.groupBy("k", "u", "v").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("k") / CELL).cast("int").alias("blocks"))
+    named = cut_lineage(named.join(split, "token").select("token", "sid", "n", "pos", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block")), "lists")
+    asked = None
+    for forest in (True, False):
+        now = named.join(group.toDF("sid", "label"), "sid", "left").withColumn("g", F.coalesce("label", "sid"))
+        if not forest:
+            now = now.join(now.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token"), "token")
+        cell = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+        now = now.join(source.select("sid", "spread"), "sid").select("token", "sid", "n", "pos", "g", "block", "spread", cell)
+        now = now.select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "sid", "n", "pos", "g", "spread")
+        rest = now.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross(forest), "a long, b long").distinct()
+        if forest:
+            rest = asked = cut_lineage(rest, "asked")
+        else:
+            rest = rest.join(asked, ["a", "b"], "left_anti")
+        late = cut_lineage(links(rest, source, texts, words), "late")
+        late = late.join(group.toDF("a", "x"), "a", "left").join(group.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        over = components(late)
+        known = group.join(over.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+        group = cut_lineage(known.union(over.join(group.select("node"), "node", "left_anti").select("node", "label")), "group")
+
+    final = group.withColumnRenamed("label", "root")
     rooted = cut_lineage(source.join(final, source["sid"] == final["node"], "left").select("sid", "low", F.coalesce("root", "sid").alias("root")), "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = cut_lineage(rooted.join(lowest, "root").select(F.col("sid").alias("s"), "component_id"), "named")

@@ -144,6 +144,50 @@ def test_jaccard_null_ids_and_empty_table(spark):
     assert jaccard.op4_jaccard(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 16, 17, 130, 512, 600, 2049, 5000])
+def test_jaccard_parities_refute_no_link(n):
+    """Distances at the narrower width never exceed the shingles in one set only; sets without common shingles are refuted."""
+    r = np.random.default_rng(n)
+    pool = np.unique(r.integers(0, 1 << 63, 4 * n + 9).astype(np.uint64))
+    r.shuffle(pool)
+    one = pool[:n]
+    others = [one, pool[n : 2 * n], pool[n // 10 : n + n // 10], pool[: n + n // 3], pool[: n - n // 4]]
+    flat, start, width = jaccard._ragged(pa.array([jaccard._spread(x) for x in [one, *others]], pa.binary()))
+    far = jaccard._distance(flat, start, width, np.zeros(len(others), int), np.arange(1, len(others) + 1))
+    assert [int(f) <= len(np.setxor1d(one, x)) for f, x in zip(far, others, strict=True)] == [True] * len(others)
+    assert far[0] == 0 and 7 * far[1] > 2 * n
+
+
+def test_jaccard_cell_names_fewer_pairs_than_sets():
+    """A cell of near copies: all links at first made a pair each, a forest joins the same rows."""
+    r = np.random.default_rng(5)
+    base = np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64))
+    sets = [np.sort(np.concatenate([r.permutation(base)[:-6], r.integers(0, 1 << 63, 6).astype(np.uint64)])) for _ in range(90)]
+    k, same = len(sets), np.zeros(len(sets), np.int32)
+    batch = jaccard.row_batch(token=np.zeros(k, np.int64), i=same, j=same, block=same, sid=np.arange(k), n=np.array([len(x) for x in sets], np.int32), pos=same, g=np.arange(k), spread=pa.array([jaccard._spread(x) for x in sets], pa.binary()))
+    pairs = {forest: [(a, b) for out in jaccard._cross(forest)([batch.slice(0, 40), batch.slice(40)]) for a, b in zip(*out.to_pydict().values(), strict=True)] for forest in (True, False)}
+    joined = components_of(dict.fromkeys(range(k), 1), lambda a, b: (a, b) in set(pairs[True]))
+    assert len(pairs[False]) == k * (k - 1) // 2 and set(pairs[True]) < set(pairs[False])
+    assert len(pairs[True]) == k - 1 and set(joined.values()) == {0}
+
+
+def test_jaccard_large_group_of_near_copies(spark):
+    """Groups of copies with up to five words changed equal brute force, whoever meets first."""
+    r = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        own = list(base)
+        for at in r.integers(0, 120, r.integers(1, 6)):
+            own[at] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = components_of(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    got = by_id(jaccard.op4_jaccard(documents(spark, rows)))
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert 1 < len(set(want.values())) < 150
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_t_occurrence(seed):
     r = np.random.default_rng(seed)
