@@ -1,7 +1,10 @@
-"""Shared steps: connected components by joins, Arrow batch helpers."""
+"""Shared steps: connected components by joins, Arrow batch helpers, the model a worker holds."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,29 @@ from pyspark.sql import functions as F
 from sparkcollide.session import cut_lineage
 
 EDGE = "a long, b long"
+_held: dict = {}
+
+
+def release() -> None:
+    """Give back to the system what this worker holds, before work that needs no model or another one."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def held(make, *args):
+    """What ``make(*args)`` gives, kept by this worker until it asks for another or releases it.
+
+    A worker outlives its tasks and serves the operators that come next, so
+    it would pile up their models and caches otherwise.
+    """
+    if (make, args) not in _held:
+        release()
+        _held[make, args] = make(*args)
+    return _held[make, args]
 
 
 def row_batch(**cols) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcollide.llm.common import components, row_batch, take
+from sparkcollide.llm.common import components, release, row_batch, take
 from sparkcollide.llm.words import Chunk, chunks, signed, span_hash
 from sparkcollide.session import cut_lineage
 
@@ -86,6 +86,7 @@ def _describe(words: int):
         return row_batch(doc_id=none, th=none, n_shingles=none, sid=none, spread=pa.nulls(int(keep.sum()), pa.binary()), token=signed(token[keep]), times=times[keep].astype(np.int64))
 
     def run(batches):
+        release()
         held, n = [], 0
         for batch in batches:
             for c in chunks(batch.column(1), lower=True):
@@ -110,6 +111,7 @@ def _lists(words: int, hot):
     """The first n - ceil(3 n / 4) + 1 shingles of each set with their places."""
 
     def run(batches):
+        release()
         known = hot.value
         for batch in batches:
             for c in chunks(batch.column(0), lower=True):
@@ -146,6 +148,7 @@ def _meet(batches):
     Lists of one set go, unless they are part of a frequent list.  Only the
     first and the last row of the open list are kept between batches.
     """
+    release()
     hub = last = None
     shown = True
     for batch in batches:
@@ -224,6 +227,7 @@ def _search(words: int):
         return next(s for c in chunks(pa.array([text]), lower=True) for s in shingle_sets(c, words))
 
     def run(batches):
+        release()
         hub, query = None, None
         for batch in batches:
             firsts, texts = batch.column(0).to_numpy(), batch.column(1)
@@ -355,6 +359,7 @@ def _cross(forest: bool):
             yield row_batch(a=pairs[:, 0], b=pairs[:, 1])
 
     def run(batches):
+        release()
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])

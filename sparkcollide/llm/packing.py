@@ -10,15 +10,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcollide.llm.common import row_batch
+from sparkcollide.llm.common import held, row_batch
 from sparkcollide.session import cut_lineage
 
 LENGTH = 4096
@@ -32,7 +30,6 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids bi
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-!\"#$%&()*+,./:;=?@|]*)")
 
 
-@cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -50,19 +47,24 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     those of its blank-separated words in turn; each new word is encoded once
     by the tokenizer and kept in a bounded cache.
     """
-    tok, known = _tokenizer(path)
-    rows = [t.encode().split() for t in texts]  # the ASCII blanks
-    new = list(set(chain.from_iterable(rows)) - known.keys())
+    tok, known = held(_tokenizer, path)
+    seen: set[bytes] = set()
+    for t in texts:  # each text is split again below, as all words at once would be most of a worker's memory
+        seen.update(t.encode().split())  # the ASCII blanks
+    new = list(seen - known.keys())
+    del seen
     # letters and the signs after them are tokens of their own, and case does not count: most new words are known parts
     parts = [(m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(w)) else (w,) for w in (w.decode() for w in new)]
     ask = list({p.encode() for ps in parts for p in ps} - known.keys())
-    for w, e in zip(ask, tok.encode_batch_fast([w.decode() for w in ask], add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
+    for at in range(0, len(ask), 2000):  # an encoding takes many times the memory of its ids
+        some = ask[at : at + 2000]
+        for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
     for w, ps in zip(new, parts, strict=True):
         if w not in known:
             known[w] = b"".join([known[p.encode()] for p in ps])
     get = known.__getitem__
-    out = [b"".join(map(get, r)) for r in rows]
+    out = [b"".join(map(get, t.encode().split())) for t in texts]
     if len(known) > CACHE:  # common words came first; the others go again
         for w in {*new, *ask}:
             del known[w]

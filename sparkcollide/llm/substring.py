@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcollide.llm.common import carried, row_batch, take
+from sparkcollide.llm.common import carried, release, row_batch, take
 from sparkcollide.llm.words import U64, chunks, mix, signed, span_hash
 from sparkcollide.session import cut_lineage
 
@@ -54,6 +54,7 @@ def _anchors(h: np.ndarray, first: np.ndarray, window: int, kmer: int):
 
 def _paths(window: int, kmer: int):
     def run(batches):
+        release()
         for batch in batches:
             for c in chunks(batch.column(1)):
                 h = c.word_hash()
@@ -72,6 +73,7 @@ def _paths(window: int, kmer: int):
 
 def _anchor_counts(window: int, kmer: int):
     def run(batches):
+        release()
         for batch in batches:
             for c in chunks(batch.column(0)):
                 anchor, n = np.unique(_anchors(c.word_hash(), c.first, window, kmer)[3], return_counts=True)

@@ -19,14 +19,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcollide.llm.common import carried, row_batch
+from sparkcollide.llm.common import carried, held, release, row_batch
 from sparkcollide.session import cut_lineage
 
 ORDER, DECAY, SHARP, LEAST = 3, 0.7, 3, 0.05
@@ -184,10 +183,13 @@ class Kernel:
         return out
 
 
-@lru_cache(maxsize=1)
+def _kernel(landmarks: tuple[str, ...]) -> Kernel:
+    return Kernel(list(landmarks))
+
+
 def shared(landmarks: tuple[str, ...]) -> Kernel:
     """A worker's kernel for these landmarks; its tasks share the known words."""
-    return Kernel(list(landmarks))
+    return held(_kernel, landmarks)
 
 
 @dataclass
@@ -249,6 +251,7 @@ def _spread(words: list[str], most: int) -> list[str]:
 
 def _label_counts(batches):
     """Distinct words of each document, counted by label within a batch."""
+    release()
     for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
         count: dict[str, list[int]] = {}
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
